@@ -25,6 +25,10 @@ from ..matrix import TallMatrix
 # Width of one partial-sum record: wide matrices are cut into column blocks
 # of this many doubles so the aggregate stays a fixed, codegen-friendly size.
 BLOCK_WIDTH = 32
+# Most doubles a kernel densifies at once (32 MiB).
+CHUNK_CELLS = 1 << 22
+# Target size of one Arrow batch handed to a kernel (doubles).
+BATCH_CELLS = 1 << 22
 
 
 class Block:
@@ -78,6 +82,31 @@ class Block:
         out[self.row_of, self.indices] = self.values
         return out
 
+    def rows(self, lo: int, hi: int) -> "Block":
+        """Rows lo..hi-1 as a block of their own (views, no copy for dense)."""
+        if self.is_dense:
+            return Block(hi - lo, self.d, dense=self.dense[lo:hi])
+        a, b = self.indptr[lo], self.indptr[hi]
+        return Block(hi - lo, self.d, indptr=self.indptr[lo:hi + 1] - a,
+                     indices=self.indices[a:b], values=self.values[a:b])
+
+    def chunks(self, max_cells: int = CHUNK_CELLS):
+        """Split into row ranges whose dense form holds at most ``max_cells``
+        doubles, so densifying a wide sparse block stays bounded."""
+        step = max(1, max_cells // max(1, self.d))
+        for lo in range(0, self.n, step):
+            yield self.rows(lo, min(self.n, lo + step))
+
+    def gram(self) -> np.ndarray:
+        """Y'Y (d x d), densifying at most CHUNK_CELLS values at a time."""
+        if self.is_dense:
+            return self.dense.T @ self.dense
+        g = np.zeros((self.d, self.d))
+        for part in self.chunks():
+            y = part.to_dense()
+            g += y.T @ y
+        return g
+
 
 def _scatter_rows(out: np.ndarray, rows: np.ndarray, contrib: np.ndarray) -> None:
     """out[rows[t]] += contrib[t] for every t (columns done with bincount)."""
@@ -185,6 +214,31 @@ def partial_sums_df(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarra
             .agg(*[F.sum(f"c{t}").alias(f"c{t}") for t in range(width)]))
 
 
+def batch_rows(n_cols: int, default: int = 10000) -> int:
+    """Rows per Arrow batch so one batch of dense rows is about BATCH_CELLS."""
+    return int(max(64, min(default, BATCH_CELLS // max(1, n_cols))))
+
+
+class arrow_batch_rows:
+    """Temporarily cap ``spark.sql.execution.arrow.maxRecordsPerBatch`` for
+    the actions a library call runs itself (wide rows, bounded memory)."""
+
+    KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    def __init__(self, spark, rows: int):
+        self.spark, self.rows, self.old = spark, rows, None
+
+    def __enter__(self):
+        self.old = self.spark.conf.get(self.KEY, "10000")
+        if int(self.old) > self.rows:
+            self.spark.conf.set(self.KEY, str(self.rows))
+        return self
+
+    def __exit__(self, *exc):
+        self.spark.conf.set(self.KEY, self.old)
+        return False
+
+
 def partial_sums(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarray]],
                  shapes: dict[str, tuple[int, ...]], width: int = BLOCK_WIDTH) -> dict[str, np.ndarray]:
     """Run ``kernel`` over every row block and return the summed results.
@@ -196,7 +250,9 @@ def partial_sums(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarray]]
         return (1, 1) if len(shape) == 0 else (1, shape[0]) if len(shape) == 1 else shape
 
     out = {name: np.zeros(as2d(shape)) for name, shape in shapes.items()}
-    for row in partial_sums_df(m, kernel, width).collect():
+    with arrow_batch_rows(m.spark, batch_rows(m.n_cols)):
+        collected = partial_sums_df(m, kernel, width).collect()
+    for row in collected:
         mat = out[row["stat"]]
         lo = row["cb"] * width
         hi = min(lo + width, mat.shape[1])
@@ -226,3 +282,71 @@ def map_rows(m: TallMatrix, fn: Callable[[Block], np.ndarray], out_width: int,
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), lists], schema=arrow_schema)
 
     return m.df.select(*_input_columns(m)).mapInArrow(run, out_schema)
+
+
+# Memory budget of one R-combining task of the TSQR tree (bytes).
+TSQR_GROUP_BYTES = 256 << 20
+
+
+def _r_factor(x: np.ndarray) -> np.ndarray:
+    r = np.linalg.qr(x, mode="r")
+    return r if r.shape[0] == x.shape[1] else np.vstack([r, np.zeros((x.shape[1] - r.shape[0], x.shape[1]))])
+
+
+def tsqr(m: TallMatrix, rows_fn: Callable[[Block], np.ndarray], width: int) -> np.ndarray:
+    """R factor (width x width) of the tall matrix whose block rows are
+    ``rows_fn(block)``, by tall-skinny QR.
+
+    Each partition folds its batches into one R (streaming QR).  The R
+    factors are combined by a tree of ``applyInPandas`` groups whose fan-in
+    keeps one group under TSQR_GROUP_BYTES, until few enough remain to be
+    stacked on the driver (also under that bound).  R'R = A'A, but the
+    conditioning is that of A, not of A'A.
+    """
+    from pyspark import TaskContext
+    kind, d = m.kind, m.n_cols
+    schema = T.StructType([T.StructField("pid", T.LongType(), False),
+                           T.StructField("r", T.IntegerType(), False),
+                           T.StructField("vals", T.ArrayType(T.DoubleType(), False), False)])
+    arrow_schema = pa.schema([("pid", pa.int64(), False), ("r", pa.int32(), False),
+                              ("vals", pa.list_(pa.field("element", pa.float64(), False)), False)])
+
+    def r_batch(pid: int, r: np.ndarray) -> pa.RecordBatch:
+        offsets = np.arange(0, r.size + 1, width, dtype=np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(r.shape[0], pid, dtype=np.int64)), pa.array(np.arange(r.shape[0], dtype=np.int32)),
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(r).ravel()),
+                                      type=arrow_schema.field("vals").type)], schema=arrow_schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            blk = to_block(batch, kind, d)
+            for part in blk.chunks():
+                b = np.asarray(rows_fn(part), dtype=np.float64)
+                r = _r_factor(b if r is None else np.vstack([r, b]))
+        if r is not None:
+            yield r_batch(TaskContext.get().partitionId(), r)
+
+    def combine(pdf):
+        import pandas as pd
+        stack = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf.sort_values(["pid", "r"])["vals"]])
+        r = _r_factor(stack)
+        return pd.DataFrame({"pid": np.full(width, int(pdf["gid"].iloc[0]), dtype=np.int64),
+                             "r": np.arange(width, dtype=np.int32), "vals": list(r)})
+
+    fan_in = max(2, TSQR_GROUP_BYTES // max(1, width * width * 8))
+    level = m.df.select(*_input_columns(m)).mapInArrow(run, schema)
+    n = m.df.rdd.getNumPartitions()
+    while n > fan_in:
+        level = (level.withColumn("gid", F.floor(F.col("pid") / fan_in))
+                 .groupBy("gid").applyInPandas(combine, schema))
+        n = -(-n // fan_in)
+    with arrow_batch_rows(m.spark, batch_rows(d)):
+        rows = level.collect()
+    if not rows:
+        return np.zeros((width, width))
+    rows.sort(key=lambda r: (r["pid"], r["r"]))
+    return _r_factor(np.array([r["vals"] for r in rows], dtype=np.float64))

@@ -17,9 +17,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import TallMatrix
-from .blocks import BLOCK_WIDTH, Block, partial_sums, partial_sums_df
+from .blocks import BLOCK_WIDTH, Block, partial_sums, partial_sums_df, tsqr
 
-# Gram route for spectra when d is at most this; otherwise power iteration.
+# Exact-spectrum route (d x d R factor or Gram) when d is at most this;
+# otherwise power iteration.
 MAX_GRAM_COLS = 4096
 # Largest d x q model the driver is asked to hold (doubles).
 MAX_DRIVER_DOUBLES = 64 * 1024 * 1024
@@ -101,8 +102,7 @@ def gram(m: TallMatrix, mean: np.ndarray) -> np.ndarray:
         if dense:
             a = block.dense - mu
             return {"g": a.T @ a}
-        y = block.to_dense()
-        return {"g": y.T @ y, "s": block.col_sum()}
+        return {"g": block.gram(), "s": block.col_sum()}
 
     if dense:
         return partial_sums(m, kernel, {"g": (d, d)})["g"]
@@ -159,46 +159,82 @@ def residual_spectral_norm_gram(g: np.ndarray, p: np.ndarray) -> float:
     return float(np.sqrt(max(w[-1], 0.0)))
 
 
-def residual_spectral_norm_power(m: TallMatrix, p: np.ndarray, mean: np.ndarray,
-                                 iters: int = 30, tol: float = 1e-10, seed: int = 0) -> float:
-    """L5 for wide matrices: power iteration on E'E, E = A (I - P P'),
-    one distributed pass A'A v per step."""
-    rng = np.random.default_rng(seed)
+def _subspace_iteration(m: TallMatrix, q: int, mean: np.ndarray, p: np.ndarray | None,
+                        iters: int, tol: float, seed: int, oversample: int = 8) -> np.ndarray:
+    """Top ``q`` eigenvalues of E'E, E = A (I - P P') (P = None: E = A), by
+    block subspace iteration with oversampling.  One distributed pass
+    (A'A V) per step; Ritz values come from V'(A'A V) of the same pass."""
     d = m.n_cols
-    v = rng.standard_normal(d)
-    v -= p @ (p.T @ v)
-    v /= np.linalg.norm(v)
-    lam = 0.0
-    for _ in range(iters):
-        w = gram_apply(m, v[:, None], mean)[:, 0]
-        w -= p @ (p.T @ w)
-        new = float(np.linalg.norm(w))
-        if new == 0:
-            return 0.0
-        v = w / new
-        if abs(new - lam) <= tol * new:
-            lam = new
-            break
-        lam = new
-    return float(np.sqrt(lam))
+    b = min(d, q + oversample)
+    rng = np.random.default_rng(seed)
 
+    def deflate(x):
+        return x if p is None else x - p @ (p.T @ x)
 
-def top_singular_values_power(m: TallMatrix, q: int, mean: np.ndarray, iters: int = 30,
-                              seed: int = 0) -> np.ndarray:
-    """Largest ``q`` singular values by subspace iteration on A'A (wide d):
-    one distributed pass per step, d x q on the driver."""
-    rng = np.random.default_rng(seed)
-    v, _ = np.linalg.qr(rng.standard_normal((m.n_cols, q)))
-    s = np.zeros(q)
+    v, _ = np.linalg.qr(deflate(rng.standard_normal((d, b))))
+    prev = None
+    w = np.zeros(b)
     for _ in range(iters):
-        z = gram_apply(m, v, mean)
-        v, r = np.linalg.qr(z)
-        new = np.sqrt(np.abs(np.diag(r)))
-        if np.allclose(new, s, rtol=1e-10, atol=0):
-            s = new
+        z = deflate(gram_apply(m, v, mean))
+        h = v.T @ z
+        w = np.sort(np.clip(np.linalg.eigvalsh((h + h.T) / 2), 0.0, None))[::-1]
+        if prev is not None and np.allclose(w[:q], prev[:q], rtol=tol, atol=0):
             break
-        s = new
-    return np.sort(s)[::-1]
+        prev = w
+        v, _ = np.linalg.qr(z)
+    return w[:q]
+
+
+def residual_spectral_norm_power(m: TallMatrix, p: np.ndarray, mean: np.ndarray,
+                                 iters: int = 50, tol: float = 1e-9, seed: int = 0) -> float:
+    """L5 for wide matrices: ||A (I - P P')||_2 by subspace iteration."""
+    return float(np.sqrt(_subspace_iteration(m, 1, mean, p, iters, tol, seed)[0]))
+
+
+def top_singular_values_power(m: TallMatrix, q: int, mean: np.ndarray, iters: int = 50,
+                              tol: float = 1e-9, seed: int = 0) -> np.ndarray:
+    """Largest ``q`` singular values of A by subspace iteration on A'A
+    (wide d): d x (q + 8) on the driver, one pass per step."""
+    return np.sqrt(_subspace_iteration(m, q, mean, None, iters, tol, seed))
+
+
+def r_factor(m: TallMatrix, mean: np.ndarray, v: np.ndarray | None = None) -> np.ndarray:
+    """R of the centred matrix A (or of A V) by TSQR: R'R = A'A with the
+    conditioning of A.  Absent all-zero rows of a sparse matrix are one
+    extra row sqrt(#absent) * (-ym) (R'R only sees the sum of outer
+    products)."""
+    mu = np.asarray(mean, dtype=np.float64)
+    width = m.n_cols if v is None else v.shape[1]
+    check_driver_size(width, width, "R factor")
+    shift = mu if v is None else mu @ v
+
+    def rows_fn(block: Block) -> np.ndarray:
+        if v is None:
+            return block.to_dense() - mu
+        return block.matmul(v) - shift
+
+    r = tsqr(m, rows_fn, width)
+    if m.is_sparse:
+        absent = m.n_rows - m.df.count()
+        if absent > 0:
+            extra = -np.sqrt(float(absent)) * shift
+            r = np.linalg.qr(np.vstack([r, extra[None, :]]), mode="r")
+    return r
+
+
+def singular_values_from_r(r: np.ndarray, rcond: float = 1e-5) -> np.ndarray:
+    """Singular values of A from its R factor, those below rcond * s_max
+    dropped (as an rcond-truncated SVD would)."""
+    s = np.linalg.svd(r, compute_uv=False)
+    if s.size == 0 or s[0] == 0:
+        return s[:0]
+    return s[s > rcond * s[0]]
+
+
+def residual_spectral_norm_r(r: np.ndarray, p: np.ndarray) -> float:
+    """L5 without a data pass: ||A (I - P P')||_2 = ||R (I - P P')||_2."""
+    e = r - (r @ p) @ p.T
+    return float(np.linalg.svd(e, compute_uv=False)[0])
 
 
 @dataclass
@@ -209,30 +245,39 @@ class SketchResult:
 
 
 def sketch_svd(m: TallMatrix, width: int, mean: np.ndarray, seed: int,
-               rcond: float = 1e-5) -> SketchResult:
-    """Randomised SVD of the centred matrix in one pass.
-
-    B = A Omega (L1).  The same pass sums B'B and B'A (A8).  On the driver
-    B'B = R'R gives the rank-revealing finish of the tall-skinny QR: with
-    B'B = V S^2 V', keep S > rcond * S_max and T = V S^-1, so Q = B T has
-    orthonormal columns and Q'A = T' B'A (L2).  The SVD of the small
-    Q'A (width x d) gives the approximate right singular vectors (L4).
+               rcond: float = 1e-5, method: str = "tsqr") -> SketchResult:
+    """Randomised SVD of the centred matrix A.
+
+    B = A Omega (L1, Omega seeded N(0,1), d x width).  ``tsqr`` (default):
+    pass 1 is a tall-skinny QR of B (L2); on the driver R = U S V', keep
+    S > rcond * S_max (rank-revealing, B7) and T = V S^-1, so Q = B T has
+    orthonormal columns; pass 2 sums B'A (A8) and Q'A = T' B'A.
+    ``cholesky`` takes R from B'B in the same single pass as B'A (half the
+    passes, but the conditioning of B is squared).  The SVD of the small
+    Q'A gives the approximate right singular vectors (L4).
     """
     d = m.n_cols
     rng = np.random.default_rng(seed)
     omega = rng.standard_normal((d, width))          # S5
-    st = cross_stats(m, omega, mean)
-    btb, bta = st.xtx, st.ytx.T                        # (width x width), (width x d)
-    w, vv = np.linalg.eigh((btb + btb.T) / 2)
-    w = np.clip(w, 0.0, None)
-    sb = np.sqrt(w)
+    if method == "tsqr":
+        r = r_factor(m, mean, omega)
+        _, sb, vt = np.linalg.svd(r)
+        vv = vt.T
+        bta = cross_stats(m, omega, mean).ytx.T
+    elif method == "cholesky":
+        st = cross_stats(m, omega, mean)
+        btb, bta = st.xtx, st.ytx.T
+        w, vv = np.linalg.eigh((btb + btb.T) / 2)
+        sb = np.sqrt(np.clip(w, 0.0, None))
+    else:
+        raise ValueError("method must be 'tsqr' or 'cholesky'")
     keep = sb > rcond * (sb.max() if sb.size and sb.max() > 0 else 1.0)
     t = vv[:, keep] / sb[keep]
     qta = t.T @ bta                                    # rank x d
-    _, s, vt = np.linalg.svd(qta, full_matrices=False)
+    _, s, vt2 = np.linalg.svd(qta, full_matrices=False)
     rank = int(keep.sum())
     s_full = np.zeros(width)
     s_full[:rank] = s
     v_full = np.zeros((d, width))
-    v_full[:, :rank] = vt.T
+    v_full[:, :rank] = vt2.T
     return SketchResult(s=s_full, v=v_full, rank=rank)

@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 from ..matrix import TallMatrix
 from ..session import materialize
 from .blocks import Block, partial_sums
-from .linalg import (MAX_GRAM_COLS, canonical_signs, cross_stats, gram, orthonormal_basis,
-                     residual_spectral_norm_gram, residual_spectral_norm_power,
-                     singular_values_from_gram, sketch_svd, top_singular_values_power)
+from .linalg import (MAX_GRAM_COLS, canonical_signs, cross_stats, orthonormal_basis, r_factor,
+                     residual_spectral_norm_power, residual_spectral_norm_r, singular_values_from_r,
+                     sketch_svd, top_singular_values_power)
 from .rows import default_sample_rate, project, row_sample
 from .stats import mean_and_norm
 
@@ -43,7 +43,7 @@ class Prepared:
     mean: np.ndarray
     norm2: float
     preprocess_s: float
-    gram: np.ndarray | None = None
+    r: np.ndarray | None = None       # R factor of the centred matrix (d <= MAX_GRAM_COLS)
     sigma_next: float | None = None   # sigma_{k+1} of the centred matrix
 
 
@@ -115,15 +115,16 @@ def clamp_rank(k: int, d: int, oversample: int) -> tuple[int, int]:
 def prepare(m: TallMatrix, need_spectrum: bool = True, k: int | None = None,
             rcond: float = DEFAULT_RCOND, cut_lineage: bool | None = None) -> Prepared:
     """Pin the rows, then one job for mean and norm (A1 + A2); with
-    ``need_spectrum`` also the Gram matrix (d <= MAX_GRAM_COLS) or power
-    iteration for sigma_{k+1}, not counted in the preprocessing time (B18)."""
+    ``need_spectrum`` also the R factor of the centred matrix by TSQR
+    (d <= MAX_GRAM_COLS) or power iteration for sigma_{k+1}, not counted in
+    the preprocessing time (B18)."""
     t0 = time.time()
     m = m.with_df(materialize(m.df, cut_lineage))
     mean, norm2 = mean_and_norm(m)
     prep = Prepared(matrix=m, mean=mean, norm2=norm2, preprocess_s=time.time() - t0)
     if need_spectrum:
         if m.n_cols <= MAX_GRAM_COLS:
-            prep.gram = gram(m, mean)
+            prep.r = r_factor(m, mean)
         if k is not None:
             prep.sigma_next = sigma_at(prep, k, rcond)
     return prep
@@ -132,8 +133,8 @@ def prepare(m: TallMatrix, need_spectrum: bool = True, k: int | None = None,
 def sigma_at(prep: Prepared, k: int, rcond: float = DEFAULT_RCOND) -> float:
     """sigma_{k+1} (zero-based index k) of the centred matrix; 0 when the
     rank is at most k (B6)."""
-    if prep.gram is not None:
-        s = singular_values_from_gram(prep.gram, rcond)
+    if prep.r is not None:
+        s = singular_values_from_r(prep.r, rcond)
     else:
         s = top_singular_values_power(prep.matrix, k + 1, prep.mean)
         s = s[s > rcond * (s[0] if s.size else 0)]
@@ -143,8 +144,8 @@ def sigma_at(prep: Prepared, k: int, rcond: float = DEFAULT_RCOND) -> float:
 def spectral_error(prep: Prepared, c: np.ndarray, sigma_next: float) -> float | None:
     """M5: (||A - A P P'||_2 - sigma_{k+1}) / sigma_{k+1}, P = L6(C)."""
     p = orthonormal_basis(c)
-    if prep.gram is not None:
-        norm = residual_spectral_norm_gram(prep.gram, p)
+    if prep.r is not None:
+        norm = residual_spectral_norm_r(prep.r, p)
     else:
         norm = residual_spectral_norm_power(prep.matrix, p, prep.mean)
     if sigma_next <= 0:
@@ -160,9 +161,12 @@ def l1_error(m: TallMatrix, mean: np.ndarray, w: np.ndarray, c: np.ndarray, rate
     d = m.n_cols
 
     def kernel(block: Block):
-        a = block.to_dense() - mu
-        r = (a @ w) @ c.T - a
-        return {"res": np.abs(r).sum(axis=0), "base": np.abs(a).sum(axis=0)}
+        res, base = np.zeros(d), np.zeros(d)
+        for part in block.chunks():
+            a = part.to_dense() - mu
+            res += np.abs((a @ w) @ c.T - a).sum(axis=0)
+            base += np.abs(a).sum(axis=0)
+        return {"res": res, "base": base}
 
     sample = row_sample(m, rate, salt)
     out = partial_sums(sample, kernel, {"res": (d,), "base": (d,)})
@@ -182,16 +186,24 @@ def _absent_rows(m: TallMatrix) -> int:
     return max(0, m.n_rows - m.df.count())
 
 
+def _inv(a: np.ndarray) -> np.ndarray:
+    """k x k inverse; pseudo-inverse when a is singular (rank-deficient data
+    with ss = 0 gives a zero column in C)."""
+    if np.linalg.cond(a) < 1e12:
+        return np.linalg.inv(a)
+    return np.linalg.pinv(a)
+
+
 def em_round(prep: Prepared, c: np.ndarray, ss: float) -> dict:
     """M3: one EM round from (C, ss); returns new C, ss and the E-step
     pieces.  One distributed pass."""
     n, d = prep.matrix.n_rows, prep.matrix.n_cols
     k = c.shape[1]
-    sx = np.linalg.inv(c.T @ c + ss * np.eye(k))        # Sx = (C'C + ss I)^-1
+    sx = _inv(c.T @ c + ss * np.eye(k))                 # Sx = (C'C + ss I)^-1
     w = c @ sx.T                                          # Y2X
     st = cross_stats(prep.matrix, w, prep.mean)           # A6 + A6b
     xtx = st.xtx + n * ss * sx                            # B1: keep N
-    c_new = st.ytx @ np.linalg.inv(xtx)
+    c_new = st.ytx @ _inv(xtx)
     ctc = c_new.T @ c_new
     ss2 = float(np.trace(xtx @ ctc))
     cross = float(np.sum(c_new * st.ytx))                 # A7 fused: trace(C' Yc'Xc)
@@ -270,7 +282,12 @@ def fit_prepared(prep: Prepared, k: int, max_iter: int = DEFAULT_MAX_ITER,
         t0 = time.time()
         step = em_round(prep, c, ss)
         c, ss = step["c"], step["ss"]
-        rel_change = abs(1.0 - ss / prev_ss) if np.isfinite(prev_ss) else float("inf")
+        if not np.isfinite(prev_ss):
+            rel_change = float("inf")
+        elif prev_ss == 0.0:
+            rel_change = 0.0 if ss == 0.0 else float("inf")      # exact fit (rank <= k)
+        else:
+            rel_change = abs(1.0 - ss / prev_ss)
         prev_ss = ss
         secs = time.time() - t0
         stat.iter_s.append(secs)
@@ -310,13 +327,11 @@ def ppca_fit(m: TallMatrix, k: int, max_iter: int = DEFAULT_MAX_ITER,
 
 
 def exact_pca(m: TallMatrix, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """L3: exact top-k components from the Gram matrix (d <= MAX_GRAM_COLS):
+    """L3: exact top-k components from the TSQR R factor (d <= MAX_GRAM_COLS):
     returns (mean, singular values, components with canonical signs)."""
     mean, _ = mean_and_norm(m)
-    g = gram(m, mean)
-    w, u = np.linalg.eigh((g + g.T) / 2)
-    order = np.argsort(w)[::-1][:k]
-    return mean, np.sqrt(np.clip(w[order], 0, None)), canonical_signs(u[:, order])
+    _, s, vt = np.linalg.svd(r_factor(m, mean))
+    return mean, s[:k], canonical_signs(vt[:k].T)
 
 
 def explained_rows(model: PpcaModel, spark: SparkSession) -> DataFrame:
