@@ -27,7 +27,7 @@ SPARSE = "sparse"
 class TallMatrix:
     df: DataFrame
     n_cols: int
-    n_rows: int
+    n_rows: int | None = None     # None: dense, counted by the first pass that needs it
     kind: str = DENSE
 
     def __post_init__(self):
@@ -35,6 +35,8 @@ class TallMatrix:
             raise ValueError(f"unknown matrix kind {self.kind!r}")
         if self.n_cols < 1:
             raise ValueError("a matrix needs at least one column")
+        if self.n_rows is None and self.kind == SPARSE:
+            raise ValueError("a sparse matrix needs n_rows (absent rows count)")
 
     @property
     def is_sparse(self) -> bool:
@@ -47,6 +49,13 @@ class TallMatrix:
     def with_df(self, df: DataFrame) -> "TallMatrix":
         return replace(self, df=df)
 
+    def with_rows(self, n_rows: int) -> "TallMatrix":
+        return replace(self, n_rows=int(n_rows))
+
+    def counted(self) -> "TallMatrix":
+        """This matrix with ``n_rows`` known (one count job if it was not)."""
+        return self if self.n_rows is not None else self.with_rows(self.df.count())
+
     def entries(self) -> DataFrame:
         """Coordinate form ``(i BIGINT, j INT, v DOUBLE)``; zeros of a dense
         matrix are kept (they are values of the dense layout)."""

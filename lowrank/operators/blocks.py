@@ -250,6 +250,7 @@ def partial_sums(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarray]]
         return (1, 1) if len(shape) == 0 else (1, shape[0]) if len(shape) == 1 else shape
 
     out = {name: np.zeros(as2d(shape)) for name, shape in shapes.items()}
+    width = min(width, max(mat.shape[1] for mat in out.values()))
     with arrow_batch_rows(m.spark, batch_rows(m.n_cols)):
         collected = partial_sums_df(m, kernel, width).collect()
     for row in collected:

@@ -61,7 +61,7 @@ def cross_stats(m: TallMatrix, v: np.ndarray, mean: np.ndarray) -> CrossStats:
         return {"sx": x.sum(axis=0), "sxx": x.T @ x, "syx": block.t_matmul(x)}
 
     r = partial_sums(m, kernel, {"sx": (q,), "sxx": (q, q), "syx": (d, q)})
-    n = m.n_rows
+    n = m.n_rows if m.is_sparse else 0     # dense blocks are centred already
     off = _offset(m, mu)
     xm = off @ v
     sx = r["sx"]
@@ -70,6 +70,13 @@ def cross_stats(m: TallMatrix, v: np.ndarray, mean: np.ndarray) -> CrossStats:
     return CrossStats(n=n, sum_x=sx, xtx=xtx, ytx=ytx)
 
 
+def cross_stats_from_r(r: np.ndarray, v: np.ndarray) -> CrossStats:
+    """The same statistics from the R factor of A (R'R = A'A), no data
+    pass: X'X = (R V)'(R V), A'X = R'(R V), sum X = 0."""
+    rv = r @ v
+    return CrossStats(n=0, sum_x=np.zeros(v.shape[1]), xtx=rv.T @ rv, ytx=r.T @ rv)
+
+
 def gram_df(m: TallMatrix, mean: np.ndarray) -> DataFrame:
     """Lazy ``(r, c, g)`` Gram matrix A'A of the centred rows (dense input),
     summed by Spark; nothing is collected."""
@@ -245,7 +252,7 @@ class SketchResult:
 
 
 def sketch_svd(m: TallMatrix, width: int, mean: np.ndarray, seed: int,
-               rcond: float = 1e-5, method: str = "tsqr") -> SketchResult:
+               rcond: float = 1e-5, method: str = "tsqr", r_summary: np.ndarray | None = None) -> SketchResult:
     """Randomised SVD of the centred matrix A.
 
     B = A Omega (L1, Omega seeded N(0,1), d x width).  ``tsqr`` (default):
@@ -253,12 +260,16 @@ def sketch_svd(m: TallMatrix, width: int, mean: np.ndarray, seed: int,
     S > rcond * S_max (rank-revealing, B7) and T = V S^-1, so Q = B T has
     orthonormal columns; pass 2 sums B'A (A8) and Q'A = T' B'A.
     ``cholesky`` takes R from B'B in the same single pass as B'A (half the
-    passes, but the conditioning of B is squared).  The SVD of the small
-    Q'A gives the approximate right singular vectors (L4).
+    passes, but the conditioning of B is squared).  ``summary`` uses the R
+    factor of A (``r_summary``) and needs no pass: B = Q_A (R Omega), so
+    with R Omega = Q2 R2 the sketch basis is Q_A Q2 and Q'A = Q2' R.  The
+    SVD of the small Q'A gives the approximate right singular vectors (L4).
     """
     d = m.n_cols
     rng = np.random.default_rng(seed)
     omega = rng.standard_normal((d, width))          # S5
+    if method == "summary":
+        return sketch_from_omega(r_summary, omega, rcond)
     if method == "tsqr":
         r = r_factor(m, mean, omega)
         _, sb, vt = np.linalg.svd(r)
@@ -281,3 +292,20 @@ def sketch_svd(m: TallMatrix, width: int, mean: np.ndarray, seed: int,
     v_full = np.zeros((d, width))
     v_full[:, :rank] = vt2.T
     return SketchResult(s=s_full, v=v_full, rank=rank)
+
+
+def sketch_from_omega(r: np.ndarray, omega: np.ndarray, rcond: float = 1e-5) -> SketchResult:
+    """L7 on the R factor of A: rank-revealing QR of R Omega, then Q'A."""
+    d, width = omega.shape
+    b = r @ omega
+    u, sb, vt = np.linalg.svd(b, full_matrices=False)
+    keep = sb > rcond * (sb.max() if sb.size and sb.max() > 0 else 1.0)
+    q2 = u[:, keep]                                    # orthonormal basis of span(R Omega)
+    qta = q2.T @ r
+    _, s, vt2 = np.linalg.svd(qta, full_matrices=False)
+    rank = int(keep.sum())
+    s_full = np.zeros(width)
+    s_full[:rank] = s
+    v_full = np.zeros((d, width))
+    v_full[:, :rank] = vt2.T
+    return SketchResult(s=s_full, v=v_full, rank=rank)

@@ -19,13 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..matrix import TallMatrix
-from ..session import materialize
+from ..session import has_exchange, materialize
 from .blocks import Block, partial_sums
-from .linalg import (MAX_GRAM_COLS, canonical_signs, cross_stats, orthonormal_basis, r_factor,
+from .linalg import (MAX_GRAM_COLS, canonical_signs, cross_stats, cross_stats_from_r, orthonormal_basis,
+                     r_factor,
                      residual_spectral_norm_power, residual_spectral_norm_r, singular_values_from_r,
                      sketch_svd, top_singular_values_power)
 from .rows import default_sample_rate, project, row_sample
-from .stats import mean_and_norm
+from .stats import column_summary, mean_and_norm
 
 # Fixed defaults of the fit (values of the original job's options).
 DEFAULT_MAX_ITER = 3
@@ -45,6 +46,7 @@ class Prepared:
     preprocess_s: float
     r: np.ndarray | None = None       # R factor of the centred matrix (d <= MAX_GRAM_COLS)
     sigma_next: float | None = None   # sigma_{k+1} of the centred matrix
+    summary: bool = False             # EM rounds from R (no pass per round)
 
 
 @dataclass
@@ -112,18 +114,39 @@ def clamp_rank(k: int, d: int, oversample: int) -> tuple[int, int]:
     return k, max(1, oversample)
 
 
+def use_summary(strategy: str, d: int) -> bool:
+    if strategy not in ("auto", "summary", "passes"):
+        raise ValueError("strategy must be 'auto', 'summary' or 'passes'")
+    if strategy == "summary" and d > MAX_GRAM_COLS:
+        raise ValueError(f"the summary strategy holds d x d; d = {d} exceeds {MAX_GRAM_COLS}")
+    return strategy == "summary" or (strategy == "auto" and d <= MAX_GRAM_COLS)
+
+
 def prepare(m: TallMatrix, need_spectrum: bool = True, k: int | None = None,
-            rcond: float = DEFAULT_RCOND, cut_lineage: bool | None = None) -> Prepared:
-    """Pin the rows, then one job for mean and norm (A1 + A2); with
-    ``need_spectrum`` also the R factor of the centred matrix by TSQR
-    (d <= MAX_GRAM_COLS) or power iteration for sigma_{k+1}, not counted in
-    the preprocessing time (B18)."""
+            rcond: float = DEFAULT_RCOND, cut_lineage: bool | None = None,
+            strategy: str = "passes") -> Prepared:
+    """One job for mean, norm and row count (A1 + A2).
+
+    ``summary`` (d <= MAX_GRAM_COLS): a second pass takes the R factor of
+    the centred matrix by TSQR and every later step (sketch, EM rounds,
+    spectral error) works on R on the driver; a plain scan is then read
+    twice instead of being pinned.  ``passes``: the rows are pinned
+    (persisted, or checkpointed when shuffles precede them) and read once
+    per EM round; with ``need_spectrum`` the R factor (d <= MAX_GRAM_COLS)
+    or power iteration gives sigma_{k+1}, outside the preprocessing time
+    (B18)."""
     t0 = time.time()
-    m = m.with_df(materialize(m.df, cut_lineage))
-    mean, norm2 = mean_and_norm(m)
-    prep = Prepared(matrix=m, mean=mean, norm2=norm2, preprocess_s=time.time() - t0)
+    summary = use_summary(strategy, m.n_cols)
+    if not (summary and not has_exchange(m.df) and cut_lineage is None):
+        m = m.with_df(materialize(m.df, cut_lineage))
+    mean, norm2, n = column_summary(m)
+    m = m.with_rows(n)
+    prep = Prepared(matrix=m, mean=mean, norm2=norm2, preprocess_s=0.0, summary=summary)
+    if summary:
+        prep.r = r_factor(m, mean)
+    prep.preprocess_s = time.time() - t0
     if need_spectrum:
-        if m.n_cols <= MAX_GRAM_COLS:
+        if prep.r is None and m.n_cols <= MAX_GRAM_COLS:
             prep.r = r_factor(m, mean)
         if k is not None:
             prep.sigma_next = sigma_at(prep, k, rcond)
@@ -201,7 +224,10 @@ def em_round(prep: Prepared, c: np.ndarray, ss: float) -> dict:
     k = c.shape[1]
     sx = _inv(c.T @ c + ss * np.eye(k))                 # Sx = (C'C + ss I)^-1
     w = c @ sx.T                                          # Y2X
-    st = cross_stats(prep.matrix, w, prep.mean)           # A6 + A6b
+    if prep.summary:
+        st = cross_stats_from_r(prep.r, w)                # A6 from R'R = A'A, no pass
+    else:
+        st = cross_stats(prep.matrix, w, prep.mean)       # A6 + A6b, one pass
     xtx = st.xtx + n * ss * sx                            # B1: keep N
     c_new = st.ytx @ _inv(xtx)
     ctc = c_new.T @ c_new
@@ -241,7 +267,10 @@ def initial_state(prep: Prepared, k: int, oversample: int, init, seed: int,
         return rng.random((d, k)), float(rng.random())
     if init != "sketch":
         raise ValueError("init must be 'sketch', 'random' or a (C, ss) pair")
-    sk = sketch_svd(prep.matrix, k + oversample, prep.mean, seed, rcond)
+    if prep.summary:
+        sk = sketch_svd(prep.matrix, k + oversample, prep.mean, seed, rcond, method="summary", r_summary=prep.r)
+    else:
+        sk = sketch_svd(prep.matrix, k + oversample, prep.mean, seed, rcond)
     latent = sk.s ** 2 / max(n - 1, 1)
     ss = float(latent[k:k + oversample].mean())
     c = sk.v[:, :k] * np.sqrt(np.clip(latent[:k] - ss, 0.0, None))
@@ -314,11 +343,15 @@ def ppca_fit(m: TallMatrix, k: int, max_iter: int = DEFAULT_MAX_ITER,
              oversample: int = DEFAULT_OVERSAMPLE, init="sketch", error_metric: str = "spectral",
              seed: int = 0, tol: float = DEFAULT_TOL, target_error: float | None = None,
              rcond: float = DEFAULT_RCOND, sample_rate: float | None = None,
-             dataset: str = "Untitled", cut_lineage: bool | None = None) -> PpcaModel:
-    """Fit probabilistic PCA with k components to the rows of ``m``."""
+             dataset: str = "Untitled", cut_lineage: bool | None = None,
+             strategy: str = "auto") -> PpcaModel:
+    """Fit probabilistic PCA with k components to the rows of ``m``.
+
+    ``strategy='auto'`` works on the R factor (two passes in all) when
+    d <= MAX_GRAM_COLS, else reads the pinned rows once per round."""
     k, _ = clamp_rank(k, m.n_cols, oversample)
     prep = prepare(m, need_spectrum=(error_metric == "spectral"), k=k, rcond=rcond,
-                   cut_lineage=cut_lineage)
+                   cut_lineage=cut_lineage, strategy=strategy)
     try:
         return fit_prepared(prep, k, max_iter, oversample, init, error_metric, seed, tol,
                             target_error, rcond, sample_rate, dataset)

@@ -20,15 +20,16 @@ from ..matrix import TallMatrix
 def column_stats(m: TallMatrix) -> DataFrame:
     """``(j INT, total DOUBLE, mean DOUBLE, m2 DOUBLE)`` per column with a
     value; ``m2`` is the centred sum of squares over all ``n_rows`` rows."""
-    n = float(m.n_rows)
     e = m.entries()
     if not m.is_sparse:
         return (e.groupBy("j")
                 .agg(F.sum("v").alias("total"), F.avg("v").alias("mean"),
-                     (F.var_pop("v") * F.count("v")).alias("m2")))
+                     (F.var_pop("v") * F.count("v")).alias("m2"), F.count("v").alias("n")))
+    n = float(m.n_rows)
     g = e.groupBy("j").agg(F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("sq"))
     return g.select("j", "total", (F.col("total") / n).alias("mean"),
-                    (F.col("sq") - F.col("total") * F.col("total") / n).alias("m2"))
+                    (F.col("sq") - F.col("total") * F.col("total") / n).alias("m2"),
+                    F.lit(int(m.n_rows)).cast("long").alias("n"))
 
 
 def column_means(m: TallMatrix) -> DataFrame:
@@ -43,13 +44,24 @@ def frobenius_sq(m: TallMatrix) -> DataFrame:
     return column_stats(m).agg(F.sum("m2").alias("norm2"))
 
 
-def mean_and_norm(m: TallMatrix) -> tuple[np.ndarray, float]:
-    """Preprocessing pass: column mean (d values) and centred norm, one job."""
+def column_summary(m: TallMatrix) -> tuple[np.ndarray, float, int]:
+    """Preprocessing pass: column mean (d values), centred norm and row
+    count in one job; d rows reach the driver."""
     mean = np.zeros(m.n_cols)
-    norm2 = 0.0
+    norm2, n = 0.0, 0
     for row in column_stats(m).collect():
+        if row["j"] >= m.n_cols:
+            raise ValueError(f"row wider than {m.n_cols} columns")
         mean[row["j"]] = row["mean"]
         norm2 += row["m2"]
+        n = max(n, int(row["n"]))
+    if m.n_rows is not None:
+        n = m.n_rows
+    return mean, norm2, n
+
+
+def mean_and_norm(m: TallMatrix) -> tuple[np.ndarray, float]:
+    mean, norm2, _ = column_summary(m)
     return mean, norm2
 
 

@@ -49,7 +49,8 @@ def run_trials(m: TallMatrix, k: int, trials: int = 1, seeds: list[int] | None =
     if len(seeds) != trials:
         raise ValueError("one seed per trial")
     error_metric = fit_options.get("error_metric", "spectral")
-    prep = prepare(m, need_spectrum=(error_metric == "spectral"), k=k)
+    strategy = fit_options.pop("strategy", "auto")
+    prep = prepare(m, need_spectrum=(error_metric == "spectral"), k=k, strategy=strategy)
     models = []
     try:
         for seed in seeds:

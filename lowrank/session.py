@@ -52,10 +52,38 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return conf
 
 
+def _plan(df: DataFrame) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def has_exchange(df: DataFrame) -> bool:
     """True when the physical plan of ``df`` contains a shuffle."""
-    plan = df._jdf.queryExecution().executedPlan().toString()
-    return "Exchange" in plan
+    return "Exchange" in _plan(df)
+
+
+def plan_size_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate of a plan (from file sizes; no job)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # pragma: no cover
+        return 0
+
+
+# Spread an input over the cores only when it has more than this per core.
+MIN_BYTES_PER_TASK = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """An input with fewer partitions than task slots (a few large
+    files) is spread round-robin once before an iterative job reads it many
+    times.  With as many partitions as slots, as on a large cluster reading
+    many files, nothing changes and no shuffle is added."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    parts = df.rdd.getNumPartitions()
+    if parts >= slots:
+        return df
+    want = min(slots, max(1, plan_size_bytes(df) // MIN_BYTES_PER_TASK))
+    return df.repartition(int(want)) if want > parts else df
 
 
 def materialize(df: DataFrame, cut_lineage: bool | None = None) -> DataFrame:
@@ -67,8 +95,9 @@ def materialize(df: DataFrame, cut_lineage: bool | None = None) -> DataFrame:
     shared checkpoint folder, so a lost executor never forces the shuffle
     to be redone.  ``localCheckpoint`` is never used.
     """
+    df = spread(df)
     if cut_lineage is None:
-        cut_lineage = has_exchange(df)
+        cut_lineage = has_exchange(df) and "RoundRobinPartitioning" not in _plan(df)
     if cut_lineage:
         ensure_checkpoint_dir(df.sparkSession)
         return df.checkpoint(eager=True)

@@ -39,16 +39,12 @@ def matrix_from_array(df: DataFrame, array_col: str, id_col: str | Column | None
     if n_cols is not None:
         feats = F.slice(feats, 1, n_cols)
     out = df.select(_row_id(id_col), feats.alias("features"))
-    if n_cols is None or n_rows is None:
-        shape = out.agg(F.count(F.lit(1)).alias("n"),
-                        F.min(F.size("features")).alias("lo"),
-                        F.max(F.size("features")).alias("hi")).first()
-        if n_cols is None:
-            if shape["lo"] != shape["hi"]:
-                raise ValueError(f"rows of {array_col} have widths {shape['lo']}..{shape['hi']}")
-            n_cols = int(shape["hi"] or 0)
-        if n_rows is None:
-            n_rows = int(shape["n"])
+    if n_cols is None:
+        # width from one row; every kernel checks each row against it
+        first = out.select(F.size("features").alias("w")).first()
+        if first is None:
+            raise ValueError("empty matrix")
+        n_cols = int(first["w"])
     return TallMatrix(out, n_cols=n_cols, n_rows=n_rows, kind=DENSE)
 
 
@@ -56,8 +52,6 @@ def matrix_from_columns(df: DataFrame, cols: list[str], id_col: str | Column | N
                         n_rows: int | None = None) -> TallMatrix:
     """Dense matrix whose row is a list of numeric columns."""
     out = df.select(_row_id(id_col), F.array(*[F.col(c).cast("double") for c in cols]).alias("features"))
-    if n_rows is None:
-        n_rows = out.count()
     return TallMatrix(out, n_cols=len(cols), n_rows=n_rows, kind=DENSE)
 
 
@@ -120,6 +114,7 @@ def matrix_from_entries(entries: DataFrame, n_rows: int | None = None, n_cols: i
 
 def sparse_from_dense(m: TallMatrix) -> TallMatrix:
     """Drop the zeros of a dense matrix (no shuffle)."""
+    m = m.counted()
     e = F.filter(F.arrays_zip(F.sequence(F.lit(0), F.size("features") - 1).alias("j"),
                               F.col("features").alias("v")), lambda x: x["v"] != 0)
     out = m.df.select("row_id", F.transform(e, lambda x: x["j"]).alias("indices"),

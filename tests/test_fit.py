@@ -145,3 +145,29 @@ def test_row_sample_is_stable(emb):
     b = rows.row_sample(emb.with_df(emb.df.repartition(7)), 0.3).df.select("row_id").toPandas()
     assert sorted(a.row_id) == sorted(b.row_id)
     assert 0.2 < len(a) / 500 < 0.4
+
+
+@pytest.mark.parametrize("sparse", [False, True])
+def test_summary_and_passes_strategies_agree(spark, sample_df, sparse):
+    """EM on the R factor (no pass per round) equals EM reading the rows."""
+    from conftest import C0, SS0
+    from lowrank.sources.tables import matrix_from_array, sparse_from_dense
+    m = matrix_from_array(sample_df.repartition(3), "f", "id")
+    if sparse:
+        m = sparse_from_dense(m)
+    a = ppca.ppca_fit(m, 3, max_iter=3, init=(np.array(C0), SS0), error_metric="l1_sampled",
+                      target_error=0.0, strategy="summary")
+    b = ppca.ppca_fit(m, 3, max_iter=3, init=(np.array(C0), SS0), error_metric="l1_sampled",
+                      target_error=0.0, strategy="passes")
+    assert [h["ss"] for h in a.history] == pytest.approx([h["ss"] for h in b.history], rel=1e-9)
+    assert a.stat.errors == pytest.approx(b.stat.errors, rel=1e-9)
+    assert np.allclose(a.loadings, b.loadings, atol=1e-10)
+
+
+def test_summary_sketch_matches_pass_sketch(emb):
+    mean, _ = stats.mean_and_norm(emb)
+    r = linalg.r_factor(emb, mean)
+    a = linalg.sketch_svd(emb, 13, mean, 5)
+    b = linalg.sketch_svd(emb, 13, mean, 5, method="summary", r_summary=r)
+    assert np.allclose(a.s, b.s, rtol=1e-9)
+    assert np.allclose(np.abs(a.v.T @ b.v), np.eye(13), atol=1e-6)
