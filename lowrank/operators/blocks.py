@@ -294,9 +294,11 @@ def _r_factor(x: np.ndarray) -> np.ndarray:
     return r if r.shape[0] == x.shape[1] else np.vstack([r, np.zeros((x.shape[1] - r.shape[0], x.shape[1]))])
 
 
-def tsqr(m: TallMatrix, rows_fn: Callable[[Block], np.ndarray], width: int) -> np.ndarray:
+def tsqr(m: TallMatrix, rows_fn: Callable[[Block], np.ndarray], width: int,
+         densifies: bool = True) -> np.ndarray:
     """R factor (width x width) of the tall matrix whose block rows are
-    ``rows_fn(block)``, by tall-skinny QR.
+    ``rows_fn(block)``, by tall-skinny QR.  ``densifies``: rows_fn builds
+    dense d-wide rows, so sparse blocks are fed in bounded row chunks.
 
     Each partition folds its batches into one R (streaming QR).  The R
     factors are combined by a tree of ``applyInPandas`` groups whose fan-in
@@ -325,7 +327,7 @@ def tsqr(m: TallMatrix, rows_fn: Callable[[Block], np.ndarray], width: int) -> n
             if batch.num_rows == 0:
                 continue
             blk = to_block(batch, kind, d)
-            for part in blk.chunks():
+            for part in (blk.chunks() if densifies and not blk.is_dense else (blk,)):
                 b = np.asarray(rows_fn(part), dtype=np.float64)
                 r = _r_factor(b if r is None else np.vstack([r, b]))
         if r is not None:

@@ -220,7 +220,7 @@ def r_factor(m: TallMatrix, mean: np.ndarray, v: np.ndarray | None = None) -> np
             return block.to_dense() - mu
         return block.matmul(v) - shift
 
-    r = tsqr(m, rows_fn, width)
+    r = tsqr(m, rows_fn, width, densifies=v is None)
     if m.is_sparse:
         absent = m.n_rows - m.df.count()
         if absent > 0:

@@ -233,7 +233,13 @@ def em_round(prep: Prepared, c: np.ndarray, ss: float) -> dict:
     ctc = c_new.T @ c_new
     ss2 = float(np.trace(xtx @ ctc))
     cross = float(np.sum(c_new * st.ytx))                 # A7 fused: trace(C' Yc'Xc)
-    ss_new = (prep.norm2 + ss2 - 2.0 * cross) / (float(n) * float(d))   # B4: float
+    if prep.summary:
+        # norm2 - 2 cross + tr(X'X C'C) = ||A (I - W C')||^2 = ||R (I - W C')||^2:
+        # the same value without the cancellation of three large terms
+        resid = prep.r - (prep.r @ w) @ c_new.T
+        ss_new = (float(np.sum(resid * resid)) + n * ss * float(np.trace(sx @ ctc))) / (float(n) * float(d))
+    else:
+        ss_new = (prep.norm2 + ss2 - 2.0 * cross) / (float(n) * float(d))   # B4: float
     return {"c": c_new, "ss": ss_new, "w": w, "xtx": xtx, "ytx": st.ytx, "cross": cross}
 
 
