@@ -94,6 +94,24 @@ class PpcaModel:
         rows = [(j, p, float(self.components[j, p])) for j in range(d) for p in range(k)]
         return spark.createDataFrame(rows, "j int, p int, w double")
 
+    def components_matrix(self, spark: SparkSession) -> TallMatrix:
+        """M6 as a d x k dense matrix (row j = loadings of column j)."""
+        rows = [(j, [float(x) for x in self.components[j]]) for j in range(self.components.shape[0])]
+        df = spark.createDataFrame(rows, "row_id long, features array<double>")
+        return TallMatrix(df, n_cols=self.k, n_rows=len(rows))
+
+    def write_components(self, spark: SparkSession, path: str, fmt: str = "DENSE") -> None:
+        """Write the components in the chosen format."""
+        from ..sources.text import write_matrix
+        write_matrix(self.components_matrix(spark), path, fmt)
+
+    def write_projection(self, m: TallMatrix, path: str, fmt: str = "PARQUET", centered: bool = False,
+                         orthonormal: bool = False) -> None:
+        """K4: save the projected rows (Parquet or a text format)."""
+        from ..sources.text import write_matrix
+        from .rows import as_matrix
+        write_matrix(as_matrix(self.transform(m, centered, orthonormal), self.k, m.n_rows), path, fmt)
+
     def history_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(
             [(h["round"], float(h["ss"]), float(h["rel_change"]),

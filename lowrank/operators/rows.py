@@ -94,3 +94,39 @@ def as_matrix(df: DataFrame, width: int, n_rows: int, col: str = "values") -> Ta
     """Wrap a ``(row_id, <col>)`` result as a dense matrix for chaining."""
     return TallMatrix(df.select("row_id", F.col(col).alias("features")), n_cols=width,
                       n_rows=n_rows, kind=DENSE)
+
+
+# Largest d x k matrix shipped as a broadcast table (rows); above it the
+# closure-captured Arrow kernel is the only route.
+MAX_BROADCAST_CELLS = 1 << 20
+
+
+def weights_frame(spark, w: np.ndarray) -> DataFrame:
+    """A small d x k matrix as rows ``(j INT, p INT, w DOUBLE)``, zeros dropped."""
+    d, k = w.shape
+    if d * k > MAX_BROADCAST_CELLS:
+        raise ValueError(f"{d} x {k} weights exceed the broadcast bound {MAX_BROADCAST_CELLS}")
+    data = [(int(j), int(p), float(w[j, p])) for j in range(d) for p in range(k) if w[j, p] != 0.0]
+    return spark.createDataFrame(data, "j int, p int, w double")
+
+
+def project_entries(m: TallMatrix, w: np.ndarray) -> DataFrame:
+    """P5 in relational form (J3): entries joined to the broadcast weights on
+    the column index, summed per (row, component): ``(row_id, p, x)``.
+    The broadcast side is d x k rows, checked against MAX_BROADCAST_CELLS;
+    the grouping combines map-side, so a row with many entries is pre-summed
+    in every task before the shuffle."""
+    wf = F.broadcast(weights_frame(m.spark, np.asarray(w, dtype=np.float64)))
+    e = m.entries().where(F.col("v") != 0)
+    return (e.join(wf, "j")
+            .groupBy(F.col("i").alias("row_id"), "p")
+            .agg(F.sum(F.col("v") * F.col("w")).alias("x")))
+
+
+def center_entries(m: TallMatrix, mean: np.ndarray) -> DataFrame:
+    """``(i, j, v)`` with v - mean_j at the stored non-zeros only
+    (zeros stay implicit; their centred value is -mean_j)."""
+    means = m.spark.createDataFrame([(int(j), float(x)) for j, x in enumerate(mean)], "j int, m double")
+    # d rows: the model width, the same bound as the driver-side mean
+    return (m.entries().join(F.broadcast(means), "j")
+            .select("i", "j", (F.col("v") - F.col("m")).alias("v")))

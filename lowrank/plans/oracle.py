@@ -114,6 +114,16 @@ ORACLE = {
     + f"SELECT x.i AS row_id, c.j, {r8('sum(x.x * c.w)')} AS value FROM x JOIN c USING (p) GROUP BY x.i, c.j",
     "residual_rows": _with(EMB, MEAN, CENTRED, W, C, XA, REC)
     + f"SELECT a.i AS row_id, a.j, {r8('a.a - rec.r')} AS value FROM a JOIN rec ON a.i = rec.i AND a.j = rec.j",
+    "reconstruct_fixed": _with(EMB, MEAN, CENTRED, W, XA,
+                               "rw AS (SELECT xa.i, w.j, sum(xa.x * w.w) AS r FROM xa JOIN w USING (p) "
+                               "GROUP BY 1, 2)")
+    + f"SELECT i AS row_id, j, {r8('r')} AS value FROM rw",
+    "project_relational": _with(EMB, W) + f"SELECT e.i AS row_id, w.p, {r8('sum(e.v * w.w)')} AS x "
+    "FROM e JOIN w USING (j) WHERE e.v <> 0 AND w.w <> 0 GROUP BY e.i, w.p",
+    "center_entries_sparse": _with(CP, f"cm AS (SELECT j, sum(v) / {N_CP} AS mu FROM cp GROUP BY j)")
+    + f"SELECT cp.i, cp.j, {r8('cp.v - cm.mu')} AS value FROM cp JOIN cm USING (j) WHERE cp.v <> 0",
+    "col_abs_max": _with(EMB, MEAN, CENTRED)
+    + f"SELECT {r8('max(s)')} AS abs_norm FROM (SELECT j, sum(abs(a)) AS s FROM a GROUP BY j)",
     "em_stats_fixed": _with(EMB, MEAN, CENTRED, W, XA)
     + f"SELECT 'xtx' AS stat, x1.p AS r, x2.p AS c, {r8('sum(x1.x * x2.x)')} AS value "
     "FROM xa x1 JOIN xa x2 ON x1.i = x2.i GROUP BY 2, 3 UNION ALL "

@@ -139,6 +139,23 @@ def residual_rows(spark: SparkSession, sf: str) -> DataFrame:
     return _long(rows.residual_rows(m, w, c, _mean(m)), "value")
 
 
+def reconstruct_fixed(spark: SparkSession, sf: str) -> DataFrame:
+    m = datasets.embeddings_matrix(spark, sf)
+    w = fixed.fixed_matrix("w", m.n_cols)
+    return _long(rows.reconstruct(m, w, _mean(m)), "value")
+
+
+def project_relational(spark: SparkSession, sf: str) -> DataFrame:
+    m = datasets.embeddings_matrix(spark, sf)
+    w = fixed.fixed_matrix("w", m.n_cols)
+    return rows.project_entries(m, w).select("row_id", "p", rnd("x").alias("x"))
+
+
+def center_entries_sparse(spark: SparkSession, sf: str) -> DataFrame:
+    m = datasets.customer_part_matrix(spark, sf)
+    return rows.center_entries(m, _mean(m)).select("i", "j", rnd("v").alias("value"))
+
+
 # -- A6, A7, A8, A4, A9, M8 ---------------------------------------------------
 
 def _stats_long(name: str, mat: np.ndarray, spark: SparkSession) -> DataFrame:
@@ -177,6 +194,11 @@ def col_abs_norm(spark: SparkSession, sf: str) -> DataFrame:
                                                      rnd("abs_sum").alias("abs_sum"))
 
 
+def col_abs_max(spark: SparkSession, sf: str) -> DataFrame:
+    m = datasets.embeddings_matrix(spark, sf)
+    return stats.column_abs_norm(m, _mean(m)).select(rnd("abs_norm").alias("abs_norm"))
+
+
 def l1_error_fixed(spark: SparkSession, sf: str) -> DataFrame:
     m = datasets.embeddings_matrix(spark, sf)
     w = fixed.fixed_matrix("w", m.n_cols)
@@ -278,6 +300,14 @@ def sparse_ppca_fit(spark: SparkSession, sf: str) -> DataFrame:
     return model.components_df(spark)
 
 
+def ppca_trials(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.trials import run_trials
+    m = datasets.embeddings_matrix(spark, sf)
+    _, runs, _ = run_trials(m, FIT_K, trials=2, seeds=[7, 8], dataset="embeddings", max_iter=2,
+                            target_error=0.0)
+    return runs.select("dataset", "n_rows", "n_cols", "seed", "n_iter", F.size("errors").alias("n_errors"))
+
+
 QUERIES = {
     "col_mean_dense": col_mean_dense,
     "col_mean_sparse": col_mean_sparse,
@@ -295,6 +325,10 @@ QUERIES = {
     "project_fixed": project_fixed,
     "back_project": back_project,
     "residual_rows": residual_rows,
+    "reconstruct_fixed": reconstruct_fixed,
+    "project_relational": project_relational,
+    "center_entries_sparse": center_entries_sparse,
+    "col_abs_max": col_abs_max,
     "em_stats_fixed": em_stats_fixed,
     "cross_term_fixed": cross_term_fixed,
     "qta_fixed": qta_fixed,
@@ -311,4 +345,5 @@ QUERIES = {
     "ppca_project": ppca_project,
     "spectral_error": spectral_error,
     "sparse_ppca_fit": sparse_ppca_fit,
+    "ppca_trials": ppca_trials,
 }

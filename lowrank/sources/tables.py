@@ -130,3 +130,19 @@ def dense_from_sparse(m: TallMatrix) -> TallMatrix:
                         lambda j: F.coalesce(F.element_at(pos, j), F.lit(0.0)))
     return TallMatrix(m.df.select("row_id", feats.alias("features")),
                       n_cols=d, n_rows=m.n_rows, kind=DENSE)
+
+
+def matrix_from_parquet(spark: SparkSession, path: str, n_cols: int | None = None,
+                        n_rows: int | None = None) -> TallMatrix:
+    """S3: a row table written by this library (dense ``features`` or
+    sparse ``indices``/``values``), read back as a matrix."""
+    df = spark.read.parquet(path)
+    if "features" in df.columns:
+        return matrix_from_array(df, "features", "row_id", n_cols=n_cols, n_rows=n_rows)
+    rows = df.select(F.col("row_id").cast("long"), F.col("indices").cast("array<int>"),
+                     F.col("values").cast("array<double>"))
+    if n_rows is None or n_cols is None:
+        shape = rows.agg(F.max("row_id").alias("i"), F.max(F.array_max("indices")).alias("j")).first()
+        n_rows = n_rows if n_rows is not None else int(shape["i"] or -1) + 1
+        n_cols = n_cols if n_cols is not None else int(shape["j"] or -1) + 1
+    return TallMatrix(rows, n_cols=n_cols, n_rows=n_rows, kind=SPARSE)

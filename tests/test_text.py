@@ -94,3 +94,23 @@ def test_convert_to_parquet(spark, tmp_path):
     assert m.n_rows == 2 and m.df.count() == 2
     sp = sparse_from_dense(m)
     assert sorted(len(r.indices) for r in sp.df.collect()) == [1, 2]
+
+
+def test_components_written_and_read_back(spark, tmp_path):
+    from lowrank.operators import ppca
+    from lowrank.sources.tables import matrix_from_parquet
+    from conftest import SF001
+    from lowrank.sources import datasets
+    m = datasets.embeddings_matrix(spark, SF001)
+    model = ppca.ppca_fit(m, 2, max_iter=1, error_metric="none", seed=1)
+    model.write_components(spark, str(tmp_path / "pcs"), "DENSE")
+    back = text.read_dense_text(spark, str(tmp_path / "pcs"))
+    got = np.array(sorted(tuple(v) for v in back.df.toPandas().features))
+    assert np.allclose(got, np.array(sorted(tuple(r) for r in model.components)), atol=0)
+    model.write_projection(m, str(tmp_path / "proj"))
+    pm = matrix_from_parquet(spark, str(tmp_path / "proj"))
+    assert pm.n_cols == 2 and pm.df.count() == 500
+    sp = sparse_from_dense(m)
+    sp.df.write.parquet(str(tmp_path / "sp"))
+    rs = matrix_from_parquet(spark, str(tmp_path / "sp"))
+    assert rs.is_sparse and rs.n_rows == 500 and rs.n_cols == 64
