@@ -341,8 +341,11 @@ def tsqr(m: TallMatrix, rows_fn: Callable[[Block], np.ndarray], width: int,
                              "r": np.arange(width, dtype=np.int32), "vals": list(r)})
 
     fan_in = max(2, TSQR_GROUP_BYTES // max(1, width * width * 8))
+    from ..session import num_partitions
     level = m.df.select(*_input_columns(m)).mapInArrow(run, schema)
-    n = m.df.rdd.getNumPartitions()
+    n = num_partitions(m.df)
+    if n is None:
+        n = fan_in + 1          # unknown: one combining level at least
     while n > fan_in:
         level = (level.withColumn("gid", F.floor(F.col("pid") / fan_in))
                  .groupBy("gid").applyInPandas(combine, schema))

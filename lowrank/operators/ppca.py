@@ -132,12 +132,21 @@ def clamp_rank(k: int, d: int, oversample: int) -> tuple[int, int]:
     return k, max(1, oversample)
 
 
-def use_summary(strategy: str, d: int) -> bool:
+# 'auto' takes the R-factor route up to this width even without a spectral
+# error: its one TSQR pass costs about 2 N d^2 flops, a few EM rounds' worth.
+SUMMARY_MAX_COLS = 512
+
+
+def use_summary(strategy: str, d: int, spectral: bool = False) -> bool:
+    """'auto': R-factor route when d is small, or when the spectral error
+    needs the R factor anyway (d <= MAX_GRAM_COLS); else a pass per round."""
     if strategy not in ("auto", "summary", "passes"):
         raise ValueError("strategy must be 'auto', 'summary' or 'passes'")
     if strategy == "summary" and d > MAX_GRAM_COLS:
         raise ValueError(f"the summary strategy holds d x d; d = {d} exceeds {MAX_GRAM_COLS}")
-    return strategy == "summary" or (strategy == "auto" and d <= MAX_GRAM_COLS)
+    if strategy != "auto":
+        return strategy == "summary"
+    return d <= SUMMARY_MAX_COLS or (spectral and d <= MAX_GRAM_COLS)
 
 
 def prepare(m: TallMatrix, need_spectrum: bool = True, k: int | None = None,
@@ -154,7 +163,7 @@ def prepare(m: TallMatrix, need_spectrum: bool = True, k: int | None = None,
     or power iteration gives sigma_{k+1}, outside the preprocessing time
     (B18)."""
     t0 = time.time()
-    summary = use_summary(strategy, m.n_cols)
+    summary = use_summary(strategy, m.n_cols, need_spectrum)
     if not (summary and not has_exchange(m.df) and cut_lineage is None):
         m = m.with_df(materialize(m.df, cut_lineage))
     mean, norm2, n = column_summary(m)
@@ -371,8 +380,9 @@ def ppca_fit(m: TallMatrix, k: int, max_iter: int = DEFAULT_MAX_ITER,
              strategy: str = "auto") -> PpcaModel:
     """Fit probabilistic PCA with k components to the rows of ``m``.
 
-    ``strategy='auto'`` works on the R factor (two passes in all) when
-    d <= MAX_GRAM_COLS, else reads the pinned rows once per round."""
+    ``strategy='summary'`` works on the R factor (two passes in all),
+    ``'passes'`` reads the pinned rows once per round, ``'auto'`` picks
+    (see ``use_summary``)."""
     k, _ = clamp_rank(k, m.n_cols, oversample)
     prep = prepare(m, need_spectrum=(error_metric == "spectral"), k=k, rcond=rcond,
                    cut_lineage=cut_lineage, strategy=strategy)

@@ -53,7 +53,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def _plan(df: DataFrame) -> str:
-    return df._jdf.queryExecution().executedPlan().toString()
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    except Exception:  # pragma: no cover - sessions without a JVM handle
+        return "Exchange (unknown plan)"
+
+
+def num_partitions(df: DataFrame) -> int | None:
+    """Partitions of the plan's RDD (planning only, no job); None when the
+    session does not expose RDDs."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:  # pragma: no cover
+        return None
 
 
 def has_exchange(df: DataFrame) -> bool:
@@ -78,9 +90,12 @@ def spread(df: DataFrame) -> DataFrame:
     files) is spread round-robin once before an iterative job reads it many
     times.  With as many partitions as slots, as on a large cluster reading
     many files, nothing changes and no shuffle is added."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    parts = df.rdd.getNumPartitions()
-    if parts >= slots:
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+    except Exception:  # pragma: no cover
+        return df
+    parts = num_partitions(df)
+    if parts is None or parts >= slots:
         return df
     want = min(slots, max(1, plan_size_bytes(df) // MIN_BYTES_PER_TASK))
     return df.repartition(int(want)) if want > parts else df
