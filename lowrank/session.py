@@ -41,11 +41,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     On a cluster ``spark.checkpoint.dir`` points at shared storage and is
-    used as is.  Only when it is unset (local tests) a scratch folder is
-    created and registered.
+    used as is; a cluster without it is an error.  Only a local session
+    with the setting unset (tests) gets a scratch folder.
     """
     conf = spark.conf.get(CHECKPOINT_CONF, None)
     if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder every executor can reach")
         conf = tempfile.mkdtemp(prefix="lowrank-ckpt-")
         spark.conf.set(CHECKPOINT_CONF, conf)
     spark.sparkContext.setCheckpointDir(conf)

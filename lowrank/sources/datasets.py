@@ -46,5 +46,6 @@ def customer_part_shape(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
 
 def customer_part_matrix(spark: SparkSession, sf_dir: str) -> TallMatrix:
     n, d = customer_part_shape(spark, sf_dir)
+    # entries come out of a grouping on (i, j): one per cell
     return matrix_from_entries(customer_part_entries(spark, sf_dir), n_rows=n, n_cols=d,
-                               duplicates="sum")
+                               duplicates="unique")

@@ -83,16 +83,21 @@ def matrix_from_entries(entries: DataFrame, n_rows: int | None = None, n_cols: i
     """Sparse row matrix from zero-based ``(i, j, v)`` entries.
 
     Duplicated ``(i, j)`` pairs are summed (``duplicates='sum'``) or make the
-    build fail (``'error'``, the default).  The first grouping shuffles on
+    build fail (``'error'``, the default); ``'unique'`` skips the cell
+    grouping for entries that are already one per cell.  The first grouping shuffles on
     ``(i, j)``, so one hot row is spread over many tasks and its entries are
     combined map-side; the second grouping collects at most ``n_cols``
     entries per row, a bound set by the model width, not by the data.
     """
-    if duplicates not in ("error", "sum"):
-        raise ValueError("duplicates must be 'error' or 'sum'")
-    cells = (keep_entries(entries, n_cols)
-             .groupBy("i", "j")
-             .agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("dup")))
+    if duplicates not in ("error", "sum", "unique"):
+        raise ValueError("duplicates must be 'error', 'sum' or 'unique'")
+    if duplicates == "unique":
+        # the caller guarantees one entry per cell (e.g. a grouping on (i, j))
+        cells = keep_entries(entries, n_cols).withColumn("dup", F.lit(1))
+    else:
+        cells = (keep_entries(entries, n_cols)
+                 .groupBy("i", "j")
+                 .agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("dup")))
     rows = (cells.where(F.col("v") != 0)
             .groupBy("i")
             .agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("e"),
