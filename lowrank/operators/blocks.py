@@ -239,6 +239,14 @@ class arrow_batch_rows:
         return False
 
 
+def collect_arrow(df: DataFrame) -> pa.Table:
+    """Collect a small (model-sized) result as an Arrow table."""
+    try:
+        return df.toArrow()
+    except AttributeError:  # pragma: no cover - older PySpark
+        return pa.Table.from_pandas(df.toPandas(), preserve_index=False)
+
+
 def partial_sums(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarray]],
                  shapes: dict[str, tuple[int, ...]], width: int = BLOCK_WIDTH) -> dict[str, np.ndarray]:
     """Run ``kernel`` over every row block and return the summed results.
@@ -252,12 +260,20 @@ def partial_sums(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarray]]
     out = {name: np.zeros(as2d(shape)) for name, shape in shapes.items()}
     width = min(width, max(mat.shape[1] for mat in out.values()))
     with arrow_batch_rows(m.spark, batch_rows(m.n_cols)):
-        collected = partial_sums_df(m, kernel, width).collect()
-    for row in collected:
-        mat = out[row["stat"]]
-        lo = row["cb"] * width
-        hi = min(lo + width, mat.shape[1])
-        mat[row["r"], lo:hi] = [row[f"c{t}"] for t in range(hi - lo)]
+        tbl = collect_arrow(partial_sums_df(m, kernel, width))
+    stat = np.asarray(tbl.column("stat").to_pylist(), dtype=object)
+    r_idx = tbl.column("r").to_numpy()
+    cb = tbl.column("cb").to_numpy()
+    vals = np.column_stack([tbl.column(f"c{t}").to_numpy() for t in range(width)]) if len(stat) else None
+    for name, mat in out.items():
+        sel = stat == name
+        if not sel.any():
+            continue
+        rows_, base = r_idx[sel], cb[sel] * width
+        for t in range(width):
+            col = base + t
+            ok = col < mat.shape[1]
+            mat[rows_[ok], col[ok]] = vals[sel, t][ok]
     return {name: (float(out[name][0, 0]) if len(shape) == 0 else out[name].reshape(shape))
             for name, shape in shapes.items()}
 

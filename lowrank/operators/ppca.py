@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..matrix import TallMatrix
-from ..session import has_exchange, materialize
+from ..session import has_exchange, materialize, release
 from .blocks import Block, partial_sums
 from .linalg import (MAX_GRAM_COLS, canonical_signs, cross_stats, cross_stats_from_r, orthonormal_basis,
                      r_factor,
@@ -390,7 +390,7 @@ def ppca_fit(m: TallMatrix, k: int, max_iter: int = DEFAULT_MAX_ITER,
         return fit_prepared(prep, k, max_iter, oversample, init, error_metric, seed, tol,
                             target_error, rcond, sample_rate, dataset)
     finally:
-        prep.matrix.df.unpersist()
+        release(prep.matrix.df)
 
 
 def exact_pca(m: TallMatrix, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -47,14 +47,15 @@ def frobenius_sq(m: TallMatrix) -> DataFrame:
 def column_summary(m: TallMatrix) -> tuple[np.ndarray, float, int]:
     """Preprocessing pass: column mean (d values), centred norm and row
     count in one job; d rows reach the driver."""
+    from .blocks import collect_arrow
+    tbl = collect_arrow(column_stats(m).select("j", "mean", "m2", "n"))
+    j = tbl.column("j").to_numpy()
+    if j.size and j.max() >= m.n_cols:
+        raise ValueError(f"row wider than {m.n_cols} columns")
     mean = np.zeros(m.n_cols)
-    norm2, n = 0.0, 0
-    for row in column_stats(m).collect():
-        if row["j"] >= m.n_cols:
-            raise ValueError(f"row wider than {m.n_cols} columns")
-        mean[row["j"]] = row["mean"]
-        norm2 += row["m2"]
-        n = max(n, int(row["n"]))
+    mean[j] = tbl.column("mean").to_numpy()
+    norm2 = float(np.sum(tbl.column("m2").to_numpy()))
+    n = int(tbl.column("n").to_numpy().max()) if j.size else 0
     if m.n_rows is not None:
         n = m.n_rows
     return mean, norm2, n

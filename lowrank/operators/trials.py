@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..matrix import TallMatrix
+from ..session import release
 from .ppca import RunStat, fit_prepared, prepare
 
 RUN_LOG_SCHEMA = ("app string, dataset string, n_rows long, n_cols int, seed long, n_iter int, "
@@ -56,7 +57,7 @@ def run_trials(m: TallMatrix, k: int, trials: int = 1, seeds: list[int] | None =
         for seed in seeds:
             models.append(fit_prepared(prep, k, seed=seed, dataset=dataset, **fit_options))
     finally:
-        prep.matrix.df.unpersist()
+        release(prep.matrix.df)
     runs = runs_frame(spark, [mdl.stat for mdl in models])
     if run_log:
         append_run_log(runs, run_log)

@@ -19,6 +19,7 @@ from ..operators import linalg, ppca, rows, stats
 from ..sources import datasets
 from ..sources.tables import keep_entries, load_table
 from ..sources.text import parse_coo_lines
+from ..session import release
 from . import fixed
 
 SAMPLE_RATE = 0.3
@@ -248,7 +249,7 @@ def em_k1_3rounds(spark: SparkSession, sf: str) -> DataFrame:
         step = ppca.em_round(prep, c, ss)
         c, ss = step["c"], step["ss"]
         out.append((r + 1, float(ss), float(np.linalg.norm(c))))
-    prep.matrix.df.unpersist()
+    release(prep.matrix.df)
     return spark.createDataFrame(out, "round int, ss double, c_norm double").select(
         "round", rnd("ss", 10).alias("ss"), rnd("c_norm", 10).alias("c_norm"))
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -108,14 +109,36 @@ def materialize(df: DataFrame, cut_lineage: bool | None = None) -> DataFrame:
 
     A plan that is a plain scan (plus row-local expressions) is persisted
     with MEMORY_AND_DISK: losing an executor only re-reads its splits.
-    A plan with shuffles upstream (joins, grouping) is written once to the
-    shared checkpoint folder, so a lost executor never forces the shuffle
-    to be redone.  ``localCheckpoint`` is never used.
+    A plan with shuffles upstream (joins, grouping) is written once as a
+    Parquet table under the shared ``spark.checkpoint.dir`` and read back,
+    so a lost executor never forces the shuffles to be redone and every
+    later pass is a columnar scan.  ``localCheckpoint`` is never used.
     """
     df = spread(df)
     if cut_lineage is None:
         cut_lineage = has_exchange(df) and "RoundRobinPartitioning" not in _plan(df)
     if cut_lineage:
-        ensure_checkpoint_dir(df.sparkSession)
-        return df.checkpoint(eager=True)
+        spark = df.sparkSession
+        path = os.path.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
+        df.write.parquet(path)
+        out = spark.read.parquet(path)
+        _WRITTEN[id(out)] = path
+        return out
     return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def release(df: DataFrame) -> None:
+    """Undo ``materialize``: unpersist, or delete the written table."""
+    path = _WRITTEN.pop(id(df), None)
+    if path is None:
+        df.unpersist()
+        return
+    try:
+        jvm = df.sparkSession._jvm
+        hpath = jvm.org.apache.hadoop.fs.Path(path)
+        hpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hpath, True)
+    except Exception:  # pragma: no cover - leave it to the folder's retention
+        pass
+
+
+_WRITTEN: dict[int, str] = {}
