@@ -160,6 +160,26 @@ def _input_columns(m: TallMatrix) -> list[str]:
     return ["row_id", "features"] if not m.is_sparse else ["row_id", "indices", "values"]
 
 
+# Kernel tasks per task slot when the input has more partitions than that.
+TASKS_PER_SLOT = 2
+
+
+def kernel_input(m: TallMatrix) -> DataFrame:
+    """The rows a summing kernel reads, with at most TASKS_PER_SLOT tasks per
+    slot: each task emits one d x q partial (or one R factor), so the
+    shuffled partials scale with the cluster, not with the number of input
+    splits.  ``coalesce`` merges splits inside a task without a shuffle."""
+    from ..session import num_partitions
+    df = m.df.select(*_input_columns(m))
+    try:
+        slots = m.spark.sparkContext.defaultParallelism
+    except Exception:  # pragma: no cover
+        return df
+    n = num_partitions(df)
+    target = TASKS_PER_SLOT * slots
+    return df.coalesce(target) if n is not None and n > target else df
+
+
 def partial_schema(width: int = BLOCK_WIDTH) -> T.StructType:
     fields = [T.StructField("stat", T.StringType(), False),
               T.StructField("r", T.IntegerType(), False),
@@ -209,7 +229,7 @@ def partial_sums_df(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarra
         if acc:
             yield _emit(acc, width)
 
-    parts = m.df.select(*_input_columns(m)).mapInArrow(run, partial_schema(width))
+    parts = kernel_input(m).mapInArrow(run, partial_schema(width))
     return (parts.groupBy("stat", "r", "cb")
             .agg(*[F.sum(f"c{t}").alias(f"c{t}") for t in range(width)]))
 
@@ -358,8 +378,9 @@ def tsqr(m: TallMatrix, rows_fn: Callable[[Block], np.ndarray], width: int,
 
     fan_in = max(2, TSQR_GROUP_BYTES // max(1, width * width * 8))
     from ..session import num_partitions
-    level = m.df.select(*_input_columns(m)).mapInArrow(run, schema)
-    n = num_partitions(m.df)
+    source = kernel_input(m)
+    level = source.mapInArrow(run, schema)
+    n = num_partitions(source)
     if n is None:
         n = fan_in + 1          # unknown: one combining level at least
     while n > fan_in:
@@ -372,3 +393,74 @@ def tsqr(m: TallMatrix, rows_fn: Callable[[Block], np.ndarray], width: int,
         return np.zeros((width, width))
     rows.sort(key=lambda r: (r["pid"], r["r"]))
     return _r_factor(np.array([r["vals"] for r in rows], dtype=np.float64))
+
+
+def sums_and_r(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarray]],
+               shapes: dict[str, tuple[int, ...]], rows_fn: Callable[[Block], np.ndarray],
+               width: int) -> tuple[dict[str, np.ndarray], np.ndarray] | None:
+    """One pass for both ``partial_sums(kernel)`` and ``tsqr(rows_fn)``.
+
+    Each task emits its partial sums under key -1 and its R factor rows
+    under its own task id; one grouped sum merges the former and passes the
+    latter through.  Returns None when the task R factors would exceed
+    TSQR_GROUP_BYTES on the driver (the caller then runs the two-pass
+    form with the combining tree)."""
+    from pyspark import TaskContext
+
+    from ..session import num_partitions
+    source = kernel_input(m)
+    n_tasks = num_partitions(source)
+    if n_tasks is None or n_tasks * width * width * 8 > TSQR_GROUP_BYTES:
+        return None
+    kind, d = m.kind, m.n_cols
+    cols = min(BLOCK_WIDTH, max([width] + [s[-1] if s else 1 for s in shapes.values()]))
+    schema = T.StructType([T.StructField("pid", T.LongType(), False)] + partial_schema(cols).fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc: dict[str, np.ndarray] = {}
+        r = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            blk = to_block(batch, kind, d)
+            for name, val in kernel(blk).items():
+                val = np.asarray(val, dtype=np.float64)
+                acc[name] = acc[name] + val if name in acc else val.copy()
+            b = np.asarray(rows_fn(blk), dtype=np.float64)
+            r = _r_factor(b if r is None else np.vstack([r, b]))
+        if not acc:
+            return
+        pid = TaskContext.get().partitionId()
+        out = [_emit(acc, cols), _emit({"__r": r}, cols)]
+        for rb, key in zip(out, (-1, pid)):
+            keys = pa.array(np.full(rb.num_rows, key, dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([keys] + rb.columns,
+                                             schema=pa.schema([("pid", pa.int64(), False)] + list(rb.schema)))
+
+    merged = (source.mapInArrow(run, schema)
+              .groupBy("pid", "stat", "r", "cb")
+              .agg(*[F.sum(f"c{t}").alias(f"c{t}") for t in range(cols)]))
+    with arrow_batch_rows(m.spark, batch_rows(d)):
+        tbl = collect_arrow(merged)
+    pid = tbl.column("pid").to_numpy()
+    stat = np.asarray(tbl.column("stat").to_pylist(), dtype=object)
+    r_idx, cb = tbl.column("r").to_numpy(), tbl.column("cb").to_numpy()
+    vals = np.column_stack([tbl.column(f"c{t}").to_numpy() for t in range(cols)]) if len(pid) else None
+
+    def place(sel, rows, ncols):
+        mat = np.zeros((rows, ncols))
+        rr, base = r_idx[sel], cb[sel] * cols
+        for t in range(cols):
+            c = base + t
+            ok = c < ncols
+            mat[rr[ok], c[ok]] = vals[sel, t][ok]
+        return mat
+
+    sums = {}
+    for name, shape in shapes.items():
+        two = (1, 1) if len(shape) == 0 else (1, shape[0]) if len(shape) == 1 else shape
+        mat = place((pid == -1) & (stat == name), *two)
+        sums[name] = float(mat[0, 0]) if len(shape) == 0 else mat.reshape(shape)
+    stacks = [place((pid == p) & (stat == "__r"), width, width) for p in np.unique(pid[pid >= 0])]
+    r = _r_factor(np.vstack(stacks)) if stacks else np.zeros((width, width))
+    return sums, r

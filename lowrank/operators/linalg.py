@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import TallMatrix
-from .blocks import BLOCK_WIDTH, Block, partial_sums, partial_sums_df, tsqr
+from .blocks import BLOCK_WIDTH, Block, partial_sums, partial_sums_df, sums_and_r, tsqr
 
 # Exact-spectrum route (d x d R factor or Gram) when d is at most this;
 # otherwise power iteration.
@@ -251,6 +251,37 @@ class SketchResult:
     rank: int
 
 
+def _sketch_pass(m: TallMatrix, omega: np.ndarray, mean: np.ndarray):
+    """L1 + L2 + A8 in one pass: R of B = A Omega and B'A together."""
+    d, q = omega.shape
+    mu = np.asarray(mean, dtype=np.float64)
+    shift = mu @ omega
+    dense = not m.is_sparse
+
+    def kernel(block: Block):
+        if dense:
+            a = block.dense - mu
+            x = a @ omega
+            return {"sx": x.sum(axis=0), "syx": a.T @ x}
+        x = block.matmul(omega)
+        return {"sx": x.sum(axis=0), "syx": block.t_matmul(x)}
+
+    def rows_fn(block: Block):
+        return (block.dense - mu) @ omega if dense else block.matmul(omega) - shift
+
+    out = sums_and_r(m, kernel, {"sx": (q,), "syx": (d, q)}, rows_fn, q)
+    if out is None:
+        return None
+    sums, r = out
+    off = mu if m.is_sparse else np.zeros_like(mu)
+    ytx = sums["syx"] - np.outer(off, sums["sx"])      # A'(B - 1 bm'), as in cross_stats
+    if m.is_sparse:
+        absent = m.n_rows - m.df.count()
+        if absent > 0:
+            r = np.linalg.qr(np.vstack([r, -np.sqrt(float(absent)) * shift[None, :]]), mode="r")
+    return r, ytx.T
+
+
 def sketch_svd(m: TallMatrix, width: int, mean: np.ndarray, seed: int,
                rcond: float = 1e-5, method: str = "tsqr", r_summary: np.ndarray | None = None) -> SketchResult:
     """Randomised SVD of the centred matrix A.
@@ -260,7 +291,8 @@ def sketch_svd(m: TallMatrix, width: int, mean: np.ndarray, seed: int,
     S > rcond * S_max (rank-revealing, B7) and T = V S^-1, so Q = B T has
     orthonormal columns; pass 2 sums B'A (A8) and Q'A = T' B'A.
     ``cholesky`` takes R from B'B in the same single pass as B'A (half the
-    passes, but the conditioning of B is squared).  ``summary`` uses the R
+    passes, but the conditioning of B is squared).  The TSQR pass and the
+    B'A pass are one job when the task R factors fit the driver bound.  ``summary`` uses the R
     factor of A (``r_summary``) and needs no pass: B = Q_A (R Omega), so
     with R Omega = Q2 R2 the sketch basis is Q_A Q2 and Q'A = Q2' R.  The
     SVD of the small Q'A gives the approximate right singular vectors (L4).
@@ -271,10 +303,14 @@ def sketch_svd(m: TallMatrix, width: int, mean: np.ndarray, seed: int,
     if method == "summary":
         return sketch_from_omega(r_summary, omega, rcond)
     if method == "tsqr":
-        r = r_factor(m, mean, omega)
+        fused = _sketch_pass(m, omega, mean)
+        if fused is None:                              # many task R factors: two passes + tree
+            r = r_factor(m, mean, omega)
+            bta = cross_stats(m, omega, mean).ytx.T
+        else:
+            r, bta = fused
         _, sb, vt = np.linalg.svd(r)
         vv = vt.T
-        bta = cross_stats(m, omega, mean).ytx.T
     elif method == "cholesky":
         st = cross_stats(m, omega, mean)
         btb, bta = st.xtx, st.ytx.T

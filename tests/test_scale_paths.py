@@ -38,3 +38,34 @@ def test_partial_sums_split_wide_results_into_blocks(spark):
     a = y - y.mean(axis=0)
     assert np.allclose(st.ytx, a.T @ (a @ v), rtol=1e-9, atol=1e-9)
     assert np.allclose(st.xtx, (a @ v).T @ (a @ v), rtol=1e-9, atol=1e-9)
+
+
+def test_kernel_input_coalesces_many_splits(spark):
+    m = datasets.embeddings_matrix(spark, SF001)
+    many = m.with_df(m.df.repartition(64))
+    slots = spark.sparkContext.defaultParallelism
+    assert blocks.kernel_input(many).rdd.getNumPartitions() == blocks.TASKS_PER_SLOT * slots
+    mean, _ = stats.mean_and_norm(m)
+    v = np.eye(64)[:, :3]
+    a, b = linalg.cross_stats(m, v, mean), linalg.cross_stats(many, v, mean)
+    assert np.allclose(a.ytx, b.ytx, rtol=1e-10, atol=1e-12)
+
+
+def test_sparse_sketch_counts_absent_rows(spark, sample_np):
+    """One-pass sketch on sparse rows with an absent all-zero row equals the
+    sketch of the dense matrix that stores the zero row."""
+    from lowrank.sources.tables import matrix_from_array, sparse_from_dense
+    y = np.vstack([sample_np, np.zeros((1, 5))])
+    dense = matrix_from_array(spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(y)],
+                                                    "id long, f array<double>").repartition(3), "f", "id")
+    sparse = sparse_from_dense(dense)
+    sparse = sparse.with_df(sparse.df.where("size(indices) > 0"))           # row 7 is absent
+    assert sparse.df.count() == 7 and sparse.n_rows == 8
+    mean_d, _ = stats.mean_and_norm(dense)
+    mean_s, _ = stats.mean_and_norm(sparse)
+    assert np.allclose(mean_d, mean_s)
+    a = linalg.sketch_svd(dense, 5, mean_d, 4)
+    b = linalg.sketch_svd(sparse, 5, mean_s, 4)
+    exact = np.linalg.svd(y - y.mean(axis=0), compute_uv=False)
+    assert np.allclose(a.s[:a.rank], exact[:a.rank], rtol=1e-9)
+    assert np.allclose(b.s, a.s, rtol=1e-9, atol=1e-12)
