@@ -125,13 +125,6 @@ def gram_apply(m: TallMatrix, v: np.ndarray, mean: np.ndarray) -> np.ndarray:
     return cross_stats(m, v, mean).ytx
 
 
-def top_eigen(g: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Largest ``k`` eigenpairs of a symmetric matrix, descending."""
-    w, u = np.linalg.eigh((g + g.T) / 2)
-    order = np.argsort(w)[::-1][:k]
-    return np.clip(w[order], 0.0, None), u[:, order]
-
-
 def singular_values_from_gram(g: np.ndarray, rcond: float = 1e-5) -> np.ndarray:
     """Singular values of A from A'A, dropping those below rcond * s_max
     (as an rcond-truncated SVD would)."""

@@ -400,9 +400,3 @@ def exact_pca(m: TallMatrix, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray
     _, s, vt = np.linalg.svd(r_factor(m, mean))
     return mean, s[:k], canonical_signs(vt[:k].T)
 
-
-def explained_rows(model: PpcaModel, spark: SparkSession) -> DataFrame:
-    """Fit summary as a one-row DataFrame."""
-    return spark.createDataFrame([(model.k, float(model.ss), model.stat.n_iter)],
-                                 "k int, ss double, n_iter int").select(
-        "k", "ss", F.col("n_iter").alias("rounds"))
