@@ -114,3 +114,28 @@ def test_components_written_and_read_back(spark, tmp_path):
     sp.df.write.parquet(str(tmp_path / "sp"))
     rs = matrix_from_parquet(spark, str(tmp_path / "sp"))
     assert rs.is_sparse and rs.n_rows == 500 and rs.n_cols == 64
+
+
+def test_path_level_job(spark, tmp_path):
+    from lowrank.plans.job import run_job
+    src = str(tmp_path / "mat")
+    _write(src, "m.txt", "0 1 0 1 0\n1 1 0 1 0\n0 0 1 1 0\n1 0 1 1 0\n0 1 0 1 0\n1 1 0 1 0\n0 0 1 1 0\n")
+    out = str(tmp_path / "job")
+    models, summary = run_job(spark, src, out, k=2, input_format="DENSE", output_format="LIL", trials=2,
+                              seeds=[1, 2], compute_projected=True, max_iter=2)
+    assert len(models) == 2
+    row = summary.first()
+    assert row["n_runs"] == 2
+    pcs = spark.read.text(os.path.join(out, "components")).collect()
+    assert len(pcs) == 5 and all(r.value.startswith("{") for r in pcs)
+    assert spark.read.json(os.path.join(out, "runs")).count() == 2
+    assert spark.read.parquet(os.path.join(out, "projected")).count() == 7
+
+
+def test_ml_vector_input(spark):
+    from pyspark.ml.linalg import Vectors
+    from lowrank.sources.tables import matrix_from_vectors
+    df = spark.createDataFrame([(0, Vectors.dense([1.0, 2.0])), (1, Vectors.sparse(2, [1], [3.0]))], ["id", "v"])
+    m = matrix_from_vectors(df, "v", "id")
+    assert m.n_cols == 2
+    assert sorted(tuple(r.features) for r in m.df.collect()) == [(0.0, 3.0), (1.0, 2.0)]
