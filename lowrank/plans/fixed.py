@@ -7,6 +7,7 @@ Fixed values:
   W(j, p)     = ((7 j + 3 p) mod 11 - 5) / 10      j < d, p < 3
   C(j, p)     = ((5 j + 2 p) mod 7 - 3) / 8        j < d, p < 3
   Omega(j, p) = ((3 j + 5 p) mod 13 - 6) / 16      j < d, p < 4
+  EM starts: k = 1: c_j = 1 / (j + 1); k = 2: c_jp = 1 / (j + 1 + 2 p); ss = 1
 """
 
 from __future__ import annotations
@@ -41,3 +42,10 @@ def fixed_sql(name: str, dims: str) -> str:
 def first_column_init(d: int) -> np.ndarray:
     """Start of the k = 1 EM check: c_j = 1 / (j + 1)."""
     return (1.0 / (np.arange(d) + 1.0))[:, None]
+
+
+def two_column_init(d: int) -> np.ndarray:
+    """Start of the k = 2 EM check: c_jp = 1 / (j + 1 + 2 p)."""
+    j = np.arange(d)[:, None]
+    p = np.arange(2)[None, :]
+    return 1.0 / (j + 1.0 + 2.0 * p)

@@ -73,6 +73,46 @@ def _em_k1_sql(rounds: int = 3) -> str:
     return _with(*ctes) + "\nUNION ALL\n".join(outs)
 
 
+def _em_k2_sql(rounds: int = 3) -> str:
+    """Three EM rounds with k = 2; 2 x 2 inverses written out."""
+    ctes = [EMB, MEAN, CENTRED,
+            "n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM embeddings)",
+            "dd AS (SELECT CAST(count(*) AS DOUBLE) AS d FROM m)",
+            "nrm AS (SELECT sum(a * a) AS norm2 FROM a)",
+            "c0 AS (SELECT j, 1.0 / (j + 1.0) AS c0, 1.0 / (j + 3.0) AS c1, 0.0 AS y0, 0.0 AS y1 FROM m)",
+            "s0 AS (SELECT CAST(1.0 AS DOUBLE) AS ss)"]
+    outs = []
+    for r in range(1, rounds + 1):
+        p = r - 1
+        ctes += [
+            # M = C'C + ss I, Sx = M^-1 (symmetric)
+            f"mm{r} AS (SELECT sum(c0 * c0) + (SELECT ss FROM s{p}) AS a00, sum(c0 * c1) AS a01, "
+            f"sum(c1 * c1) + (SELECT ss FROM s{p}) AS a11 FROM c{p})",
+            f"sx{r} AS (SELECT a11 / (a00 * a11 - a01 * a01) AS s00, -a01 / (a00 * a11 - a01 * a01) AS s01, "
+            f"a00 / (a00 * a11 - a01 * a01) AS s11 FROM mm{r})",
+            # W = C Sx'
+            f"w{r} AS (SELECT j, c0 * s00 + c1 * s01 AS w0, c0 * s01 + c1 * s11 AS w1 FROM c{p}, sx{r})",
+            f"x{r} AS (SELECT a.i, sum(a.a * w{r}.w0) AS x0, sum(a.a * w{r}.w1) AS x1 "
+            f"FROM a JOIN w{r} USING (j) GROUP BY a.i)",
+            # X'X + N ss Sx and its inverse
+            f"t{r} AS (SELECT sum(x0 * x0) + (SELECT n FROM n) * (SELECT ss FROM s{p}) * (SELECT s00 FROM sx{r}) AS t00, "
+            f"sum(x0 * x1) + (SELECT n FROM n) * (SELECT ss FROM s{p}) * (SELECT s01 FROM sx{r}) AS t01, "
+            f"sum(x1 * x1) + (SELECT n FROM n) * (SELECT ss FROM s{p}) * (SELECT s11 FROM sx{r}) AS t11 FROM x{r})",
+            f"y{r} AS (SELECT a.j, sum(a.a * x{r}.x0) AS y0, sum(a.a * x{r}.x1) AS y1 "
+            f"FROM a JOIN x{r} USING (i) GROUP BY a.j)",
+            # C = Y'X (X'X)^-1
+            f"c{r} AS (SELECT j, (y0 * t11 - y1 * t01) / (t00 * t11 - t01 * t01) AS c0, "
+            f"(y1 * t00 - y0 * t01) / (t00 * t11 - t01 * t01) AS c1, y0, y1 FROM y{r}, t{r})",
+            f"s{r} AS (SELECT ((SELECT norm2 FROM nrm) "
+            f"+ (SELECT t00 FROM t{r}) * sum(c0 * c0) + 2 * (SELECT t01 FROM t{r}) * sum(c0 * c1) "
+            f"+ (SELECT t11 FROM t{r}) * sum(c1 * c1) - 2 * sum(c0 * y0 + c1 * y1)) "
+            f"/ ((SELECT n FROM n) * (SELECT d FROM dd)) AS ss FROM c{r})",
+        ]
+        outs.append(f"SELECT {r} AS round, {r8('(SELECT ss FROM s' + str(r) + ')', 10)} AS ss, "
+                    f"{r8('(SELECT sqrt(sum(c0 * c0 + c1 * c1)) FROM c' + str(r) + ')', 10)} AS c_norm")
+    return _with(*ctes) + "\nUNION ALL\n".join(outs)
+
+
 def _pca_top1_sql(steps: int = 3) -> str:
     ctes = [_li_gram(), "v0 AS (SELECT CAST(range AS INTEGER) AS j, CAST(1.0 AS DOUBLE) AS v FROM range(4))"]
     for s in range(1, steps + 1):
@@ -149,6 +189,7 @@ ORACLE = {
     "gram_lineitem": _with(_li_gram()) + f"SELECT r, c, {sg('g', 9)} AS g FROM g",
     "pca_top1": _pca_top1_sql(),
     "em_k1_3rounds": _em_k1_sql(),
+    "em_k2_3rounds": _em_k2_sql(),
     "trial_summary": f"SELECT user_id, count(*) AS n_runs, {r8('avg(value)')} AS avg_s, "
     f"{r8('var_samp(value)')} AS var_s FROM events GROUP BY user_id",
 }

@@ -254,6 +254,20 @@ def em_k1_3rounds(spark: SparkSession, sf: str) -> DataFrame:
         "round", rnd("ss", 10).alias("ss"), rnd("c_norm", 10).alias("c_norm"))
 
 
+def em_k2_3rounds(spark: SparkSession, sf: str) -> DataFrame:
+    m = datasets.embeddings_matrix(spark, sf)
+    prep = ppca.prepare(m, need_spectrum=False)
+    c, ss = fixed.two_column_init(m.n_cols), 1.0
+    out = []
+    for r in range(3):
+        step = ppca.em_round(prep, c, ss)
+        c, ss = step["c"], step["ss"]
+        out.append((r + 1, float(ss), float(np.linalg.norm(c))))
+    release(prep.matrix.df)
+    return spark.createDataFrame(out, "round int, ss double, c_norm double").select(
+        "round", rnd("ss", 10).alias("ss"), rnd("c_norm", 10).alias("c_norm"))
+
+
 # -- A10, A11 -----------------------------------------------------------------
 
 def trial_summary(spark: SparkSession, sf: str) -> DataFrame:
@@ -340,6 +354,7 @@ QUERIES = {
     "gram_lineitem": gram_lineitem,
     "pca_top1": pca_top1,
     "em_k1_3rounds": em_k1_3rounds,
+    "em_k2_3rounds": em_k2_3rounds,
     "trial_summary": trial_summary,
     "sketch_svd": sketch_svd,
     "ppca_fit": ppca_fit,
