@@ -139,3 +139,24 @@ def test_ml_vector_input(spark):
     m = matrix_from_vectors(df, "v", "id")
     assert m.n_cols == 2
     assert sorted(tuple(r.features) for r in m.df.collect()) == [(0.0, 3.0), (1.0, 2.0)]
+
+
+def test_dense_reader_numbers_lines_across_splits_of_one_file(spark, tmp_path):
+    """A file cut into several input splits (as large files are) still gets
+    consecutive ids in line order."""
+    d = str(tmp_path / "split")
+    lines = "".join(f"{i} {i * 2}\n" + ("\n" if i % 7 == 0 else "") for i in range(200))
+    _write(d, "big.txt", lines)
+    _write(d, "a_small.txt", "-1 -2\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "256")
+    try:
+        m = text.read_dense_text(spark, d)
+        assert m.df.rdd.getNumPartitions() > 3
+        got = m.df.orderBy("row_id").toPandas()
+    finally:
+        spark.conf.set(key, old)
+    assert m.n_rows == 201
+    assert list(got.row_id) == list(range(201))
+    assert [list(v) for v in got.features] == [[-1.0, -2.0]] + [[float(i), float(2 * i)] for i in range(200)]
