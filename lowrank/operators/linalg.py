@@ -160,10 +160,13 @@ def residual_spectral_norm_gram(g: np.ndarray, p: np.ndarray) -> float:
 
 
 def _subspace_iteration(m: TallMatrix, q: int, mean: np.ndarray, p: np.ndarray | None,
-                        iters: int, tol: float, seed: int, oversample: int = 8) -> np.ndarray:
+                        iters: int, tol: float, seed: int, oversample: int = 8,
+                        start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Top ``q`` eigenvalues of E'E, E = A (I - P P') (P = None: E = A), by
     block subspace iteration with oversampling.  One distributed pass
-    (A'A V) per step; Ritz values come from V'(A'A V) of the same pass."""
+    (A'A V) per step; Ritz values come from V'(A'A V) of the same pass.
+    ``start`` (a previous block) warm-starts the iteration.  Returns the
+    values and the last block."""
     d = m.n_cols
     b = min(d, q + oversample)
     rng = np.random.default_rng(seed)
@@ -171,31 +174,35 @@ def _subspace_iteration(m: TallMatrix, q: int, mean: np.ndarray, p: np.ndarray |
     def deflate(x):
         return x if p is None else x - p @ (p.T @ x)
 
-    v, _ = np.linalg.qr(deflate(rng.standard_normal((d, b))))
+    v0 = start if start is not None and start.shape == (d, b) else rng.standard_normal((d, b))
+    v, _ = np.linalg.qr(deflate(v0))
     prev = None
     w = np.zeros(b)
     for _ in range(iters):
         z = deflate(gram_apply(m, v, mean))
         h = v.T @ z
         w = np.sort(np.clip(np.linalg.eigvalsh((h + h.T) / 2), 0.0, None))[::-1]
+        v, _ = np.linalg.qr(z)
         if prev is not None and np.allclose(w[:q], prev[:q], rtol=tol, atol=0):
             break
         prev = w
-        v, _ = np.linalg.qr(z)
-    return w[:q]
+    return w[:q], v
 
 
 def residual_spectral_norm_power(m: TallMatrix, p: np.ndarray, mean: np.ndarray,
-                                 iters: int = 50, tol: float = 1e-9, seed: int = 0) -> float:
-    """L5 for wide matrices: ||A (I - P P')||_2 by subspace iteration."""
-    return float(np.sqrt(_subspace_iteration(m, 1, mean, p, iters, tol, seed)[0]))
+                                 iters: int = 50, tol: float = 1e-7, seed: int = 0,
+                                 start: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+    """L5 for wide matrices: ||A (I - P P')||_2 by subspace iteration;
+    returns the norm and the block to warm-start the next round with."""
+    w, v = _subspace_iteration(m, 1, mean, p, iters, tol, seed, start=start)
+    return float(np.sqrt(w[0])), v
 
 
 def top_singular_values_power(m: TallMatrix, q: int, mean: np.ndarray, iters: int = 50,
                               tol: float = 1e-9, seed: int = 0) -> np.ndarray:
     """Largest ``q`` singular values of A by subspace iteration on A'A
     (wide d): d x (q + 8) on the driver, one pass per step."""
-    return np.sqrt(_subspace_iteration(m, q, mean, None, iters, tol, seed))
+    return np.sqrt(_subspace_iteration(m, q, mean, None, iters, tol, seed)[0])
 
 
 def r_factor(m: TallMatrix, mean: np.ndarray, v: np.ndarray | None = None) -> np.ndarray:

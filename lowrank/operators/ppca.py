@@ -47,6 +47,7 @@ class Prepared:
     r: np.ndarray | None = None       # R factor of the centred matrix (d <= MAX_GRAM_COLS)
     sigma_next: float | None = None   # sigma_{k+1} of the centred matrix
     summary: bool = False             # EM rounds from R (no pass per round)
+    power_block: np.ndarray | None = None   # warm start of the wide-matrix spectral norm
 
 
 @dataclass
@@ -192,14 +193,16 @@ def sigma_at(prep: Prepared, k: int, rcond: float = DEFAULT_RCOND) -> float:
 
 
 def spectral_error(prep: Prepared, c: np.ndarray, sigma_next: float) -> float | None:
-    """M5: (||A - A P P'||_2 - sigma_{k+1}) / sigma_{k+1}, P = L6(C)."""
+    """M5: (||A - A P P'||_2 - sigma_{k+1}) / sigma_{k+1}, P = L6(C).
+    Wide matrices: subspace iteration warm-started from the last round."""
+    if sigma_next <= 0:
+        return None
     p = orthonormal_basis(c)
     if prep.r is not None:
         norm = residual_spectral_norm_r(prep.r, p)
     else:
-        norm = residual_spectral_norm_power(prep.matrix, p, prep.mean)
-    if sigma_next <= 0:
-        return None
+        norm, prep.power_block = residual_spectral_norm_power(prep.matrix, p, prep.mean,
+                                                              start=prep.power_block)
     return (norm - sigma_next) / sigma_next
 
 

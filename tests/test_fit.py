@@ -116,8 +116,10 @@ def test_power_iteration_matches_gram(emb):
     approx = linalg.top_singular_values_power(emb, 3, mean, iters=60, tol=1e-7)
     assert np.allclose(approx, exact, rtol=1e-3)
     p = np.linalg.qr(np.random.default_rng(1).standard_normal((64, 2)))[0]
-    assert linalg.residual_spectral_norm_power(emb, p, mean, iters=60, tol=1e-7) == pytest.approx(
-        linalg.residual_spectral_norm_gram(g, p), rel=1e-3)
+    norm, block = linalg.residual_spectral_norm_power(emb, p, mean, iters=60, tol=1e-7)
+    assert norm == pytest.approx(linalg.residual_spectral_norm_gram(g, p), rel=1e-3)
+    again, _ = linalg.residual_spectral_norm_power(emb, p, mean, iters=2, start=block)
+    assert again == pytest.approx(norm, rel=1e-6)                       # warm start: converged already
 
 
 def test_trials_and_run_log(emb, tmp_path):
