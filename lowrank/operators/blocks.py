@@ -70,11 +70,6 @@ class Block:
             return self.dense.sum(axis=0)
         return np.bincount(self.indices, weights=self.values, minlength=self.d)
 
-    def sq_sum(self) -> float:
-        if self.is_dense:
-            return float(np.einsum("ij,ij->", self.dense, self.dense))
-        return float(self.values @ self.values)
-
     def to_dense(self) -> np.ndarray:
         if self.is_dense:
             return self.dense
