@@ -126,7 +126,12 @@ def project_entries(m: TallMatrix, w: np.ndarray) -> DataFrame:
 def center_entries(m: TallMatrix, mean: np.ndarray) -> DataFrame:
     """``(i, j, v)`` with v - mean_j at the stored non-zeros only
     (zeros stay implicit; their centred value is -mean_j)."""
-    means = m.spark.createDataFrame([(int(j), float(x)) for j, x in enumerate(mean)], "j int, m double")
-    # d rows: the model width, the same bound as the driver-side mean
-    return (m.entries().join(F.broadcast(means), "j")
+    return (m.entries().join(means_side(m.spark, mean), "j")
             .select("i", "j", (F.col("v") - F.col("m")).alias("v")))
+
+
+def means_side(spark, mean: np.ndarray) -> DataFrame:
+    """The column means as a join side ``(j, m)``: broadcast when d is under
+    MAX_BROADCAST_CELLS, else a plain table Spark joins by shuffle."""
+    means = spark.createDataFrame([(int(j), float(x)) for j, x in enumerate(mean)], "j int, m double")
+    return F.broadcast(means) if len(mean) <= MAX_BROADCAST_CELLS else means

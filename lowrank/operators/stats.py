@@ -75,8 +75,9 @@ def column_abs_sums(m: TallMatrix, mean: np.ndarray | None = None) -> DataFrame:
     if not m.is_sparse:
         centred = m.df.select(F.posexplode(center("features", mean)).alias("j", "v"))
         return centred.groupBy("j").agg(F.sum(F.abs("v")).alias("abs_sum"))
+    from .rows import means_side
     means = spark.createDataFrame([(j, float(x)) for j, x in enumerate(mean)], "j int, m double")
-    e = m.entries().join(F.broadcast(means), "j")  # d rows: the model width, a proven bound
+    e = m.entries().join(means_side(spark, mean), "j")
     present = e.groupBy("j").agg(F.sum(F.abs(F.col("v") - F.col("m"))).alias("s"),
                                  F.count(F.lit(1)).alias("nnz"))
     return (means.join(present, "j", "left")

@@ -69,3 +69,15 @@ def test_sparse_sketch_counts_absent_rows(spark, sample_np):
     exact = np.linalg.svd(y - y.mean(axis=0), compute_uv=False)
     assert np.allclose(a.s[:a.rank], exact[:a.rank], rtol=1e-9)
     assert np.allclose(b.s, a.s, rtol=1e-9, atol=1e-12)
+
+
+def test_sparse_column_abs_sums_count_absent_rows(spark):
+    m = datasets.customer_part_matrix(spark, SF001)
+    mean, _ = stats.mean_and_norm(m)
+    y = np.zeros((m.n_rows, m.n_cols))
+    for r in m.df.toPandas().itertuples():
+        y[r.row_id, list(r.indices)] = list(r.values)
+    got = {r.j: r.abs_sum for r in stats.column_abs_sums(m, mean).collect()}
+    want = np.abs(y - y.mean(axis=0)).sum(axis=0)
+    assert np.allclose([got[j] for j in range(m.n_cols)], want, rtol=1e-10)
+    assert stats.column_abs_norm(m, mean).first()["abs_norm"] == pytest.approx(want.max(), rel=1e-10)
