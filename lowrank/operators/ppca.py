@@ -152,7 +152,7 @@ def use_summary(strategy: str, d: int, spectral: bool = False) -> bool:
 
 def prepare(m: TallMatrix, need_spectrum: bool = True, k: int | None = None,
             rcond: float = DEFAULT_RCOND, cut_lineage: bool | None = None,
-            strategy: str = "passes") -> Prepared:
+            strategy: str = "passes", partitions: int | None = None) -> Prepared:
     """One job for mean, norm and row count (A1 + A2).
 
     ``summary`` (d <= MAX_GRAM_COLS): a second pass takes the R factor of
@@ -165,8 +165,8 @@ def prepare(m: TallMatrix, need_spectrum: bool = True, k: int | None = None,
     (B18)."""
     t0 = time.time()
     summary = use_summary(strategy, m.n_cols, need_spectrum)
-    if not (summary and not has_exchange(m.df) and cut_lineage is None):
-        m = m.with_df(materialize(m.df, cut_lineage))
+    if partitions or not (summary and not has_exchange(m.df) and cut_lineage is None):
+        m = m.with_df(materialize(m.df, cut_lineage, partitions))
     mean, norm2, n = column_summary(m)
     m = m.with_rows(n)
     prep = Prepared(matrix=m, mean=mean, norm2=norm2, preprocess_s=0.0, summary=summary)
@@ -380,7 +380,7 @@ def ppca_fit(m: TallMatrix, k: int, max_iter: int = DEFAULT_MAX_ITER,
              seed: int = 0, tol: float = DEFAULT_TOL, target_error: float | None = None,
              rcond: float = DEFAULT_RCOND, sample_rate: float | None = None,
              dataset: str = "Untitled", cut_lineage: bool | None = None,
-             strategy: str = "auto") -> PpcaModel:
+             strategy: str = "auto", partitions: int | None = None) -> PpcaModel:
     """Fit probabilistic PCA with k components to the rows of ``m``.
 
     ``strategy='summary'`` works on the R factor (two passes in all),
@@ -388,7 +388,7 @@ def ppca_fit(m: TallMatrix, k: int, max_iter: int = DEFAULT_MAX_ITER,
     (see ``use_summary``)."""
     k, _ = clamp_rank(k, m.n_cols, oversample)
     prep = prepare(m, need_spectrum=(error_metric == "spectral"), k=k, rcond=rcond,
-                   cut_lineage=cut_lineage, strategy=strategy)
+                   cut_lineage=cut_lineage, strategy=strategy, partitions=partitions)
     try:
         return fit_prepared(prep, k, max_iter, oversample, init, error_metric, seed, tol,
                             target_error, rcond, sample_rate, dataset)

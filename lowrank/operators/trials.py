@@ -51,7 +51,9 @@ def run_trials(m: TallMatrix, k: int, trials: int = 1, seeds: list[int] | None =
         raise ValueError("one seed per trial")
     error_metric = fit_options.get("error_metric", "spectral")
     strategy = fit_options.pop("strategy", "auto")
-    prep = prepare(m, need_spectrum=(error_metric == "spectral"), k=k, strategy=strategy)
+    partitions = fit_options.pop("partitions", None)
+    prep = prepare(m, need_spectrum=(error_metric == "spectral"), k=k, strategy=strategy,
+                   partitions=partitions)
     models = []
     try:
         for seed in seeds:

@@ -104,7 +104,7 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(want)) if want > parts else df
 
 
-def materialize(df: DataFrame, cut_lineage: bool | None = None) -> DataFrame:
+def materialize(df: DataFrame, cut_lineage: bool | None = None, partitions: int | None = None) -> DataFrame:
     """Pin a DataFrame that an iterative job reads many times.
 
     A plan that is a plain scan (plus row-local expressions) is persisted
@@ -113,8 +113,10 @@ def materialize(df: DataFrame, cut_lineage: bool | None = None) -> DataFrame:
     Parquet table under the shared ``spark.checkpoint.dir`` and read back,
     so a lost executor never forces the shuffles to be redone and every
     later pass is a columnar scan.  ``localCheckpoint`` is never used.
+    ``partitions`` repartitions round-robin first (P3's explicit count);
+    by default only an input with too few partitions is spread.
     """
-    df = spread(df)
+    df = df.repartition(int(partitions)) if partitions else spread(df)
     if cut_lineage is None:
         cut_lineage = has_exchange(df) and "RoundRobinPartitioning" not in _plan(df)
     if cut_lineage:

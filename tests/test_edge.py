@@ -33,3 +33,12 @@ def test_large_row_count_no_overflow():
     """N * d is computed in floating point."""
     assert ppca.default_sample_rate(123456789) == pytest.approx(1e-5)
     assert ppca.default_sample_rate(9999) == 1.0
+
+
+def test_explicit_partition_count(spark, sample_df):
+    from conftest import C0, SS0
+    m = matrix_from_array(sample_df, "f", "id")
+    a = ppca.ppca_fit(m, 3, max_iter=2, init=(np.array(C0), SS0), error_metric="none", partitions=4,
+                      strategy="passes")
+    b = ppca.ppca_fit(m, 3, max_iter=2, init=(np.array(C0), SS0), error_metric="none", strategy="passes")
+    assert a.ss == pytest.approx(b.ss, rel=1e-12)
