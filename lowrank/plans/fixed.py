@@ -35,8 +35,8 @@ def fixed_sql(name: str, dims: str) -> str:
     """SQL rows (j, p, w) of the named matrix; ``dims`` is a query giving
     the column indices ``j``."""
     a, b, mod, off, div, q = _FORMULAS[name]
-    return (f"SELECT d.j, p.p, CAST(((({a} * d.j + {b} * p.p) % {mod}) - {off}) AS DOUBLE) / {div} AS w "
-            f"FROM ({dims}) d, (SELECT CAST(range AS INTEGER) AS p FROM range({q})) p")
+    return (f"SELECT j, p, CAST(((({a} * j + {b} * p) % {mod}) - {off}) AS DOUBLE) / {div} AS w "
+            f"FROM (SELECT j, CAST(unnest(range({q})) AS INTEGER) AS p FROM ({dims}))")
 
 
 def first_column_init(d: int) -> np.ndarray:

@@ -38,13 +38,18 @@ def _with(*ctes: str) -> str:
 
 
 def _li_gram() -> str:
+    """CTE ``g(r, c, g)``: Gram of the centred lineitem columns, one scan
+    (one aggregate row, then unpivoted)."""
     means = ", ".join(f"avg({c}) AS m{t}" for t, c in enumerate(LI_COLS))
-    centred = ", ".join(f"{c} - m{t}" for t, c in enumerate(LI_COLS))
+    centred = ", ".join(f"{c} - (SELECT m{t} FROM lm) AS a{t}" for t, c in enumerate(LI_COLS))
+    n = len(LI_COLS)
+    sums = ", ".join(f"sum(a{r} * a{c}) AS g{r}_{c}" for r in range(n) for c in range(n))
+    unpivot = " UNION ALL ".join(f"SELECT {r} AS r, {c} AS c, g{r}_{c} AS g FROM gs"
+                                 for r in range(n) for c in range(n))
     return (f"lm AS (SELECT {means} FROM lineitem), "
-            f"la AS (SELECT [{centred}] AS a FROM lineitem, lm), "
-            "rc AS (SELECT CAST(r.range AS INTEGER) AS r, CAST(c.range AS INTEGER) AS c "
-            "FROM range(4) r, range(4) c), "
-            "g AS (SELECT rc.r, rc.c, sum(la.a[rc.r + 1] * la.a[rc.c + 1]) AS g FROM la, rc GROUP BY 1, 2)")
+            f"la AS (SELECT {centred} FROM lineitem), "
+            f"gs AS (SELECT {sums} FROM la), "
+            f"g AS (SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, g FROM ({unpivot}))")
 
 
 def _em_k1_sql(rounds: int = 3) -> str:
@@ -91,7 +96,8 @@ def _em_k2_sql(rounds: int = 3) -> str:
             f"sx{r} AS (SELECT a11 / (a00 * a11 - a01 * a01) AS s00, -a01 / (a00 * a11 - a01 * a01) AS s01, "
             f"a00 / (a00 * a11 - a01 * a01) AS s11 FROM mm{r})",
             # W = C Sx'
-            f"w{r} AS (SELECT j, c0 * s00 + c1 * s01 AS w0, c0 * s01 + c1 * s11 AS w1 FROM c{p}, sx{r})",
+            f"w{r} AS (SELECT j, c0 * (SELECT s00 FROM sx{r}) + c1 * (SELECT s01 FROM sx{r}) AS w0, "
+            f"c0 * (SELECT s01 FROM sx{r}) + c1 * (SELECT s11 FROM sx{r}) AS w1 FROM c{p})",
             f"x{r} AS (SELECT a.i, sum(a.a * w{r}.w0) AS x0, sum(a.a * w{r}.w1) AS x1 "
             f"FROM a JOIN w{r} USING (j) GROUP BY a.i)",
             # X'X + N ss Sx and its inverse
@@ -101,8 +107,11 @@ def _em_k2_sql(rounds: int = 3) -> str:
             f"y{r} AS (SELECT a.j, sum(a.a * x{r}.x0) AS y0, sum(a.a * x{r}.x1) AS y1 "
             f"FROM a JOIN x{r} USING (i) GROUP BY a.j)",
             # C = Y'X (X'X)^-1
-            f"c{r} AS (SELECT j, (y0 * t11 - y1 * t01) / (t00 * t11 - t01 * t01) AS c0, "
-            f"(y1 * t00 - y0 * t01) / (t00 * t11 - t01 * t01) AS c1, y0, y1 FROM y{r}, t{r})",
+            f"td{r} AS (SELECT t00, t01, t11, t00 * t11 - t01 * t01 AS det FROM t{r})",
+            f"c{r} AS (SELECT j, (y0 * (SELECT t11 FROM td{r}) - y1 * (SELECT t01 FROM td{r})) "
+            f"/ (SELECT det FROM td{r}) AS c0, "
+            f"(y1 * (SELECT t00 FROM td{r}) - y0 * (SELECT t01 FROM td{r})) / (SELECT det FROM td{r}) AS c1, "
+            f"y0, y1 FROM y{r})",
             f"s{r} AS (SELECT ((SELECT norm2 FROM nrm) "
             f"+ (SELECT t00 FROM t{r}) * sum(c0 * c0) + 2 * (SELECT t01 FROM t{r}) * sum(c0 * c1) "
             f"+ (SELECT t11 FROM t{r}) * sum(c1 * c1) - 2 * sum(c0 * y0 + c1 * y1)) "
