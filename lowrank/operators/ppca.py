@@ -247,9 +247,34 @@ def _inv(a: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(a)
 
 
-def em_round(prep: Prepared, c: np.ndarray, ss: float) -> dict:
+def residual_sq(m: TallMatrix, w: np.ndarray, c: np.ndarray, mean: np.ndarray) -> float:
+    """sum over all N rows of ||a - (a W) C'||^2, a = y - mean, summed
+    directly (no cancellation); sparse rows are densified in bounded chunks
+    and absent rows added in closed form."""
+    mu = np.asarray(mean, dtype=np.float64)
+
+    def kernel(block: Block):
+        t = 0.0
+        for part in block.chunks():
+            a = part.to_dense() - mu
+            e = a - (a @ w) @ c.T
+            t += float(np.einsum("ij,ij->", e, e))
+        return {"t": np.array([t])}
+
+    s = partial_sums(m, kernel, {"t": (1,)})["t"][0]
+    if m.is_sparse:
+        absent = _absent_rows(m)
+        if absent:
+            a = -mu[None, :]
+            e = a - (a @ w) @ c.T
+            s += absent * float(np.sum(e * e))
+    return float(s)
+
+
+def em_round(prep: Prepared, c: np.ndarray, ss: float, exact_ss: bool = False) -> dict:
     """M3: one EM round from (C, ss); returns new C, ss and the E-step
-    pieces.  One distributed pass."""
+    pieces.  One distributed pass (none on the R-factor route); with
+    ``exact_ss`` a second pass sums the residual directly for ss."""
     n, d = prep.matrix.n_rows, prep.matrix.n_cols
     k = c.shape[1]
     sx = _inv(c.T @ c + ss * np.eye(k))                 # Sx = (C'C + ss I)^-1
@@ -268,6 +293,9 @@ def em_round(prep: Prepared, c: np.ndarray, ss: float) -> dict:
         # the same value without the cancellation of three large terms
         resid = prep.r - (prep.r @ w) @ c_new.T
         ss_new = (float(np.sum(resid * resid)) + n * ss * float(np.trace(sx @ ctc))) / (float(n) * float(d))
+    elif exact_ss:
+        resid2 = residual_sq(prep.matrix, w, c_new, prep.mean)
+        ss_new = (resid2 + n * ss * float(np.trace(sx @ ctc))) / (float(n) * float(d))
     else:
         ss_new = (prep.norm2 + ss2 - 2.0 * cross) / (float(n) * float(d))   # B4: float
     return {"c": c_new, "ss": ss_new, "w": w, "xtx": xtx, "ytx": st.ytx, "cross": cross}
@@ -318,7 +346,7 @@ def fit_prepared(prep: Prepared, k: int, max_iter: int = DEFAULT_MAX_ITER,
                  oversample: int = DEFAULT_OVERSAMPLE, init="sketch", error_metric: str = "spectral",
                  seed: int = 0, tol: float = DEFAULT_TOL, target_error: float | None = None,
                  rcond: float = DEFAULT_RCOND, sample_rate: float | None = None,
-                 dataset: str = "Untitled") -> PpcaModel:
+                 dataset: str = "Untitled", exact_ss: bool = False) -> PpcaModel:
     """M4: the EM loop on prepared data; each round is one Spark job."""
     m = prep.matrix
     d, n = m.n_cols, m.n_rows
@@ -345,7 +373,7 @@ def fit_prepared(prep: Prepared, k: int, max_iter: int = DEFAULT_MAX_ITER,
     rnd = 0
     while rnd < max_iter and rel_change > tol and prev_error > target_error:
         t0 = time.time()
-        step = em_round(prep, c, ss)
+        step = em_round(prep, c, ss, exact_ss)
         c, ss = step["c"], step["ss"]
         if not np.isfinite(prev_ss):
             rel_change = float("inf")
@@ -380,18 +408,21 @@ def ppca_fit(m: TallMatrix, k: int, max_iter: int = DEFAULT_MAX_ITER,
              seed: int = 0, tol: float = DEFAULT_TOL, target_error: float | None = None,
              rcond: float = DEFAULT_RCOND, sample_rate: float | None = None,
              dataset: str = "Untitled", cut_lineage: bool | None = None,
-             strategy: str = "auto", partitions: int | None = None) -> PpcaModel:
+             strategy: str = "auto", partitions: int | None = None,
+             exact_ss: bool = False) -> PpcaModel:
     """Fit probabilistic PCA with k components to the rows of ``m``.
 
     ``strategy='summary'`` works on the R factor (two passes in all),
     ``'passes'`` reads the pinned rows once per round, ``'auto'`` picks
-    (see ``use_summary``)."""
+    (see ``use_summary``).  ``exact_ss`` (passes route) spends a second pass
+    per round to sum the residual directly, avoiding the cancellation of
+    the one-pass noise-variance formula on data with large norms."""
     k, _ = clamp_rank(k, m.n_cols, oversample)
     prep = prepare(m, need_spectrum=(error_metric == "spectral"), k=k, rcond=rcond,
                    cut_lineage=cut_lineage, strategy=strategy, partitions=partitions)
     try:
         return fit_prepared(prep, k, max_iter, oversample, init, error_metric, seed, tol,
-                            target_error, rcond, sample_rate, dataset)
+                            target_error, rcond, sample_rate, dataset, exact_ss)
     finally:
         release(prep.matrix.df)
 

@@ -170,3 +170,16 @@ def test_summary_sketch_matches_pass_sketch(emb):
     b = linalg.sketch_svd(emb, 13, mean, 5, method="summary", r_summary=r)
     assert np.allclose(a.s, b.s, rtol=1e-9)
     assert np.allclose(np.abs(a.v.T @ b.v), np.eye(13), atol=1e-6)
+
+
+def test_exact_ss_matches_r_factor_route(spark):
+    """lineitem: norm2 ~ 5e12 against ss ~ 7e-4.  The direct residual pass
+    agrees with the R-factor route; the one-pass formula loses digits."""
+    m = datasets.lineitem_matrix(spark, SF001)
+    kw = dict(max_iter=4, init=(np.full((4, 2), 0.5), 1.0), error_metric="none")
+    a = ppca.ppca_fit(m, 2, strategy="summary", **kw)
+    b = ppca.ppca_fit(m, 2, strategy="passes", exact_ss=True, **kw)
+    c = ppca.ppca_fit(m, 2, strategy="passes", **kw)
+    sa, sb, sc = ([h["ss"] for h in x.history] for x in (a, b, c))
+    assert sb == pytest.approx(sa, rel=1e-7)
+    assert abs(sc[-1] - sa[-1]) > abs(sb[-1] - sa[-1])
