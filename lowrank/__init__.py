@@ -15,9 +15,11 @@ def _ship_by_value() -> None:
 
 _ship_by_value()
 
+from .estimator import ProbabilisticPCA, ProbabilisticPCAModel  # noqa: E402
 from .matrix import DENSE, SPARSE, TallMatrix  # noqa: E402
 from .operators.ppca import PpcaModel, exact_pca, ppca_fit  # noqa: E402
 from .session import ensure_checkpoint_dir, local_session, materialize  # noqa: E402
 
-__all__ = ["DENSE", "SPARSE", "TallMatrix", "PpcaModel", "exact_pca", "ppca_fit",
+__all__ = ["DENSE", "SPARSE", "TallMatrix", "PpcaModel", "ProbabilisticPCA", "ProbabilisticPCAModel",
+           "exact_pca", "ppca_fit",
            "ensure_checkpoint_dir", "local_session", "materialize"]
