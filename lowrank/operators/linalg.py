@@ -282,6 +282,12 @@ def _sketch_pass(m: TallMatrix, omega: np.ndarray, mean: np.ndarray):
     return r, ytx.T
 
 
+def sketch_matrix(d: int, width: int, seed: int) -> np.ndarray:
+    """The seeded N(0, 1) sketch matrix Omega (d x width); the seed in
+    the run log regenerates it (K6)."""
+    return np.random.default_rng(seed).standard_normal((d, width))
+
+
 def sketch_svd(m: TallMatrix, width: int, mean: np.ndarray, seed: int,
                rcond: float = 1e-5, method: str = "tsqr", r_summary: np.ndarray | None = None) -> SketchResult:
     """Randomised SVD of the centred matrix A.
@@ -298,8 +304,7 @@ def sketch_svd(m: TallMatrix, width: int, mean: np.ndarray, seed: int,
     SVD of the small Q'A gives the approximate right singular vectors (L4).
     """
     d = m.n_cols
-    rng = np.random.default_rng(seed)
-    omega = rng.standard_normal((d, width))          # S5
+    omega = sketch_matrix(d, width, seed)            # S5
     if method == "summary":
         return sketch_from_omega(r_summary, omega, rcond)
     if method == "tsqr":

@@ -24,7 +24,7 @@ from .blocks import Block, partial_sums
 from .linalg import (MAX_GRAM_COLS, canonical_signs, cross_stats, cross_stats_from_r, orthonormal_basis,
                      r_factor,
                      residual_spectral_norm_power, residual_spectral_norm_r, singular_values_from_r,
-                     sketch_svd, top_singular_values_power)
+                     sketch_matrix, sketch_svd, top_singular_values_power)
 from .rows import default_sample_rate, project, row_sample
 from .stats import column_summary, mean_and_norm
 
@@ -409,7 +409,7 @@ def ppca_fit(m: TallMatrix, k: int, max_iter: int = DEFAULT_MAX_ITER,
              rcond: float = DEFAULT_RCOND, sample_rate: float | None = None,
              dataset: str = "Untitled", cut_lineage: bool | None = None,
              strategy: str = "auto", partitions: int | None = None,
-             exact_ss: bool = False) -> PpcaModel:
+             exact_ss: bool = False, save_sketch_to: str | None = None) -> PpcaModel:
     """Fit probabilistic PCA with k components to the rows of ``m``.
 
     ``strategy='summary'`` works on the R factor (two passes in all),
@@ -417,7 +417,9 @@ def ppca_fit(m: TallMatrix, k: int, max_iter: int = DEFAULT_MAX_ITER,
     (see ``use_summary``).  ``exact_ss`` (passes route) spends a second pass
     per round to sum the residual directly, avoiding the cancellation of
     the one-pass noise-variance formula on data with large norms."""
-    k, _ = clamp_rank(k, m.n_cols, oversample)
+    k, s = clamp_rank(k, m.n_cols, oversample)
+    if save_sketch_to and init == "sketch":
+        save_sketch_matrix(m.spark, save_sketch_to, m.n_cols, k + s, seed)
     prep = prepare(m, need_spectrum=(error_metric == "spectral"), k=k, rcond=rcond,
                    cut_lineage=cut_lineage, strategy=strategy, partitions=partitions)
     try:
@@ -427,6 +429,17 @@ def ppca_fit(m: TallMatrix, k: int, max_iter: int = DEFAULT_MAX_ITER,
         release(prep.matrix.df)
 
 
+def save_sketch_matrix(spark: SparkSession, path: str, d: int, width: int, seed: int,
+                       fmt: str = "DENSE") -> None:
+    """K6: write the random sketch matrix of a fit (d x width) for
+    reproduction, in a matrix text format."""
+    from ..sources.text import write_matrix
+    omega = sketch_matrix(d, width, seed)
+    df = spark.createDataFrame([(j, [float(x) for x in omega[j]]) for j in range(d)],
+                               "row_id long, features array<double>")
+    write_matrix(TallMatrix(df, n_cols=width, n_rows=d), path, fmt)
+
+
 def exact_pca(m: TallMatrix, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """L3: exact top-k components from the TSQR R factor (d <= MAX_GRAM_COLS):
     returns (mean, singular values, components with canonical signs)."""

@@ -160,3 +160,13 @@ def test_dense_reader_numbers_lines_across_splits_of_one_file(spark, tmp_path):
     assert m.n_rows == 201
     assert list(got.row_id) == list(range(201))
     assert [list(v) for v in got.features] == [[-1.0, -2.0]] + [[float(i), float(2 * i)] for i in range(200)]
+
+
+def test_sketch_matrix_saved_for_reproduction(spark, sample_df, tmp_path):
+    from lowrank.operators import linalg, ppca
+    m = matrix_from_array(sample_df, "f", "id")
+    ppca.ppca_fit(m, 2, max_iter=1, seed=9, error_metric="none", save_sketch_to=str(tmp_path / "omega"))
+    back = text.read_dense_text(spark, str(tmp_path / "omega"))
+    got = np.array(sorted(tuple(v) for v in back.df.toPandas().features))
+    want = np.array(sorted(tuple(r) for r in linalg.sketch_matrix(5, 5, 9)))
+    assert np.array_equal(got, want)                        # text round trip is exact
