@@ -459,3 +459,98 @@ def sums_and_r(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarray]],
     stacks = [place((pid == p) & (stat == "__r"), width, width) for p in np.unique(pid[pid >= 0])]
     r = _r_factor(np.vstack(stacks)) if stacks else np.zeros((width, width))
     return sums, r
+
+
+def _merge_state(a, b):
+    """Merge two (n, mean, R) states of centred rows: the pooled R factor
+    gets one extra row sqrt(na nb / n) (mb - ma) for the between-part
+    scatter (the matrix form of the parallel variance update)."""
+    na, ma, ra = a
+    nb, mb, rb = b
+    if na == 0:
+        return b
+    if nb == 0:
+        return a
+    n = na + nb
+    delta = mb - ma
+    mean = ma + delta * (nb / n)
+    return n, mean, _r_factor(np.vstack([ra, rb, np.sqrt(na * nb / n) * delta[None, :]]))
+
+
+def _block_state(y: np.ndarray):
+    mean = y.mean(axis=0)
+    return y.shape[0], mean, _r_factor(y - mean)
+
+
+def centred_tsqr(m: TallMatrix) -> tuple[int, np.ndarray, np.ndarray]:
+    """One pass: row count, column mean and the R factor of the centred
+    matrix (R'R = A'A), with no separate mean job.
+
+    Each task centres its blocks on their own means and merges states
+    (n, mean, R) exactly; the states go through the same size-bounded
+    ``applyInPandas`` tree as ``tsqr``.  The stored rows only are counted;
+    absent rows of a sparse matrix are merged in by the caller."""
+    from pyspark import TaskContext
+
+    from ..session import num_partitions
+    kind, d = m.kind, m.n_cols
+    schema = T.StructType([T.StructField("pid", T.LongType(), False),
+                           T.StructField("r", T.IntegerType(), False),
+                           T.StructField("vals", T.ArrayType(T.DoubleType(), False), False)])
+    list_type = pa.list_(pa.field("element", pa.float64(), False))
+    arrow_schema = pa.schema([("pid", pa.int64(), False), ("r", pa.int32(), False), ("vals", list_type, False)])
+
+    def state_rows(pid: int, state) -> pa.RecordBatch:
+        n, mean, r = state
+        mats = [np.array([float(n)]), mean] + [r[i] for i in range(d)]
+        lengths = np.array([m_.size for m_ in mats])
+        offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(mats), pid, dtype=np.int64)),
+             pa.array(np.arange(-2, d, dtype=np.int32)),
+             pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(mats)), type=list_type)],
+            schema=arrow_schema)
+
+    def rows_state(pdf_rows):
+        by_r = {int(r): np.asarray(v, dtype=np.float64) for r, v in pdf_rows}
+        return int(by_r[-2][0]), by_r[-1], np.vstack([by_r[i] for i in range(d)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = (0, np.zeros(d), np.zeros((d, d)))
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            blk = to_block(batch, kind, d)
+            for part in (blk.chunks() if not blk.is_dense else (blk,)):
+                state = _merge_state(state, _block_state(part.to_dense()))
+        if state[0]:
+            yield state_rows(TaskContext.get().partitionId(), state)
+
+    def combine(pdf):
+        import pandas as pd
+        state = (0, np.zeros(d), np.zeros((d, d)))
+        for _, g in pdf.groupby("pid"):
+            state = _merge_state(state, rows_state(zip(g["r"], g["vals"])))
+        out = state_rows(int(pdf["gid"].iloc[0]), state)
+        return pd.DataFrame({"pid": out.column(0).to_numpy(), "r": out.column(1).to_numpy(),
+                             "vals": out.column(2).to_pylist()})
+
+    fan_in = max(2, TSQR_GROUP_BYTES // max(1, (d * d + d + 1) * 8))
+    source = kernel_input(m)
+    level = source.mapInArrow(run, schema)
+    n = num_partitions(source)
+    if n is None:
+        n = fan_in + 1
+    while n > fan_in:
+        level = (level.withColumn("gid", F.floor(F.col("pid") / fan_in))
+                 .groupBy("gid").applyInPandas(combine, schema))
+        n = -(-n // fan_in)
+    with arrow_batch_rows(m.spark, batch_rows(d)):
+        rows = level.collect()
+    state = (0, np.zeros(d), np.zeros((d, d)))
+    groups: dict[int, list] = {}
+    for row in rows:
+        groups.setdefault(row["pid"], []).append((row["r"], row["vals"]))
+    for pid in sorted(groups):
+        state = _merge_state(state, rows_state(groups[pid]))
+    return state

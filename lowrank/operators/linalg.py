@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import TallMatrix
-from .blocks import BLOCK_WIDTH, Block, partial_sums, partial_sums_df, sums_and_r, tsqr
+from .blocks import BLOCK_WIDTH, Block, _merge_state, centred_tsqr, partial_sums, partial_sums_df, sums_and_r, tsqr
 
 # Exact-spectrum route (d x d R factor or Gram) when d is at most this;
 # otherwise power iteration.
@@ -229,6 +229,17 @@ def r_factor(m: TallMatrix, mean: np.ndarray, v: np.ndarray | None = None) -> np
     return r
 
 
+def centred_summary(m: TallMatrix) -> tuple[int, np.ndarray, float, np.ndarray]:
+    """One pass: (N, column mean, centred norm, R factor of the centred
+    matrix), absent all-zero rows of a sparse matrix included."""
+    d = m.n_cols
+    check_driver_size(d, d, "R factor")
+    n, mean, r = centred_tsqr(m)
+    if m.is_sparse and m.n_rows > n:
+        n, mean, r = _merge_state((n, mean, r), (m.n_rows - n, np.zeros(d), np.zeros((d, d))))
+    return n, mean, float(np.sum(r * r)), r
+
+
 def singular_values_from_r(r: np.ndarray, rcond: float = 1e-5) -> np.ndarray:
     """Singular values of A from its R factor, those below rcond * s_max
     dropped (as an rcond-truncated SVD would)."""

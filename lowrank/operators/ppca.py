@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from ..matrix import TallMatrix
 from ..session import has_exchange, materialize, release
 from .blocks import Block, partial_sums
-from .linalg import (MAX_GRAM_COLS, canonical_signs, cross_stats, cross_stats_from_r, orthonormal_basis,
+from .linalg import (MAX_GRAM_COLS, canonical_signs, centred_summary, cross_stats, cross_stats_from_r,
+                     orthonormal_basis,
                      r_factor,
                      residual_spectral_norm_power, residual_spectral_norm_r, singular_values_from_r,
                      sketch_matrix, sketch_svd, top_singular_values_power)
@@ -155,24 +156,31 @@ def prepare(m: TallMatrix, need_spectrum: bool = True, k: int | None = None,
             strategy: str = "passes", partitions: int | None = None) -> Prepared:
     """One job for mean, norm and row count (A1 + A2).
 
-    ``summary`` (d <= MAX_GRAM_COLS): a second pass takes the R factor of
-    the centred matrix by TSQR and every later step (sketch, EM rounds,
-    spectral error) works on R on the driver; a plain scan is then read
-    twice instead of being pinned.  ``passes``: the rows are pinned
+    ``summary`` (d <= MAX_GRAM_COLS): the R factor of the centred matrix
+    by TSQR, and every later step (sketch, EM rounds, spectral error) works
+    on R on the driver.  A plain scan is read exactly once: count, mean,
+    norm and R come out of one pass (``centred_summary``); rows produced by
+    shuffles are pinned first, then summarised and factored.  ``passes``: the rows are pinned
     (persisted, or checkpointed when shuffles precede them) and read once
     per EM round; with ``need_spectrum`` the R factor (d <= MAX_GRAM_COLS)
     or power iteration gives sigma_{k+1}, outside the preprocessing time
     (B18)."""
     t0 = time.time()
     summary = use_summary(strategy, m.n_cols, need_spectrum)
-    if partitions or not (summary and not has_exchange(m.df) and cut_lineage is None):
+    if summary and not partitions and not has_exchange(m.df) and cut_lineage is None:
+        # one pass over a plain scan: count, mean, norm and R together
+        n, mean, norm2, r = centred_summary(m)
+        m = m.with_rows(n)
+        prep = Prepared(matrix=m, mean=mean, norm2=norm2, preprocess_s=time.time() - t0,
+                        summary=True, r=r)
+    else:
         m = m.with_df(materialize(m.df, cut_lineage, partitions))
-    mean, norm2, n = column_summary(m)
-    m = m.with_rows(n)
-    prep = Prepared(matrix=m, mean=mean, norm2=norm2, preprocess_s=0.0, summary=summary)
-    if summary:
-        prep.r = r_factor(m, mean)
-    prep.preprocess_s = time.time() - t0
+        mean, norm2, n = column_summary(m)
+        m = m.with_rows(n)
+        prep = Prepared(matrix=m, mean=mean, norm2=norm2, preprocess_s=0.0, summary=summary)
+        if summary:
+            prep.r = r_factor(m, mean)
+        prep.preprocess_s = time.time() - t0
     if need_spectrum:
         if prep.r is None and m.n_cols <= MAX_GRAM_COLS:
             prep.r = r_factor(m, mean)

@@ -81,3 +81,23 @@ def test_sparse_column_abs_sums_count_absent_rows(spark):
     want = np.abs(y - y.mean(axis=0)).sum(axis=0)
     assert np.allclose([got[j] for j in range(m.n_cols)], want, rtol=1e-10)
     assert stats.column_abs_norm(m, mean).first()["abs_norm"] == pytest.approx(want.max(), rel=1e-10)
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_one_pass_centred_summary(spark, parts, monkeypatch):
+    """Count, mean, norm and R from one pass equal the two-pass values,
+    also through the combining tree and with absent sparse rows."""
+    m = datasets.lineitem_matrix(spark, SF001)
+    m = m.with_df(m.df.repartition(parts))
+    mean, norm2, n = stats.column_summary(m)
+    r2 = linalg.r_factor(m, mean)
+    monkeypatch.setattr(blocks, "TSQR_GROUP_BYTES", 2 * (16 + 4 + 1) * 8)     # fan-in 2
+    n1, mean1, norm1, r1 = linalg.centred_summary(m)
+    assert n1 == n
+    assert np.allclose(mean1, mean, rtol=1e-13)
+    assert norm1 == pytest.approx(norm2, rel=1e-12)
+    assert np.allclose(r1.T @ r1, r2.T @ r2, rtol=1e-10)
+    sp = datasets.customer_part_matrix(spark, SF001)
+    sm, sn, _ = stats.column_summary(sp)
+    ns, ms, nrm, _ = linalg.centred_summary(sp)
+    assert ns == sp.n_rows and np.allclose(ms, sm, atol=1e-13) and nrm == pytest.approx(sn, rel=1e-10)
