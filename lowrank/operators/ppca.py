@@ -27,7 +27,7 @@ from .linalg import (MAX_GRAM_COLS, canonical_signs, centred_summary, cross_stat
                      residual_spectral_norm_power, residual_spectral_norm_r, singular_values_from_r,
                      sketch_matrix, sketch_svd, top_singular_values_power)
 from .rows import default_sample_rate, project, row_sample
-from .stats import column_summary, mean_and_norm
+from .stats import column_summary
 
 # Fixed defaults of the fit (values of the original job's options).
 DEFAULT_MAX_ITER = 3
@@ -449,9 +449,10 @@ def save_sketch_matrix(spark: SparkSession, path: str, d: int, width: int, seed:
 
 
 def exact_pca(m: TallMatrix, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """L3: exact top-k components from the TSQR R factor (d <= MAX_GRAM_COLS):
-    returns (mean, singular values, components with canonical signs)."""
-    mean, _ = mean_and_norm(m)
-    _, s, vt = np.linalg.svd(r_factor(m, mean))
+    """L3: exact top-k components from the centred R factor, one pass
+    (d <= MAX_GRAM_COLS): returns (mean, singular values, components with
+    canonical signs)."""
+    _, mean, _, r = centred_summary(m)
+    _, s, vt = np.linalg.svd(r)
     return mean, s[:k], canonical_signs(vt[:k].T)
 
