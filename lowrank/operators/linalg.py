@@ -361,3 +361,67 @@ def sketch_from_omega(r: np.ndarray, omega: np.ndarray, rcond: float = 1e-5) ->
     v_full = np.zeros((d, width))
     v_full[:, :rank] = vt2.T
     return SketchResult(s=s_full, v=v_full, rank=rank)
+
+
+def summary_and_sketch(m: TallMatrix, width: int, seed: int, rcond: float = 1e-5):
+    """Mean, norm, row count and the sketch (L1, L2, A8) in ONE pass.
+
+    Rows are shifted by a fixed vector s (one stored row for dense input,
+    0 for sparse, so sparsity is kept); every statistic is then a plain sum
+    Spark merges map-side: sum(y - s), sum((y - s)^2), sum(b' (y - s)) and
+    sum(b) with b = (y - s) Omega, and the R factor of [1, B] by TSQR, whose
+    trailing block is the R factor of the centred B.  The shifted sums lose
+    digits only in proportion to |mean - s|, as the shifted-data variance
+    algorithm does.  Returns (n, mean, norm2, SketchResult), or None when
+    the task R factors exceed the driver bound (the caller then runs the
+    separate passes)."""
+    d = m.n_cols
+    omega = sketch_matrix(d, width, seed)
+    if m.is_sparse:
+        shift = np.zeros(d)
+    else:
+        first = m.df.select("features").first()
+        shift = np.asarray(first["features"], dtype=np.float64) if first else np.zeros(d)
+    dense = not m.is_sparse
+
+    def kernel(block: Block):
+        if dense:
+            ys = block.dense - shift
+            b = ys @ omega
+            return {"n": np.array([block.n]), "sy": ys.sum(axis=0), "syy": (ys * ys).sum(axis=0),
+                    "sb": b.sum(axis=0), "sby": b.T @ ys}
+        b = block.matmul(omega)
+        vals = block.values
+        return {"n": np.array([block.n]), "sy": block.col_sum(),
+                "syy": np.bincount(block.indices, weights=vals * vals, minlength=d),
+                "sb": b.sum(axis=0), "sby": block.t_matmul(b).T}
+
+    def rows_fn(block: Block):
+        b = (block.dense - shift) @ omega if dense else block.matmul(omega)
+        return np.hstack([np.ones((block.n, 1)), b])
+
+    out = sums_and_r(m, kernel, {"n": (1,), "sy": (d,), "syy": (d,), "sb": (width,), "sby": (width, d)},
+                     rows_fn, width + 1)
+    if out is None:
+        return None
+    sums, r1 = out
+    stored = int(round(sums["n"][0]))
+    n = m.n_rows if (m.is_sparse and m.n_rows is not None) else stored
+    if n > stored:                                     # absent all-zero rows: shifted value -s = 0
+        r1 = np.linalg.qr(np.vstack([r1, np.r_[np.sqrt(float(n - stored)), np.zeros(width)][None, :]]),
+                          mode="r")
+    sy = sums["sy"]
+    mean = shift + sy / n
+    norm2 = float(np.sum(sums["syy"] - sy * sy / n))
+    r_b = r1[1:, 1:]                                   # R of the centred sketch B
+    bta = sums["sby"] - np.outer(sums["sb"], sy) / n   # centred B'A
+    _, sb, vt = np.linalg.svd(r_b)
+    keep = sb > rcond * (sb.max() if sb.size and sb.max() > 0 else 1.0)
+    t = vt.T[:, keep] / sb[keep]
+    _, sv, vt2 = np.linalg.svd(t.T @ bta, full_matrices=False)
+    rank = int(keep.sum())
+    s_full = np.zeros(width)
+    s_full[:rank] = sv
+    v_full = np.zeros((d, width))
+    v_full[:, :rank] = vt2.T
+    return n, mean, norm2, SketchResult(s=s_full, v=v_full, rank=rank)

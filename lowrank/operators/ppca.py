@@ -25,7 +25,7 @@ from .linalg import (MAX_GRAM_COLS, canonical_signs, centred_summary, cross_stat
                      orthonormal_basis,
                      r_factor,
                      residual_spectral_norm_power, residual_spectral_norm_r, singular_values_from_r,
-                     sketch_matrix, sketch_svd, top_singular_values_power)
+                     sketch_matrix, sketch_svd, summary_and_sketch, top_singular_values_power)
 from .rows import default_sample_rate, project, row_sample
 from .stats import column_summary
 
@@ -49,6 +49,7 @@ class Prepared:
     sigma_next: float | None = None   # sigma_{k+1} of the centred matrix
     summary: bool = False             # EM rounds from R (no pass per round)
     power_block: np.ndarray | None = None   # warm start of the wide-matrix spectral norm
+    sketch: tuple | None = None       # (width, seed, SketchResult) computed with the statistics
 
 
 @dataclass
@@ -153,7 +154,8 @@ def use_summary(strategy: str, d: int, spectral: bool = False) -> bool:
 
 def prepare(m: TallMatrix, need_spectrum: bool = True, k: int | None = None,
             rcond: float = DEFAULT_RCOND, cut_lineage: bool | None = None,
-            strategy: str = "passes", partitions: int | None = None) -> Prepared:
+            strategy: str = "passes", partitions: int | None = None,
+            sketch: tuple[int, int] | None = None) -> Prepared:
     """One job for mean, norm and row count (A1 + A2).
 
     ``summary`` (d <= MAX_GRAM_COLS): the R factor of the centred matrix
@@ -175,11 +177,21 @@ def prepare(m: TallMatrix, need_spectrum: bool = True, k: int | None = None,
                         summary=True, r=r)
     else:
         m = m.with_df(materialize(m.df, cut_lineage, partitions))
-        mean, norm2, n = column_summary(m)
-        m = m.with_rows(n)
-        prep = Prepared(matrix=m, mean=mean, norm2=norm2, preprocess_s=0.0, summary=summary)
-        if summary:
-            prep.r = r_factor(m, mean)
+        fused = None
+        if sketch is not None and not summary:
+            # per-round route: statistics and the sketch share one pass
+            fused = summary_and_sketch(m, sketch[0], sketch[1], rcond)
+        if fused is not None:
+            n, mean, norm2, sk = fused
+            m = m.with_rows(n)
+            prep = Prepared(matrix=m, mean=mean, norm2=norm2, preprocess_s=0.0, summary=False,
+                            sketch=(sketch[0], sketch[1], sk))
+        else:
+            mean, norm2, n = column_summary(m)
+            m = m.with_rows(n)
+            prep = Prepared(matrix=m, mean=mean, norm2=norm2, preprocess_s=0.0, summary=summary)
+            if summary:
+                prep.r = r_factor(m, mean)
         prep.preprocess_s = time.time() - t0
     if need_spectrum:
         if prep.r is None and m.n_cols <= MAX_GRAM_COLS:
@@ -339,7 +351,9 @@ def initial_state(prep: Prepared, k: int, oversample: int, init, seed: int,
         return rng.random((d, k)), float(rng.random())
     if init != "sketch":
         raise ValueError("init must be 'sketch', 'random' or a (C, ss) pair")
-    if prep.summary:
+    if prep.sketch is not None and prep.sketch[:2] == (k + oversample, seed):
+        sk = prep.sketch[2]                               # taken with the statistics pass
+    elif prep.summary:
         sk = sketch_svd(prep.matrix, k + oversample, prep.mean, seed, rcond, method="summary", r_summary=prep.r)
     else:
         sk = sketch_svd(prep.matrix, k + oversample, prep.mean, seed, rcond)
@@ -429,7 +443,8 @@ def ppca_fit(m: TallMatrix, k: int, max_iter: int = DEFAULT_MAX_ITER,
     if save_sketch_to and init == "sketch":
         save_sketch_matrix(m.spark, save_sketch_to, m.n_cols, k + s, seed)
     prep = prepare(m, need_spectrum=(error_metric == "spectral"), k=k, rcond=rcond,
-                   cut_lineage=cut_lineage, strategy=strategy, partitions=partitions)
+                   cut_lineage=cut_lineage, strategy=strategy, partitions=partitions,
+                   sketch=(k + s, seed) if init == "sketch" else None)
     try:
         return fit_prepared(prep, k, max_iter, oversample, init, error_metric, seed, tol,
                             target_error, rcond, sample_rate, dataset, exact_ss)

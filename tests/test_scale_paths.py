@@ -101,3 +101,23 @@ def test_one_pass_centred_summary(spark, parts, monkeypatch):
     sm, sn, _ = stats.column_summary(sp)
     ns, ms, nrm, _ = linalg.centred_summary(sp)
     assert ns == sp.n_rows and np.allclose(ms, sm, atol=1e-13) and nrm == pytest.approx(sn, rel=1e-10)
+
+
+@pytest.mark.parametrize("which", ["lineitem", "sparse"])
+def test_statistics_and_sketch_in_one_pass(spark, which):
+    """The shared pass gives the same count, mean, norm and sketch as the
+    separate passes (lineitem: large column means; sparse: absent rows)."""
+    m = (datasets.lineitem_matrix(spark, SF001) if which == "lineitem"
+         else datasets.customer_part_matrix(spark, SF001))
+    mean, norm2, n = stats.column_summary(m)
+    m = m.with_rows(n)
+    width = 4 if which == "lineitem" else 12
+    ref = linalg.sketch_svd(m, width, mean, 6)
+    n1, mean1, norm1, sk = linalg.summary_and_sketch(m, width, 6)
+    assert n1 == n
+    assert np.allclose(mean1, mean, rtol=1e-12, atol=1e-12)
+    assert norm1 == pytest.approx(norm2, rel=1e-9)
+    assert sk.rank == ref.rank
+    assert np.allclose(sk.s, ref.s, rtol=1e-7)
+    k = min(3, sk.rank)
+    assert np.allclose(np.abs(sk.v[:, :k].T @ ref.v[:, :k]), np.eye(k), atol=1e-6)
