@@ -121,3 +121,26 @@ def test_statistics_and_sketch_in_one_pass(spark, which):
     assert np.allclose(sk.s, ref.s, rtol=1e-7)
     k = min(3, sk.rank)
     assert np.allclose(np.abs(sk.v[:, :k].T @ ref.v[:, :k]), np.eye(k), atol=1e-6)
+
+
+def test_hot_row_is_combined_before_it_is_collected(spark):
+    """One row holds a third of all raw entries (many duplicates): the
+    (i, j) grouping sums them map-side, the row record ends up with at most
+    d entries, and the statistics match a dense NumPy twin."""
+    from pyspark.sql import functions as F
+    from lowrank.sources.tables import entries_frame, matrix_from_entries
+    d, n = 50, 40
+    base = spark.range(0, 6000).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % n).alias("i"),
+        (F.col("id") * 7 % d).alias("j"),
+        (F.col("id") % 5 + 1).cast("double").alias("v"))
+    m = matrix_from_entries(entries_frame(base), n_rows=n, n_cols=d, duplicates="sum")
+    rows = {r.row_id: (list(r.indices), list(r.values)) for r in m.df.collect()}
+    assert max(len(ix) for ix, _ in rows.values()) <= d
+    pdf = base.toPandas()
+    y = np.zeros((n, d))
+    np.add.at(y, (pdf.i.to_numpy(), pdf.j.to_numpy()), pdf.v.to_numpy())
+    mean, norm2, cnt = stats.column_summary(m)
+    assert cnt == n
+    assert np.allclose(mean, y.mean(axis=0))
+    assert norm2 == pytest.approx(((y - y.mean(axis=0)) ** 2).sum(), rel=1e-12)
