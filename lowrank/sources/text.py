@@ -51,17 +51,19 @@ def read_dense_text(spark: SparkSession, path: str, n_cols: int | None = None) -
     ``row_id`` (0-based) in file-name order, then line order.
 
     Each input split is a chunk ``(file, block start)``.  One small job
-    counts lines per chunk (one row per chunk is collected, not the data);
-    the driver turns the counts into offsets, and every line gets
-    ``offset + its position inside the chunk``.
+    counts lines and row widths per chunk (one row per chunk is collected,
+    not the data); the driver turns the counts into offsets, and every line
+    gets ``offset + its position inside the chunk``.
     """
     lines = (spark.read.text(path)
              .select("value", F.col("_metadata.file_path").alias("file"),
                      F.col("_metadata.file_block_start").alias("block"))
              .where(F.trim(F.col("value")) != "")
              .withColumn("pos", F.monotonically_increasing_id()))
+    width = F.size(F.split(F.trim(F.col("value")), r"\s+"))
     chunks = (lines.groupBy("file", "block")
-              .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+              .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"),
+                   F.min(width).alias("lo"), F.max(width).alias("hi"))
               .collect())
     chunks.sort(key=lambda r: (r["file"], r["block"]))
     offsets, start = [], 0
@@ -75,10 +77,11 @@ def read_dense_text(spark: SparkSession, path: str, n_cols: int | None = None) -
             .select((F.col("start") + F.col("pos") - F.col("first")).alias("row_id"),
                     parse_dense("value").alias("features")))
     if n_cols is None:
-        shape = rows.agg(F.min(F.size("features")).alias("lo"), F.max(F.size("features")).alias("hi")).first()
-        if shape["lo"] != shape["hi"]:
-            raise ValueError(f"DENSE rows have widths {shape['lo']}..{shape['hi']}")
-        n_cols = int(shape["hi"] or 0)
+        lo = min((int(r["lo"]) for r in chunks), default=0)
+        hi = max((int(r["hi"]) for r in chunks), default=0)
+        if lo != hi:
+            raise ValueError(f"DENSE rows have widths {lo}..{hi}")
+        n_cols = hi
     else:
         rows = rows.select("row_id", F.slice("features", 1, n_cols).alias("features"))
     return TallMatrix(rows, n_cols=n_cols, n_rows=n_rows, kind=DENSE)
