@@ -17,12 +17,21 @@ from .blocks import Block, map_rows
 from .linalg import check_driver_size
 
 
+# Widest row centred with a literal mean array in the plan; wider rows go
+# through the Arrow kernel with the mean in the closure.
+MAX_LITERAL_COLS = 4096
+
+
 def center_rows(m: TallMatrix, mean: np.ndarray) -> TallMatrix:
     """Dense centred rows y - ym (sparse input is densified per row)."""
+    mu = np.asarray(mean, dtype=np.float64)
+    if m.n_cols > MAX_LITERAL_COLS:
+        out = map_rows(m, lambda b: b.to_dense() - mu, m.n_cols, "features")
+        return TallMatrix(out, n_cols=m.n_cols, n_rows=m.n_rows, kind=DENSE)
     if m.is_sparse:
         from ..sources.tables import dense_from_sparse
         m = dense_from_sparse(m)
-    out = m.df.select("row_id", center("features", mean).alias("features"))
+    out = m.df.select("row_id", center("features", mu).alias("features"))
     return TallMatrix(out, n_cols=m.n_cols, n_rows=m.n_rows, kind=DENSE)
 
 

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.arrays import center
 from ..matrix import TallMatrix
 
+# Widest row centred with a literal mean array in the plan.
+MAX_LITERAL_COLS = 4096
+
 
 def column_stats(m: TallMatrix) -> DataFrame:
     """``(j INT, total DOUBLE, mean DOUBLE, m2 DOUBLE)`` per column with a
@@ -72,6 +75,11 @@ def column_abs_sums(m: TallMatrix, mean: np.ndarray | None = None) -> DataFrame:
     if mean is None:
         mean = np.zeros(m.n_cols)
     spark = m.spark
+    if not m.is_sparse and m.n_cols > MAX_LITERAL_COLS:
+        from .blocks import partial_sums
+        mu = np.asarray(mean, dtype=np.float64)
+        sums = partial_sums(m, lambda b: {"s": np.abs(b.dense - mu).sum(axis=0)}, {"s": (m.n_cols,)})["s"]
+        return spark.createDataFrame([(j, float(x)) for j, x in enumerate(sums)], "j int, abs_sum double")
     if not m.is_sparse:
         centred = m.df.select(F.posexplode(center("features", mean)).alias("j", "v"))
         return centred.groupBy("j").agg(F.sum(F.abs("v")).alias("abs_sum"))

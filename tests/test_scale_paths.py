@@ -144,3 +144,17 @@ def test_hot_row_is_combined_before_it_is_collected(spark):
     assert cnt == n
     assert np.allclose(mean, y.mean(axis=0))
     assert norm2 == pytest.approx(((y - y.mean(axis=0)) ** 2).sum(), rel=1e-12)
+
+
+def test_wide_rows_centre_through_the_kernel(spark, monkeypatch):
+    from lowrank.operators import rows as rows_mod
+    m = datasets.embeddings_matrix(spark, SF001)
+    mean, _ = stats.mean_and_norm(m)
+    lit = rows_mod.center_rows(m, mean).df.orderBy("row_id").toPandas()
+    a = {r.j: r.abs_sum for r in stats.column_abs_sums(m, mean).collect()}
+    monkeypatch.setattr(rows_mod, "MAX_LITERAL_COLS", 8)
+    monkeypatch.setattr(stats, "MAX_LITERAL_COLS", 8)
+    ker = rows_mod.center_rows(m, mean).df.orderBy("row_id").toPandas()
+    b = {r.j: r.abs_sum for r in stats.column_abs_sums(m, mean).collect()}
+    assert np.allclose(np.stack(lit.features.to_numpy()), np.stack(ker.features.to_numpy()), atol=1e-15)
+    assert np.allclose([a[j] for j in range(64)], [b[j] for j in range(64)], rtol=1e-12)
