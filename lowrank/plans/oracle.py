@@ -200,5 +200,5 @@ ORACLE = {
     "em_k1_3rounds": _em_k1_sql(),
     "em_k2_3rounds": _em_k2_sql(),
     "trial_summary": f"SELECT user_id, count(*) AS n_runs, {r8('avg(value)')} AS avg_s, "
-    f"{r8('var_samp(value)')} AS var_s FROM events GROUP BY user_id",
+    f"{r8('var_samp(value)', 4)} AS var_s FROM events GROUP BY user_id",
 }
