@@ -80,6 +80,7 @@ class PpcaModel:
     n_rows: int
     history: list
     stat: RunStat
+    explained_variance: np.ndarray | None = None   # per component, with rotate_to_data
 
     @property
     def k(self) -> int:
@@ -368,7 +369,7 @@ def fit_prepared(prep: Prepared, k: int, max_iter: int = DEFAULT_MAX_ITER,
                  oversample: int = DEFAULT_OVERSAMPLE, init="sketch", error_metric: str = "spectral",
                  seed: int = 0, tol: float = DEFAULT_TOL, target_error: float | None = None,
                  rcond: float = DEFAULT_RCOND, sample_rate: float | None = None,
-                 dataset: str = "Untitled", exact_ss: bool = False) -> PpcaModel:
+                 dataset: str = "Untitled", exact_ss: bool = False, rotate: bool = False) -> PpcaModel:
     """M4: the EM loop on prepared data; each round is one Spark job."""
     m = prep.matrix
     d, n = m.n_cols, m.n_rows
@@ -421,8 +422,11 @@ def fit_prepared(prep: Prepared, k: int, max_iter: int = DEFAULT_MAX_ITER,
     stat.avg_iter_s = float(np.mean(stat.iter_s)) if stat.iter_s else 0.0
     stat.total_s = stat.preprocess_s + stat.sketch_s + float(np.sum(stat.iter_s))
     comps = canonical_signs(orthonormal_basis(c))
+    explained = None
+    if rotate:
+        comps, explained = rotate_to_data(prep, comps)
     return PpcaModel(loadings=c, components=comps, mean=prep.mean, ss=ss, n_rows=n,
-                     history=history, stat=stat)
+                     history=history, stat=stat, explained_variance=explained)
 
 
 def ppca_fit(m: TallMatrix, k: int, max_iter: int = DEFAULT_MAX_ITER,
@@ -431,14 +435,17 @@ def ppca_fit(m: TallMatrix, k: int, max_iter: int = DEFAULT_MAX_ITER,
              rcond: float = DEFAULT_RCOND, sample_rate: float | None = None,
              dataset: str = "Untitled", cut_lineage: bool | None = None,
              strategy: str = "auto", partitions: int | None = None,
-             exact_ss: bool = False, save_sketch_to: str | None = None) -> PpcaModel:
+             exact_ss: bool = False, save_sketch_to: str | None = None,
+             rotate_to_data: bool = False) -> PpcaModel:
     """Fit probabilistic PCA with k components to the rows of ``m``.
 
     ``strategy='summary'`` works on the R factor (two passes in all),
     ``'passes'`` reads the pinned rows once per round, ``'auto'`` picks
     (see ``use_summary``).  ``exact_ss`` (passes route) spends a second pass
     per round to sum the residual directly, avoiding the cancellation of
-    the one-pass noise-variance formula on data with large norms."""
+    the one-pass noise-variance formula on data with large norms.
+    ``rotate_to_data`` orders the components by the variance of their
+    scores (B21) and fills ``explained_variance``."""
     k, s = clamp_rank(k, m.n_cols, oversample)
     if save_sketch_to and init == "sketch":
         save_sketch_matrix(m.spark, save_sketch_to, m.n_cols, k + s, seed)
@@ -447,11 +454,28 @@ def ppca_fit(m: TallMatrix, k: int, max_iter: int = DEFAULT_MAX_ITER,
                    sketch=(k + s, seed) if init == "sketch" else None)
     try:
         return fit_prepared(prep, k, max_iter, oversample, init, error_metric, seed, tol,
-                            target_error, rcond, sample_rate, dataset, exact_ss)
+                            target_error, rcond, sample_rate, dataset, exact_ss, rotate_to_data)
     finally:
         release(prep.matrix.df)
 
 
+def rotate_to_data(prep: Prepared, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rotate an orthonormal basis P of span(C) by the eigenvectors of
+    the k x k score covariance P'A'AP / (N - 1), so the components are
+    uncorrelated and ordered by the variance they explain (the basis from C
+    alone is ordered by the singular values of C).  From R when held, else
+    one pass."""
+    if prep.r is not None:
+        rp = prep.r @ p
+        s = rp.T @ rp
+    else:
+        s = cross_stats(prep.matrix, p, prep.mean).xtx
+    w, u = np.linalg.eigh((s + s.T) / 2)
+    order = np.argsort(w)[::-1]
+    var = np.clip(w[order], 0.0, None) / max(prep.matrix.n_rows - 1, 1)
+    return canonical_signs(p @ u[:, order]), var
+
+
 def save_sketch_matrix(spark: SparkSession, path: str, d: int, width: int, seed: int,
                        fmt: str = "DENSE") -> None:
     """K6: write the random sketch matrix of a fit (d x width) for

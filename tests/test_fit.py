@@ -183,3 +183,18 @@ def test_exact_ss_matches_r_factor_route(spark):
     sa, sb, sc = ([h["ss"] for h in x.history] for x in (a, b, c))
     assert sb == pytest.approx(sa, rel=1e-7)
     assert abs(sc[-1] - sa[-1]) > abs(sb[-1] - sa[-1])
+
+
+@pytest.mark.parametrize("strategy", ["summary", "passes"])
+def test_rotate_to_data_gives_uncorrelated_ordered_scores(emb, strategy):
+    model = ppca.ppca_fit(emb, 3, max_iter=2, seed=4, error_metric="none", strategy=strategy,
+                          rotate_to_data=True)
+    y = np.stack(emb.df.toPandas()["features"].to_numpy())
+    scores = (y - y.mean(axis=0)) @ model.components
+    cov = np.cov(scores, rowvar=False)
+    assert np.allclose(cov - np.diag(np.diag(cov)), 0, atol=1e-10)
+    assert np.allclose(np.diag(cov), model.explained_variance, rtol=1e-8)
+    assert list(model.explained_variance) == sorted(model.explained_variance, reverse=True)
+    plain = ppca.ppca_fit(emb, 3, max_iter=2, seed=4, error_metric="none", strategy=strategy)
+    # same subspace either way
+    assert np.allclose(np.linalg.svd(plain.components.T @ model.components, compute_uv=False), 1, atol=1e-9)
