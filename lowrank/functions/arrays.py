@@ -35,9 +35,11 @@ def abs_sum(a: str | Column) -> Column:
     return F.aggregate(_c(a), F.lit(0.0), lambda s, x: s + F.abs(x))
 
 
-def parse_dense(line: str | Column) -> Column:
-    """Whitespace-separated doubles -> ARRAY<DOUBLE>; leading blanks ignored."""
-    return F.transform(F.split(F.trim(_c(line)), r"\s+"), lambda x: x.cast("double"))
+def parse_dense(line: str | Column, strict: bool = True) -> Column:
+    """Whitespace-separated doubles -> ARRAY<DOUBLE>; leading blanks ignored.
+    ``strict=False`` turns a malformed token into NULL instead of failing."""
+    return F.transform(F.split(F.trim(_c(line)), r"\s+"),
+                       lambda x: x.cast("double") if strict else x.try_cast("double"))
 
 
 def dense_line(features: str | Column) -> Column:

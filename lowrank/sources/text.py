@@ -15,6 +15,8 @@ Conversions write Parquet row tables (the binary container of this library).
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +48,8 @@ def read_coo_text(spark: SparkSession, path: str, base: int = 0, n_rows: int | N
                                n_rows=n_rows, n_cols=n_cols, duplicates=duplicates)
 
 
-def read_dense_text(spark: SparkSession, path: str, n_cols: int | None = None) -> TallMatrix:
+def read_dense_text(spark: SparkSession, path: str, n_cols: int | None = None,
+                    bad_rows: str = "error") -> TallMatrix:
     """DENSE text file or folder -> dense row matrix with consecutive
     ``row_id`` (0-based) in file-name order, then line order.
 
@@ -54,17 +57,38 @@ def read_dense_text(spark: SparkSession, path: str, n_cols: int | None = None) -
     counts lines and row widths per chunk (one row per chunk is collected,
     not the data); the driver turns the counts into offsets, and every line
     gets ``offset + its position inside the chunk``.
+
+    A bad row has a token that is not a number or, with ``n_cols`` given,
+    fewer than ``n_cols`` values (longer rows keep their first ``n_cols``).
+    ``bad_rows='error'`` fails with their count (counted in the same job);
+    ``'drop'`` leaves them out of the matrix and its numbering and warns
+    with their count (one extra scan).
     """
-    lines = (spark.read.text(path)
-             .select("value", F.col("_metadata.file_path").alias("file"),
-                     F.col("_metadata.file_block_start").alias("block"))
-             .where(F.trim(F.col("value")) != "")
-             .withColumn("pos", F.monotonically_increasing_id()))
+    if bad_rows not in ("error", "drop"):
+        raise ValueError("bad_rows must be 'error' or 'drop'")
+    raw = (spark.read.text(path)
+           .select("value", F.col("_metadata.file_path").alias("file"),
+                   F.col("_metadata.file_block_start").alias("block"))
+           .where(F.trim(F.col("value")) != ""))
+    parsed = parse_dense("value", strict=False)
+    bad = F.exists(parsed, lambda x: x.isNull())
+    if n_cols is not None:
+        bad = bad | (F.size(parsed) < n_cols)
+    if bad_rows == "drop":
+        n_bad = raw.where(bad).count()
+        if n_bad:
+            warnings.warn(f"dropped {n_bad} bad DENSE rows from {path}")
+        raw = raw.where(~bad)
+    lines = raw.withColumn("pos", F.monotonically_increasing_id())
     width = F.size(F.split(F.trim(F.col("value")), r"\s+"))
     chunks = (lines.groupBy("file", "block")
               .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"),
-                   F.min(width).alias("lo"), F.max(width).alias("hi"))
+                   F.min(width).alias("lo"), F.max(width).alias("hi"),
+                   F.sum(F.when(bad, 1).otherwise(0)).alias("bad"))
               .collect())
+    n_bad = sum(int(r["bad"] or 0) for r in chunks)
+    if n_bad:
+        raise ValueError(f"{n_bad} bad DENSE rows in {path}; pass bad_rows='drop' to leave them out")
     chunks.sort(key=lambda r: (r["file"], r["block"]))
     offsets, start = [], 0
     for r in chunks:

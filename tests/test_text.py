@@ -170,3 +170,15 @@ def test_sketch_matrix_saved_for_reproduction(spark, sample_df, tmp_path):
     got = np.array(sorted(tuple(v) for v in back.df.toPandas().features))
     want = np.array(sorted(tuple(r) for r in linalg.sketch_matrix(5, 5, 9)))
     assert np.array_equal(got, want)                        # text round trip is exact
+
+
+def test_dense_reader_counts_and_drops_bad_rows(spark, tmp_path):
+    d = str(tmp_path / "bad")
+    _write(d, "a.txt", "1 2 3\n4 x 6\n7 8\n9 10 11 12\n")
+    with pytest.raises(ValueError, match="2 bad DENSE rows"):
+        text.read_dense_text(spark, d, n_cols=3)
+    with pytest.warns(UserWarning, match="dropped 2"):
+        m = text.read_dense_text(spark, d, n_cols=3, bad_rows="drop")
+    got = m.df.orderBy("row_id").toPandas()
+    assert m.n_rows == 2 and list(got.row_id) == [0, 1]
+    assert [list(v) for v in got.features] == [[1.0, 2.0, 3.0], [9.0, 10.0, 11.0]]
