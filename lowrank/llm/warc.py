@@ -80,7 +80,8 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     owners = groups.select(F.coalesce(F.col("owner"), F.lit(-1)).alias("o"), F.col("owner").isNull().alias("n"), "address")
     owned = (rec.withColumns({"o": F.coalesce(F.col("record"), F.lit(-1)), "n": F.col("record").isNull()})
              .join(owners, ["o", "n", "address"], "left_semi"))
-    (owned.select("address", "payload").dropDuplicates(["address"])
+    # One owner per address: dropping repeated owner rows by the join's keys needs no further shuffle.
+    (owned.dropDuplicates(["o", "n", "address"]).select("address", "payload")
      .write.option("compression", "zstd").parquet(f"{path}/payloads"))
     return path
 
