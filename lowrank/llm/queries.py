@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lowrank.llm import rules, warc
+from lowrank.llm import bpe, packing, rules, warc
 
 QUERIES = {
+    "op8_byte_bpe": bpe.op8_byte_bpe,
+    "op10_packing": packing.op10_packing,
     "op3_warc": warc.op3_warc,
     "op4_quality_rules": rules.op4_quality_rules,
 }
