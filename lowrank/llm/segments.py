@@ -2,14 +2,13 @@
 
 ``public_tokenizers.PATTERN`` starts a match at every space that is followed
 by something other than white space, and no match runs across such a place.
-So a text may be cut before each of these spaces and equal pieces share one
-tokenization: ``SegmentMemo`` does the work once per distinct piece.
+So a text may be cut before each of these spaces, and equal pieces share one
+tokenization.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import chain
 
 from lowrank.llm.common import by_value
 
@@ -19,37 +18,36 @@ _UNSAFE = re.compile(r" (?:\s|\Z)")
 _CUT = re.compile(r"(?= \S)")
 
 
+def pieces(text: str) -> tuple[list[str], list[str]]:
+    """(pieces as they are, pieces that follow them, without their space)."""
+    if _UNSAFE.search(text):
+        return _CUT.split(text), []
+    parts = text.split(" ")
+    return parts[:1], parts[1:]
+
+
+class Memo(dict):
+    """piece -> bytes: ``solve(lead + piece)``, worked out when first met."""
+
+    def __init__(self, solve, lead: str):
+        super().__init__()
+        self.solve, self.lead = solve, lead
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self[piece] = self.solve(self.lead + piece)
+        return got
+
+
 class SegmentMemo:
-    """``ids(text)``: the concatenated results of ``solve`` (a function of a
-    list of pieces, one result list each) over the pieces of a text."""
+    """Bytes of a text joined from those of its pieces; at most ``limit``
+    pieces are remembered."""
 
-    def __init__(self, solve, limit: int = 400_000):
-        self.solve, self.limit = solve, limit
-        self.plain: dict[str, list] = {}     # pieces as they are
-        self.spaced: dict[str, list] = {}    # pieces without their leading space
+    def __init__(self, solve, limit: int = 500_000):
+        self.plain, self.spaced, self.limit = Memo(solve, ""), Memo(solve, " "), limit
 
-    def run(self, texts: list[str]) -> list[list]:
+    def __call__(self, text: str) -> bytes:
         if len(self.plain) + len(self.spaced) > self.limit:
-            self.plain.clear(), self.spaced.clear()
-        split, new_plain, new_spaced = [], set(), set()
-        for t in texts:
-            if _UNSAFE.search(t):
-                parts = _CUT.split(t)
-                split.append((parts, None))
-                new_plain.update(parts)
-            else:
-                parts = t.split(" ")
-                split.append((parts[:1], parts[1:]))
-                new_plain.add(parts[0])
-                new_spaced.update(parts[1:])
-        for memo, new, lead in ((self.plain, new_plain, ""), (self.spaced, new_spaced, " ")):
-            new = [x for x in new if x not in memo]
-            if new:
-                memo.update(zip(new, self.solve([lead + x for x in new])))
-        out = []
-        for head, tail in split:
-            got = list(chain.from_iterable(map(self.plain.__getitem__, head)))
-            if tail:
-                got.extend(chain.from_iterable(map(self.spaced.__getitem__, tail)))
-            out.append(got)
-        return out
+            self.plain.clear()
+            self.spaced.clear()
+        head, tail = pieces(text)
+        return b"".join(map(self.plain.__getitem__, head)) + b"".join(map(self.spaced.__getitem__, tail))
