@@ -2,13 +2,12 @@
 
 Encoding is a join on distinct words.  Each task cuts its texts into chunks
 of a bounded number of bytes and pre-tokenizes them; a chunk yields its
-distinct words with their numbers, and each document the numbers of its words
-in order (its positions, packed).  The words are shuffled by word; each
-distinct word of the corpus is merged once there and its ids go back to the
-chunks that hold it; a cogroup by chunk puts the ids in the order of the
-positions.  What is shuffled is one row per distinct word of a chunk and a
-byte or two per word of text, never the texts; a frequent word has one row per
-chunk.  The two sides read the table separately; a chunk carries a digest of
+distinct words, and for its documents the numbers of their words in order (the
+positions).  The words are shuffled by a hash of the word; each distinct word
+of the corpus is merged once there and its ids go back to the chunks that hold
+it; a cogroup by chunk puts the ids in the order of the positions.  Words, ids
+and positions travel packed: a frequent word counts once per chunk, and texts
+are never shuffled.  The two sides read the table separately; a chunk carries a digest of
 its documents, and a chunk that is not the same on both sides is an error.
 
 Decoding joins ids with the token-byte table (the vocabulary, of fixed
@@ -23,6 +22,8 @@ result; further columns are ignored.
 from __future__ import annotations
 
 import base64
+import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,8 +32,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lowrank.llm.common import by_value, read_table, text_blocks
-from lowrank.llm.segments import SegmentMemo
+from lowrank.llm.common import by_value, read_table, shuffle_partitions, text_blocks
+from lowrank.llm.segments import Memo, SegmentMemo, pieces
 
 by_value(__name__)
 
@@ -58,68 +59,104 @@ def _unpack(b: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(4, n).T).view("<u4").ravel()
 
 
-def _chunks(batches, pattern: str, chunk_bytes: int):
-    """(digest, rows, words, word numbers of each row) of each chunk."""
-    import hashlib
+def _word_list(words, buckets: int) -> list[list[str]]:
+    """The distinct words of a chunk by bucket, each bucket sorted: a word's
+    number is its place in this order, on both sides of the join."""
+    out = [[] for _ in range(buckets)]
+    for w in words:
+        out[zlib.crc32(w.encode()) % buckets].append(w)
+    for x in out:
+        x.sort()
+    return out
 
-    import regex
 
-    find = regex.compile(pattern).findall
-    for rows, texts in text_blocks(batches, "text", chunk_bytes):
-        words: dict[str, int] = {}
+def _digest(rows, texts: list[str]) -> int:
+    h = hashlib.blake2b(digest_size=8)
+    for d, t in zip(rows.column("doc_id").to_pylist(), texts):
+        h.update(f"{d}:{len(t)};{t[:64]}".encode())
+    return int.from_bytes(h.digest(), "little", signed=True)
 
-        def number(pieces):
-            return [[words.setdefault(w, len(words)) for w in find(x)] for x in pieces]
 
-        texts = texts.to_pylist()
-        memo = SegmentMemo(number, limit=1 << 60)
-        digest = hashlib.blake2b(digest_size=8)
-        for d, t in zip(rows.column("doc_id").to_pylist(), texts):
-            digest.update(f"{d}:{len(t)};{t[:64]}".encode())
-        yield int.from_bytes(digest.digest(), "little", signed=True), rows, words, memo.run(texts)
+def _chunk_words(texts: list[str], find) -> set[str]:
+    plain, spaced = set(), set()
+    for t in texts:
+        head, tail = pieces(t)
+        plain.update(head)
+        spaced.update(tail)
+    words = set()
+    for lead, group in (("", plain), (" ", spaced)):
+        for x in group:
+            words.update(find(lead + x))
+    return words
 
 
-def _words(pattern: str, chunk_bytes: int):
+def _words(pattern: str, chunk_bytes: int, buckets: int):
+    """One row per chunk and bucket: its sorted words, packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for digest, _, words, _ in _chunks(batches, pattern, chunk_bytes):
+        import regex
+        import zstandard
+
+        find, press = regex.compile(pattern).findall, zstandard.ZstdCompressor(level=1)
+        for rows, texts in text_blocks(batches, "text", chunk_bytes):
+            texts = texts.to_pylist()
+            out = [[], [], [], []]
+            for i, ws in enumerate(_word_list(_chunk_words(texts, find), buckets)):
+                raw = [w.encode() for w in ws]
+                for col, x in zip(out, (i, len(raw), _pack(np.array([len(r) for r in raw], np.int64)), press.compress(b"".join(raw)))):
+                    col.append(x)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(words), digest)), pa.array(list(words), pa.string()),
-                 pa.array(np.arange(len(words), dtype=np.int32))], names=["chunk", "word", "number"])
+                [pa.array(np.full(buckets, _digest(rows, texts))), pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()),
+                 pa.array(out[2], pa.binary()), pa.array(out[3], pa.binary())], names=["chunk", "bucket", "n", "sizes", "words"])
     return run
 
 
-def _positions(pattern: str, chunk_bytes: int):
+def _positions(pattern: str, chunk_bytes: int, buckets: int):
+    """One row per chunk: its documents, and the numbers of their words in
+    text order, packed with the smallest codes for the most frequent."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for digest, rows, words, numbers in _chunks(batches, pattern, chunk_bytes):
-            # Frequent words get small numbers in the packed form.
-            flat = np.concatenate([np.asarray(x, np.int64) for x in numbers]) if numbers else np.zeros(0, np.int64)
-            order = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            sizes = np.array([len(x) for x in numbers], np.int32)
+        import regex
+
+        find = regex.compile(pattern).findall
+        for rows, texts in text_blocks(batches, "text", chunk_bytes):
+            texts, met = texts.to_pylist(), {}
+            memo = SegmentMemo(lambda x: np.array([met.setdefault(w, len(met)) for w in find(x)], "<u4").tobytes(), limit=1 << 60)
+            raw = [memo(t) for t in texts]
+            flat = np.frombuffer(b"".join(raw), "<u4")
+            number = np.empty(len(met), np.int64)
+            number[[met[w] for x in _word_list(met, buckets) for w in x]] = np.arange(len(met))
+            order = np.argsort(-np.bincount(flat, minlength=len(met)), kind="stable")
+            code = np.empty(len(met), np.int64)
+            code[order] = np.arange(len(met))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([digest]), pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                 pa.array([sizes.tolist()], pa.list_(pa.int32())), pa.array([_pack(order)], pa.binary()),
-                 pa.array([_pack(rank[flat])], pa.binary()), pa.array([len(words)], pa.int32())],
+                [pa.array([_digest(rows, texts)]), pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                 pa.array([[len(r) // 4 for r in raw]], pa.list_(pa.int32())), pa.array([_pack(number[order])], pa.binary()),
+                 pa.array([_pack(code[flat])], pa.binary()), pa.array([len(met)], pa.int32())],
                 names=["chunk", "docs", "sizes", "ranked", "packed", "n_words"])
     return run
 
 
 def _merge_words(table):
-    """Ids of each distinct word, merged once: rows come sorted by word."""
+    """Ids of the words of each chunk and bucket; rows come sorted by bucket,
+    and each distinct word of a bucket is merged once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
+        import zstandard
 
         enc = tiktoken.Encoding("corpus", pat_str=r"[\s\S]+", mergeable_ranks=table.value, special_tokens={})
-        last, ids = None, b""
+        merge, wide = enc._core_bpe.encode_single_piece, zstandard.ZstdDecompressor()
+        memo, bucket = None, None
         for b in batches:
-            out = []
-            for w in b.column("word").to_pylist():
-                if w != last:
-                    last, ids = w, np.asarray(enc._core_bpe.encode_single_piece(w.encode()), "<u4").tobytes()
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([b.column("chunk"), b.column("number"), pa.array(out, pa.binary())],
-                                             names=["chunk", "number", "ids"])
+            for row in b.to_pylist():
+                if row["bucket"] != bucket:
+                    bucket, memo = row["bucket"], Memo(lambda w: np.array(merge(w), "<u4").tobytes(), b"")
+                end = np.cumsum(_unpack(row["sizes"], row["n"]), dtype=np.int64)
+                raw = wide.decompress(row["words"], max_output_size=max(1, int(end[-1]) if len(end) else 1))
+                ids = [memo[raw[i:j]] for i, j in zip([0, *end[:-1]], end)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([row["chunk"]]), pa.array([bucket], pa.int32()), pa.array([row["n"]], pa.int32()),
+                     pa.array([_pack(np.array([len(x) // 4 for x in ids], np.int64))], pa.binary()),
+                     pa.array([_pack(np.frombuffer(b"".join(ids), "<u4"))], pa.binary())],
+                    names=["chunk", "bucket", "n", "sizes", "ids"])
     return run
 
 
@@ -133,36 +170,39 @@ def _gather(values: np.ndarray, offs: np.ndarray, pick: np.ndarray) -> tuple[np.
 def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
     """Ids of the documents of one chunk from its words' ids and positions.
     Chunks that are equal as a whole share their words."""
-    n_words = set(left.column("n_words").to_pylist())
-    number = right.column("number").to_numpy()
-    if len(n_words) != 1 or not set(np.unique(number)) == set(range(n := n_words.pop())):
+    by_bucket = {r["bucket"]: r for r in right.to_pylist()}
+    parts = [by_bucket[i] for i in sorted(by_bucket)]
+    n_words = sum(p["n"] for p in parts)
+    if set(left.column("n_words").to_pylist()) != {n_words}:
         raise ValueError("a chunk differs between the two readings of the table")
-    by_number = np.unique(number, return_index=True)[1]
-    col = right.column("ids").combine_chunks().take(pa.array(by_number))
-    offs = np.concatenate([[0], np.cumsum([len(x) // 4 for x in col.to_pylist()])]).astype(np.int64)
-    values = np.frombuffer(b"".join(col.to_pylist()), "<u4")
-    docs, ids, sizes_out = [], [], []
+    sizes = [_unpack(p["sizes"], p["n"]) for p in parts]
+    values = np.concatenate([np.zeros(0, np.uint32), *(_unpack(p["ids"], int(s.sum())) for p, s in zip(parts, sizes))])
+    offs = np.concatenate([[0], np.cumsum(np.concatenate(sizes), dtype=np.int64)])
+    docs, ids, lengths = [], [], []
     for row in left.to_pylist():
-        sizes = np.asarray(row["sizes"], np.int64)
-        ranked = _unpack(row["ranked"], n) if n else np.zeros(0, np.uint32)
-        pick = ranked[_unpack(row["packed"], int(sizes.sum()))] if n else np.zeros(0, np.int64)
-        flat, end = _gather(values, offs, pick.astype(np.int64))
-        cut = end[np.concatenate([[0], np.cumsum(sizes)])]
+        count = np.asarray(row["sizes"], np.int64)
+        pick = _unpack(row["ranked"], n_words)[_unpack(row["packed"], int(count.sum()))].astype(np.int64)
+        flat, end = _gather(values, offs, pick)
+        cut = end[np.concatenate([[0], np.cumsum(count)])]
         docs.extend(row["docs"])
-        sizes_out.extend(np.diff(cut).tolist())
+        lengths.extend(np.diff(cut).tolist())
         ids.extend(flat[a:b].astype("<u4").tobytes() for a, b in zip(cut[:-1], cut[1:]))
-    return pa.table({"doc_id": pa.array(docs, pa.int64()), "n_tokens": pa.array(sizes_out, pa.int64()), "ids": pa.array(ids, pa.binary())})
+    return pa.table({"doc_id": pa.array(docs, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids": pa.array(ids, pa.binary())})
 
 
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-           chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers."""
-    table = docs.sparkSession.sparkContext.broadcast(load_ranks(ranks_path))
+           chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None) -> DataFrame:
+    """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers.
+    ``buckets`` is the number of groups of words, by default as many as
+    shuffle partitions; a task holds the distinct words of one bucket."""
+    spark = docs.sparkSession
+    table = spark.sparkContext.broadcast(load_ranks(ranks_path))
+    buckets = buckets or min(4096, shuffle_partitions(spark))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    words = rows.mapInArrow(_words(pattern, chunk_bytes), "chunk long, word string, number int")
-    ids = (words.repartition("word").sortWithinPartitions("word")
-           .mapInArrow(_merge_words(table), "chunk long, number int, ids binary"))
-    places = rows.mapInArrow(_positions(pattern, chunk_bytes),
+    words = rows.mapInArrow(_words(pattern, chunk_bytes, buckets), "chunk long, bucket int, n int, sizes binary, words binary")
+    ids = (words.repartition("bucket").sortWithinPartitions("bucket")
+           .mapInArrow(_merge_words(table), "chunk long, bucket int, n int, sizes binary, ids binary"))
+    places = rows.mapInArrow(_positions(pattern, chunk_bytes, buckets),
                              "chunk long, docs array<long>, sizes array<int>, ranked binary, packed binary, n_words int")
     return (places.groupBy("chunk").cogroup(ids.groupBy("chunk"))
             .applyInArrow(_reassemble, "doc_id long, n_tokens long, ids binary"))
