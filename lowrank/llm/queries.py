@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lowrank.llm import bpe, packing, rules, warc
+from lowrank.llm import bpe, fingerprints, packing, rules, secrets, warc
 
 QUERIES = {
+    "op2_fingerprints": fingerprints.op2_fingerprints,
+    "op6_secrets": secrets.op6_secrets,
     "op8_byte_bpe": bpe.op8_byte_bpe,
     "op10_packing": packing.op10_packing,
     "op3_warc": warc.op3_warc,
