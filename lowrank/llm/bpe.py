@@ -37,7 +37,7 @@ from lowrank.llm.segments import Memo, SegmentMemo, pieces
 
 by_value(__name__)
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
