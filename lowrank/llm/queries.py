@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lowrank.llm import bpe, fingerprints, packing, rules, secrets, warc
+from lowrank.llm import bpe, chunks, fingerprints, nearup, packing, rules, secrets, warc
 
 QUERIES = {
+    "op1_substring_dedup": chunks.op1_substring_dedup,
+    "op5_near_duplicates": nearup.op5_near_duplicates,
     "op2_fingerprints": fingerprints.op2_fingerprints,
     "op6_secrets": secrets.op6_secrets,
     "op8_byte_bpe": bpe.op8_byte_bpe,
