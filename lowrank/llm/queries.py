@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from lowrank.llm import bpe, chunks, fingerprints, nearup, packing, rules, secrets, warc
+from lowrank.llm import bpe, chunks, ensemble, fingerprints, nearup, packing, rules, secrets, template, warc
 
 QUERIES = {
+    "op7_html_text": template.op7_html_text,
+    "op9_quality_classifier": ensemble.op9_quality_classifier,
     "op1_substring_dedup": chunks.op1_substring_dedup,
     "op5_near_duplicates": nearup.op5_near_duplicates,
     "op2_fingerprints": fingerprints.op2_fingerprints,

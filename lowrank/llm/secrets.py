@@ -146,7 +146,8 @@ def _scan(frequencies: np.ndarray):
                 spans = base_spans(text)
                 base.append([dict(zip(("start", "kind", "end"), s)) for s in spans])
                 more.append([dict(zip(("start", "end", "stratum", "level"), c)) for c in candidates(text, spans)])
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(base, span), pa.array(more, cand)], names=["doc_id", "base", "more"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("digest"), pa.array(base, span), pa.array(more, cand)],
+                                             names=["doc_id", "digest", "base", "more"])
     return run
 
 
@@ -174,16 +175,17 @@ def control_levels(histogram: dict[tuple[int, int], int], fdr: float = FDR) -> d
 
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = FDR) -> DataFrame:
-    """(doc_id, spans): array of (start, kind, end), kind a number in
-    ``KINDS``, in code points, in order of start and kind."""
+    """(doc_id, digest, spans): hash of the text and an array of (start, kind,
+    end), kind a number in ``KINDS``, in code points, in order of start and kind."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
+                       F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"))
     counts = rows.mapInArrow(_count_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
     frequencies = np.zeros(128)
     for r in counts:
         frequencies[r["byte"]] = r["n"]
     found = save_table(rows.mapInArrow(
-        _scan(frequencies), "doc_id long, base array<struct<start:long,kind:int,end:long>>, "
+        _scan(frequencies), "doc_id long, digest long, base array<struct<start:long,kind:int,end:long>>, "
         "more array<struct<start:long,end:long,stratum:int,level:int>>"), "secrets")
     histogram = found.select(F.explode("more").alias("c")).groupBy("c.stratum", "c.level").count().collect()
     least = control_levels({(r["stratum"], r["level"]): r["count"] for r in histogram}, fdr)
@@ -191,7 +193,34 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     table = F.array(*[F.lit(least.get(i, LEVELS + 1)) for i in range(strata)])
     random = F.transform(F.filter("more", lambda c: c["level"] >= F.get(table, c["stratum"])),
                          lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
-    return found.select("doc_id", F.sort_array(F.concat("base", random)).alias("spans"))
+    return found.select("doc_id", "digest", F.sort_array(F.concat("base", random)).alias("spans"))
+
+
+def _masked(mask: str, names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = b.column("text").to_pylist()
+            for i, spans in enumerate(b.column("__spans").to_pylist()):
+                if spans:
+                    parts, at = [], 0
+                    for s in spans:
+                        if s["start"] >= at:
+                            parts += [out[i][at:s["start"]], mask]
+                        at = max(at, s["end"])
+                    out[i] = "".join([*parts, out[i][at:]])
+            cols = {n: b.column(n) for n in names} | {"text": pa.array(out, pa.string())}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+    return run
+
+
+def mask_secrets(docs: DataFrame, mask: str = "[SECRET]", fdr: float = FDR) -> DataFrame:
+    """``docs`` (doc_id, text, more) with every span replaced by ``mask``;
+    overlapping spans share one.  Rows without spans stay as they are."""
+    found = (find_secrets(docs, fdr=fdr).where(F.size("spans") > 0).groupBy("doc_id", "digest").agg(F.first("spans").alias("__spans"))
+             .select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), "__spans"))
+    same = docs["doc_id"].cast("long").eqNullSafe(found["__id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["__digest"])
+    joined = docs.join(found, same, "left").select(*[docs[f"`{n}`"] for n in docs.columns], "__spans")
+    return joined.mapInArrow(_masked(mask, docs.columns), docs.schema)
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
