@@ -39,7 +39,10 @@ CLASSES = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "symb
            "stop": b".", "comma": b",;:", "space": b" \t\r", "line": b"\n"}
 FEATURES = ("log_bytes", "log_words", "word_bytes", "longest_word", "distinct_words", "top_word", "repeat_pairs", "capital_words",
             "stops_per_word", "lines_per_word", "distinct_lines", *(f"share_{c}" for c in CLASSES))
-HELD_OUT = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def held_out() -> Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
 
 
 def _class_table() -> np.ndarray:
@@ -150,9 +153,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score) of every row of ``docs``."""
     stats = save_table(text_features(docs), "features")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
-    train = stats.where(~HELD_OUT).join(known, "doc_id")
+    train = stats.where(~held_out()).join(known, "doc_id")
     model = fit_rules(save_table(train, "train"))
-    return stats.select("doc_id", F.coalesce(HELD_OUT, F.lit(False)).alias("held_out"), score_column(*model).alias("score"))
+    return stats.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), score_column(*model).alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
