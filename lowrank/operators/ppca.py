@@ -383,7 +383,7 @@ def fit_prepared(prep: Prepared, k: int, max_iter: int = DEFAULT_MAX_ITER,
     sigma_next = None
     if error_metric == "spectral":
         sigma_next = prep.sigma_next if prep.sigma_next is not None else sigma_at(prep, k, rcond)
-    rate = sample_rate if sample_rate is not None else default_sample_rate(n)
+    rate = 1.0 if sample_rate is None else sample_rate      # all rows unless the caller asks for a sample
 
     t0 = time.time()
     c, ss = initial_state(prep, k, oversample, init, seed, rcond)

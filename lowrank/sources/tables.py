@@ -71,11 +71,21 @@ def entries_frame(df: DataFrame, i: str = "i", j: str = "j", v: str = "v", base:
 
 
 def keep_entries(entries: DataFrame, n_cols: int | None) -> DataFrame:
-    """Keep entries inside the width with a non-zero value."""
+    """Keep entries inside the width with a non-zero value.  An entry
+    without an index or a value, or with a negative index (a wrong base),
+    fails the job instead of going missing."""
     cond = F.col("v") != 0
     if n_cols is not None:
         cond = cond & (F.col("j") < n_cols)
-    return entries.where(cond & (F.col("j") >= 0))
+    bad = F.col("i").isNull() | F.col("j").isNull() | F.col("v").isNull() | (F.col("i") < 0) | (F.col("j") < 0)
+    message = F.concat(F.lit("bad matrix entry (empty field or negative index): "),
+                       F.to_json(F.struct("i", "j", "v"), {"ignoreNullFields": "false"}))
+    return entries.where(F.when(bad, F.raise_error(message).cast("boolean")).otherwise(cond))
+
+
+def _extent(largest: int | None) -> int:
+    """Size of an axis from its largest index; no index, no size."""
+    return 0 if largest is None else int(largest) + 1
 
 
 def matrix_from_entries(entries: DataFrame, n_rows: int | None = None, n_cols: int | None = None,
@@ -111,9 +121,9 @@ def matrix_from_entries(entries: DataFrame, n_rows: int | None = None, n_cols: i
         if duplicates == "error" and (shape["dup"] or 0) > 1:
             raise ValueError("duplicate (i, j) entries; pass duplicates='sum' to add them")
         if n_rows is None:
-            n_rows = int(shape["max_i"] or -1) + 1
+            n_rows = _extent(shape["max_i"])
         if n_cols is None:
-            n_cols = int(shape["max_j"] or -1) + 1
+            n_cols = _extent(shape["max_j"])
     return TallMatrix(out, n_cols=n_cols, n_rows=n_rows, kind=SPARSE)
 
 
@@ -148,6 +158,6 @@ def matrix_from_parquet(spark: SparkSession, path: str, n_cols: int | None = Non
                      F.col("values").cast("array<double>"))
     if n_rows is None or n_cols is None:
         shape = rows.agg(F.max("row_id").alias("i"), F.max(F.array_max("indices")).alias("j")).first()
-        n_rows = n_rows if n_rows is not None else int(shape["i"] or -1) + 1
-        n_cols = n_cols if n_cols is not None else int(shape["j"] or -1) + 1
+        n_rows = n_rows if n_rows is not None else _extent(shape["i"])
+        n_cols = n_cols if n_cols is not None else _extent(shape["j"])
     return TallMatrix(rows, n_cols=n_cols, n_rows=n_rows, kind=SPARSE)

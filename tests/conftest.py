@@ -50,6 +50,6 @@ def sample_np():
 @pytest.fixture(scope="session")
 def duck():
     con = duckdb.connect()
-    for t in ("customer", "part", "orders", "lineitem", "embeddings", "events"):
+    for t in ("customer", "part", "orders", "lineitem", "embeddings", "events", "documents", "pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF001}/{t}.parquet')")
     return con
