@@ -84,6 +84,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     places = docs.mapInArrow(_places, "digest long, place long, start int")
     shared = (places.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("last"))
               .where(F.col("first") < F.col("last")).select("digest", "first"))
+    # Stored, so both sides of the join are plain shuffles, which AQE splits at a digest that very many places share.
+    shared = save_table(shared, "shared")
     again = places.join(shared, "digest").where(F.col("place") > F.col("first"))
     return again.groupBy("place").agg(F.collect_list(F.struct("start", "digest")).alias("chunks"))
 
