@@ -11,11 +11,12 @@ Jaccard similarity.  Equal samples in one band of rows make a bucket.
 
 Exact copies are put together first, by digest, so links are sought between
 different texts only.  Members of a bucket are compared with its smallest and
-its largest member (two rows a member, never all pairs), exactly, by weighted
-Jaccard on whole texts.  Verified links give components by label propagation
-with pointer jumping; then, in buckets that still hold several components,
-members are compared with the smallest members of other components, until no
-new pair appears.  Pairs, links and labels stay distributed.
+its largest member (two rows a member), exactly, by weighted Jaccard on whole
+texts, unless their total weights alone put them below the threshold.  Verified
+links give components by label propagation with pointer jumping; then, in buckets that
+still hold several components, the smallest members of the two outermost ones
+are compared with the members of the others, until no new link appears.  Pairs,
+links and labels stay distributed.
 
 Defined cases: null text is empty; texts without words are alike only to
 equal ones (exact copies); rows repeated with one doc_id are one document when
@@ -109,9 +110,11 @@ def _signatures(idf):
             band = np.zeros((len(texts), BANDS), np.uint64)
             for i in range(ROWS):
                 band = mix64(band + s[:, :, i] + np.uint64(1))
-            some = np.bincount(doc, minlength=len(texts)) > 0
+            total = np.bincount(doc, weights=weight, minlength=len(texts))
+            some = total > 0
             bands = pa.array([x.tolist() if y else [] for x, y in zip(band.view(np.int64), some)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column("place"), rows.column("digest"), bands], names=["place", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([rows.column("place"), rows.column("digest"), pa.array(total), bands],
+                                             names=["place", "digest", "total", "bands"])
     return run
 
 
@@ -175,37 +178,44 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     idf = spark.sparkContext.broadcast(inverse_frequencies(texts))      # 2 MiB whatever the corpus
     hashed = texts.withColumn("digest", F.md5("text"))
-    signed = save_table(hashed.mapInArrow(_signatures(idf), "place long, digest string, bands array<long>"), "signatures")
-    members = save_table(signed.select("place", "digest").join(signed.groupBy("digest").agg(F.min("place").alias("owner")), "digest"), "members")
+    signed = save_table(hashed.mapInArrow(_signatures(idf), "place long, digest string, total double, bands array<long>"), "signatures")
+    # What is grouped is stored before it is joined: both sides are plain shuffles then, which AQE splits at a hot key.
+    firsts = save_table(signed.groupBy("digest").agg(F.min("place").alias("owner")), "firsts")
+    members = save_table(signed.select("place", "digest").join(firsts, "digest"), "members")
     # One row per different text; rows of one id with several texts keep the id of each.
     owners = members.where("place = owner").select("owner", "digest").distinct()
     bands = save_table(signed.join(owners, (signed.place == owners.owner) & (signed.digest == owners.digest), "left_semi")
-                       .select("place", F.posexplode("bands").alias("band", "value")).distinct(), "bands")
-    several = bands.groupBy("band", "value").agg(F.min("place").alias("lo"), F.max("place").alias("hi")).where("lo < hi")
-    buckets = save_table(bands.join(several, ["band", "value"]), "buckets")
+                       .select("place", "total", F.posexplode("bands").alias("band", "value")).distinct(), "bands")
+    ends = bands.groupBy("band", "value").agg(F.count("*").alias("n"), F.min(F.struct("place", "total")).alias("lo"), F.max(F.struct("place", "total")).alias("hi"))
+    buckets = save_table(bands.join(save_table(ends.where("lo.place < hi.place"), "ends"), ["band", "value"]), "buckets")
 
     def tidy(pairs: DataFrame) -> DataFrame:
-        return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        # The similarity is at most the ratio of the total weights.
+        able = F.least("tx", "ty") >= F.greatest("tx", "ty") * (threshold - 1e-9)
+        return pairs.where(able & (F.col("x") != F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    to = lambda c: buckets.select(F.col("place").alias("x"), F.col(c).alias("y"))
+    to = lambda c: buckets.select(F.col("place").alias("x"), F.col("total").alias("tx"), F.col(f"{c}.place").alias("y"), F.col(f"{c}.total").alias("ty"))
     pairs = save_table(tidy(to("lo").union(to("hi"))), "pairs")
-    tried, links, labels = pairs, None, None
-    while not pairs.isEmpty():
-        found = save_table(verify(pairs, texts, idf, threshold), "links")
-        links = found if links is None else links.union(found)
-        labels = components(links)
+    tried, links = pairs, save_table(verify(pairs, texts, idf, threshold), "links")
+    labels = components(links)
+    while True:
         named = buckets.join(labels.select(F.col("node").alias("place"), "label"), "place", "left").withColumn("label", F.coalesce("label", "place"))
-        # Of each component in a bucket its smallest member meets the other components' members.
-        parts = named.groupBy("band", "value", "label").agg(F.min("place").alias("y"))
-        ends = parts.groupBy("band", "value").agg(F.min_by("y", "label").alias("y1"), F.max_by("y", "label").alias("y2"),
-                                                  F.min("label").alias("l1"), F.max("label").alias("l2")).where("l1 < l2")
-        met = named.join(ends, ["band", "value"])
-        more = met.where("label <> l1").select(F.col("place").alias("x"), F.col("y1").alias("y")).union(
-            met.where("label <> l2").select(F.col("place").alias("x"), F.col("y2").alias("y")))
-        pairs = save_table(tidy(more).join(tried, ["a", "b"], "left_anti"), "pairs")
+        named = save_table(named.select("place", "total", "band", "value", "label"), "named")
+        # Of the outermost components in a bucket the smallest members meet the other components' members.
+        parts = named.groupBy("band", "value", "label").agg(F.min(F.struct("place", "total")).alias("y"))
+        outer = parts.groupBy("band", "value").agg(F.min(F.struct("label", "y")).alias("c1"), F.max(F.struct("label", "y")).alias("c2"))
+        met = named.join(save_table(outer.where("c1.label < c2.label"), "outer"), ["band", "value"])
+        meets = lambda c: met.where(F.col("label") != F.col(f"{c}.label")).select(
+            F.col("place").alias("x"), F.col("total").alias("tx"), F.col(f"{c}.y.place").alias("y"), F.col(f"{c}.y.total").alias("ty"))
+        pairs = save_table(tidy(meets("c1").union(meets("c2"))).join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            break
         tried = tried.union(pairs)
-    if labels is None:
-        return members.select(_id("place").alias("doc_id"), _id("owner").alias("class_id"), F.lit(0).cast("long").alias("n_links"))
+        found = save_table(verify(pairs, texts, idf, threshold), "links")
+        if found.isEmpty():
+            break                               # the components stay as they are, so no other members would meet
+        links = links.union(found)
+        labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     known = labels.join(degree, "node").withColumnRenamed("node", "owner")
     out = members.join(known, "owner", "left")
