@@ -104,6 +104,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(int(want)) if want > parts else df
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write ``df`` once under the shared ``spark.checkpoint.dir`` and read it back."""
+    path = os.path.join(ensure_checkpoint_dir(df.sparkSession), "tables", uuid.uuid4().hex)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lowrank_path = path
+    return out
+
+
 def materialize(df: DataFrame, cut_lineage: bool | None = None, partitions: int | None = None) -> DataFrame:
     """Pin a DataFrame that an iterative job reads many times.
 
@@ -120,20 +129,22 @@ def materialize(df: DataFrame, cut_lineage: bool | None = None, partitions: int
     if cut_lineage is None:
         cut_lineage = has_exchange(df) and "RoundRobinPartitioning" not in _plan(df)
     if cut_lineage:
-        spark = df.sparkSession
-        path = os.path.join(ensure_checkpoint_dir(spark), "tables", uuid.uuid4().hex)
-        df.write.parquet(path)
-        out = spark.read.parquet(path)
-        _WRITTEN[id(out)] = path
-        return out
-    return df.persist(StorageLevel.MEMORY_AND_DISK)
+        return store(df)
+    if df.storageLevel != StorageLevel.NONE:
+        return df                               # pinned by the caller, who unpersists it
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df._lowrank_pinned = True
+    return df
 
 
 def release(df: DataFrame) -> None:
-    """Undo ``materialize``: unpersist, or delete the written table."""
-    path = _WRITTEN.pop(id(df), None)
+    """Undo ``materialize``: unpersist what it pinned, or delete the table it
+    wrote; a DataFrame that the caller pinned stays as it is."""
+    path = getattr(df, "_lowrank_path", None)
     if path is None:
-        df.unpersist()
+        if getattr(df, "_lowrank_pinned", False):
+            df.unpersist()
+            df._lowrank_pinned = False
         return
     try:
         jvm = df.sparkSession._jvm
@@ -141,6 +152,3 @@ def release(df: DataFrame) -> None:
         hpath.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(hpath, True)
     except Exception:  # pragma: no cover - leave it to the folder's retention
         pass
-
-
-_WRITTEN: dict[int, str] = {}

@@ -17,11 +17,12 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import coo_line, dense_line, lil_line, parse_dense
 from ..matrix import DENSE, TallMatrix
+from ..session import store
 from .tables import entries_frame, matrix_from_entries, sparse_from_dense
 
 FORMATS = ("DENSE", "LIL", "COO")
@@ -48,15 +49,38 @@ def read_coo_text(spark: SparkSession, path: str, base: int = 0, n_rows: int | N
                                n_rows=n_rows, n_cols=n_cols, duplicates=duplicates)
 
 
+def number_lines(lines: DataFrame) -> DataFrame:
+    """Lines with ``file`` and ``block`` (the split's byte offset), stored once
+    with ``pos``, which counts up by one inside each split."""
+    return store(lines.withColumn("pos", F.monotonically_increasing_id()))
+
+
+def with_offsets(lines: DataFrame) -> DataFrame:
+    """``number_lines`` rows with ``line``, counted from 0 inside each file, and
+    ``file_start``, the number of lines of the files before by name.
+
+    The offsets are running sums over one row per split (by file) and one row
+    per file, stored so that Spark knows their size when it picks the join:
+    the lines move only where the offsets are too large to broadcast.
+    """
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.withColumn("start", F.coalesce(F.sum("n").over(before.partitionBy("file").orderBy("block")), F.lit(0)))
+    files = splits.groupBy("file").agg(F.sum("n").alias("m"))
+    files = files.select("file", F.coalesce(F.sum("m").over(before.orderBy("file")), F.lit(0)).alias("file_start"))
+    offsets = store(starts.join(files, "file").select("file", "block", "start", "first", "file_start"))
+    return (lines.join(offsets, ["file", "block"])
+            .withColumn("line", F.col("start") + F.col("pos") - F.col("first")).drop("start", "first", "pos"))
+
+
 def read_dense_text(spark: SparkSession, path: str, n_cols: int | None = None,
                     bad_rows: str = "error") -> TallMatrix:
     """DENSE text file or folder -> dense row matrix with consecutive
     ``row_id`` (0-based) in file-name order, then line order.
 
-    Each input split is a chunk ``(file, block start)``.  One small job
-    counts lines and row widths per chunk (one row per chunk is collected,
-    not the data); the driver turns the counts into offsets, and every line
-    gets ``offset + its position inside the chunk``.
+    Lines are read once, into a stored table with their place inside their
+    input split; split offsets are sums over that same table, so row ids do
+    not depend on how a later job would split the files.
 
     A bad row has a token that is not a number or, with ``n_cols`` given,
     fewer than ``n_cols`` values (longer rows keep their first ``n_cols``).
@@ -79,30 +103,13 @@ def read_dense_text(spark: SparkSession, path: str, n_cols: int | None = None,
         if n_bad:
             warnings.warn(f"dropped {n_bad} bad DENSE rows from {path}")
         raw = raw.where(~bad)
-    lines = raw.withColumn("pos", F.monotonically_increasing_id())
-    width = F.size(F.split(F.trim(F.col("value")), r"\s+"))
-    chunks = (lines.groupBy("file", "block")
-              .agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"),
-                   F.min(width).alias("lo"), F.max(width).alias("hi"),
-                   F.sum(F.when(bad, 1).otherwise(0)).alias("bad"))
-              .collect())
-    n_bad = sum(int(r["bad"] or 0) for r in chunks)
+    lines = number_lines(raw.select("file", "block", F.size(parsed).alias("width"), parsed.alias("features"), bad.alias("bad")))
+    n_rows, lo, hi, n_bad = lines.agg(F.count("*"), F.min("width"), F.max("width"), F.count_if("bad")).first()
     if n_bad:
         raise ValueError(f"{n_bad} bad DENSE rows in {path}; pass bad_rows='drop' to leave them out")
-    chunks.sort(key=lambda r: (r["file"], r["block"]))
-    offsets, start = [], 0
-    for r in chunks:
-        offsets.append((r["file"], int(r["block"]), start, int(r["first"])))
-        start += int(r["n"])
-    n_rows = start
-    off = spark.createDataFrame(offsets or [("", 0, 0, 0)], "file string, block long, start long, first long")
-    # one row per input split: bounded by the number of scan partitions
-    rows = (lines.join(F.broadcast(off), ["file", "block"])
-            .select((F.col("start") + F.col("pos") - F.col("first")).alias("row_id"),
-                    parse_dense("value").alias("features")))
+    rows = with_offsets(lines).select((F.col("file_start") + F.col("line")).alias("row_id"), "features")
     if n_cols is None:
-        lo = min((int(r["lo"]) for r in chunks), default=0)
-        hi = max((int(r["hi"]) for r in chunks), default=0)
+        lo, hi = lo or 0, hi or 0
         if lo != hi:
             raise ValueError(f"DENSE rows have widths {lo}..{hi}")
         n_cols = hi

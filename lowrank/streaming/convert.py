@@ -17,7 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.arrays import parse_dense
 from ..session import ensure_checkpoint_dir
-from ..sources.text import parse_coo_lines
+from ..sources.text import number_lines, parse_coo_lines, with_offsets
 
 
 def _checkpoint(spark: SparkSession, name: str, checkpoint: str | None) -> str:
@@ -42,22 +42,9 @@ def coo_folder_to_parquet(spark: SparkSession, src: str, dst: str, base: int = 0
 
 def _number_lines(batch):
     """(file, line, features): ``line`` counts non-blank lines inside each
-    file.  Splits of a file are ordered by byte offset; one row per split
-    reaches the driver, not the data."""
-    spark = batch.sparkSession
-    lines = batch.withColumn("pos", F.monotonically_increasing_id())
-    chunks = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first")).collect()
-    chunks.sort(key=lambda r: (r["file"], r["block"]))
-    offsets, start, last = [], 0, None
-    for r in chunks:
-        if r["file"] != last:
-            start, last = 0, r["file"]
-        offsets.append((r["file"], int(r["block"]), start, int(r["first"])))
-        start += int(r["n"])
-    off = spark.createDataFrame(offsets or [("", 0, 0, 0)], "file string, block long, start long, first long")
-    return (lines.join(F.broadcast(off), ["file", "block"])
-            .select("file", (F.col("start") + F.col("pos") - F.col("first")).alias("line"),
-                    parse_dense("value").alias("features")))
+    file.  Splits of a file are ordered by byte offset."""
+    lines = number_lines(batch.select("file", "block", parse_dense("value").alias("features")))
+    return with_offsets(lines).select("file", "line", "features")
 
 
 def dense_folder_to_parquet(spark: SparkSession, src: str, dst: str, checkpoint: str | None = None,

@@ -2,7 +2,9 @@
 
 import pytest
 
-from lowrank.sources.tables import entries_frame, matrix_from_entries
+from lowrank.operators.ppca import ppca_fit
+from lowrank.sources.tables import entries_frame, matrix_from_array, matrix_from_entries
+from lowrank.sources.text import read_dense_text
 
 
 def test_one_row_and_one_column(spark):
@@ -17,3 +19,27 @@ def test_bad_entries_fail(spark, row):
     df = entries_frame(spark.createDataFrame([(2, 2, 1.0), row], "i long, j int, v double"), base=1)
     with pytest.raises(Exception, match="bad matrix entry"):
         matrix_from_entries(df)
+
+
+def test_dense_rows_survive_other_splits(spark, tmp_path):
+    """Row ids and rows stay when the splits change between reading and use."""
+    for part in range(2):
+        (tmp_path / f"part-{part}.txt").write_text("".join(f"{part * 1000 + i} {i % 7}\n\n" for i in range(1000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2k")
+        m = read_dense_text(spark, str(tmp_path))
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "7k")
+        rows = {r["row_id"]: r["features"] for r in m.df.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert m.n_rows == 2000
+    assert rows == {i: [float(i), float(i % 1000 % 7)] for i in range(2000)}
+
+
+def test_a_cached_input_stays_cached(spark):
+    df = spark.createDataFrame([(i, [float(i % 5), float(i % 3), 1.0 * i]) for i in range(60)], "id long, f array<double>").persist()
+    df.count()
+    ppca_fit(matrix_from_array(df, "f", "id"), k=1, seed=1)
+    assert df.storageLevel.useMemory
+    df.unpersist()

@@ -1,17 +1,21 @@
 """Registered plans against their SQL twins (DuckDB) at sf0.001."""
 
+import pandas as pd
 import pytest
 
 import __spark_entry__ as entry_mod
 from conftest import SF001
+from lowrank.plans.queries import QUERIES as OWN
 
 SQL = entry_mod.oracle_sql()
 QUERIES = entry_mod.queries()
 
 
 def _norm(df):
+    """Rows as text; a null is one value whatever pandas type its column has."""
     df = df[sorted(df.columns)]
-    return sorted(tuple(repr(v) for v in row) for row in df.itertuples(index=False, name=None))
+    return sorted(tuple("null" if v is None or v is pd.NA or (isinstance(v, float) and v != v) else repr(v) for v in row)
+                  for row in df.itertuples(index=False, name=None))
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -24,7 +28,7 @@ def test_plan_matches_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_invariant_test():
-    no_sql = set(QUERIES) - set(SQL)
+    no_sql = set(OWN) - set(SQL)
     assert no_sql == {"sketch_svd", "ppca_fit", "ppca_project", "spectral_error", "sparse_ppca_fit",
                       "ppca_trials"}
 
