@@ -29,6 +29,7 @@ class TallMatrix:
     n_cols: int
     n_rows: int | None = None     # None: dense, counted by the first pass that needs it
     kind: str = DENSE
+    cells: DataFrame | None = None    # sparse: the entries (i, j, v) the rows were grouped from, where known
 
     def __post_init__(self):
         if self.kind not in (DENSE, SPARSE):
@@ -47,7 +48,7 @@ class TallMatrix:
         return self.df.sparkSession
 
     def with_df(self, df: DataFrame) -> "TallMatrix":
-        return replace(self, df=df)
+        return replace(self, df=df, cells=None)
 
     def with_rows(self, n_rows: int) -> "TallMatrix":
         return replace(self, n_rows=int(n_rows))
@@ -59,6 +60,8 @@ class TallMatrix:
     def entries(self) -> DataFrame:
         """Coordinate form ``(i BIGINT, j INT, v DOUBLE)``; zeros of a dense
         matrix are kept (they are values of the dense layout)."""
+        if self.cells is not None:
+            return self.cells
         if self.is_sparse:
             return (self.df
                     .select(F.col("row_id").alias("i"),

@@ -62,7 +62,10 @@ class Block:
         if self.is_dense:
             return self.dense.T @ x
         out = np.zeros((self.d, x.shape[1]))
-        _scatter_rows(out, self.indices, self.values[:, None] * x[self.row_of])
+        cols, at = np.unique(self.indices, return_inverse=True)      # only the columns present
+        part = np.zeros((cols.size, x.shape[1]))
+        _scatter_rows(part, at, self.values[:, None] * x[self.row_of])
+        out[cols] = part
         return out
 
     def col_sum(self) -> np.ndarray:
@@ -155,24 +158,27 @@ def _input_columns(m: TallMatrix) -> list[str]:
     return ["row_id", "features"] if not m.is_sparse else ["row_id", "indices", "values"]
 
 
-# Kernel tasks per task slot when the input has more partitions than that.
-TASKS_PER_SLOT = 2
+# Input of one kernel task, and how many times its partial it should be.
+KERNEL_TASK_BYTES = 256 << 20
+INPUT_PER_PARTIAL = 8
+# Up to this many tasks are left as they are.
+FREE_TASKS = 1024
 
 
-def kernel_input(m: TallMatrix) -> DataFrame:
-    """The rows a summing kernel reads, with at most TASKS_PER_SLOT tasks per
-    slot: each task emits one d x q partial (or one R factor), so the
-    shuffled partials scale with the cluster, not with the number of input
-    splits.  ``coalesce`` merges splits inside a task without a shuffle."""
-    from ..session import num_partitions
+def kernel_input(m: TallMatrix, partial_bytes: int = 0) -> DataFrame:
+    """The rows a summing kernel reads.  Each task emits one partial (d x q
+    sums, or an R factor), so past FREE_TASKS splits are merged without a
+    shuffle until a task reads KERNEL_TASK_BYTES, or INPUT_PER_PARTIAL times
+    its partial: the shuffled partials stay a fraction of the input, and the
+    size of a task does not depend on the slots there happen to be."""
+    from ..session import num_partitions, plan_size_bytes
     df = m.df.select(*_input_columns(m))
-    try:
-        slots = m.spark.sparkContext.defaultParallelism
-    except Exception:  # pragma: no cover
-        return df
     n = num_partitions(df)
-    target = TASKS_PER_SLOT * slots
-    return df.coalesce(target) if n is not None and n > target else df
+    if n is None or n <= FREE_TASKS:
+        return df
+    per_task = max(KERNEL_TASK_BYTES, INPUT_PER_PARTIAL * partial_bytes)
+    want = max(FREE_TASKS, -(-plan_size_bytes(df) // per_task))
+    return df.coalesce(int(want)) if n > want else df
 
 
 def partial_schema(width: int = BLOCK_WIDTH) -> T.StructType:
@@ -307,11 +313,15 @@ def map_rows(m: TallMatrix, fn: Callable[[Block], np.ndarray], out_width: int,
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            res = np.ascontiguousarray(fn(to_block(batch, kind, d)), dtype=np.float64)
-            offsets = np.arange(0, res.size + 1, out_width, dtype=np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(res.ravel()),
-                                             type=arrow_schema.field(out_col).type)
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), lists], schema=arrow_schema)
+            block, lo = to_block(batch, kind, d), 0
+            # Row ranges bound what a kernel densifies and what it returns.
+            for part in block.chunks(CHUNK_CELLS * d // max(d, out_width)):
+                res = np.ascontiguousarray(fn(part), dtype=np.float64)
+                offsets = np.arange(0, res.size + 1, out_width, dtype=np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(res.ravel()),
+                                                 type=arrow_schema.field(out_col).type)
+                yield pa.RecordBatch.from_arrays([batch.column("row_id").slice(lo, part.n), lists], schema=arrow_schema)
+                lo += part.n
 
     return m.df.select(*_input_columns(m)).mapInArrow(run, out_schema)
 
@@ -373,7 +383,7 @@ def tsqr(m: TallMatrix, rows_fn: Callable[[Block], np.ndarray], width: int,
 
     fan_in = max(2, TSQR_GROUP_BYTES // max(1, width * width * 8))
     from ..session import num_partitions
-    source = kernel_input(m)
+    source = kernel_input(m, width * width * 8)
     level = source.mapInArrow(run, schema)
     n = num_partitions(source)
     if n is None:
@@ -403,7 +413,7 @@ def sums_and_r(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarray]],
     from pyspark import TaskContext
 
     from ..session import num_partitions
-    source = kernel_input(m)
+    source = kernel_input(m, width * width * 8)
     n_tasks = num_partitions(source)
     if n_tasks is None or n_tasks * width * width * 8 > TSQR_GROUP_BYTES:
         return None
@@ -536,7 +546,7 @@ def centred_tsqr(m: TallMatrix) -> tuple[int, np.ndarray, np.ndarray]:
                              "vals": out.column(2).to_pylist()})
 
     fan_in = max(2, TSQR_GROUP_BYTES // max(1, (d * d + d + 1) * 8))
-    source = kernel_input(m)
+    source = kernel_input(m, d * d * 8)
     level = source.mapInArrow(run, schema)
     n = num_partitions(source)
     if n is None:

@@ -22,6 +22,8 @@ from .blocks import BLOCK_WIDTH, Block, _merge_state, centred_tsqr, partial_sums
 # Exact-spectrum route (d x d R factor or Gram) when d is at most this;
 # otherwise power iteration.
 MAX_GRAM_COLS = 4096
+# Passes after which a power iteration that has not converged fails.
+MAX_POWER_PASSES = 1000
 # Largest d x q model the driver is asked to hold (doubles).
 MAX_DRIVER_DOUBLES = 64 * 1024 * 1024
 
@@ -178,19 +180,20 @@ def _subspace_iteration(m: TallMatrix, q: int, mean: np.ndarray, p: np.ndarray |
     v, _ = np.linalg.qr(deflate(v0))
     prev = None
     w = np.zeros(b)
-    for _ in range(iters):
+    for step in range(iters):
         z = deflate(gram_apply(m, v, mean))
         h = v.T @ z
         w = np.sort(np.clip(np.linalg.eigvalsh((h + h.T) / 2), 0.0, None))[::-1]
         v, _ = np.linalg.qr(z)
-        if prev is not None and np.allclose(w[:q], prev[:q], rtol=tol, atol=0):
-            break
+        floor = np.finfo(float).eps * d * (w[0] if w.size else 0.0)       # a value at rounding level has converged
+        if prev is not None and np.allclose(w[:q], prev[:q], rtol=tol, atol=floor):
+            return w[:q], v
         prev = w
-    return w[:q], v
+    raise RuntimeError(f"singular values not converged to {tol} in {iters} passes; raise iters or tol")
 
 
 def residual_spectral_norm_power(m: TallMatrix, p: np.ndarray, mean: np.ndarray,
-                                 iters: int = 50, tol: float = 1e-7, seed: int = 0,
+                                 iters: int = MAX_POWER_PASSES, tol: float = 1e-7, seed: int = 0,
                                  start: np.ndarray | None = None) -> tuple[float, np.ndarray]:
     """L5 for wide matrices: ||A (I - P P')||_2 by subspace iteration;
     returns the norm and the block to warm-start the next round with."""
@@ -198,7 +201,7 @@ def residual_spectral_norm_power(m: TallMatrix, p: np.ndarray, mean: np.ndarray,
     return float(np.sqrt(w[0])), v
 
 
-def top_singular_values_power(m: TallMatrix, q: int, mean: np.ndarray, iters: int = 50,
+def top_singular_values_power(m: TallMatrix, q: int, mean: np.ndarray, iters: int = MAX_POWER_PASSES,
                               tol: float = 1e-9, seed: int = 0) -> np.ndarray:
     """Largest ``q`` singular values of A by subspace iteration on A'A
     (wide d): d x (q + 8) on the driver, one pass per step."""
@@ -300,10 +303,11 @@ def sketch_matrix(d: int, width: int, seed: int) -> np.ndarray:
 
 
 def sketch_svd(m: TallMatrix, width: int, mean: np.ndarray, seed: int,
-               rcond: float = 1e-5, method: str = "tsqr", r_summary: np.ndarray | None = None) -> SketchResult:
+               rcond: float = 1e-5, method: str = "tsqr", r_summary: np.ndarray | None = None,
+               omega: np.ndarray | None = None) -> SketchResult:
     """Randomised SVD of the centred matrix A.
 
-    B = A Omega (L1, Omega seeded N(0,1), d x width).  ``tsqr`` (default):
+    B = A Omega (L1, Omega seeded N(0,1), d x width, unless given).  ``tsqr`` (default):
     pass 1 is a tall-skinny QR of B (L2); on the driver R = U S V', keep
     S > rcond * S_max (rank-revealing, B7) and T = V S^-1, so Q = B T has
     orthonormal columns; pass 2 sums B'A (A8) and Q'A = T' B'A.
@@ -315,7 +319,7 @@ def sketch_svd(m: TallMatrix, width: int, mean: np.ndarray, seed: int,
     SVD of the small Q'A gives the approximate right singular vectors (L4).
     """
     d = m.n_cols
-    omega = sketch_matrix(d, width, seed)            # S5
+    omega = sketch_matrix(d, width, seed) if omega is None else np.asarray(omega, dtype=np.float64)      # S5
     if method == "summary":
         return sketch_from_omega(r_summary, omega, rcond)
     if method == "tsqr":

@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.arrays import hash_uniform
 from ..matrix import TallMatrix
 from ..session import has_exchange, materialize, release
 from .blocks import Block, partial_sums
@@ -26,7 +27,7 @@ from .linalg import (MAX_GRAM_COLS, canonical_signs, centred_summary, cross_stat
                      r_factor,
                      residual_spectral_norm_power, residual_spectral_norm_r, singular_values_from_r,
                      sketch_matrix, sketch_svd, summary_and_sketch, top_singular_values_power)
-from .rows import default_sample_rate, project, row_sample
+from .rows import project, row_sample
 from .stats import column_summary
 
 # Fixed defaults of the fit (values of the original job's options).
@@ -245,9 +246,9 @@ def l1_error(m: TallMatrix, mean: np.ndarray, w: np.ndarray, c: np.ndarray, rate
     sample = row_sample(m, rate, salt)
     out = partial_sums(sample, kernel, {"res": (d,), "base": (d,)})
     base = out["base"].max()
-    if m.is_sparse and rate >= 1.0 and m.n_rows > 0:
-        # absent all-zero rows: a = -mean, residual = -(mean W) C' + mean
-        absent = _absent_rows(m)
+    if m.is_sparse and m.n_rows > 0:
+        # absent all-zero rows in the sample: a = -mean, residual = -(mean W) C' + mean
+        absent = _absent_rows(m) if rate >= 1.0 else _sampled_ids(m, rate, salt) - sample.df.count()
         if absent:
             a = -mu[None, :]
             out["res"] += absent * np.abs((a @ w) @ c.T - a)[0]
@@ -256,6 +257,12 @@ def l1_error(m: TallMatrix, mean: np.ndarray, w: np.ndarray, c: np.ndarray, rate
     return None if base == 0 else float(out["res"].max() / base)
 
 
+def _sampled_ids(m: TallMatrix, rate: float, salt: str) -> int:
+    """How many of the row ids 0 .. n_rows - 1 the hashed sample takes."""
+    ids = m.spark.range(m.n_rows).withColumnRenamed("id", "row_id")
+    return ids.where(hash_uniform("row_id", salt) < F.lit(float(rate))).count()
+
+
 def _absent_rows(m: TallMatrix) -> int:
     return max(0, m.n_rows - m.df.count())
 
@@ -292,10 +299,16 @@ def residual_sq(m: TallMatrix, w: np.ndarray, c: np.ndarray, mean: np.ndarray) -
     return float(s)
 
 
-def em_round(prep: Prepared, c: np.ndarray, ss: float, exact_ss: bool = False) -> dict:
+# Share of the centred norm under which the difference of three large sums
+# has lost too many digits of the noise variance.
+CANCELLED = 1e-6
+
+
+def em_round(prep: Prepared, c: np.ndarray, ss: float, exact_ss: bool | None = None) -> dict:
     """M3: one EM round from (C, ss); returns new C, ss and the E-step
-    pieces.  One distributed pass (none on the R-factor route); with
-    ``exact_ss`` a second pass sums the residual directly for ss."""
+    pieces.  One distributed pass (none on the R-factor route).  A second
+    pass sums the residual directly for ss when the measured cancellation is
+    large (None), always (True) or never (False)."""
     n, d = prep.matrix.n_rows, prep.matrix.n_cols
     k = c.shape[1]
     sx = _inv(c.T @ c + ss * np.eye(k))                 # Sx = (C'C + ss I)^-1
@@ -314,11 +327,11 @@ def em_round(prep: Prepared, c: np.ndarray, ss: float, exact_ss: bool = False) -
         # the same value without the cancellation of three large terms
         resid = prep.r - (prep.r @ w) @ c_new.T
         ss_new = (float(np.sum(resid * resid)) + n * ss * float(np.trace(sx @ ctc))) / (float(n) * float(d))
-    elif exact_ss:
-        resid2 = residual_sq(prep.matrix, w, c_new, prep.mean)
-        ss_new = (resid2 + n * ss * float(np.trace(sx @ ctc))) / (float(n) * float(d))
     else:
-        ss_new = (prep.norm2 + ss2 - 2.0 * cross) / (float(n) * float(d))   # B4: float
+        total = prep.norm2 + ss2 - 2.0 * cross
+        if exact_ss or (exact_ss is None and total <= CANCELLED * prep.norm2):
+            total = residual_sq(prep.matrix, w, c_new, prep.mean) + n * ss * float(np.trace(sx @ ctc))
+        ss_new = total / (float(n) * float(d))          # B4: float
     return {"c": c_new, "ss": ss_new, "w": w, "xtx": xtx, "ytx": st.ytx, "cross": cross}
 
 
@@ -369,7 +382,7 @@ def fit_prepared(prep: Prepared, k: int, max_iter: int = DEFAULT_MAX_ITER,
                  oversample: int = DEFAULT_OVERSAMPLE, init="sketch", error_metric: str = "spectral",
                  seed: int = 0, tol: float = DEFAULT_TOL, target_error: float | None = None,
                  rcond: float = DEFAULT_RCOND, sample_rate: float | None = None,
-                 dataset: str = "Untitled", exact_ss: bool = False, rotate: bool = False) -> PpcaModel:
+                 dataset: str = "Untitled", exact_ss: bool | None = None, rotate: bool = False) -> PpcaModel:
     """M4: the EM loop on prepared data; each round is one Spark job."""
     m = prep.matrix
     d, n = m.n_cols, m.n_rows
@@ -435,15 +448,15 @@ def ppca_fit(m: TallMatrix, k: int, max_iter: int = DEFAULT_MAX_ITER,
              rcond: float = DEFAULT_RCOND, sample_rate: float | None = None,
              dataset: str = "Untitled", cut_lineage: bool | None = None,
              strategy: str = "auto", partitions: int | None = None,
-             exact_ss: bool = False, save_sketch_to: str | None = None,
+             exact_ss: bool | None = None, save_sketch_to: str | None = None,
              rotate_to_data: bool = False) -> PpcaModel:
     """Fit probabilistic PCA with k components to the rows of ``m``.
 
     ``strategy='summary'`` works on the R factor (two passes in all),
     ``'passes'`` reads the pinned rows once per round, ``'auto'`` picks
-    (see ``use_summary``).  ``exact_ss`` (passes route) spends a second pass
-    per round to sum the residual directly, avoiding the cancellation of
-    the one-pass noise-variance formula on data with large norms.
+    (see ``use_summary``).  ``exact_ss`` (passes route): whether a second pass
+    per round sums the residual directly; by default it does where the
+    one-pass noise variance would lose digits (data with large norms).
     ``rotate_to_data`` orders the components by the variance of their
     scores (B21) and fills ``explained_variance``."""
     k, s = clamp_rank(k, m.n_cols, oversample)

@@ -8,11 +8,13 @@ right-hand matrix captured in the closure (the broadcast side, d x k).
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import center, hash_uniform
 from ..matrix import DENSE, TallMatrix
+from ..sources.tables import dense_from_sparse, with_absent_rows
 from .blocks import Block, map_rows
 from .linalg import check_driver_size
 
@@ -23,13 +25,13 @@ MAX_LITERAL_COLS = 4096
 
 
 def center_rows(m: TallMatrix, mean: np.ndarray) -> TallMatrix:
-    """Dense centred rows y - ym (sparse input is densified per row)."""
+    """Dense centred rows y - ym (sparse input is densified per row, absent
+    rows included)."""
     mu = np.asarray(mean, dtype=np.float64)
     if m.n_cols > MAX_LITERAL_COLS:
-        out = map_rows(m, lambda b: b.to_dense() - mu, m.n_cols, "features")
+        out = map_rows(with_absent_rows(m), lambda b: b.to_dense() - mu, m.n_cols, "features")
         return TallMatrix(out, n_cols=m.n_cols, n_rows=m.n_rows, kind=DENSE)
     if m.is_sparse:
-        from ..sources.tables import dense_from_sparse
         m = dense_from_sparse(m)
     out = m.df.select("row_id", center("features", mu).alias("features"))
     return TallMatrix(out, n_cols=m.n_cols, n_rows=m.n_rows, kind=DENSE)
@@ -52,7 +54,8 @@ def default_sample_rate(n_rows: int) -> float:
 def project(m: TallMatrix, w: np.ndarray, mean: np.ndarray | None = None,
             out_col: str = "values") -> DataFrame:
     """``(row_id, values)`` with values = (y - mean) W, or y W
-    when ``mean`` is None (the reference's projected matrix is uncentred)."""
+    when ``mean`` is None (the reference's projected matrix is uncentred);
+    absent rows of a sparse matrix have a projection too."""
     w = np.asarray(w, dtype=np.float64)
     check_driver_size(*w.shape, "projection matrix")
     shift = None if mean is None else np.asarray(mean, dtype=np.float64) @ w
@@ -61,7 +64,7 @@ def project(m: TallMatrix, w: np.ndarray, mean: np.ndarray | None = None,
         x = block.matmul(w)
         return x if shift is None else x - shift
 
-    return map_rows(m, fn, w.shape[1], out_col)
+    return map_rows(with_absent_rows(m), fn, w.shape[1], out_col)
 
 
 def back_project(x: TallMatrix, c: np.ndarray, out_col: str = "values") -> DataFrame:
@@ -75,7 +78,7 @@ def reconstruct(m: TallMatrix, v: np.ndarray, mean: np.ndarray, out_col: str = "
     """Centred rows projected on span(V): (A V) V' (never d x d)."""
     v = np.asarray(v, dtype=np.float64)
     mu = np.asarray(mean, dtype=np.float64)
-    return map_rows(m, lambda b: ((b.to_dense() - mu) @ v) @ v.T, v.shape[0], out_col)
+    return map_rows(with_absent_rows(m), lambda b: ((b.to_dense() - mu) @ v) @ v.T, v.shape[0], out_col)
 
 
 def residual_rows(m: TallMatrix, w: np.ndarray, c: np.ndarray, mean: np.ndarray,
@@ -90,7 +93,7 @@ def residual_rows(m: TallMatrix, w: np.ndarray, c: np.ndarray, mean: np.ndarray,
         a = block.to_dense() - mu
         return a - (a @ w) @ c.T
 
-    return map_rows(m, fn, m.n_cols, out_col)
+    return map_rows(with_absent_rows(m), fn, m.n_cols, out_col)
 
 
 def explode_values(df: DataFrame, col: str = "values", index: str = "j", value: str = "value") -> DataFrame:
@@ -105,27 +108,25 @@ def as_matrix(df: DataFrame, width: int, n_rows: int, col: str = "values") -> Ta
                       n_rows=n_rows, kind=DENSE)
 
 
-# Largest d x k matrix shipped as a broadcast table (rows); above it the
-# closure-captured Arrow kernel is the only route.
+# Largest d x k matrix shipped as a broadcast table (cells); above it the
+# relational forms join by shuffle.
 MAX_BROADCAST_CELLS = 1 << 20
 
 
 def weights_frame(spark, w: np.ndarray) -> DataFrame:
-    """A small d x k matrix as rows ``(j INT, p INT, w DOUBLE)``, zeros dropped."""
-    d, k = w.shape
-    if d * k > MAX_BROADCAST_CELLS:
-        raise ValueError(f"{d} x {k} weights exceed the broadcast bound {MAX_BROADCAST_CELLS}")
-    data = [(int(j), int(p), float(w[j, p])) for j in range(d) for p in range(k) if w[j, p] != 0.0]
-    return spark.createDataFrame(data, "j int, p int, w double")
+    """A d x k matrix as rows ``(j INT, p INT, w DOUBLE)``, zeros dropped:
+    broadcast up to MAX_BROADCAST_CELLS, else a table Spark joins by shuffle."""
+    j, p = np.nonzero(w)
+    table = pa.table({"j": pa.array(j, pa.int32()), "p": pa.array(p, pa.int32()), "w": w[j, p]})
+    frame = spark.createDataFrame(table, "j int, p int, w double")
+    return F.broadcast(frame) if w.size <= MAX_BROADCAST_CELLS else frame
 
 
 def project_entries(m: TallMatrix, w: np.ndarray) -> DataFrame:
-    """P5 in relational form (J3): entries joined to the broadcast weights on
-    the column index, summed per (row, component): ``(row_id, p, x)``.
-    The broadcast side is d x k rows, checked against MAX_BROADCAST_CELLS;
-    the grouping combines map-side, so a row with many entries is pre-summed
+    """P5 in relational form (J3): entries joined to the weights on the column
+    index, summed per (row, component): ``(row_id, p, x)``.  The grouping combines map-side, so a row with many entries is pre-summed
     in every task before the shuffle."""
-    wf = F.broadcast(weights_frame(m.spark, np.asarray(w, dtype=np.float64)))
+    wf = weights_frame(m.spark, np.asarray(w, dtype=np.float64))
     e = m.entries().where(F.col("v") != 0)
     return (e.join(wf, "j")
             .groupBy(F.col("i").alias("row_id"), "p")

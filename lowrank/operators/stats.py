@@ -21,20 +21,31 @@ MAX_LITERAL_COLS = 4096
 
 
 def column_stats(m: TallMatrix) -> DataFrame:
-    """``(j INT, total DOUBLE, mean DOUBLE, m2 DOUBLE)`` per column with a
-    value; ``m2`` is the centred sum of squares over all ``n_rows`` rows."""
-    e = m.entries()
+    """``(j INT, total DOUBLE, mean DOUBLE, m2 DOUBLE)`` of every column, those
+    of a sparse matrix without entries included; ``m2`` is the centred sum of
+    squares over all ``n_rows`` rows.  A null row or element, or a row of
+    another width, fails the job."""
     if not m.is_sparse:
-        return (e.groupBy("j")
+        return (m.with_df(complete_rows(m)).entries().groupBy("j")
                 .agg(F.sum("v").alias("total"), F.avg("v").alias("mean"),
                      (F.var_pop("v") * F.count("v")).alias("m2"), F.count("v").alias("n")))
     n = float(m.n_rows)
-    g = e.groupBy("j").agg(F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("sq"))
+    g = m.entries().groupBy("j").agg(F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("sq"))
+    columns = m.spark.range(m.n_cols).select(F.col("id").cast("int").alias("j"))
+    g = columns.join(g, "j", "full").na.fill(0.0, ["total", "sq"])
     return g.select("j", "total", (F.col("total") / n).alias("mean"),
                     (F.col("sq") - F.col("total") * F.col("total") / n).alias("m2"),
                     F.lit(int(m.n_rows)).cast("long").alias("n"))
 
 
+def complete_rows(m: TallMatrix) -> DataFrame:
+    """The rows of a dense matrix; one that is null, has a null element or
+    another width than the matrix fails the job."""
+    bad = (F.col("features").isNull() | (F.size("features") != m.n_cols) | F.exists("features", lambda x: x.isNull()))
+    error = F.raise_error(F.lit(f"null row, null element or row of another width than {m.n_cols}")).cast("array<double>")
+    return m.df.select("row_id", F.when(bad, error).otherwise(F.col("features")).alias("features"))
+
+
 def column_means(m: TallMatrix) -> DataFrame:
     """A1: ``(j, mean)``; sums divide by ``n_rows`` (absent rows count)."""
     return column_stats(m).select("j", "mean")

@@ -42,13 +42,17 @@ def mean_iteration_seconds(runs: DataFrame) -> DataFrame:
 
 
 def run_trials(m: TallMatrix, k: int, trials: int = 1, seeds: list[int] | None = None,
-               dataset: str = "Untitled", run_log: str | None = None, **fit_options):
+               dataset: str = "Untitled", run_log: str | None = None, inits: list | None = None, **fit_options):
     """M9: fit ``trials`` times on the same pinned rows (preprocessing and
-    sigma_{k+1} once), log every run, and return (models, runs, summary)."""
+    sigma_{k+1} once), log every run, and return (models, runs, summary).
+    ``inits`` gives the start of each trial, in place of one ``init``."""
     spark = m.spark
     seeds = list(seeds) if seeds is not None else list(range(trials))
     if len(seeds) != trials:
         raise ValueError("one seed per trial")
+    inits = [fit_options.pop("init", "sketch")] * trials if inits is None else list(inits)
+    if len(inits) != trials:
+        raise ValueError("one start per trial")
     error_metric = fit_options.get("error_metric", "spectral")
     strategy = fit_options.pop("strategy", "auto")
     partitions = fit_options.pop("partitions", None)
@@ -56,8 +60,8 @@ def run_trials(m: TallMatrix, k: int, trials: int = 1, seeds: list[int] | None =
                    partitions=partitions)
     models = []
     try:
-        for seed in seeds:
-            models.append(fit_prepared(prep, k, seed=seed, dataset=dataset, **fit_options))
+        for seed, init in zip(seeds, inits):
+            models.append(fit_prepared(prep, k, seed=seed, init=init, dataset=dataset, **fit_options))
     finally:
         release(prep.matrix.df)
     runs = runs_frame(spark, [mdl.stat for mdl in models])

@@ -7,7 +7,8 @@ Fixed values:
   W(j, p)     = ((7 j + 3 p) mod 11 - 5) / 10      j < d, p < 3
   C(j, p)     = ((5 j + 2 p) mod 7 - 3) / 8        j < d, p < 3
   Omega(j, p) = ((3 j + 5 p) mod 13 - 6) / 16      j < d, p < 4
-  EM starts: k = 1: c_j = 1 / (j + 1); k = 2: c_jp = 1 / (j + 1 + 2 p); ss = 1
+  EM starts: k = 1: c_j = 1 / (j + 1); k = 2: c_jp = 1 / (j + 1 + 2 p); ss = 1;
+  trial t (from 0) with k = 1: c_j = 1 / (j + 1 + t)
 """
 
 from __future__ import annotations
@@ -39,9 +40,9 @@ def fixed_sql(name: str, dims: str) -> str:
             f"FROM (SELECT j, CAST(unnest(range({q})) AS INTEGER) AS p FROM ({dims}))")
 
 
-def first_column_init(d: int) -> np.ndarray:
-    """Start of the k = 1 EM check: c_j = 1 / (j + 1)."""
-    return (1.0 / (np.arange(d) + 1.0))[:, None]
+def first_column_init(d: int, trial: int = 0) -> np.ndarray:
+    """Start of the k = 1 EM check: c_j = 1 / (j + 1 + trial)."""
+    return (1.0 / (np.arange(d) + 1.0 + trial))[:, None]
 
 
 def two_column_init(d: int) -> np.ndarray:

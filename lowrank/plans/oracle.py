@@ -52,14 +52,14 @@ def _li_gram() -> str:
             f"g AS (SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, g FROM ({unpivot}))")
 
 
-def _em_k1_sql(rounds: int = 3) -> str:
+def _em_k1(rounds: int = 3, trial: int = 0) -> list[str]:
+    """CTEs of EM rounds with k = 1: ``c{r}(j, c, ytx)`` and ``s{r}(ss)``."""
     ctes = [EMB, MEAN, CENTRED,
             "n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM embeddings)",
             "dd AS (SELECT CAST(count(*) AS DOUBLE) AS d FROM m)",
             "nrm AS (SELECT sum(a * a) AS norm2 FROM a)",
-            "c0 AS (SELECT j, 1.0 / (j + 1.0) AS c, 0.0 AS ytx FROM m)",
+            f"c0 AS (SELECT j, 1.0 / (j + {trial + 1}.0) AS c, 0.0 AS ytx FROM m)",
             "s0 AS (SELECT CAST(1.0 AS DOUBLE) AS ss)"]
-    outs = []
     for r in range(1, rounds + 1):
         p = r - 1
         ctes += [
@@ -73,20 +73,24 @@ def _em_k1_sql(rounds: int = 3) -> str:
             f"s{r} AS (SELECT ((SELECT norm2 FROM nrm) + (SELECT xtx FROM xtx{r}) * (SELECT sum(c * c) FROM c{r}) "
             f"- 2 * (SELECT sum(c * ytx) FROM c{r})) / ((SELECT n FROM n) * (SELECT d FROM dd)) AS ss)",
         ]
-        outs.append(f"SELECT {r} AS round, {r8('(SELECT ss FROM s' + str(r) + ')', 10)} AS ss, "
-                    f"{r8('(SELECT sqrt(sum(c * c)) FROM c' + str(r) + ')', 10)} AS c_norm")
-    return _with(*ctes) + "\nUNION ALL\n".join(outs)
+    return ctes
+
+
+def _em_rounds_sql(ctes: list[str], square: str, rounds: int = 3) -> str:
+    return _with(*ctes) + "\nUNION ALL\n".join(
+        f"SELECT {r} AS round, {r8(f'(SELECT ss FROM s{r})', 10)} AS ss, "
+        f"{r8(f'(SELECT sqrt(sum({square})) FROM c{r})', 10)} AS c_norm" for r in range(1, rounds + 1))
 
 
-def _em_k2_sql(rounds: int = 3) -> str:
-    """Three EM rounds with k = 2; 2 x 2 inverses written out."""
+def _em_k2(rounds: int = 3) -> list[str]:
+    """CTEs of EM rounds with k = 2, 2 x 2 inverses written out: ``c{r}(j, c0,
+    c1, y0, y1)`` and ``s{r}(ss)``."""
     ctes = [EMB, MEAN, CENTRED,
             "n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM embeddings)",
             "dd AS (SELECT CAST(count(*) AS DOUBLE) AS d FROM m)",
             "nrm AS (SELECT sum(a * a) AS norm2 FROM a)",
             "c0 AS (SELECT j, 1.0 / (j + 1.0) AS c0, 1.0 / (j + 3.0) AS c1, 0.0 AS y0, 0.0 AS y1 FROM m)",
             "s0 AS (SELECT CAST(1.0 AS DOUBLE) AS ss)"]
-    outs = []
     for r in range(1, rounds + 1):
         p = r - 1
         ctes += [
@@ -117,8 +121,120 @@ def _em_k2_sql(rounds: int = 3) -> str:
             f"+ (SELECT t11 FROM t{r}) * sum(c1 * c1) - 2 * sum(c0 * y0 + c1 * y1)) "
             f"/ ((SELECT n FROM n) * (SELECT d FROM dd)) AS ss FROM c{r})",
         ]
-        outs.append(f"SELECT {r} AS round, {r8('(SELECT ss FROM s' + str(r) + ')', 10)} AS ss, "
-                    f"{r8('(SELECT sqrt(sum(c0 * c0 + c1 * c1)) FROM c' + str(r) + ')', 10)} AS c_norm")
+    return ctes
+
+
+def _projector_sql() -> str:
+    """P P' = C (C'C)^-1 C' of the k = 2 fit."""
+    ctes = _em_k2() + ["q AS (SELECT sum(c0 * c0) AS q00, sum(c0 * c1) AS q01, sum(c1 * c1) AS q11 FROM c3)"]
+    value = ("(a.c0 * b.c0 * q11 - (a.c0 * b.c1 + a.c1 * b.c0) * q01 + a.c1 * b.c1 * q00) / (q00 * q11 - q01 * q01)")
+    return _with(*ctes) + f"SELECT a.j AS r, b.j AS c, {r8(value)} AS value FROM c3 a, c3 b, q"
+
+
+def _project_sql() -> str:
+    """y C (uncentred) of the k = 2 fit."""
+    sums = "px AS (SELECT e.i, sum(e.v * c3.c0) AS x0, sum(e.v * c3.c1) AS x1 FROM e JOIN c3 USING (j) GROUP BY e.i)"
+    return _with(*_em_k2(), sums) + " UNION ALL ".join(
+        f"SELECT i AS row_id, CAST({p} AS INTEGER) AS p, {r8(f'x{p}')} AS value FROM px" for p in range(2))
+
+
+def _trials_sql(trials: int = 2) -> str:
+    return " UNION ALL ".join(
+        f"SELECT * FROM ({_with(*_em_k1(trial=t))}SELECT 'embeddings' AS dataset, CAST((SELECT n FROM n) AS BIGINT) AS n_rows, "
+        f"CAST((SELECT d FROM dd) AS BIGINT) AS n_cols, CAST({t} AS BIGINT) AS seed, CAST(3 AS BIGINT) AS n_iter, "
+        f"{r8('(SELECT ss FROM s3)', 10)} AS ss)" for t in range(trials))
+
+
+def _sketch_sql() -> str:
+    """Singular values of Q'A, Q an orthonormal basis of B = A Omega with two
+    columns: their squares are the eigenvalues of (B'B)^-1 (B'A)(B'A)'."""
+    ctes = [EMB, MEAN, CENTRED, OMEGA,
+            "b AS (SELECT a.i, sum(a.a * o.w) FILTER (o.p = 0) AS b0, sum(a.a * o.w) FILTER (o.p = 1) AS b1 "
+            "FROM a JOIN o USING (j) GROUP BY a.i)",
+            "bb AS (SELECT sum(b0 * b0) AS b00, sum(b0 * b1) AS b01, sum(b1 * b1) AS b11 FROM b)",
+            "ba AS (SELECT a.j, sum(b.b0 * a.a) AS t0, sum(b.b1 * a.a) AS t1 FROM b JOIN a USING (i) GROUP BY a.j)",
+            "mm AS (SELECT sum(t0 * t0) AS m00, sum(t0 * t1) AS m01, sum(t1 * t1) AS m11 FROM ba)",
+            "tr AS (SELECT (b11 * m00 - 2 * b01 * m01 + b00 * m11) / (b00 * b11 - b01 * b01) AS t, "
+            "(m00 * m11 - m01 * m01) / (b00 * b11 - b01 * b01) AS det FROM bb, mm)"]
+    return _with(*ctes) + " UNION ALL ".join(
+        f"SELECT CAST({p} AS INTEGER) AS p, {r8(f'sqrt((t {sign} sqrt(t * t - 4 * det)) / 2)')} AS s FROM tr"
+        for p, sign in enumerate("+-"))
+
+
+def _sparse_em_sql(rounds: int = 3) -> str:
+    """EM rounds with k = 1 over the cells of the customer x part matrix: u =
+    y w is 0 for absent rows, so sums of u and u^2 need the stored rows only,
+    and the mean is folded in afterwards."""
+    ctes = [CP, "z AS (SELECT i, j, v FROM cp WHERE v <> 0)",
+            f"k AS (SELECT CAST({N_CP} AS DOUBLE) AS n, CAST((SELECT max(p_partkey) + 1 FROM part) AS DOUBLE) AS d)",
+            "m AS (SELECT CAST(r.range AS INTEGER) AS j, coalesce(s.t, 0) / (SELECT n FROM k) AS mu "
+            "FROM range((SELECT CAST(d AS BIGINT) FROM k)) r LEFT JOIN (SELECT j, sum(v) AS t FROM z GROUP BY j) s ON s.j = r.range)",
+            "nrm AS (SELECT (SELECT sum(v * v) FROM z) - (SELECT n FROM k) * (SELECT sum(mu * mu) FROM m) AS norm2)",
+            "c0 AS (SELECT j, 1.0 / (j + 1.0) AS c, 0.0 AS ytx FROM m)",
+            "s0 AS (SELECT CAST(1.0 AS DOUBLE) AS ss)"]
+    for r in range(1, rounds + 1):
+        p = r - 1
+        ctes += [
+            f"sx{r} AS (SELECT 1.0 / ((SELECT sum(c * c) FROM c{p}) + (SELECT ss FROM s{p})) AS sx)",
+            f"w{r} AS (SELECT j, c * (SELECT sx FROM sx{r}) AS w FROM c{p})",
+            f"u{r} AS (SELECT z.i, sum(z.v * w) AS u FROM z JOIN w{r} USING (j) GROUP BY z.i)",
+            f"xm{r} AS (SELECT sum(m.mu * w) AS xm FROM m JOIN w{r} USING (j))",
+            f"xtx{r} AS (SELECT (SELECT sum(u * u) FROM u{r}) - (SELECT n FROM k) * (SELECT xm * xm FROM xm{r}) "
+            f"+ (SELECT n FROM k) * (SELECT ss FROM s{p}) * (SELECT sx FROM sx{r}) AS xtx)",
+            f"y{r} AS (SELECT z.j, sum(z.v * u) AS y FROM z JOIN u{r} USING (i) GROUP BY z.j)",
+            f"t{r} AS (SELECT m.j, coalesce(y, 0) - m.mu * (SELECT n FROM k) * (SELECT xm FROM xm{r}) AS ytx "
+            f"FROM m LEFT JOIN y{r} USING (j))",
+            f"c{r} AS (SELECT j, ytx / (SELECT xtx FROM xtx{r}) AS c, ytx FROM t{r})",
+            f"s{r} AS (SELECT ((SELECT norm2 FROM nrm) + (SELECT xtx FROM xtx{r}) * sum(c * c) - 2 * sum(c * ytx)) "
+            f"/ ((SELECT n FROM k) * (SELECT d FROM k)) AS ss FROM c{r})",
+        ]
+    last = f"c{rounds}"
+    return _with(*ctes) + (f"SELECT j, {r8(f'c / (SELECT sqrt(sum(c * c)) FROM {last}) * (SELECT sign(c) FROM {last} ORDER BY abs(c) DESC, j LIMIT 1)')} "
+                           f"AS w FROM {last}")
+
+
+def _power_chain(name: str, gram: str, steps: int) -> list[str]:
+    """CTEs: power steps on ``gram(r, c, g)`` from a fixed start;
+    ``{name}v(j, v)`` is the unit vector and ``{name}l(lam)`` its Rayleigh quotient."""
+    ctes = [f"{name}0 AS (SELECT CAST(range AS INTEGER) AS j, 1.0 / (range + 1.0) AS v FROM range(4))"]
+    for s in range(1, steps + 1):
+        ctes += [f"{name}u{s} AS (SELECT g.r AS j, sum(g.g * x.v) AS u FROM {gram} g JOIN {name}{s - 1} x ON g.c = x.j GROUP BY g.r)",
+                 f"{name}{s} AS (SELECT j, u / sqrt((SELECT sum(u * u) FROM {name}u{s})) AS v FROM {name}u{s})"]
+    return ctes + [f"{name}v AS (SELECT j, v FROM {name}{steps})",
+                   f"{name}l AS (SELECT sum(a.v * g.g * b.v) AS lam FROM {gram} g JOIN {name}v a ON g.r = a.j JOIN {name}v b ON g.c = b.j)"]
+
+
+def _deflated(name: str, vector: str) -> list[str]:
+    """CTE ``{name}(r, c, g)``: (I - vv') G (I - vv') for the unit vector of ``vector(j, v)``."""
+    return [f"{name}i AS (SELECT a.j AS r, b.j AS c, (CASE WHEN a.j = b.j THEN 1.0 ELSE 0.0 END) - a.v * b.v AS q FROM {vector} a, {vector} b)",
+            f"{name}h AS (SELECT x.r, g.c, sum(x.q * g.g) AS g FROM {name}i x JOIN g ON x.c = g.r GROUP BY 1, 2)",
+            f"{name} AS (SELECT h.r, x.c, sum(h.g * x.q) AS g FROM {name}h h JOIN {name}i x ON h.c = x.r GROUP BY 1, 2)"]
+
+
+def _spectral_error_sql(rounds: int = 2, steps: int = 4) -> str:
+    """k = 1 on lineitem: ||A (I - pp')|| against sigma_2, both by power steps
+    on a deflated Gram matrix (its eigenvalues lie far apart)."""
+    ctes = [_li_gram(), "n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM lineitem)",
+            "c0 AS (SELECT CAST(range AS INTEGER) AS j, 1.0 / (range + 1.0) AS c FROM range(4))",
+            "s0 AS (SELECT CAST(1.0 AS DOUBLE) AS ss)"]
+    ctes += _power_chain("top", "g", steps) + _deflated("g2", "topv") + _power_chain("second", "g2", steps)
+    outs = []
+    for r in range(1, rounds + 1):
+        p = r - 1
+        ctes += [
+            f"sx{r} AS (SELECT 1.0 / ((SELECT sum(c * c) FROM c{p}) + (SELECT ss FROM s{p})) AS sx)",
+            f"w{r} AS (SELECT j, c * (SELECT sx FROM sx{r}) AS w FROM c{p})",
+            f"y{r} AS (SELECT g.r AS j, sum(g.g * w.w) AS y FROM g JOIN w{r} w ON g.c = w.j GROUP BY g.r)",
+            f"xtx{r} AS (SELECT sum(w.w * y.y) + (SELECT n FROM n) * (SELECT ss FROM s{p}) * (SELECT sx FROM sx{r}) AS xtx "
+            f"FROM w{r} w JOIN y{r} y USING (j))",
+            f"c{r} AS (SELECT j, y / (SELECT xtx FROM xtx{r}) AS c, y FROM y{r})",
+            f"s{r} AS (SELECT ((SELECT sum(g) FROM g WHERE r = c) + (SELECT xtx FROM xtx{r}) * sum(c * c) - 2 * sum(c * y)) "
+            f"/ ((SELECT n FROM n) * 4.0) AS ss FROM c{r})",
+            f"p{r} AS (SELECT j, c / (SELECT sqrt(sum(c * c)) FROM c{r}) AS v FROM c{r})",
+        ]
+        ctes += _deflated(f"d{r}", f"p{r}") + _power_chain(f"res{r}", f"d{r}", steps)
+        outs.append(f"SELECT CAST({r} AS INTEGER) AS round, {sg(f'(SELECT ss FROM s{r})', 8)} AS ss, "
+                    + r8(f"sqrt((SELECT lam FROM res{r}l)) / sqrt((SELECT lam FROM secondl)) - 1.0", 6) + " AS error")
     return _with(*ctes) + "\nUNION ALL\n".join(outs)
 
 
@@ -139,7 +255,9 @@ def _pca_top1_sql(steps: int = 3) -> str:
 
 ORACLE = {
     "col_mean_dense": _with(EMB) + f"SELECT j, {r8('avg(v)', 10)} AS mean FROM e GROUP BY j",
-    "col_mean_sparse": _with(CP) + f"SELECT j, {r8(f'sum(v) / {N_CP}', 10)} AS mean FROM cp WHERE v <> 0 GROUP BY j",
+    "col_mean_sparse": _with(CP, "t AS (SELECT j, sum(v) AS t FROM cp WHERE v <> 0 GROUP BY j)")
+    + f"SELECT CAST(r.range AS INTEGER) AS j, {r8(f'coalesce(t.t, 0) / {N_CP}', 10)} AS mean "
+    "FROM range((SELECT max(p_partkey) + 1 FROM part)) r LEFT JOIN t ON t.j = r.range",
     "frob2_dense": _with(EMB, MEAN, CENTRED) + f"SELECT {r8('sum(a * a)')} AS norm2 FROM a",
     "frob2_sparse": _with(CP, "t AS (SELECT j, sum(v) AS t, sum(v * v) AS sq FROM cp WHERE v <> 0 GROUP BY j)")
     + f"SELECT {sg(f'sum(sq - t * t / {N_CP})')} AS norm2 FROM t",
@@ -152,8 +270,10 @@ ORACLE = {
     "rows_to_coo": _with(CP) + "SELECT CAST(i AS VARCHAR) || ',' || CAST(j AS VARCHAR) || ',' || CAST(v AS VARCHAR) "
     "AS line FROM cp WHERE v <> 0",
     "coo_text_roundtrip": _with(CP) + f"SELECT i, j, {r8('v', 6)} AS v FROM cp WHERE v <> 0",
-    "lil_text": _with(CP) + "SELECT i, '{' || string_agg(CAST(j AS VARCHAR) || ':' || CAST(v AS VARCHAR), ',' "
-    "ORDER BY j) || '}' AS line FROM cp WHERE v <> 0 GROUP BY i",
+    "lil_text": _with(CP, "t AS (SELECT i, string_agg(CAST(j AS VARCHAR) || ':' || CAST(v AS VARCHAR), ',' ORDER BY j) AS s "
+                          "FROM cp WHERE v <> 0 GROUP BY i)")
+    + "SELECT r.range AS i, '{' || coalesce(t.s, '') || '}' AS line "
+    f"FROM range({N_CP}) r LEFT JOIN t ON t.i = r.range",
     "dense_text": "SELECT " + " || ".join(f"CAST({c} AS VARCHAR) || ' '" for c in LI_COLS) + " AS line FROM lineitem",
     "dense_text_parse": _with(LI_LONG) + f"SELECT j, {sg('sum(v)')} AS total FROM li GROUP BY j",
     "project_fixed": _with(EMB, W) + f"SELECT e.i AS row_id, w.p, {r8('sum(e.v * w.w)')} AS x "
@@ -197,8 +317,14 @@ ORACLE = {
     + f"SELECT a1.j AS r, a2.j AS c, {r8('sum(a1.a * a2.a)')} AS g FROM a a1 JOIN a a2 ON a1.i = a2.i GROUP BY 1, 2",
     "gram_lineitem": _with(_li_gram()) + f"SELECT r, c, {sg('g', 9)} AS g FROM g",
     "pca_top1": _pca_top1_sql(),
-    "em_k1_3rounds": _em_k1_sql(),
-    "em_k2_3rounds": _em_k2_sql(),
+    "em_k1_3rounds": _em_rounds_sql(_em_k1(), "c * c"),
+    "em_k2_3rounds": _em_rounds_sql(_em_k2(), "c0 * c0 + c1 * c1"),
+    "sketch_svd": _sketch_sql(),
+    "ppca_fit": _projector_sql(),
+    "ppca_project": _project_sql(),
+    "spectral_error": _spectral_error_sql(),
+    "sparse_ppca_fit": _sparse_em_sql(),
+    "ppca_trials": _trials_sql(),
     "trial_summary": f"SELECT user_id, count(*) AS n_runs, {r8('avg(value)')} AS avg_s, "
     f"{r8('var_samp(value)', 4)} AS var_s FROM events GROUP BY user_id",
 }

@@ -12,13 +12,13 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import coo_line, dense_line, hash_uniform, lil_line, parse_dense
+from ..functions.arrays import coo_line, dense_line, parse_dense
 from ..functions.rounding import round_sig
 from ..matrix import TallMatrix
 from ..operators import linalg, ppca, rows, stats
 from ..sources import datasets
 from ..sources.tables import keep_entries, load_table
-from ..sources.text import parse_coo_lines
+from ..sources.text import matrix_lines, parse_coo_lines
 from ..session import release
 from . import fixed
 
@@ -103,7 +103,7 @@ def coo_text_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 def lil_text(spark: SparkSession, sf: str) -> DataFrame:
     m = datasets.customer_part_matrix(spark, sf)
-    return m.df.select(F.col("row_id").alias("i"), lil_line("indices", "values").alias("line"))
+    return matrix_lines(m, "LIL").select(F.col("row_id").alias("i"), F.col("value").alias("line"))
 
 
 def dense_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -281,48 +281,64 @@ def trial_summary(spark: SparkSession, sf: str) -> DataFrame:
         rnd("avg_s").alias("avg_s"), rnd("var_s", 4).alias("var_s"))
 
 
-# -- L7, M1-M6, P10 (checked by invariants in tests, rows only here) ----------
+# -- L7, M3-M6, M9, P10: fits from fixed starts --------------------------------
 
-FIT_K = 3
+FIT_ROUNDS = 3
+SKETCH_WIDTH = 2
+TRIALS = 2
+
+
+def _fixed_fit(m: TallMatrix, k: int, rounds: int = FIT_ROUNDS, **options) -> ppca.PpcaModel:
+    """A fit of exactly ``rounds`` rounds from the fixed start."""
+    start = fixed.first_column_init(m.n_cols) if k == 1 else fixed.two_column_init(m.n_cols)
+    return ppca.ppca_fit(m, k, max_iter=rounds, init=(start, 1.0), tol=-1.0, target_error=-2.0, **options)
 
 
 def sketch_svd(spark: SparkSession, sf: str) -> DataFrame:
     m = datasets.embeddings_matrix(spark, sf)
-    k, s = ppca.clamp_rank(FIT_K, m.n_cols, ppca.DEFAULT_OVERSAMPLE)
-    sk = linalg.sketch_svd(m, k + s, _mean(m), seed=7)
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(sk.s)], "p int, s double")
+    omega = fixed.fixed_matrix("omega", m.n_cols)[:, :SKETCH_WIDTH]
+    sk = linalg.sketch_svd(m, SKETCH_WIDTH, _mean(m), seed=0, omega=omega)
+    return spark.createDataFrame([(p, float(s)) for p, s in enumerate(sk.s)], "p int, s double").select("p", rnd("s").alias("s"))
 
 
 def ppca_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """The projector P P' on the fitted components, which no rotation changes."""
     m = datasets.embeddings_matrix(spark, sf)
-    model = ppca.ppca_fit(m, FIT_K, seed=7, dataset="embeddings")
-    return model.components_df(spark)
+    p = _fixed_fit(m, 2, error_metric="none").components
+    return _stats_long("projector", p @ p.T, spark).select("r", "c", rnd("value").alias("value"))
 
 
 def ppca_project(spark: SparkSession, sf: str) -> DataFrame:
     m = datasets.embeddings_matrix(spark, sf)
-    model = ppca.ppca_fit(m, FIT_K, seed=7, dataset="embeddings", error_metric="none")
-    return rows.explode_values(model.transform(m), "values", "p", "value")
+    model = _fixed_fit(m, 2, error_metric="none")
+    return _long(model.transform(m), "value", index="p")
 
 
 def spectral_error(spark: SparkSession, sf: str) -> DataFrame:
-    m = datasets.embeddings_matrix(spark, sf)
-    model = ppca.ppca_fit(m, FIT_K, seed=7, max_iter=5, target_error=0.0, dataset="embeddings")
-    return model.history_df(spark)
+    history = _fixed_fit(datasets.lineitem_matrix(spark, sf), 1, rounds=2).history_df(spark)
+    return history.select("round", sig("ss", 8).alias("ss"), rnd("error", 6).alias("error"))
 
 
 def sparse_ppca_fit(spark: SparkSession, sf: str) -> DataFrame:
-    m = datasets.customer_part_matrix(spark, sf)
-    model = ppca.ppca_fit(m, 5, seed=7, dataset="customer_part", error_metric="none")
-    return model.components_df(spark)
+    model = _fixed_fit(datasets.customer_part_matrix(spark, sf), 1, error_metric="none")
+    return model.components_df(spark).select("j", rnd("w").alias("w"))
 
 
 def ppca_trials(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.trials import run_trials
     m = datasets.embeddings_matrix(spark, sf)
-    _, runs, _ = run_trials(m, FIT_K, trials=2, seeds=[7, 8], dataset="embeddings", max_iter=2,
-                            target_error=0.0)
-    return runs.select("dataset", "n_rows", "n_cols", "seed", "n_iter", F.size("errors").alias("n_errors"))
+    models, runs, _ = run_trials(m, 1, trials=TRIALS, seeds=list(range(TRIALS)), dataset="embeddings", max_iter=FIT_ROUNDS,
+                                 inits=[(fixed.first_column_init(m.n_cols, t), 1.0) for t in range(TRIALS)],
+                                 tol=-1.0, error_metric="none")
+    ss = spark.createDataFrame([(model.stat.seed, float(model.ss)) for model in models], "seed long, ss double")
+    return (runs.select("dataset", F.col("n_rows").cast("long").alias("n_rows"), F.col("n_cols").cast("long").alias("n_cols"),
+                        F.col("seed").cast("long").alias("seed"), F.col("n_iter").cast("long").alias("n_iter"))
+            .join(ss, "seed").select("dataset", "n_rows", "n_cols", "seed", "n_iter", rnd("ss", 10).alias("ss")))
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketch-initialised probabilistic PCA (k = 3): the components table."""
+    return ppca.ppca_fit(datasets.embeddings_matrix(spark, sf), 3, seed=7, dataset="embeddings").components_df(spark)
 
 
 QUERIES = {

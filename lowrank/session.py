@@ -56,15 +56,27 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def _plan(df: DataFrame) -> str:
+    """The physical plan as text, without what lies under a cached relation."""
     try:
-        return df._jdf.queryExecution().executedPlan().toString()
+        lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
     except Exception:  # pragma: no cover - sessions without a JVM handle
         return "Exchange (unknown plan)"
+    kept, cached = [], None
+    for line in lines:
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if cached is not None and depth > cached:
+            continue
+        cached = depth if "InMemoryRelation" in line else None
+        kept.append(line)
+    return "\n".join(kept)
 
 
 def num_partitions(df: DataFrame) -> int | None:
-    """Partitions of the plan's RDD (planning only, no job); None when the
+    """Partitions of a plan without shuffles (no job); None when the plan has
+    an exchange, which adaptive execution would run to answer, or when the
     session does not expose RDDs."""
+    if has_exchange(df):
+        return None
     try:
         return df.rdd.getNumPartitions()
     except Exception:  # pragma: no cover
@@ -125,11 +137,12 @@ def materialize(df: DataFrame, cut_lineage: bool | None = None, partitions: int
     ``partitions`` repartitions round-robin first (P3's explicit count);
     by default only an input with too few partitions is spread.
     """
-    df = df.repartition(int(partitions)) if partitions else spread(df)
     if cut_lineage is None:
-        cut_lineage = has_exchange(df) and "RoundRobinPartitioning" not in _plan(df)
+        cut_lineage = has_exchange(df)          # of the input, before anything is spread
     if cut_lineage:
-        return store(df)
+        # Spark splits the stored files over the slots when it reads them.
+        return store(df.repartition(int(partitions)) if partitions else df)
+    df = df.repartition(int(partitions)) if partitions else spread(df)
     if df.storageLevel != StorageLevel.NONE:
         return df                               # pinned by the caller, who unpersists it
     df = df.persist(StorageLevel.MEMORY_AND_DISK)

@@ -4,6 +4,8 @@ aggregate that learns the shape when it is not given."""
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,17 +29,36 @@ def as_double_array(col: str | Column) -> Column:
     return F.transform(c, lambda x: x.cast("double"))
 
 
+CUT_MODES = ("error", "cut")
+
+
+def cut_rows(df: DataFrame, features: Column, n_cols: int, wider: str = "error") -> Column:
+    """P1 on the dense layout: the first ``n_cols`` elements of a row.  A wider
+    row fails the job, or with ``wider='cut'`` is cut, with a warning that
+    gives the number of elements cut (one extra scan)."""
+    if wider not in CUT_MODES:
+        raise ValueError(f"wider must be one of {CUT_MODES}")
+    over = F.size(features) > n_cols
+    if wider == "cut":
+        lost = df.where(over).agg(F.sum(F.size(features) - n_cols)).first()[0]
+        if lost:
+            warnings.warn(f"cut {lost} elements beyond column {n_cols - 1}")
+        return F.slice(features, 1, n_cols)
+    message = F.concat(F.lit("row of width "), F.size(features).cast("string"), F.lit(f", expected {n_cols}"))
+    return F.when(over, F.raise_error(message).cast("array<double>")).otherwise(features)
+
+
 def matrix_from_array(df: DataFrame, array_col: str, id_col: str | Column | None = None,
-                      n_cols: int | None = None, n_rows: int | None = None) -> TallMatrix:
+                      n_cols: int | None = None, n_rows: int | None = None, wider: str = "error") -> TallMatrix:
     """Dense matrix from one ARRAY column (any numeric element type).
 
-    With ``n_cols`` given, only the first ``n_cols`` elements of a row are
-    kept (P1 on the dense layout); otherwise the width is read from the data
-    and must be the same in every row.
+    With ``n_cols`` given, wider rows fail or are cut (``cut_rows``);
+    otherwise the width is read from the data and must be the same in every
+    row.
     """
     feats = as_double_array(array_col)
     if n_cols is not None:
-        feats = F.slice(feats, 1, n_cols)
+        feats = cut_rows(df, feats, n_cols, wider)
     out = df.select(_row_id(id_col), feats.alias("features"))
     if n_cols is None:
         # width from one row; every kernel checks each row against it
@@ -70,15 +91,27 @@ def entries_frame(df: DataFrame, i: str = "i", j: str = "j", v: str = "v", base:
                      F.col(v).cast("double").alias("v"))
 
 
-def keep_entries(entries: DataFrame, n_cols: int | None) -> DataFrame:
+def keep_entries(entries: DataFrame, n_cols: int | None, n_rows: int | None = None,
+                 outside: str = "error") -> DataFrame:
     """Keep entries inside the width with a non-zero value.  An entry
-    without an index or a value, or with a negative index (a wrong base),
-    fails the job instead of going missing."""
+    without an index or a value, or with a negative index (a wrong base) or
+    one past the shape, fails the job instead of going missing; with
+    ``outside='cut'`` entries past the width are left out, with a warning that
+    gives their number (one extra scan)."""
+    if outside not in CUT_MODES:
+        raise ValueError(f"outside must be one of {CUT_MODES}")
     cond = F.col("v") != 0
-    if n_cols is not None:
-        cond = cond & (F.col("j") < n_cols)
     bad = F.col("i").isNull() | F.col("j").isNull() | F.col("v").isNull() | (F.col("i") < 0) | (F.col("j") < 0)
-    message = F.concat(F.lit("bad matrix entry (empty field or negative index): "),
+    if n_rows is not None:
+        bad = bad | (F.col("i") >= n_rows)
+    if n_cols is not None and outside == "error":
+        bad = bad | (F.col("j") >= n_cols)
+    elif n_cols is not None:
+        lost = entries.where((F.col("j") >= n_cols) & cond).count()
+        if lost:
+            warnings.warn(f"cut {lost} entries beyond column {n_cols - 1}")
+        cond = cond & (F.col("j") < n_cols)
+    message = F.concat(F.lit("bad matrix entry (empty field, or index outside the matrix): "),
                        F.to_json(F.struct("i", "j", "v"), {"ignoreNullFields": "false"}))
     return entries.where(F.when(bad, F.raise_error(message).cast("boolean")).otherwise(cond))
 
@@ -89,11 +122,11 @@ def _extent(largest: int | None) -> int:
 
 
 def matrix_from_entries(entries: DataFrame, n_rows: int | None = None, n_cols: int | None = None,
-                        duplicates: str = "error") -> TallMatrix:
+                        duplicates: str = "error", outside: str = "error") -> TallMatrix:
     """Sparse row matrix from zero-based ``(i, j, v)`` entries.
 
     Duplicated ``(i, j)`` pairs are summed (``duplicates='sum'``) or make the
-    build fail (``'error'``, the default); ``'unique'`` skips the cell
+    job that reads the rows fail (``'error'``, the default); ``'unique'`` skips the cell
     grouping for entries that are already one per cell.  The first grouping shuffles on
     ``(i, j)``, so one hot row is spread over many tasks and its entries are
     combined map-side; the second grouping collects at most ``n_cols``
@@ -103,28 +136,41 @@ def matrix_from_entries(entries: DataFrame, n_rows: int | None = None, n_cols: i
         raise ValueError("duplicates must be 'error', 'sum' or 'unique'")
     if duplicates == "unique":
         # the caller guarantees one entry per cell (e.g. a grouping on (i, j))
-        cells = keep_entries(entries, n_cols).withColumn("dup", F.lit(1))
+        cells = keep_entries(entries, n_cols, n_rows, outside)
     else:
-        cells = (keep_entries(entries, n_cols)
-                 .groupBy("i", "j")
-                 .agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("dup")))
+        total = F.sum("v")
+        if duplicates == "error":
+            message = F.concat(F.lit("duplicate (i, j) entries, pass duplicates='sum' to add them: "),
+                               F.to_json(F.struct("i", "j")))
+            total = F.when(F.count(F.lit(1)) > 1, F.raise_error(message).cast("double")).otherwise(total)
+        cells = keep_entries(entries, n_cols, n_rows, outside).groupBy("i", "j").agg(total.alias("v"))
     rows = (cells.where(F.col("v") != 0)
             .groupBy("i")
-            .agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("e"),
-                 F.max("dup").alias("dup"), F.max("j").alias("max_j")))
+            .agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("e")))
     out = rows.select(F.col("i").alias("row_id"),
                       F.transform("e", lambda x: x["j"]).alias("indices"),
                       F.transform("e", lambda x: x["v"]).alias("values"))
-    if duplicates == "error" or n_rows is None or n_cols is None:
-        shape = rows.agg(F.max("i").alias("max_i"), F.max("max_j").alias("max_j"),
-                         F.max("dup").alias("dup")).first()
-        if duplicates == "error" and (shape["dup"] or 0) > 1:
-            raise ValueError("duplicate (i, j) entries; pass duplicates='sum' to add them")
+    if n_rows is None or n_cols is None:
+        shape = cells.where(F.col("v") != 0).agg(F.max("i").alias("max_i"), F.max("j").alias("max_j")).first()
         if n_rows is None:
             n_rows = _extent(shape["max_i"])
         if n_cols is None:
             n_cols = _extent(shape["max_j"])
-    return TallMatrix(out, n_cols=n_cols, n_rows=n_rows, kind=SPARSE)
+    # Entry queries read the cells as they are, without grouping them into rows.
+    return TallMatrix(out, n_cols=n_cols, n_rows=n_rows, kind=SPARSE, cells=cells.where(F.col("v") != 0).select("i", "j", "v"))
+
+
+def with_absent_rows(m: TallMatrix) -> TallMatrix:
+    """A sparse matrix with its absent all-zero rows as empty records, so that
+    there is one record for each of the ``n_rows`` row ids (a join on the id).
+    A dense matrix has all its rows already."""
+    if not m.is_sparse:
+        return m
+    ids = m.spark.range(m.n_rows).withColumnRenamed("id", "row_id")
+    empty = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)
+    # A full join: a row id past n_rows stays too.
+    rows = ids.join(m.df, "row_id", "full").select("row_id", empty("indices", "array<int>"), empty("values", "array<double>"))
+    return m.with_df(rows)
 
 
 def sparse_from_dense(m: TallMatrix) -> TallMatrix:
@@ -138,13 +184,10 @@ def sparse_from_dense(m: TallMatrix) -> TallMatrix:
 
 
 def dense_from_sparse(m: TallMatrix) -> TallMatrix:
-    """Fill the zeros of a sparse matrix back in (no shuffle; present rows only)."""
-    d = m.n_cols
-    pos = F.map_from_arrays("indices", "values")
-    feats = F.transform(F.sequence(F.lit(0), F.lit(d - 1)),
-                        lambda j: F.coalesce(F.element_at(pos, j), F.lit(0.0)))
-    return TallMatrix(m.df.select("row_id", feats.alias("features")),
-                      n_cols=d, n_rows=m.n_rows, kind=DENSE)
+    """Fill the zeros of a sparse matrix back in, absent rows included."""
+    from ..operators.blocks import map_rows
+    out = map_rows(with_absent_rows(m), lambda b: b.to_dense(), m.n_cols, "features")
+    return TallMatrix(out, n_cols=m.n_cols, n_rows=m.n_rows, kind=DENSE)
 
 
 def matrix_from_parquet(spark: SparkSession, path: str, n_cols: int | None = None,

@@ -4,8 +4,8 @@ Readers
   DENSE : one row per line, whitespace-separated doubles; blank lines are
           skipped; rows are numbered consecutively in file-name then line
           order without funnelling the data through one task.
-  COO   : ``row,col,value`` lines, zero- or one-based; parsed by the CSV
-          reader, then grouped into sparse rows.
+  COO   : ``row,col,value`` lines, zero- or one-based, grouped into sparse
+          rows.
 Writers
   DENSE : every value followed by one space
   LIL   : ``{j:v,j:v}`` of the non-zeros, zero-based
@@ -23,30 +23,32 @@ from pyspark.sql import functions as F
 from ..functions.arrays import coo_line, dense_line, lil_line, parse_dense
 from ..matrix import DENSE, TallMatrix
 from ..session import store
-from .tables import entries_frame, matrix_from_entries, sparse_from_dense
+from .tables import CUT_MODES, cut_rows, dense_from_sparse, matrix_from_entries, sparse_from_dense, with_absent_rows
 
 FORMATS = ("DENSE", "LIL", "COO")
 
 
 def parse_coo_lines(lines: DataFrame, base: int = 0) -> DataFrame:
-    """``value`` text lines ``i,j,v`` -> entries ``(i, j, v)``, zero-based."""
+    """``value`` text lines ``i,j,v`` -> entries ``(i, j, v)``, zero-based;
+    blank lines are skipped, and any other line that is not three numbers
+    fails the job."""
     parts = F.split(F.trim(F.col("value")), r"\s*,\s*")
-    return (lines.where(F.trim(F.col("value")) != "")
-            .select((parts[0].cast("long") - base).alias("i"),
-                    (parts[1].cast("int") - base).alias("j"),
-                    parts[2].cast("double").alias("v")))
+    field = lambda n, kind: F.get(parts, F.lit(n)).try_cast(kind)
+    e = lines.where(F.trim(F.col("value")) != "").select(
+        "value", F.size(parts).alias("width"), (field(0, "long") - base).alias("i"),
+        (field(1, "int") - base).alias("j"), field(2, "double").alias("v"))
+    bad = (F.col("width") != 3) | F.col("i").isNull() | F.col("j").isNull() | F.col("v").isNull()
+    message = F.concat(F.lit("bad matrix entry in COO line: "), F.col("value"))
+    return e.select(F.when(bad, F.raise_error(message).cast("long")).otherwise(F.col("i")).alias("i"), "j", "v")
 
 
 def read_coo_text(spark: SparkSession, path: str, base: int = 0, n_rows: int | None = None,
-                  n_cols: int | None = None, duplicates: str = "error") -> TallMatrix:
+                  n_cols: int | None = None, duplicates: str = "error", outside: str = "error") -> TallMatrix:
     """COO text file or folder -> sparse row matrix.  Both indices are
     shifted by ``base``; rows split across files or unsorted are merged by
     the grouping, so file order does not matter."""
-    raw = (spark.read.schema("i BIGINT, j INT, v DOUBLE")
-           .option("ignoreLeadingWhiteSpace", "true").option("ignoreTrailingWhiteSpace", "true")
-           .option("mode", "FAILFAST").csv(path))
-    return matrix_from_entries(entries_frame(raw.where(F.col("i").isNotNull()), base=base),
-                               n_rows=n_rows, n_cols=n_cols, duplicates=duplicates)
+    return matrix_from_entries(parse_coo_lines(spark.read.text(path), base),
+                               n_rows=n_rows, n_cols=n_cols, duplicates=duplicates, outside=outside)
 
 
 def number_lines(lines: DataFrame) -> DataFrame:
@@ -74,7 +76,7 @@ def with_offsets(lines: DataFrame) -> DataFrame:
 
 
 def read_dense_text(spark: SparkSession, path: str, n_cols: int | None = None,
-                    bad_rows: str = "error") -> TallMatrix:
+                    bad_rows: str = "error", wider: str = "error") -> TallMatrix:
     """DENSE text file or folder -> dense row matrix with consecutive
     ``row_id`` (0-based) in file-name order, then line order.
 
@@ -83,13 +85,16 @@ def read_dense_text(spark: SparkSession, path: str, n_cols: int | None = None,
     not depend on how a later job would split the files.
 
     A bad row has a token that is not a number or, with ``n_cols`` given,
-    fewer than ``n_cols`` values (longer rows keep their first ``n_cols``).
+    another number of values; ``wider='cut'`` accepts longer rows and keeps
+    their first ``n_cols`` values, with a warning that counts the rest.
     ``bad_rows='error'`` fails with their count (counted in the same job);
     ``'drop'`` leaves them out of the matrix and its numbering and warns
     with their count (one extra scan).
     """
     if bad_rows not in ("error", "drop"):
         raise ValueError("bad_rows must be 'error' or 'drop'")
+    if wider not in CUT_MODES:
+        raise ValueError(f"wider must be one of {CUT_MODES}")
     raw = (spark.read.text(path)
            .select("value", F.col("_metadata.file_path").alias("file"),
                    F.col("_metadata.file_block_start").alias("block"))
@@ -97,7 +102,7 @@ def read_dense_text(spark: SparkSession, path: str, n_cols: int | None = None,
     parsed = parse_dense("value", strict=False)
     bad = F.exists(parsed, lambda x: x.isNull())
     if n_cols is not None:
-        bad = bad | (F.size(parsed) < n_cols)
+        bad = bad | (F.size(parsed) < n_cols if wider == "cut" else F.size(parsed) != n_cols)
     if bad_rows == "drop":
         n_bad = raw.where(bad).count()
         if n_bad:
@@ -114,23 +119,22 @@ def read_dense_text(spark: SparkSession, path: str, n_cols: int | None = None,
             raise ValueError(f"DENSE rows have widths {lo}..{hi}")
         n_cols = hi
     else:
-        rows = rows.select("row_id", F.slice("features", 1, n_cols).alias("features"))
+        rows = rows.select("row_id", cut_rows(lines, F.col("features"), n_cols, wider).alias("features"))
     return TallMatrix(rows, n_cols=n_cols, n_rows=n_rows, kind=DENSE)
 
 
 def matrix_lines(m: TallMatrix, fmt: str = "DENSE") -> DataFrame:
     """K3: one text column ``value`` in the chosen format (COO: one line
-    per non-zero; DENSE and LIL: one line per row), plus ``row_id`` so the
-    caller can order or join."""
+    per non-zero; DENSE and LIL: one line for each of the ``n_rows`` rows, the
+    absent ones too), plus ``row_id`` so the caller can order or join."""
     fmt = fmt.upper()
     if fmt == "DENSE":
         if m.is_sparse:
-            from .tables import dense_from_sparse
             m = dense_from_sparse(m)
         return m.df.select("row_id", dense_line("features").alias("value"))
     sp = m if m.is_sparse else sparse_from_dense(m)
     if fmt == "LIL":
-        return sp.df.select("row_id", lil_line("indices", "values").alias("value"))
+        return with_absent_rows(sp).df.select("row_id", lil_line("indices", "values").alias("value"))
     if fmt == "COO":
         e = sp.entries()
         return e.select(F.col("i").alias("row_id"), coo_line("i", "j", "v").alias("value"))
@@ -139,20 +143,20 @@ def matrix_lines(m: TallMatrix, fmt: str = "DENSE") -> DataFrame:
 
 def write_matrix(m: TallMatrix, path: str, fmt: str = "DENSE", mode: str = "overwrite") -> None:
     """K3/K4: write the matrix as text (DENSE, LIL, COO) or Parquet.
-    Text lines are written in row order inside each file (a sort within
-    partitions, not a global sort)."""
+    Text lines are written in row order, over all files in the order of their
+    names (ranges of the row id, sorted inside)."""
     if fmt.upper() == "PARQUET":
         m.df.write.mode(mode).parquet(path)
         return
-    lines = matrix_lines(m, fmt).sortWithinPartitions("row_id")
+    lines = matrix_lines(m, fmt).repartitionByRange("row_id").sortWithinPartitions("row_id")
     lines.select("value").write.mode(mode).text(path)
 
 
 def convert_to_parquet(spark: SparkSession, src: str, dst: str, fmt: str = "DENSE", base: int = 0,
-                       n_cols: int | None = None, duplicates: str = "error") -> TallMatrix:
+                       n_cols: int | None = None, duplicates: str = "error", bad_rows: str = "error") -> TallMatrix:
     """K1/K2: text matrix folder -> Parquet row table, as one Spark job."""
     if fmt.upper() == "DENSE":
-        m = read_dense_text(spark, src, n_cols)
+        m = read_dense_text(spark, src, n_cols, bad_rows)
     elif fmt.upper() == "COO":
         m = read_coo_text(spark, src, base=base, n_cols=n_cols, duplicates=duplicates)
     else:

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from lowrank.operators import ppca
+from lowrank.operators import ppca, rows
 from lowrank.sources.tables import matrix_from_array
 
 
@@ -31,8 +31,8 @@ def test_nan_rejected(spark):
 
 def test_large_row_count_no_overflow():
     """N * d is computed in floating point."""
-    assert ppca.default_sample_rate(123456789) == pytest.approx(1e-5)
-    assert ppca.default_sample_rate(9999) == 1.0
+    assert rows.default_sample_rate(123456789) == pytest.approx(1e-5)
+    assert rows.default_sample_rate(9999) == 1.0
 
 
 def test_explicit_partition_count(spark, sample_df):

@@ -179,9 +179,11 @@ def test_exact_ss_matches_r_factor_route(spark):
     kw = dict(max_iter=4, init=(np.full((4, 2), 0.5), 1.0), error_metric="none")
     a = ppca.ppca_fit(m, 2, strategy="summary", **kw)
     b = ppca.ppca_fit(m, 2, strategy="passes", exact_ss=True, **kw)
-    c = ppca.ppca_fit(m, 2, strategy="passes", **kw)
-    sa, sb, sc = ([h["ss"] for h in x.history] for x in (a, b, c))
+    c = ppca.ppca_fit(m, 2, strategy="passes", exact_ss=False, **kw)
+    default = ppca.ppca_fit(m, 2, strategy="passes", **kw)
+    sa, sb, sc, sd = ([h["ss"] for h in x.history] for x in (a, b, c, default))
     assert sb == pytest.approx(sa, rel=1e-7)
+    assert sd == pytest.approx(sa, rel=1e-7)
     assert abs(sc[-1] - sa[-1]) > abs(sb[-1] - sa[-1])
 
 

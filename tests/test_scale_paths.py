@@ -40,11 +40,17 @@ def test_partial_sums_split_wide_results_into_blocks(spark):
     assert np.allclose(st.xtx, (a @ v).T @ (a @ v), rtol=1e-9, atol=1e-9)
 
 
-def test_kernel_input_coalesces_many_splits(spark):
+def test_kernel_input_merges_splits_by_bytes(spark, monkeypatch):
     m = datasets.embeddings_matrix(spark, SF001)
+    monkeypatch.setattr(blocks, "FREE_TASKS", 4)
+    many = m.with_df(m.df.limit(0))
+    for i in range(9):
+        many = many.with_df(many.df.union(m.df.where(f"row_id % 9 = {i}")))
+    parts = many.df.rdd.getNumPartitions()
+    assert parts > 4 and blocks.kernel_input(many).rdd.getNumPartitions() == 4
+    monkeypatch.setattr(blocks, "KERNEL_TASK_BYTES", 1)
+    assert blocks.kernel_input(many).rdd.getNumPartitions() == parts
     many = m.with_df(m.df.repartition(64))
-    slots = spark.sparkContext.defaultParallelism
-    assert blocks.kernel_input(many).rdd.getNumPartitions() == blocks.TASKS_PER_SLOT * slots
     mean, _ = stats.mean_and_norm(m)
     v = np.eye(64)[:, :3]
     a, b = linalg.cross_stats(m, v, mean), linalg.cross_stats(many, v, mean)

@@ -42,15 +42,16 @@ def test_coo_reader_bases_duplicates_and_absent_rows(spark, tmp_path):
     assert got == {0: ([0, 2], [1.5, 2.0]), 2: ([0, 1], [-1.0, 5.0])}
     assert m.n_rows == 4                                     # absent rows 1 and 3 still count
     _write(d, "part3.txt", "1,1,4.0\n")
-    with pytest.raises(ValueError):
-        text.read_coo_text(spark, d, base=1)
+    with pytest.raises(Exception, match="duplicate"):
+        text.read_coo_text(spark, d, base=1).df.collect()
     summed = text.read_coo_text(spark, d, base=1, duplicates="sum")
     assert {r.row_id: list(r.values) for r in summed.df.collect()}[0] == [5.5, 2.0]
 
 
 def test_width_filter_drops_columns_beyond_d(spark):
     e = spark.createDataFrame([(0, 0, 1.0), (0, 5, 2.0), (1, 1, 0.0), (1, 2, 3.0)], "i long, j int, v double")
-    m = matrix_from_entries(entries_frame(e), n_cols=3)
+    with pytest.warns(UserWarning, match="cut 1 entries"):
+        m = matrix_from_entries(entries_frame(e), n_cols=3, outside="cut")
     got = {r.row_id: (list(r.indices), list(r.values)) for r in m.df.collect()}
     assert got == {0: ([0], [1.0]), 1: ([2], [3.0])}
 
@@ -175,10 +176,13 @@ def test_sketch_matrix_saved_for_reproduction(spark, sample_df, tmp_path):
 def test_dense_reader_counts_and_drops_bad_rows(spark, tmp_path):
     d = str(tmp_path / "bad")
     _write(d, "a.txt", "1 2 3\n4 x 6\n7 8\n9 10 11 12\n")
-    with pytest.raises(ValueError, match="2 bad DENSE rows"):
+    with pytest.raises(ValueError, match="3 bad DENSE rows"):
         text.read_dense_text(spark, d, n_cols=3)
-    with pytest.warns(UserWarning, match="dropped 2"):
-        m = text.read_dense_text(spark, d, n_cols=3, bad_rows="drop")
+    with pytest.raises(ValueError, match="2 bad DENSE rows"):
+        text.read_dense_text(spark, d, n_cols=3, wider="cut")
+    with pytest.warns(UserWarning) as said:
+        m = text.read_dense_text(spark, d, n_cols=3, bad_rows="drop", wider="cut")
+    assert [str(w.message)[:9] for w in said if w.category is UserWarning] == ["dropped 2", "cut 1 ele"]
     got = m.df.orderBy("row_id").toPandas()
     assert m.n_rows == 2 and list(got.row_id) == [0, 1]
     assert [list(v) for v in got.features] == [[1.0, 2.0, 3.0], [9.0, 10.0, 11.0]]
