@@ -5,6 +5,7 @@ import pytest
 
 from conftest import SF001
 from lowrank.operators import blocks, linalg, ppca, stats
+from lowrank.session import materialize
 from lowrank.sources import datasets
 
 
@@ -115,6 +116,7 @@ def test_statistics_and_sketch_in_one_pass(spark, which):
     separate passes (lineitem: large column means; sparse: absent rows)."""
     m = (datasets.lineitem_matrix(spark, SF001) if which == "lineitem"
          else datasets.customer_part_matrix(spark, SF001))
+    m = m.with_df(materialize(m.df))            # as a fit does: one pass needs a known number of tasks
     mean, norm2, n = stats.column_summary(m)
     m = m.with_rows(n)
     width = 4 if which == "lineitem" else 12
