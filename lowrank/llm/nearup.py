@@ -15,8 +15,13 @@ its largest member (two rows a member), exactly, by weighted Jaccard on whole
 texts, unless their total weights alone put them below the threshold.  Verified
 links give components by label propagation with pointer jumping; then, in buckets that
 still hold several components, the smallest members of the two outermost ones
-are compared with the members of the others, until no new link appears.  Pairs,
-links and labels stay distributed.
+are compared with the members of the others, until no new link appears.  What
+is left in such mixed buckets is compared exactly: members are put in blocks by
+level of total weight and a salt, and every pair of members of different
+components is tested in the one pair of blocks that holds it; levels too far
+apart for the threshold never meet.  So each pair of texts that share a bucket
+lies in one component or was compared.  Pairs, links and labels stay
+distributed.
 
 Defined cases: null text is empty; texts without words are alike only to
 equal ones (exact copies); rows repeated with one doc_id are one document when
@@ -27,6 +32,7 @@ empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +50,7 @@ FEATURE_BITS = 18
 KEY_BITS = 44                          # of a shingle's hash: its identity within the kernels
 BROADCAST_IDS = 200_000                # ids up to this count may be broadcast (1.6 MB)
 _BLOCK = 256 << 10
+BLOCK_TEXTS, BLOCK_WEIGHT = 256, 1e6   # of a block of a mixed bucket: about so many texts and so much total weight
 _LOWEST = -(1 << 63)
 _LOG = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)    # exponential variates by 16-bit index
 
@@ -171,9 +178,69 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+def _mixed_pairs(idf, threshold: float):
+    """Links between texts of different components in one pair of blocks."""
+    def run(table: pa.Table) -> pa.Table:
+        powers, names = Powers(), {}
+        table = table.combine_chunks()
+        places, side = table.column("place"), table.column("side").to_numpy()
+        label = np.array([names.setdefault(str(x), len(names)) for x in table.column("label").to_pylist()])
+        doc, key, weight = weighted_shingles(table.column("text").cast(pa.large_string()).combine_chunks(), powers, idf.value)
+        code = np.unique(key, return_inverse=True)[1]
+        total = np.bincount(doc, weights=weight, minlength=len(label))
+        offs = np.searchsorted(doc, np.arange(len(label) + 1))
+        at, both, a, b = np.zeros(int(code.max(initial=-1)) + 1), (side == 2).any(), [], []
+        for i in np.flatnonzero(side == 1):
+            able = (label != label[i]) & (np.minimum(total, total[i]) >= np.maximum(total, total[i]) * (threshold - 1e-9))
+            able &= side == 2 if both else np.arange(len(label)) > i
+            if not able.any():
+                continue
+            own = slice(offs[i], offs[i + 1])
+            at[code[own]] = weight[own]
+            common = np.bincount(doc, weights=np.minimum(at[code], weight), minlength=len(label))
+            at[code[own]] = 0
+            found = np.flatnonzero(able & (common >= threshold * (total + total[i] - common)))
+            a.extend([i] * len(found))
+            b.extend(found.tolist())
+        take = lambda x: places.take(pa.array(x, pa.int64()))
+        return pa.table({"x": take(a), "y": take(b)})
+    return run
+
+
+def mixed_links(named: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
+    """(a, b): all links between members of one bucket that have different
+    labels, from the stored table (place, total, band, value, label)."""
+    kind = named.schema["place"].dataType.simpleString()
+    step = -math.log(max(threshold, 0.01) - 1e-6)       # totals more than one level apart differ too much
+    levels = named.withColumn("level", F.floor(F.log("total") / step).cast("int"))
+    sizes = save_table(levels.groupBy("band", "value", "level").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.greatest(
+        F.count("*") / BLOCK_TEXTS, F.sum("total") / BLOCK_WEIGHT)).alias("n")), "levels")
+    mixed = sizes.groupBy("band", "value").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("band", "value")
+    sizes = save_table(sizes.join(mixed, ["band", "value"]).select("band", "value", "level", "n"), "mixed")
+    blocked = save_table(levels.join(sizes, ["band", "value", "level"])
+                         .select("place", "label", "band", "value", "level", F.pmod(F.xxhash64("place", "band"), "n").alias("salt")), "blocked")
+    blocks = save_table(blocked.groupBy("band", "value", "level", "salt").agg(F.min("label").alias("lo"), F.max("label").alias("hi")), "blocks")
+    one, two = (blocks.select("band", "value", *[F.col(c).alias(f"{c}{i}") for c in ("level", "salt", "lo", "hi")]) for i in (1, 2))
+    meet = (one.join(two, ["band", "value"])
+            .where("(level2 = level1 and salt2 >= salt1) or level2 = level1 + 1").where("least(lo1, lo2) < greatest(hi1, hi2)")
+            .select("band", "value", "level1", "salt1", "level2", "salt2"))
+    meet = save_table(meet, "meet")
+    by = ["band", "value", "level1", "salt1", "level2", "salt2"]
+
+    def sides(i: int) -> DataFrame:
+        rows = blocked.withColumnsRenamed({"level": f"level{i}", "salt": f"salt{i}"})
+        some = meet if i == 1 else meet.where("level1 <> level2 or salt1 <> salt2")     # a block meets itself once
+        return rows.join(some, ["band", "value", f"level{i}", f"salt{i}"]).select(*by, F.lit(i).alias("side"), "place", "label")
+
+    rows = save_table(sides(1).union(sides(2)), "sides").join(texts.select("place", "text"), "place")
+    found = rows.groupBy(*by).applyInArrow(_mixed_pairs(idf, threshold), f"x {kind}, y {kind}")
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_links) of every row: the smallest id of its group,
-    and how many verified links its text has to different texts."""
+    """(doc_id, class_id, n_tested_links) of every row: the smallest id of its
+    group, and how many of the pairs compared link its text to a different one
+    (pairs within one component need no comparison)."""
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     idf = spark.sparkContext.broadcast(inverse_frequencies(texts))      # 2 MiB whatever the corpus
@@ -213,14 +280,18 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
         tried = tried.union(pairs)
         found = save_table(verify(pairs, texts, idf, threshold), "links")
         if found.isEmpty():
-            break                               # the components stay as they are, so no other members would meet
+            break                               # the components stay as they are
         links = links.union(found)
         labels = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
+    rest = save_table(mixed_links(named, texts, idf, threshold), "links")
+    if not rest.isEmpty():
+        links = links.union(rest).distinct()
+        labels = components(links)
+    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_tested_links"))
     known = labels.join(degree, "node").withColumnRenamed("node", "owner")
     out = members.join(known, "owner", "left")
     return out.select(_id("place").alias("doc_id"), _id(F.coalesce("label", "owner")).alias("class_id"),
-                      F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+                      F.coalesce("n_tested_links", F.lit(0)).cast("long").alias("n_tested_links"))
 
 
 def _id(place):

@@ -232,3 +232,21 @@ def test_template_extraction(spark):
     assert got[1] == "T & t\nOne two three\nFour"
     assert got[2] == "" and got[3] == "" and got[4] == "unclosed mark"
     assert "running text number 3" in got[13] and "Site menu" not in got[13] and "All rights" not in got[13]
+
+
+def test_every_pair_of_a_mixed_bucket_is_compared(spark, monkeypatch):
+    def one_bucket(doc, key, weight, n, count):
+        import numpy as np
+        return np.ones((n, count), np.uint32)
+
+    monkeypatch.setattr(nearup, "samples", one_bucket)
+    monkeypatch.setattr(nearup, "BLOCK_TEXTS", 3, raising=False)
+    rows = []
+    for i in range(40):
+        w = prose(60 + 15 * (i % 7 if i < 14 else i), 300 + (i % 7 if i < 14 else i)).split()
+        w[i // 7] = "edit"                  # i and i + 7 are near for i < 7
+        rows.append((i + 1, " ".join(w)))
+    rows += [(0, prose(150, 400)), (99, prose(150, 401))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in nearup.near_classes(docs, 0.7).collect()}
+    assert got == {i: i - 7 if 8 <= i <= 14 else i for i, _ in rows}
