@@ -1,8 +1,8 @@
 """Near-duplicate groups by consistent weighted sampling (operator 5).
 
 A text is a weighted set of five-word shingles: term frequency times
-``log(1 + N / df)``, df counted over all documents in ``2^FEATURE_BITS`` hashed
-features (a vector of fixed size).  Improved consistent weighted sampling
+``log(1 + N / df)``, N and df counted over different texts in ``2^FEATURE_BITS``
+hashed features (a vector of fixed size), so copies of a text lower no weight.  Improved consistent weighted sampling
 draws ``BANDS * ROWS`` samples; for sample ``d`` and shingle ``k`` with weight w:
 r, c ~ Gamma(2, 1) and b ~ U(0, 1) are functions of (d, k),
 ``t = floor(log w / r + b)``, ``log a = log c - r (t - b) - r``, and the
@@ -81,7 +81,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def inverse_frequencies(texts: DataFrame) -> np.ndarray:
-    """log(1 + N / df) of each hashed feature, over all rows of ``text``."""
+    """log(1 + N / df) of each hashed feature, over all rows of ``text``,
+    which are to be different texts."""
     counts = texts.select("text").mapInArrow(_features, "feature int, n long").groupBy("feature").agg(F.sum("n").alias("n"))
     counts = counts.toArrow()                   # at most 2^FEATURE_BITS + 1 rows
     df, at = np.zeros((1 << FEATURE_BITS) + 1), counts.column("feature").to_numpy()
@@ -120,8 +121,7 @@ def _signatures(idf):
             total = np.bincount(doc, weights=weight, minlength=len(texts))
             some = total > 0
             bands = pa.array([x.tolist() if y else [] for x, y in zip(band.view(np.int64), some)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column("place"), rows.column("digest"), pa.array(total), bands],
-                                             names=["place", "digest", "total", "bands"])
+            yield pa.RecordBatch.from_arrays([rows.column("place"), pa.array(total), bands], names=["place", "total", "bands"])
     return run
 
 
@@ -242,17 +242,16 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
     group, and how many of the pairs compared link its text to a different one
     (pairs within one component need no comparison)."""
     spark = docs.sparkSession
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    hashed = rows.withColumn("digest", F.md5("text"))
+    # One row per different text, with the smallest id that holds it; rows of one id with several texts keep the id of each.
+    texts = save_table(hashed.groupBy("digest").agg(F.min("place").alias("place"), F.first("text").alias("text")), "texts")
     idf = spark.sparkContext.broadcast(inverse_frequencies(texts))      # 2 MiB whatever the corpus
-    hashed = texts.withColumn("digest", F.md5("text"))
-    signed = save_table(hashed.mapInArrow(_signatures(idf), "place long, digest string, total double, bands array<long>"), "signatures")
     # What is grouped is stored before it is joined: both sides are plain shuffles then, which AQE splits at a hot key.
-    firsts = save_table(signed.groupBy("digest").agg(F.min("place").alias("owner")), "firsts")
-    members = save_table(signed.select("place", "digest").join(firsts, "digest"), "members")
-    # One row per different text; rows of one id with several texts keep the id of each.
-    owners = members.where("place = owner").select("owner", "digest").distinct()
-    bands = save_table(signed.join(owners, (signed.place == owners.owner) & (signed.digest == owners.digest), "left_semi")
-                       .select("place", "total", F.posexplode("bands").alias("band", "value")).distinct(), "bands")
+    members = save_table(hashed.select("place", "digest"), "members")
+    members = save_table(members.join(texts.select("digest", F.col("place").alias("owner")), "digest"), "members")
+    signed = texts.mapInArrow(_signatures(idf), "place long, total double, bands array<long>")
+    bands = save_table(signed.select("place", "total", F.posexplode("bands").alias("band", "value")).distinct(), "bands")
     ends = bands.groupBy("band", "value").agg(F.count("*").alias("n"), F.min(F.struct("place", "total")).alias("lo"), F.max(F.struct("place", "total")).alias("hi"))
     buckets = save_table(bands.join(save_table(ends.where("lo.place < hi.place"), "ends"), ["band", "value"]), "buckets")
 

@@ -250,3 +250,20 @@ def test_every_pair_of_a_mixed_bucket_is_compared(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: r["class_id"] for r in nearup.near_classes(docs, 0.7).collect()}
     assert got == {i: i - 7 if 8 <= i <= 14 else i for i, _ in rows}
+
+
+def hot_group(spark):
+    """A text on 100 rows, eight copies of it with four words changed, and 180 others."""
+    rows = [(i, prose(400, 500)) for i in range(100)]
+    for i in range(8):
+        w = prose(400, 500).split()
+        for j in range(4):
+            w[20 + 90 * j + 10 * i] = f"edit{i}"
+        rows.append((100 + i, " ".join(w)))
+    rows += [(200 + i, prose(100, 600 + i)) for i in range(180)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+
+def test_copies_do_not_hide_near_copies(spark):
+    got = {r["doc_id"]: r["class_id"] for r in nearup.near_classes(hot_group(spark)).collect()}
+    assert got == {i: 0 if i < 108 else i for i in got} and len(got) == 288
