@@ -24,10 +24,11 @@ lies in one component or was compared.  Pairs, links and labels stay
 distributed.
 
 Defined cases: null text is empty; texts without words are alike only to
-equal ones (exact copies); rows repeated with one doc_id are one document when
-their texts are equal, else each links as its texts do; a null id is the
-smallest id; ties take the smallest id as the class; an empty table gives an
-empty result; further columns are ignored.
+equal ones (exact copies); a document is an id with a text, so rows repeated
+with one doc_id (null included) are one document when their texts are equal and
+separate ones otherwise; a null id is the smallest id; the class is the smallest
+id of the group, of several texts under that id the one with the smallest
+digest is kept; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -48,10 +49,11 @@ BANDS, ROWS = 10, 4
 THRESHOLD = 0.8
 FEATURE_BITS = 18
 KEY_BITS = 44                          # of a shingle's hash: its identity within the kernels
-BROADCAST_IDS = 200_000                # ids up to this count may be broadcast (1.6 MB)
+BROADCAST_IDS = 200_000                # texts up to this count may be broadcast by id and digest (8 MB)
 _BLOCK = 256 << 10
 BLOCK_TEXTS, BLOCK_WEIGHT = 256, 1e6   # of a block of a mixed bucket: about so many texts and so much total weight
 _LOWEST = -(1 << 63)
+NODE = "struct<id:bigint,digest:binary>"        # a different text: the smallest id that holds it, and its digest
 _LOG = -np.log((np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.float32)    # exponential variates by 16-bit index
 
 
@@ -159,7 +161,7 @@ def verify(pairs: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFra
     used = texts.join(F.broadcast(ids) if small else ids, "place", "left_semi")
     first = used.select(F.col("place").alias("a"), F.col("text").alias("ta"))
     second = used.select(F.col("place").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(idf, threshold), "a long, b long")
+    return pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(idf, threshold), f"a {NODE}, b {NODE}")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,7 +212,6 @@ def _mixed_pairs(idf, threshold: float):
 def mixed_links(named: DataFrame, texts: DataFrame, idf, threshold: float) -> DataFrame:
     """(a, b): all links between members of one bucket that have different
     labels, from the stored table (place, total, band, value, label)."""
-    kind = named.schema["place"].dataType.simpleString()
     step = -math.log(max(threshold, 0.01) - 1e-6)       # totals more than one level apart differ too much
     levels = named.withColumn("level", F.floor(F.log("total") / step).cast("int"))
     sizes = save_table(levels.groupBy("band", "value", "level").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.ceil(F.greatest(
@@ -233,24 +234,32 @@ def mixed_links(named: DataFrame, texts: DataFrame, idf, threshold: float) -> Da
         return rows.join(some, ["band", "value", f"level{i}", f"salt{i}"]).select(*by, F.lit(i).alias("side"), "place", "label")
 
     rows = save_table(sides(1).union(sides(2)), "sides").join(texts.select("place", "text"), "place")
-    found = rows.groupBy(*by).applyInArrow(_mixed_pairs(idf, threshold), f"x {kind}, y {kind}")
+    found = rows.groupBy(*by).applyInArrow(_mixed_pairs(idf, threshold), f"x {NODE}, y {NODE}")
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, class_id, n_tested_links) of every row: the smallest id of its
-    group, and how many of the pairs compared link its text to a different one
-    (pairs within one component need no comparison)."""
+def _id(place):
+    return F.when(place != _LOWEST, place)
+
+
+def _document(id_col: str, text_col: str):
+    """The columns (id, digest) that tell documents apart."""
+    return (F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)), F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")))))
+
+
+def classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, digest, class, n_tested_links) of every row; ``class`` is the (id,
+    digest) of the document of its group that is kept."""
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LOWEST)).alias("place"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    hashed = rows.withColumn("digest", F.md5("text"))
-    # One row per different text, with the smallest id that holds it; rows of one id with several texts keep the id of each.
-    texts = save_table(hashed.groupBy("digest").agg(F.min("place").alias("place"), F.first("text").alias("text")), "texts")
+    id_, digest = _document(id_col, text_col)
+    hashed = docs.select(id_.alias("id"), digest.alias("digest"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # One row per different text, named by the smallest id that holds it.
+    texts = hashed.groupBy("digest").agg(F.min("id").alias("id"), F.first("text").alias("text")).select(F.struct("id", "digest").alias("place"), "text")
+    texts = save_table(texts, "texts")
     idf = spark.sparkContext.broadcast(inverse_frequencies(texts))      # 2 MiB whatever the corpus
     # What is grouped is stored before it is joined: both sides are plain shuffles then, which AQE splits at a hot key.
-    members = save_table(hashed.select("place", "digest"), "members")
-    members = save_table(members.join(texts.select("digest", F.col("place").alias("owner")), "digest"), "members")
-    signed = texts.mapInArrow(_signatures(idf), "place long, total double, bands array<long>")
+    members = save_table(hashed.select("id", "digest"), "members")
+    signed = texts.mapInArrow(_signatures(idf), f"place {NODE}, total double, bands array<long>")
     bands = save_table(signed.select("place", "total", F.posexplode("bands").alias("band", "value")).distinct(), "bands")
     ends = bands.groupBy("band", "value").agg(F.count("*").alias("n"), F.min(F.struct("place", "total")).alias("lo"), F.max(F.struct("place", "total")).alias("hi"))
     buckets = save_table(bands.join(save_table(ends.where("lo.place < hi.place"), "ends"), ["band", "value"]), "buckets")
@@ -287,25 +296,33 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "d
         links = links.union(rest).distinct()
         labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_tested_links"))
-    known = labels.join(degree, "node").withColumnRenamed("node", "owner")
-    out = members.join(known, "owner", "left")
-    return out.select(_id("place").alias("doc_id"), _id(F.coalesce("label", "owner")).alias("class_id"),
-                      F.coalesce("n_tested_links", F.lit(0)).cast("long").alias("n_tested_links"))
+    known = texts.select("place").join(labels.join(degree, "node"), F.col("place") == F.col("node"), "left")
+    known = save_table(known.select(F.col("place.digest").alias("digest"), F.coalesce("label", "place").alias("class"),
+                                    F.coalesce("n_tested_links", F.lit(0)).cast("long").alias("n_tested_links")), "known")
+    return members.join(known, "digest").select("id", "digest", "class", "n_tested_links")
 
 
-def _id(place):
-    place = F.col(place) if isinstance(place, str) else place
-    return F.when(place != _LOWEST, place)
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_tested_links, kept) of every row: the smallest id of
+    its group, how many of the pairs compared link its text to a different one
+    (pairs within one component need no comparison), and whether it is the
+    document of its group that is kept."""
+    return classes(docs, threshold, id_col, text_col).select(
+        _id(F.col("id")).alias("doc_id"), _id(F.col("class.id")).alias("class_id"), "n_tested_links",
+        ((F.col("id") == F.col("class.id")) & (F.col("digest") == F.col("class.digest"))).alias("kept"))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` with the smallest id of each group, one row each."""
-    first = near_classes(docs, threshold).select("class_id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["class_id"]), "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1")
-    # Only ids that come in several rows need a choice among them.
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One row of each group of ``docs``, that of the document ``classes`` names."""
+    first = classes(docs, threshold).select(F.col("class.id").alias("__id"), F.col("class.digest").alias("__digest")).distinct()
+    id_, digest = _document("doc_id", "text")
+    marked = docs.withColumns({"__id": id_, "__digest": digest})
+    kept = marked.join(first, ["__id", "__digest"], "left_semi")
+    repeated = marked.groupBy("__id", "__digest").count().where("count > 1")
+    # Only documents that come in several rows need a choice among them.
+    kept = kept if repeated.isEmpty() else kept.dropDuplicates(["__id", "__digest"])
+    return kept.select(*[kept[f"`{n}`"] for n in docs.columns])
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(read_table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    return near_classes(read_table(spark, sf_dir, "documents"))

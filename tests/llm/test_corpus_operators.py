@@ -267,3 +267,14 @@ def hot_group(spark):
 def test_copies_do_not_hide_near_copies(spark):
     got = {r["doc_id"]: r["class_id"] for r in nearup.near_classes(hot_group(spark)).collect()}
     assert got == {i: 0 if i < 108 else i for i in got} and len(got) == 288
+
+
+def test_different_texts_of_one_id_are_all_kept(spark):
+    rows = [(None, prose(80, 700 + i)) for i in range(5)] + [(7, prose(80, 710 + i)) for i in range(5)] + [(None, prose(80, 700)), (7, prose(80, 710)), (9, prose(80, 711))]
+    w = prose(80, 712).split()
+    rows += [(3, " ".join([*w[:-1], "edit"])), (8, None), (8, ""), (7, "")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, more string").repartition(3)
+    got = nearup.keep_one(docs).collect()
+    want = {(i, t or "") for i, t in rows} - {(9, prose(80, 711)), (7, prose(80, 712)), (8, "")}
+    assert {(r["doc_id"], r["text"] or "") for r in got} == want and len(got) == len(want)
+    assert all(r["more"] == "x" for r in got)
