@@ -11,11 +11,11 @@ classes nest by position into the host's template, whose tokens cut each page
 into slots, named by the template token before them.
 
 Slots are extracted: blocks in navigation, headers, footers, sidebars, notices,
-adverts, forms and comments go by their container; where a page marks its
-article, all other blocks inside it stay, whatever repeats; where it does
-not, blocks that are tokens of the template go, and of the rest the blocks of
-slots that hold running text on their host (``SLOT_CHARS`` on average and few
-links) stay; a page without a template keeps all but the marked ones.
+adverts, forms and comments go by their container, blocks that are tokens of the
+template go, inside a marked article too, and so do blocks of mostly link text
+in slots that are mostly links on their host, unless most of the slot's text lies
+in a marked article.  All other blocks stay, however short; a page without a template keeps
+all but the marked ones.
 
 Templates are joined with the pages by host; a host's template is one row of at
 most the tokens that half its pages share.  The join is by shuffle or, if Spark
@@ -44,7 +44,7 @@ from lowrank.llm.common import by_value, read_table, save_table, text_blocks
 by_value(__name__)
 
 MIN_TOKENS, MIN_SHARE, MIN_PAGES = 3, 0.5, 3
-SLOT_CHARS, SLOT_LINKS = 60, 0.3
+SLOT_LINKS = 0.3
 
 _MARK = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)/?>|<[!?/][^>]*+>""", re.S)
 _ATTR = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
@@ -218,10 +218,11 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     by.setdefault(v, []).append(token_key(name))
             order.update((host, v, token_key(",".join(map(str, x)))) for v, x in by.items())
             at = _slots(tokens, template)
-            for k, text, _, _, links in blocks:
-                x = slots.setdefault((host, at[k]), [0, 0, 0])
-                for j, y in enumerate((1, len(text), links)):
-                    x[j] += y
+            for k, text, boiler, main, links in blocks:
+                if not boiler and token_key(tokens[k][0]) not in template:
+                    x = slots.setdefault((host, at[k]), [0, 0, 0])
+                    for j, y in enumerate((len(text) if main else 0, len(text), links)):
+                        x[j] += y
         out = [(h, "class", v, s, 0, 0) for h, v, s in order] + [(h, "slot", k, *x) for (h, k), x in slots.items()]
         types = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
         cols = list(zip(*out)) if out else [[]] * 6
@@ -229,30 +230,28 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, template, text_slots): tokens of the valid classes, and slots
-    that hold running text."""
+    """(host, template, link_slots): tokens of the valid classes, and slots
+    that are mostly links."""
     found = save_table(classes(pages), "classes")
     seen = save_table(pages.join(found, "host").mapInArrow(_observe, "host string, kind string, name long, a long, b long, c long")
                       .groupBy("host", "kind", "name").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.sum("b").alias("chars"),
-                                                            F.sum("c").alias("links"), F.sum(F.when(F.col("kind") == "slot", F.col("a"))).alias("n")), "observed")
+                                                            F.sum("c").alias("links"), F.sum(F.when(F.col("kind") == "slot", F.col("a"))).alias("marked")), "observed")
     broken = seen.where("kind = 'class' and lo <> hi").groupBy("host").agg(F.collect_set("name").alias("broken"))
-    text = (seen.where("kind = 'slot'").where((F.col("chars") >= SLOT_CHARS * F.col("n")) & (F.col("links") <= SLOT_LINKS * F.col("chars")))
-            .groupBy("host").agg(F.collect_set("name").alias("text_slots")))
+    links = (seen.where("kind = 'slot'").where((F.col("links") > SLOT_LINKS * F.col("chars")) & (2 * F.col("marked") <= F.col("chars")))
+             .groupBy("host").agg(F.collect_set("name").alias("link_slots")))
     none = F.array().cast("array<bigint>")
     pairs = F.filter(F.arrays_zip("tokens", "vectors"), lambda x: ~F.array_contains(F.coalesce("broken", none), x["vectors"]))
-    return (found.join(broken, "host", "left").join(text, "host", "left")
-            .select("host", F.transform(pairs, lambda x: x["tokens"]).alias("template"), F.coalesce("text_slots", none).alias("text_slots")))
+    return (found.join(broken, "host", "left").join(links, "host", "left")
+            .select("host", F.transform(pairs, lambda x: x["tokens"]).alias("template"), F.coalesce("link_slots", none).alias("link_slots")))
 
 
-def page_text(page: str, template: set[int], text_slots: set[int]) -> str:
+def page_text(page: str, template: set[int], link_slots: set[int]) -> str:
     tokens, blocks = parse(page)
-    if any(main for _, _, boiler, main, _ in blocks if not boiler):
-        return "\n".join(text for _, text, boiler, main, _ in blocks if main and not boiler)
-    left = [(k, text) for k, text, boiler, _, _ in blocks if not boiler]
+    left = [(k, text, links > SLOT_LINKS * len(text)) for k, text, boiler, _, links in blocks if not boiler]
     if template:
         at = _slots(tokens, template)
-        left = [(k, text) for k, text in left if token_key(tokens[k][0]) not in template and at[k] in text_slots]
-    return "\n".join(text for _, text in left)
+        left = [x for x in left if token_key(tokens[x[0]][0]) not in template and not (x[2] and at[x[0]] in link_slots)]
+    return "\n".join(text for _, text, _ in left)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,7 +261,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             host = rows.column("host")[i].as_py()
             if host != last:
                 last = host
-                sets = [set(rows.column(c)[i].as_py() or ()) for c in ("template", "text_slots")]
+                sets = [set(rows.column(c)[i].as_py() or ()) for c in ("template", "link_slots")]
             out.append(page_text(page, *sets))
         yield pa.RecordBatch.from_arrays([rows.column("page_id"), rows.column("url"), pa.array(out, pa.string())], names=["page_id", "url", "text"])
 

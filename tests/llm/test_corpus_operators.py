@@ -278,3 +278,18 @@ def test_different_texts_of_one_id_are_all_kept(spark):
     want = {(i, t or "") for i, t in rows} - {(9, prose(80, 711)), (7, prose(80, 712)), (8, "")}
     assert {(r["doc_id"], r["text"] or "") for r in got} == want and len(got) == len(want)
     assert all(r["more"] == "x" for r in got)
+
+
+def texts_of(spark, rows):
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    return {r["page_id"]: r["text"] for r in template.extract_text(pages).collect()}
+
+
+def test_template_decides_on_pages_with_articles(spark):
+    page = "<html><body><div>Site menu</div><article><div>Share this story now</div><h1>Title {0}</h1><p>Body {0} of the story</p>" \
+           "<div>Read our other stories</div></article><div>All rights</div></body></html>"
+    teaser = "<html><body><div>Main menu</div><div><h2>Head {0}</h2><p>The text {0} of the page</p></div><article>Teaser {0}</article><div>Imprint</div></body></html>"
+    rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(6)] + [(10 + i, f"http://b.example/{i}", teaser.format(i)) for i in range(6)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == f"Title {i}\nBody {i} of the story" for i in range(6))
+    assert all(got[10 + i] == f"Head {i}\nThe text {i} of the page\nTeaser {i}" for i in range(6))
