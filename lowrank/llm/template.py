@@ -31,7 +31,6 @@ from __future__ import annotations
 
 import html as entities
 import re
-import zlib
 from collections.abc import Iterator
 from hashlib import blake2b
 
@@ -146,40 +145,41 @@ def token_key(name: str) -> int:
 
 
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per host and token of a block of pages: pages, summed place, and the
-    order-free digest of the occurrence vector."""
+    """Per host and token of a block of different pages: pages, summed place, and
+    the order-free digest of the occurrence vector, a sum modulo 2^64 in two halves."""
     for rows, pages in text_blocks(batches, "html"):
         found: dict[tuple[str, int], list] = {}
         hosts: dict[str, int] = {}
-        for page_id, url, page in zip(rows.column("page_id").to_pylist(), rows.column("url").to_pylist(), pages.to_pylist()):
-            host = host_of(url)
+        for host, digest, page in zip(rows.column("host").to_pylist(), rows.column("digest").to_pylist(), pages.to_pylist()):
             hosts[host] = hosts.get(host, 0) + 1
             seen: dict[int, list] = {}
             tokens = parse(page)[0]
             for i, (name, _) in enumerate(tokens):
                 seen.setdefault(token_key(name), [0, i / len(tokens)])[0] += 1
-            salt = f"{page_id}:{zlib.crc32(page.encode('utf-8', 'replace'))}:"
-            digest = {c: token_key(f"{salt}{c}") for c in {x[0] for x in seen.values()}}
+            entry = {c: token_key(f"{digest}:{c}") for c in {x[0] for x in seen.values()}}
             for key, (count, place) in seen.items():
                 x = found.setdefault((host, key), [0, 0.0, 0, 0])
                 x[0] += 1
                 x[1] += place
-                x[2] ^= digest[count]
+                x[2] = (x[2] + entry[count]) % (1 << 64)
                 x[3] = max(x[3], count)
         for host, n in hosts.items():
             found[host, None] = [n, 0.0, 0, 0]
         keys = list(found)
         cols = list(zip(*found.values())) if found else [[]] * 4
+        low, high = [v & 0xFFFFFFFF for v in cols[2]], [v >> 32 for v in cols[2]]
         yield pa.RecordBatch.from_arrays(
             [pa.array([h for h, _ in keys], pa.string()), pa.array([k for _, k in keys], pa.int64()), pa.array(cols[0], pa.int64()),
-             pa.array(cols[1], pa.float64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())],
-            names=["host", "token", "pages", "place", "vector", "most"])
+             pa.array(cols[1], pa.float64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.array(cols[3], pa.int64())],
+            names=["host", "token", "pages", "place", "low", "high", "most"])
 
 
 def classes(pages: DataFrame) -> DataFrame:
-    """(host, tokens, vectors): large and frequent classes of each host."""
-    found = save_table(pages.mapInArrow(_vectors, "host string, token long, pages long, place double, vector long, most long")
-                       .groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.bit_xor("vector").alias("vector"),
+    """(host, tokens, vectors): large and frequent classes of each host, of different ``pages``."""
+    low, half = F.sum("low"), F.lit(0xFFFFFFFF)
+    vector = F.shiftleft((F.sum("high") + F.shiftright(low, 32)).bitwiseAND(half), 32).bitwiseOR(low.bitwiseAND(half))
+    found = save_table(pages.mapInArrow(_vectors, "host string, token long, pages long, place double, low long, high long, most long")
+                       .groupBy("host", "token").agg(F.sum("pages").alias("pages"), vector.alias("vector"),
                                                       (F.sum("place") / F.sum("pages")).alias("place"), F.max("most").alias("most")), "tokens")
     size = found.where("token is null").select("host", F.col("pages").alias("all_pages"))
     frequent = (found.where("token is not null").join(size, "host")
@@ -232,6 +232,9 @@ def _observe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template, link_slots): tokens of the valid classes, and slots
     that are mostly links."""
+    # Copies of a page say nothing about what its host repeats.
+    pages = pages.select("host", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.md5("html"))
+    pages = save_table(pages.groupBy("host", "digest").agg(F.first("html").alias("html")), "different")
     found = save_table(classes(pages), "classes")
     seen = save_table(pages.join(found, "host").mapInArrow(_observe, "host string, kind string, name long, a long, b long, c long")
                       .groupBy("host", "kind", "name").agg(F.min("a").alias("lo"), F.max("a").alias("hi"), F.sum("b").alias("chars"),

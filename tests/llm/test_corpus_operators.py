@@ -293,3 +293,13 @@ def test_template_decides_on_pages_with_articles(spark):
     got = texts_of(spark, rows)
     assert all(got[i] == f"Title {i}\nBody {i} of the story" for i in range(6))
     assert all(got[10 + i] == f"Head {i}\nThe text {i} of the page\nTeaser {i}" for i in range(6))
+
+
+def test_short_blocks_and_copied_pages_keep_their_text(spark):
+    page = "<html><body><div>Site menu</div><h2>Title {0}</h2><p>Yes {0}</p><ul><li>item {0}</li></ul><ul><li><a href=x>link to {0}</a></li></ul><div>All rights</div></body></html>"
+    rows = [(i, f"http://a.example/{i}", page.format(i)) for i in range(6)] + [(10 + i, f"http://b.example/{i}", page.format(max(i, 5))) for i in range(8)]
+    rows += [(20 + i, "http://c.example/", page.format(9)) for i in range(4)]
+    got = texts_of(spark, rows)
+    assert all(got[i].split("\n")[:3] == [f"Title {i}", f"Yes {i}", f"item {i}"] and "menu" not in got[i] and "rights" not in got[i] for i in range(6))
+    assert all(f"Title {max(i, 5)}\nYes {max(i, 5)}\nitem {max(i, 5)}" in got[10 + i] and "menu" not in got[10 + i] for i in range(8))
+    assert all("Title 9\nYes 9\nitem 9" in got[20 + i] for i in range(4))
