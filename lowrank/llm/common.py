@@ -13,10 +13,12 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lowrank.session import ensure_checkpoint_dir
+from lowrank.session import ensure_checkpoint_dir, release
 
 # Worker functions travel with the job: executors need not have the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -46,13 +48,68 @@ def save_table(df: DataFrame, name: str) -> DataFrame:
     are scans and a lost executor never repeats the work behind it."""
     path = new_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lowrank_path = path
+    return out
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def drop_table(df: DataFrame) -> None:
+    """Delete a table of ``save_table`` that nothing reads any more."""
+    release(df)
+
+
+NUMBERED_ROWS = 1 << 20    # rows that one range of ``numbered_rows`` holds on average, at most
+
+
+def _running(by: str | None):
+    def run(batches):
+        part, last, k = TaskContext.get().partitionId(), None, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n = np.arange(b.num_rows)
+            new = np.zeros(b.num_rows, bool)
+            if by is not None:
+                coded = b.column(by).dictionary_encode()
+                codes = coded.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                new[1:] = codes[1:] != codes[:-1]
+                first = b.column(by)[0].as_py()
+                new[0] = first != last
+                last = b.column(by)[-1].as_py()
+            start = np.maximum.accumulate(np.where(new, n, -1))
+            at = np.where(start < 0, n + k, n - start)
+            k = int(at[-1]) + 1
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(n), part), pa.int64()), pa.array(at, pa.int64())],
+                                             names=[*b.schema.names, "range_no", "range_pos"])
+    return run
+
+
+def numbered_rows(stored: DataFrame, by: list[str], order: list[str], name: str) -> DataFrame:
+    """The rows of a stored table with ``pos``, their place from 0 within
+    ``by`` (at most one column; null is a group) by ``order``.  Rows are
+    sorted into ranges by all these columns and their place in the table, so
+    neither a frequent group nor equal rows come into one task."""
+    spark = stored.sparkSession
+    ranges = max(shuffle_partitions(spark), -(-stored.count() // NUMBERED_ROWS))
+    keys = [*by, *order, "range_tie"]
+    rows = stored.withColumn("range_tie", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(ranges, *keys).sortWithinPartitions(*keys).drop("range_tie")
+    schema = T.StructType([*rows.schema.fields, T.StructField("range_no", T.LongType()), T.StructField("range_pos", T.LongType())])
+    sorted_rows = save_table(rows.mapInArrow(_running(by[0] if by else None), schema), name)
+    sizes = sorted_rows.groupBy(*by, "range_no").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select(*(F.col(c).alias(f"of_{c}") for c in by), F.col("range_no").alias("of_range"),
+                           F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    same = F.col("range_no") == F.col("of_range")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"of_{c}"))
+    return sorted_rows.join(offsets, same).select(*stored.columns, (F.col("before") + F.col("range_pos")).alias("pos"))
+
+
 def text_blocks(batches, column: str, limit: int = BLOCK_BYTES):
     """Slices of Arrow batches holding about ``limit`` bytes of ``column``,
     as (slice, texts) with nulls read as empty."""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lowrank.llm import bpe, chunks, ensemble, fingerprints, nearup, packing, rules, secrets, template, warc
+from lowrank.llm import backoff, bpe, chunks, ensemble, fingerprints, merkle, nearup, packing, rules, secrets, template, warc, whiten
 
 QUERIES = {
     "op7_html_text": template.op7_html_text,
@@ -15,8 +15,12 @@ QUERIES = {
     "op10_packing": packing.op10_packing,
     "op3_warc": warc.op3_warc,
     "op4_quality_rules": rules.op4_quality_rules,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_lm_scores": backoff.op12_lm_scores,
+    "op13_whitening": whiten.op13_whitening,
 }
 ORACLE = {
     "op3_warc": warc.ORACLE,
     "op4_quality_rules": rules.oracle(),
+    "op11_merkle_manifest": merkle.ORACLE,
 }
