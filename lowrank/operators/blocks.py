@@ -12,6 +12,7 @@ plus a shuffle of model-sized rows, never of data rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +32,55 @@ CHUNK_CELLS = 1 << 22
 BATCH_CELLS = 1 << 22
 
 
+# Most bytes of one Arrow batch of sparse rows, whatever the width of the matrix.
+BATCH_BYTES = 32 << 20
+
+
+class Keyed(NamedTuple):
+    """Rows of a tall d x q sum that are present: row ``keys[t]`` is
+    ``values[t]``, keys rising.  Its size follows the data, not d."""
+    keys: np.ndarray
+    values: np.ndarray
+
+
+def _sum_by_key(keys: np.ndarray, values: np.ndarray) -> Keyed:
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if keys.size else np.zeros(0, np.int64)
+    return Keyed(keys[first], np.add.reduceat(values[order], first, axis=0) if keys.size else values)
+
+
+class KeyedSum:
+    """Running sum of ``Keyed`` parts; parts are merged when they hold twice
+    the rows of the sum, so a row is touched a bounded number of times."""
+
+    def __init__(self):
+        self.parts: list[Keyed] = []
+        self.held = self.merged = 0
+
+    def add(self, part: Keyed) -> None:
+        self.parts.append(part)
+        self.held += part.keys.size
+        if self.held > 2 * self.merged + (1 << 16):
+            self.total()
+
+    def total(self) -> Keyed:
+        out = self.parts[0] if len(self.parts) == 1 else _sum_by_key(
+            np.concatenate([p.keys for p in self.parts]), np.concatenate([p.values for p in self.parts]))
+        self.parts, self.held, self.merged = [out], out.keys.size, out.keys.size
+        return out
+
+
 class Block:
     """Rows of one Arrow batch, dense or CSR."""
 
-    __slots__ = ("n", "d", "dense", "indptr", "indices", "values", "row_of")
+    __slots__ = ("n", "d", "dense", "indptr", "indices", "values", "row_of", "_by_column")
 
     def __init__(self, n: int, d: int, dense=None, indptr=None, indices=None, values=None):
         self.n, self.d = n, d
         self.dense = dense
         self.indptr, self.indices, self.values = indptr, indices, values
-        self.row_of = None
+        self.row_of = self._by_column = None
         if dense is None:
             self.row_of = np.repeat(np.arange(n), np.diff(indptr))
 
@@ -53,20 +93,30 @@ class Block:
         if self.is_dense:
             return self.dense @ w
         out = np.zeros((self.n, w.shape[1]))
-        contrib = self.values[:, None] * w[self.indices]
-        _scatter_rows(out, self.row_of, contrib)
+        filled = np.flatnonzero(np.diff(self.indptr))
+        if filled.size:
+            out[filled] = np.add.reduceat(self.values[:, None] * w[self.indices], self.indptr[filled], axis=0)
         return out
 
-    def t_matmul(self, x: np.ndarray) -> np.ndarray:
-        """Y^T @ X  (d x k), non-zeros only for CSR."""
+    def _columns(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(columns present, order of the entries by column, first entry of each)."""
+        if self._by_column is None:
+            order = np.argsort(self.indices, kind="stable")
+            cols = self.indices[order]
+            first = np.flatnonzero(np.r_[True, cols[1:] != cols[:-1]]) if cols.size else np.zeros(0, np.int64)
+            self._by_column = cols[first], order, first
+        return self._by_column
+
+    def by_column(self, per_entry: np.ndarray) -> Keyed:
+        """Sums of a (entries x q) array over the entries of each column present (CSR)."""
+        cols, order, first = self._columns()
+        return Keyed(cols, np.add.reduceat(per_entry[order], first, axis=0) if cols.size else per_entry)
+
+    def t_matmul(self, x: np.ndarray) -> np.ndarray | Keyed:
+        """Y^T @ X (d x k); for CSR the rows of the columns present."""
         if self.is_dense:
             return self.dense.T @ x
-        out = np.zeros((self.d, x.shape[1]))
-        cols, at = np.unique(self.indices, return_inverse=True)      # only the columns present
-        part = np.zeros((cols.size, x.shape[1]))
-        _scatter_rows(part, at, self.values[:, None] * x[self.row_of])
-        out[cols] = part
-        return out
+        return self.by_column(self.values[:, None] * x[self.row_of])
 
     def col_sum(self) -> np.ndarray:
         if self.is_dense:
@@ -80,6 +130,18 @@ class Block:
         out[self.row_of, self.indices] = self.values
         return out
 
+    def pieces(self, width: int):
+        """Row ranges of a CSR block whose entries times ``width`` hold about
+        CHUNK_CELLS doubles (a longer row is a range of its own)."""
+        if self.is_dense:
+            yield self
+            return
+        step, lo = max(1, CHUNK_CELLS // max(1, width)), 0
+        while lo < self.n:
+            hi = max(lo + 1, int(np.searchsorted(self.indptr, self.indptr[lo] + step, "right")) - 1)
+            yield self.rows(lo, min(hi, self.n))
+            lo = hi
+
     def rows(self, lo: int, hi: int) -> "Block":
         """Rows lo..hi-1 as a block of their own (views, no copy for dense)."""
         if self.is_dense:
@@ -106,15 +168,6 @@ class Block:
         return g
 
 
-def _scatter_rows(out: np.ndarray, rows: np.ndarray, contrib: np.ndarray) -> None:
-    """out[rows[t]] += contrib[t] for every t (columns done with bincount)."""
-    if rows.size == 0:
-        return
-    n = out.shape[0]
-    for p in range(out.shape[1]):
-        out[:, p] += np.bincount(rows, weights=contrib[:, p], minlength=n)
-
-
 def _list_values(arr: pa.Array, width: int, what: str) -> np.ndarray:
     if isinstance(arr, pa.ChunkedArray):
         arr = arr.combine_chunks()
@@ -192,71 +245,92 @@ def partial_schema(width: int = BLOCK_WIDTH) -> T.StructType:
 def _emit(parts: dict[str, np.ndarray], width: int) -> pa.RecordBatch:
     stats, rs, cbs, cols = [], [], [], [[] for _ in range(width)]
     for name, mat in parts.items():
-        mat = np.atleast_2d(np.asarray(mat, dtype=np.float64))
+        keys, mat = mat if isinstance(mat, Keyed) else (None, np.atleast_2d(np.asarray(mat, dtype=np.float64)))
         rows, ncol = mat.shape
+        keys = np.arange(rows) if keys is None else keys
         nblk = max(1, -(-ncol // width))
         padded = np.zeros((rows, nblk * width))
         padded[:, :ncol] = mat
         for b in range(nblk):
             chunk = padded[:, b * width:(b + 1) * width]
             stats.extend([name] * rows)
-            rs.extend(range(rows))
+            rs.append(keys)
             cbs.extend([b] * rows)
             for t in range(width):
                 cols[t].append(chunk[:, t])
-    arrays = [pa.array(stats, pa.string()), pa.array(rs, pa.int32()), pa.array(cbs, pa.int32())]
+    arrays = [pa.array(stats, pa.string()), pa.array(np.concatenate(rs) if rs else [], pa.int32()), pa.array(cbs, pa.int32())]
     arrays += [pa.array(np.concatenate(c) if c else np.zeros(0), pa.float64()) for c in cols]
     return pa.RecordBatch.from_arrays(arrays, schema=pa.schema(
         [("stat", pa.string(), False), ("r", pa.int32(), False), ("cb", pa.int32(), False)]
         + [(f"c{t}", pa.float64(), False) for t in range(width)]))
 
 
+class Partials:
+    """Sums of kernel outputs within one task: arrays, and ``Keyed`` rows."""
+
+    def __init__(self):
+        self.sums: dict = {}
+
+    def add(self, parts: dict) -> None:
+        for name, val in parts.items():
+            if isinstance(val, Keyed):
+                self.sums.setdefault(name, KeyedSum()).add(val)
+                continue
+            val = np.asarray(val, dtype=np.float64)
+            self.sums[name] = self.sums[name] + val if name in self.sums else val.copy()
+
+    def emit(self, width: int) -> pa.RecordBatch:
+        return _emit({n: v.total() if isinstance(v, KeyedSum) else v for n, v in self.sums.items()}, width)
+
+
 def partial_sums_df(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarray]],
                     width: int = BLOCK_WIDTH) -> DataFrame:
-    """Lazy DataFrame of the summed kernel outputs, one row per (stat, r, cb)."""
+    """Lazy DataFrame of the summed kernel outputs, one row per (stat, r, cb);
+    of ``Keyed`` outputs only the rows present."""
     kind, d = m.kind, m.n_cols
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[str, np.ndarray] = {}
+        acc = Partials()
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            for name, val in kernel(to_block(batch, kind, d)).items():
-                val = np.asarray(val, dtype=np.float64)
-                if name in acc:
-                    acc[name] += val
-                else:
-                    acc[name] = val.copy()
-        if acc:
-            yield _emit(acc, width)
+            if batch.num_rows:
+                acc.add(kernel(to_block(batch, kind, d)))
+        if acc.sums:
+            yield acc.emit(width)
 
     parts = kernel_input(m).mapInArrow(run, partial_schema(width))
     return (parts.groupBy("stat", "r", "cb")
             .agg(*[F.sum(f"c{t}").alias(f"c{t}") for t in range(width)]))
 
 
-def batch_rows(n_cols: int, default: int = 10000) -> int:
-    """Rows per Arrow batch so one batch of dense rows is about BATCH_CELLS."""
-    return int(max(64, min(default, BATCH_CELLS // max(1, n_cols))))
+def batch_rows(m: TallMatrix, default: int = 10000) -> int:
+    """Rows per Arrow batch so one batch of dense rows is about BATCH_CELLS;
+    batches of sparse rows are bounded by their bytes alone."""
+    return default if m.is_sparse else int(max(64, min(default, BATCH_CELLS // max(1, m.n_cols))))
 
 
 class arrow_batch_rows:
-    """Temporarily cap ``spark.sql.execution.arrow.maxRecordsPerBatch`` for
-    the actions a library call runs itself (wide rows, bounded memory)."""
+    """Temporarily cap the rows and bytes of Arrow batches for the actions a
+    library call runs itself (bounded memory)."""
 
-    KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
     def __init__(self, spark, rows: int):
-        self.spark, self.rows, self.old = spark, rows, None
+        self.spark, self.want, self.old = spark, {self.ROWS: rows, self.BYTES: BATCH_BYTES}, {}
 
     def __enter__(self):
-        self.old = self.spark.conf.get(self.KEY, "10000")
-        if int(self.old) > self.rows:
-            self.spark.conf.set(self.KEY, str(self.rows))
+        for key, want in self.want.items():
+            self.old[key] = old = self.spark.conf.get(key, None)
+            if old is None or not old.isdigit() or not 0 < int(old) <= want:
+                self.spark.conf.set(key, str(want))
         return self
 
     def __exit__(self, *exc):
-        self.spark.conf.set(self.KEY, self.old)
+        for key, old in self.old.items():
+            if old is None:
+                self.spark.conf.unset(key)
+            else:
+                self.spark.conf.set(key, old)
         return False
 
 
@@ -280,7 +354,7 @@ def partial_sums(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarray]]
 
     out = {name: np.zeros(as2d(shape)) for name, shape in shapes.items()}
     width = min(width, max(mat.shape[1] for mat in out.values()))
-    with arrow_batch_rows(m.spark, batch_rows(m.n_cols)):
+    with arrow_batch_rows(m.spark, batch_rows(m)):
         tbl = collect_arrow(partial_sums_df(m, kernel, width))
     stat = np.asarray(tbl.column("stat").to_pylist(), dtype=object)
     r_idx = tbl.column("r").to_numpy()
@@ -392,7 +466,7 @@ def tsqr(m: TallMatrix, rows_fn: Callable[[Block], np.ndarray], width: int,
         level = (level.withColumn("gid", F.floor(F.col("pid") / fan_in))
                  .groupBy("gid").applyInPandas(combine, schema))
         n = -(-n // fan_in)
-    with arrow_batch_rows(m.spark, batch_rows(d)):
+    with arrow_batch_rows(m.spark, batch_rows(m)):
         rows = level.collect()
     if not rows:
         return np.zeros((width, width))
@@ -422,21 +496,18 @@ def sums_and_r(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarray]],
     schema = T.StructType([T.StructField("pid", T.LongType(), False)] + partial_schema(cols).fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc: dict[str, np.ndarray] = {}
-        r = None
+        acc, r = Partials(), None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             blk = to_block(batch, kind, d)
-            for name, val in kernel(blk).items():
-                val = np.asarray(val, dtype=np.float64)
-                acc[name] = acc[name] + val if name in acc else val.copy()
+            acc.add(kernel(blk))
             b = np.asarray(rows_fn(blk), dtype=np.float64)
             r = _r_factor(b if r is None else np.vstack([r, b]))
-        if not acc:
+        if not acc.sums:
             return
         pid = TaskContext.get().partitionId()
-        out = [_emit(acc, cols), _emit({"__r": r}, cols)]
+        out = [acc.emit(cols), _emit({"__r": r}, cols)]
         for rb, key in zip(out, (-1, pid)):
             keys = pa.array(np.full(rb.num_rows, key, dtype=np.int64))
             yield pa.RecordBatch.from_arrays([keys] + rb.columns,
@@ -445,7 +516,7 @@ def sums_and_r(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarray]],
     merged = (source.mapInArrow(run, schema)
               .groupBy("pid", "stat", "r", "cb")
               .agg(*[F.sum(f"c{t}").alias(f"c{t}") for t in range(cols)]))
-    with arrow_batch_rows(m.spark, batch_rows(d)):
+    with arrow_batch_rows(m.spark, batch_rows(m)):
         tbl = collect_arrow(merged)
     pid = tbl.column("pid").to_numpy()
     stat = np.asarray(tbl.column("stat").to_pylist(), dtype=object)
@@ -555,7 +626,7 @@ def centred_tsqr(m: TallMatrix) -> tuple[int, np.ndarray, np.ndarray]:
         level = (level.withColumn("gid", F.floor(F.col("pid") / fan_in))
                  .groupBy("gid").applyInPandas(combine, schema))
         n = -(-n // fan_in)
-    with arrow_batch_rows(m.spark, batch_rows(d)):
+    with arrow_batch_rows(m.spark, batch_rows(m)):
         rows = level.collect()
     state = (0, np.zeros(d), np.zeros((d, d)))
     groups: dict[int, list] = {}

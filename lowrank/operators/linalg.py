@@ -18,12 +18,16 @@ from pyspark.sql import functions as F
 
 from ..matrix import TallMatrix
 from .blocks import BLOCK_WIDTH, Block, _merge_state, centred_tsqr, partial_sums, partial_sums_df, sums_and_r, tsqr
+from .stats import mean_and_norm
 
 # Exact-spectrum route (d x d R factor or Gram) when d is at most this;
-# otherwise power iteration.
+# otherwise Lanczos.
 MAX_GRAM_COLS = 4096
-# Passes after which a power iteration that has not converged fails.
-MAX_POWER_PASSES = 1000
+# Passes after which a Lanczos run that has not converged fails.
+MAX_PASSES = 200
+# Share of a sum of squares under which its difference with the squared sums
+# has lost too many digits.
+CANCELLED = 1e-6
 # Largest d x q model the driver is asked to hold (doubles).
 MAX_DRIVER_DOUBLES = 64 * 1024 * 1024
 
@@ -60,7 +64,7 @@ def cross_stats(m: TallMatrix, v: np.ndarray, mean: np.ndarray) -> CrossStats:
             x = a @ v
             return {"sx": x.sum(axis=0), "sxx": x.T @ x, "syx": a.T @ x}
         x = block.matmul(v)
-        return {"sx": x.sum(axis=0), "sxx": x.T @ x, "syx": block.t_matmul(x)}
+        return {"sx": x.sum(axis=0), "sxx": x.T @ x, "syx": block.t_matmul(x)}      # columns present only
 
     r = partial_sums(m, kernel, {"sx": (q,), "sxx": (q, q), "syx": (d, q)})
     n = m.n_rows if m.is_sparse else 0     # dense blocks are centred already
@@ -103,7 +107,7 @@ def gram(m: TallMatrix, mean: np.ndarray) -> np.ndarray:
     """A'A, d x d, on the driver (d bounded by MAX_GRAM_COLS)."""
     d = m.n_cols
     if d > MAX_GRAM_COLS:
-        raise ValueError(f"Gram of {d} columns exceeds {MAX_GRAM_COLS}; use power iteration")
+        raise ValueError(f"Gram of {d} columns exceeds {MAX_GRAM_COLS}; use Lanczos")
     mu = np.asarray(mean, dtype=np.float64)
     dense = not m.is_sparse
 
@@ -124,6 +128,7 @@ def gram(m: TallMatrix, mean: np.ndarray) -> np.ndarray:
 def gram_apply(m: TallMatrix, v: np.ndarray, mean: np.ndarray) -> np.ndarray:
     """A'A V in one pass without forming A'A (for wide matrices).
     With X = A V, A'(X - xm) = A'X because the columns of A sum to zero."""
+    check_driver_size(*v.shape, "A'A V")
     return cross_stats(m, v, mean).ytx
 
 
@@ -161,51 +166,123 @@ def residual_spectral_norm_gram(g: np.ndarray, p: np.ndarray) -> float:
     return float(np.sqrt(max(w[-1], 0.0)))
 
 
-def _subspace_iteration(m: TallMatrix, q: int, mean: np.ndarray, p: np.ndarray | None,
-                        iters: int, tol: float, seed: int, oversample: int = 8,
-                        start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Top ``q`` eigenvalues of E'E, E = A (I - P P') (P = None: E = A), by
-    block subspace iteration with oversampling.  One distributed pass
-    (A'A V) per step; Ritz values come from V'(A'A V) of the same pass.
-    ``start`` (a previous block) warm-starts the iteration.  Returns the
-    values and the last block."""
-    d = m.n_cols
-    b = min(d, q + oversample)
-    rng = np.random.default_rng(seed)
+# Columns of a Lanczos block, at least, and blocks held before a restart, at most.
+LANCZOS_BLOCK = 32
+LANCZOS_BLOCKS = 30
+
+
+@dataclass
+class LanczosResult:
+    values: np.ndarray     # q largest eigenvalues of E'E, falling
+    bounds: np.ndarray     # |value - an eigenvalue| is at most this (residual norms)
+    block: np.ndarray      # Ritz vectors to start the next run with
+    passes: int
+
+
+def _orthonormal(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Orthonormal columns of the part of ``x`` outside span(basis); those at
+    rounding level are left out."""
+    size = np.linalg.norm(x, axis=0).max(initial=0.0)
+    for _ in range(2):
+        x = x - basis @ (basis.T @ x)
+    u, s, _ = np.linalg.svd(x, full_matrices=False)
+    u = u[:, s > 1e-10 * size] if size > 0 else u[:, :0]
+    u = u - basis @ (basis.T @ u)
+    return np.linalg.qr(u)[0]
+
+
+def lanczos(d: int, q: int, p: np.ndarray | None = None, tol: float = 1e-6, seed: int = 0,
+            start: np.ndarray | None = None, max_passes: int = MAX_PASSES, block: int = LANCZOS_BLOCK):
+    """L3 / L5 for wide matrices: the ``q`` largest eigenvalues of E'E, E =
+    A (I - P P') (P = None: E = A), by block Golub-Kahan-Lanczos in its
+    one-sided form with full reorthogonalisation and thick restart.
+
+    A coroutine: it yields a d x b block V and is sent A'A V, so one
+    distributed pass may serve several runs (``lanczos_runs``).  The whole
+    Krylov basis and its images stay on the driver (2 d x LANCZOS_BLOCKS b
+    doubles, fewer blocks where the driver bound asks for it); when it is
+    full, the leading Ritz vectors and the current residual block carry
+    on.  It stops when each value's error bound, the residual norm or the
+    square of the residual over the gap to the next Ritz value, is
+    below 2 ``tol`` relatively (``tol`` for singular values), and fails after
+    ``max_passes``."""
+    free = d - (0 if p is None else p.shape[1])
+    b = min(free, max(block, q + 8))
+    room = MAX_DRIVER_DOUBLES // (2 * d)
+    while b > q + 2 and 3 * b > room:
+        b -= 1
+    most = min(LANCZOS_BLOCKS * b, max(room, 3 * b))
+    check_driver_size(d, 2 * min(most, d), "Krylov basis")
 
     def deflate(x):
         return x if p is None else x - p @ (p.T @ x)
 
-    v0 = start if start is not None and start.shape == (d, b) else rng.standard_normal((d, b))
-    v, _ = np.linalg.qr(deflate(v0))
-    prev = None
-    w = np.zeros(b)
-    for step in range(iters):
-        z = deflate(gram_apply(m, v, mean))
-        h = v.T @ z
-        w = np.sort(np.clip(np.linalg.eigvalsh((h + h.T) / 2), 0.0, None))[::-1]
-        v, _ = np.linalg.qr(z)
-        floor = np.finfo(float).eps * d * (w[0] if w.size else 0.0)       # a value at rounding level has converged
-        if prev is not None and np.allclose(w[:q], prev[:q], rtol=tol, atol=floor):
-            return w[:q], v
-        prev = w
-    raise RuntimeError(f"singular values not converged to {tol} in {iters} passes; raise iters or tol")
+    rng = np.random.default_rng(seed)
+    first = rng.standard_normal((d, b))
+    if start is not None and start.shape[0] == d:
+        first[:, :min(b, start.shape[1])] = start[:, :b]
+    v = _orthonormal(deflate(first), np.zeros((d, 0)))
+    basis, image, h = np.zeros((d, 0)), np.zeros((d, 0)), np.zeros((0, 0))
+    for passes in range(1, max_passes + 1):
+        z = deflate((yield v))
+        basis, image = np.hstack([basis, v]), np.hstack([image, z])
+        side = basis.T @ z
+        h = np.block([[h, side[:len(h)]], [side[:len(h)].T, side[len(h):]]])
+        w, y = np.linalg.eigh((h + h.T) / 2)
+        w, y = w[::-1], y[:, ::-1]
+        top = min(len(w), q + 8)
+        residual = image @ y[:, :top] - (basis @ y[:, :top]) * w[:top]
+        size = np.linalg.norm(residual, axis=0)
+        floor = np.finfo(float).eps * d * max(w[0], 0.0)           # a value at rounding level has converged
+        if len(w) >= min(q, free):
+            values = np.clip(w[:q], 0.0, None)
+            squares = [np.linalg.norm(residual[:, :t], 2) ** 2 / (w[t - 1] - w[t])
+                       for t in range(q, min(top + 1, len(w))) if w[t - 1] > w[t]]
+            errors = np.minimum(size[:len(values)], min(squares, default=np.inf))
+            if len(basis.T) >= free or (errors <= 2 * tol * values + floor).all():
+                ritz = basis @ y[:, :b]
+                return LanczosResult(np.r_[values, np.zeros(q - len(values))], size[:len(values)], ritz, passes)
+        v = _orthonormal(z, basis)
+        if v.shape[1] == 0:                                        # an invariant subspace: look outside it
+            v = _orthonormal(deflate(rng.standard_normal((d, b))), basis)
+        v = _orthonormal(deflate(v), basis)[:, :max(1, free - basis.shape[1])]
+        if basis.shape[1] + v.shape[1] > most:
+            keep = min(len(w), most - b, q + 2 * b)
+            basis, image, h = basis @ y[:, :keep], image @ y[:, :keep], np.diag(w[:keep])
+    raise RuntimeError(f"singular values not converged to {tol} in {max_passes} passes; raise max_passes or tol")
+
+
+def lanczos_runs(m: TallMatrix, mean: np.ndarray, runs: list) -> list[LanczosResult]:
+    """Drive several ``lanczos`` runs in step: each distributed pass multiplies
+    the blocks of all of them side by side."""
+    out: list = [None] * len(runs)
+    asked = {i: next(r) for i, r in enumerate(runs)}
+    while asked:
+        at = list(asked)
+        widths = np.cumsum([0] + [asked[i].shape[1] for i in at])
+        z = gram_apply(m, np.hstack([asked[i] for i in at]), mean)
+        for i, a, e in zip(at, widths[:-1], widths[1:]):
+            try:
+                asked[i] = runs[i].send(z[:, a:e])
+            except StopIteration as done:
+                out[i] = done.value
+                del asked[i]
+    return out
 
 
 def residual_spectral_norm_power(m: TallMatrix, p: np.ndarray, mean: np.ndarray,
-                                 iters: int = MAX_POWER_PASSES, tol: float = 1e-7, seed: int = 0,
+                                 iters: int = MAX_PASSES, tol: float = 1e-6, seed: int = 0,
                                  start: np.ndarray | None = None) -> tuple[float, np.ndarray]:
-    """L5 for wide matrices: ||A (I - P P')||_2 by subspace iteration;
-    returns the norm and the block to warm-start the next round with."""
-    w, v = _subspace_iteration(m, 1, mean, p, iters, tol, seed, start=start)
-    return float(np.sqrt(w[0])), v
+    """L5 for wide matrices: ||A (I - P P')||_2 by Lanczos; returns the norm
+    and the block to warm-start the next round with."""
+    got = lanczos_runs(m, mean, [lanczos(m.n_cols, 1, p, tol, seed, start, iters)])[0]
+    return float(np.sqrt(got.values[0])), got.block
 
 
-def top_singular_values_power(m: TallMatrix, q: int, mean: np.ndarray, iters: int = MAX_POWER_PASSES,
-                              tol: float = 1e-9, seed: int = 0) -> np.ndarray:
-    """Largest ``q`` singular values of A by subspace iteration on A'A
-    (wide d): d x (q + 8) on the driver, one pass per step."""
-    return np.sqrt(_subspace_iteration(m, q, mean, None, iters, tol, seed)[0])
+def top_singular_values_power(m: TallMatrix, q: int, mean: np.ndarray, iters: int = MAX_PASSES,
+                              tol: float = 1e-6, seed: int = 0) -> np.ndarray:
+    """Largest ``q`` singular values of A by Lanczos on A'A (wide d), one pass per step."""
+    return np.sqrt(lanczos_runs(m, mean, [lanczos(m.n_cols, q, None, tol, seed, None, iters)])[0].values)
 
 
 def r_factor(m: TallMatrix, mean: np.ndarray, v: np.ndarray | None = None) -> np.ndarray:
@@ -323,21 +400,38 @@ def sketch_svd(m: TallMatrix, width: int, mean: np.ndarray, seed: int,
     if method == "summary":
         return sketch_from_omega(r_summary, omega, rcond)
     if method == "tsqr":
-        fused = _sketch_pass(m, omega, mean)
-        if fused is None:                              # many task R factors: two passes + tree
-            r = r_factor(m, mean, omega)
-            bta = cross_stats(m, omega, mean).ytx.T
-        else:
-            r, bta = fused
-        _, sb, vt = np.linalg.svd(r)
-        vv = vt.T
-    elif method == "cholesky":
-        st = cross_stats(m, omega, mean)
-        btb, bta = st.xtx, st.ytx.T
-        w, vv = np.linalg.eigh((btb + btb.T) / 2)
-        sb = np.sqrt(np.clip(w, 0.0, None))
-    else:
+        return sketch_svds(m, [omega], mean, rcond)[0]
+    if method != "cholesky":
         raise ValueError("method must be 'tsqr' or 'cholesky'")
+    st = cross_stats(m, omega, mean)
+    btb, bta = st.xtx, st.ytx.T
+    w, vv = np.linalg.eigh((btb + btb.T) / 2)
+    return _finish_sketch(np.sqrt(np.clip(w, 0.0, None)), vv, bta, rcond)
+
+
+def sketch_svds(m: TallMatrix, omegas: list[np.ndarray], mean: np.ndarray, rcond: float = 1e-5) -> list[SketchResult]:
+    """L7 for several sketch matrices in one pass: B'A and the R factor of all
+    B = A Omega side by side; columns of that R factor are those of each B."""
+    stacked = np.hstack(omegas)
+    fused = _sketch_pass(m, stacked, mean)
+    if fused is None:                                  # many task R factors: two passes + tree
+        r = r_factor(m, mean, stacked)
+        bta = cross_stats(m, stacked, mean).ytx.T
+    else:
+        r, bta = fused
+    out, at = [], 0
+    for omega in omegas:
+        mine = slice(at, at + omega.shape[1])
+        at = mine.stop
+        _, sb, vt = np.linalg.svd(np.linalg.qr(r[:, mine], mode="r"))
+        out.append(_finish_sketch(sb, vt.T, bta[mine], rcond))
+    return out
+
+
+def _finish_sketch(sb: np.ndarray, vv: np.ndarray, bta: np.ndarray, rcond: float) -> SketchResult:
+    """From the singular values and right vectors of B and B'A: Q = B V S^-1
+    on the directions kept, and the SVD of Q'A."""
+    width, d = bta.shape
     keep = sb > rcond * (sb.max() if sb.size and sb.max() > 0 else 1.0)
     t = vv[:, keep] / sb[keep]
     qta = t.T @ bta                                    # rank x d
@@ -395,20 +489,22 @@ def summary_and_sketch(m: TallMatrix, width: int, seed: int, rcond: float = 1e-5
             return {"n": np.array([block.n]), "sy": ys.sum(axis=0), "syy": (ys * ys).sum(axis=0),
                     "sb": b.sum(axis=0), "sby": b.T @ ys}
         b = block.matmul(omega)
-        vals = block.values
-        return {"n": np.array([block.n]), "sy": block.col_sum(),
-                "syy": np.bincount(block.indices, weights=vals * vals, minlength=d),
-                "sb": b.sum(axis=0), "sby": block.t_matmul(b).T}
+        y = block.values[:, None]
+        return {"n": np.array([block.n]), "sb": b.sum(axis=0),
+                "by": block.by_column(np.hstack([y * b[block.row_of], y, y * y]))}
 
     def rows_fn(block: Block):
         b = (block.dense - shift) @ omega if dense else block.matmul(omega)
         return np.hstack([np.ones((block.n, 1)), b])
 
-    out = sums_and_r(m, kernel, {"n": (1,), "sy": (d,), "syy": (d,), "sb": (width,), "sby": (width, d)},
-                     rows_fn, width + 1)
+    shapes = {"n": (1,), "sb": (width,)} | ({"sy": (d,), "syy": (d,), "sby": (width, d)} if dense else {"by": (d, width + 2)})
+    out = sums_and_r(m, kernel, shapes, rows_fn, width + 1)
     if out is None:
         return None
     sums, r1 = out
+    if not dense:
+        by = sums["by"]
+        sums |= {"sby": by[:, :width].T, "sy": by[:, width], "syy": by[:, width + 1]}
     stored = int(round(sums["n"][0]))
     n = m.n_rows if (m.is_sparse and m.n_rows is not None) else stored
     if n > stored:                                     # absent all-zero rows: shifted value -s = 0
@@ -417,15 +513,9 @@ def summary_and_sketch(m: TallMatrix, width: int, seed: int, rcond: float = 1e-5
     sy = sums["sy"]
     mean = shift + sy / n
     norm2 = float(np.sum(sums["syy"] - sy * sy / n))
+    if norm2 <= CANCELLED * float(np.sum(sums["syy"])):
+        norm2 = mean_and_norm(m.with_rows(n))[1]       # the difference lost its digits: merged moments
     r_b = r1[1:, 1:]                                   # R of the centred sketch B
     bta = sums["sby"] - np.outer(sums["sb"], sy) / n   # centred B'A
     _, sb, vt = np.linalg.svd(r_b)
-    keep = sb > rcond * (sb.max() if sb.size and sb.max() > 0 else 1.0)
-    t = vt.T[:, keep] / sb[keep]
-    _, sv, vt2 = np.linalg.svd(t.T @ bta, full_matrices=False)
-    rank = int(keep.sum())
-    s_full = np.zeros(width)
-    s_full[:rank] = sv
-    v_full = np.zeros((d, width))
-    v_full[:, :rank] = vt2.T
-    return n, mean, norm2, SketchResult(s=s_full, v=v_full, rank=rank)
+    return n, mean, norm2, _finish_sketch(sb, vt.T, bta, rcond)

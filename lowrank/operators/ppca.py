@@ -6,7 +6,11 @@ statistics (sum X, X'X, Y'X, summed by a Spark ``groupBy``), and the cross
 term of the variance update is taken from Y'X (trace(C' Yc'Xc)), so the
 second pass of a naive implementation is not needed (``cross_term`` keeps
 the two-pass form for checking).  The spectral error uses one Gram pass at
-the start for moderate d, or power iteration for wide d.
+the start for moderate d, or block Lanczos for wide d.
+
+Fits that share their rows (trials) run in step: the loadings of all of them
+stand side by side, so a round, a sketch or a Lanczos step is one pass over the
+rows however many trials there are.
 """
 
 from __future__ import annotations
@@ -23,10 +27,9 @@ from ..matrix import TallMatrix
 from ..session import has_exchange, materialize, release
 from .blocks import Block, partial_sums
 from .linalg import (MAX_GRAM_COLS, canonical_signs, centred_summary, cross_stats, cross_stats_from_r,
-                     orthonormal_basis,
-                     r_factor,
-                     residual_spectral_norm_power, residual_spectral_norm_r, singular_values_from_r,
-                     sketch_matrix, sketch_svd, summary_and_sketch, top_singular_values_power)
+                     CANCELLED, CrossStats, MAX_DRIVER_DOUBLES, lanczos, lanczos_runs, orthonormal_basis, r_factor,
+                     residual_spectral_norm_r, singular_values_from_r, sketch_matrix, sketch_svd, sketch_svds,
+                     summary_and_sketch, top_singular_values_power)
 from .rows import project, row_sample
 from .stats import column_summary
 
@@ -49,7 +52,7 @@ class Prepared:
     r: np.ndarray | None = None       # R factor of the centred matrix (d <= MAX_GRAM_COLS)
     sigma_next: float | None = None   # sigma_{k+1} of the centred matrix
     summary: bool = False             # EM rounds from R (no pass per round)
-    power_block: np.ndarray | None = None   # warm start of the wide-matrix spectral norm
+    power_blocks: dict = field(default_factory=dict)   # trial -> warm start of the wide-matrix spectral norm
     sketch: tuple | None = None       # (width, seed, SketchResult) computed with the statistics
 
 
@@ -214,47 +217,59 @@ def sigma_at(prep: Prepared, k: int, rcond: float = DEFAULT_RCOND) -> float:
     return float(s[k]) if s.size > k else 0.0
 
 
-def spectral_error(prep: Prepared, c: np.ndarray, sigma_next: float) -> float | None:
-    """M5: (||A - A P P'||_2 - sigma_{k+1}) / sigma_{k+1}, P = L6(C).
-    Wide matrices: subspace iteration warm-started from the last round."""
+def spectral_errors(prep: Prepared, cs: dict[int, np.ndarray], sigma_next: float) -> dict[int, float | None]:
+    """M5 per trial: (||A - A P P'||_2 - sigma_{k+1}) / sigma_{k+1}, P = L6(C).
+    Wide matrices: Lanczos runs of all trials in step, each warm-started from
+    its last round."""
     if sigma_next <= 0:
-        return None
-    p = orthonormal_basis(c)
+        return dict.fromkeys(cs)
+    bases = {t: orthonormal_basis(c) for t, c in cs.items()}
     if prep.r is not None:
-        norm = residual_spectral_norm_r(prep.r, p)
+        norms = {t: residual_spectral_norm_r(prep.r, p) for t, p in bases.items()}
     else:
-        norm, prep.power_block = residual_spectral_norm_power(prep.matrix, p, prep.mean,
-                                                              start=prep.power_block)
-    return (norm - sigma_next) / sigma_next
+        d = prep.matrix.n_cols
+        got = lanczos_runs(prep.matrix, prep.mean, [lanczos(d, 1, p, start=prep.power_blocks.get(t)) for t, p in bases.items()])
+        prep.power_blocks.update(zip(bases, (g.block for g in got)))
+        norms = {t: float(np.sqrt(g.values[0])) for t, g in zip(bases, got)}
+    return {t: (norm - sigma_next) / sigma_next for t, norm in norms.items()}
 
 
-def l1_error(m: TallMatrix, mean: np.ndarray, w: np.ndarray, c: np.ndarray, rate: float = 1.0,
-             salt: str = "l1") -> float | None:
-    """M8: max column abs-sum of the residual x C' - a (x = a W) over the max
-    column abs-sum of the centred rows a, on a hashed row sample (P2)."""
+def spectral_error(prep: Prepared, c: np.ndarray, sigma_next: float) -> float | None:
+    """M5 of one fit."""
+    return spectral_errors(prep, {0: c}, sigma_next)[0]
+
+
+def l1_errors(m: TallMatrix, mean: np.ndarray, fits: list[tuple[np.ndarray, np.ndarray]], rate: float = 1.0,
+              salt: str = "l1") -> list[float | None]:
+    """M8 of several (W, C) in one pass: max column abs-sum of the residual x C' - a
+    (x = a W) over the max column abs-sum of the centred rows a, on a
+    hashed row sample (P2)."""
     mu = np.asarray(mean, dtype=np.float64)
     d = m.n_cols
 
+    def sums(a):
+        return np.vstack([np.abs(a).sum(axis=0), *(np.abs((a @ w) @ c.T - a).sum(axis=0) for w, c in fits)])
+
     def kernel(block: Block):
-        res, base = np.zeros(d), np.zeros(d)
+        out = np.zeros((len(fits) + 1, d))
         for part in block.chunks():
-            a = part.to_dense() - mu
-            res += np.abs((a @ w) @ c.T - a).sum(axis=0)
-            base += np.abs(a).sum(axis=0)
-        return {"res": res, "base": base}
+            out += sums(part.to_dense() - mu)
+        return {"s": out}
 
     sample = row_sample(m, rate, salt)
-    out = partial_sums(sample, kernel, {"res": (d,), "base": (d,)})
-    base = out["base"].max()
+    out = partial_sums(sample, kernel, {"s": (len(fits) + 1, d)})["s"]
     if m.is_sparse and m.n_rows > 0:
         # absent all-zero rows in the sample: a = -mean, residual = -(mean W) C' + mean
         absent = _absent_rows(m) if rate >= 1.0 else _sampled_ids(m, rate, salt) - sample.df.count()
-        if absent:
-            a = -mu[None, :]
-            out["res"] += absent * np.abs((a @ w) @ c.T - a)[0]
-            out["base"] += absent * np.abs(mu)
-            base = out["base"].max()
-    return None if base == 0 else float(out["res"].max() / base)
+        out = out + absent * sums(-mu[None, :]) if absent else out
+    base = out[0].max()
+    return [None if base == 0 else float(r.max() / base) for r in out[1:]]
+
+
+def l1_error(m: TallMatrix, mean: np.ndarray, w: np.ndarray, c: np.ndarray, rate: float = 1.0,
+             salt: str = "l1") -> float | None:
+    """M8 of one fit."""
+    return l1_errors(m, mean, [(w, c)], rate, salt)[0]
 
 
 def _sampled_ids(m: TallMatrix, rate: float, salt: str) -> int:
@@ -275,64 +290,77 @@ def _inv(a: np.ndarray) -> np.ndarray:
     return np.linalg.pinv(a)
 
 
-def residual_sq(m: TallMatrix, w: np.ndarray, c: np.ndarray, mean: np.ndarray) -> float:
-    """sum over all N rows of ||a - (a W) C'||^2, a = y - mean, summed
-    directly (no cancellation); sparse rows are densified in bounded chunks
-    and absent rows added in closed form."""
+def residual_sqs(m: TallMatrix, fits: list[tuple[np.ndarray, np.ndarray]], mean: np.ndarray) -> list[float]:
+    """sum over all N rows of ||a - (a W) C'||^2, a = y - mean, of several
+    (W, C) in one pass, summed directly (no cancellation); sparse rows are
+    densified in bounded chunks and absent rows added in closed form."""
     mu = np.asarray(mean, dtype=np.float64)
 
+    def sums(a):
+        residuals = (a - (a @ w) @ c.T for w, c in fits)
+        return np.array([float(np.einsum("ij,ij->", e, e)) for e in residuals])
+
     def kernel(block: Block):
-        t = 0.0
-        for part in block.chunks():
-            a = part.to_dense() - mu
-            e = a - (a @ w) @ c.T
-            t += float(np.einsum("ij,ij->", e, e))
-        return {"t": np.array([t])}
+        return {"t": sum(sums(part.to_dense() - mu) for part in block.chunks())}
 
-    s = partial_sums(m, kernel, {"t": (1,)})["t"][0]
+    out = partial_sums(m, kernel, {"t": (len(fits),)})["t"]
     if m.is_sparse:
-        absent = _absent_rows(m)
-        if absent:
-            a = -mu[None, :]
-            e = a - (a @ w) @ c.T
-            s += absent * float(np.sum(e * e))
-    return float(s)
+        out = out + _absent_rows(m) * sums(-mu[None, :])
+    return [float(x) for x in out]
 
 
-# Share of the centred norm under which the difference of three large sums
-# has lost too many digits of the noise variance.
-CANCELLED = 1e-6
+def residual_sq(m: TallMatrix, w: np.ndarray, c: np.ndarray, mean: np.ndarray) -> float:
+    """The residual sum of squares of one fit."""
+    return residual_sqs(m, [(w, c)], mean)[0]
 
 
-def em_round(prep: Prepared, c: np.ndarray, ss: float, exact_ss: bool | None = None) -> dict:
-    """M3: one EM round from (C, ss); returns new C, ss and the E-step
-    pieces.  One distributed pass (none on the R-factor route).  A second
-    pass sums the residual directly for ss when the measured cancellation is
+def _e_steps(prep: Prepared, ws: list[np.ndarray]) -> list[CrossStats]:
+    """A6 of several loadings: one pass with all of them side by side (none
+    on the R-factor route)."""
+    if prep.summary:
+        return [cross_stats_from_r(prep.r, w) for w in ws]
+    st = cross_stats(prep.matrix, np.hstack(ws), prep.mean)
+    cut = np.cumsum([0] + [w.shape[1] for w in ws])
+    return [CrossStats(st.n, st.sum_x[a:b], st.xtx[a:b, a:b], st.ytx[:, a:b]) for a, b in zip(cut[:-1], cut[1:])]
+
+
+def em_rounds(prep: Prepared, states: list[tuple[np.ndarray, float]], exact_ss: bool | None = None) -> list[dict]:
+    """M3: one EM round of each (C, ss), one distributed pass in all (none on
+    the R-factor route); returns new C, ss and the E-step pieces.  A second
+    pass sums the residuals directly for ss where the measured cancellation is
     large (None), always (True) or never (False)."""
     n, d = prep.matrix.n_rows, prep.matrix.n_cols
-    k = c.shape[1]
-    sx = _inv(c.T @ c + ss * np.eye(k))                 # Sx = (C'C + ss I)^-1
-    w = c @ sx.T                                          # Y2X
-    if prep.summary:
-        st = cross_stats_from_r(prep.r, w)                # A6 from R'R = A'A, no pass
-    else:
-        st = cross_stats(prep.matrix, w, prep.mean)       # A6 + A6b, one pass
-    xtx = st.xtx + n * ss * sx                            # B1: keep N
-    c_new = st.ytx @ _inv(xtx)
-    ctc = c_new.T @ c_new
-    ss2 = float(np.trace(xtx @ ctc))
-    cross = float(np.sum(c_new * st.ytx))                 # A7 fused: trace(C' Yc'Xc)
-    if prep.summary:
-        # norm2 - 2 cross + tr(X'X C'C) = ||A (I - W C')||^2 = ||R (I - W C')||^2:
-        # the same value without the cancellation of three large terms
-        resid = prep.r - (prep.r @ w) @ c_new.T
-        ss_new = (float(np.sum(resid * resid)) + n * ss * float(np.trace(sx @ ctc))) / (float(n) * float(d))
-    else:
-        total = prep.norm2 + ss2 - 2.0 * cross
-        if exact_ss or (exact_ss is None and total <= CANCELLED * prep.norm2):
-            total = residual_sq(prep.matrix, w, c_new, prep.mean) + n * ss * float(np.trace(sx @ ctc))
-        ss_new = total / (float(n) * float(d))          # B4: float
-    return {"c": c_new, "ss": ss_new, "w": w, "xtx": xtx, "ytx": st.ytx, "cross": cross}
+    sxs = [_inv(c.T @ c + ss * np.eye(c.shape[1])) for c, ss in states]     # Sx = (C'C + ss I)^-1
+    ws = [c @ sx.T for (c, _), sx in zip(states, sxs)]                      # Y2X
+    steps, again = [], []
+    for (_, ss), sx, w, st in zip(states, sxs, ws, _e_steps(prep, ws)):
+        xtx = st.xtx + n * ss * sx                        # B1: keep N
+        c_new = st.ytx @ _inv(xtx)
+        ctc = c_new.T @ c_new
+        ss2 = float(np.trace(xtx @ ctc))
+        cross = float(np.sum(c_new * st.ytx))             # A7 fused: trace(C' Yc'Xc)
+        noise = n * ss * float(np.trace(sx @ ctc))
+        if prep.summary:
+            # norm2 - 2 cross + tr(X'X C'C) = ||A (I - W C')||^2 = ||R (I - W C')||^2:
+            # the same value without the cancellation of three large terms
+            resid = prep.r - (prep.r @ w) @ c_new.T
+            total = float(np.sum(resid * resid)) + noise
+        else:
+            total = prep.norm2 + ss2 - 2.0 * cross
+            if exact_ss or (exact_ss is None and total <= CANCELLED * prep.norm2):
+                again.append((len(steps), noise))
+        steps.append({"c": c_new, "ss": total / (float(n) * float(d)),      # B4: float
+                      "w": w, "xtx": xtx, "ytx": st.ytx, "cross": cross})
+    if again:
+        sums = residual_sqs(prep.matrix, [(steps[i]["w"], steps[i]["c"]) for i, _ in again], prep.mean)
+        for (i, noise), total in zip(again, sums):
+            steps[i]["ss"] = (total + noise) / (float(n) * float(d))
+    return steps
+
+
+def em_round(prep: Prepared, c: np.ndarray, ss: float, exact_ss: bool | None = None) -> dict:
+    """M3 of one fit."""
+    return em_rounds(prep, [(c, ss)], exact_ss)[0]
 
 
 def cross_term(m: TallMatrix, w: np.ndarray, c: np.ndarray, mean: np.ndarray) -> float:
@@ -350,40 +378,82 @@ def cross_term(m: TallMatrix, w: np.ndarray, c: np.ndarray, mean: np.ndarray) ->
     return float(s + absent * float((-xm) @ (-cm)))
 
 
+def initial_states(prep: Prepared, k: int, oversample: int, inits: list, seeds: list[int],
+                   rcond: float) -> list[tuple[np.ndarray, float]]:
+    """M1 + M2 (sketch), M7 (random) or M7b (given) per trial; the sketches of
+    all trials are one pass."""
+    d, n = prep.matrix.n_cols, prep.matrix.n_rows
+    width = k + oversample
+    sketches: dict[int, object] = {}
+    if prep.sketch is not None and prep.sketch[0] == width:
+        sketches[prep.sketch[1]] = prep.sketch[2]         # taken with the statistics pass
+    missing = [s for s in dict.fromkeys(s for s, i in zip(seeds, inits) if isinstance(i, str) and i == "sketch") if s not in sketches]
+    if prep.summary:
+        sketches |= {s: sketch_svd(prep.matrix, width, prep.mean, s, rcond, method="summary", r_summary=prep.r) for s in missing}
+    elif missing:
+        sketches |= dict(zip(missing, sketch_svds(prep.matrix, [sketch_matrix(d, width, s) for s in missing], prep.mean, rcond)))
+    out = []
+    for init, seed in zip(inits, seeds):
+        rng = np.random.default_rng(seed + 1)
+        if isinstance(init, tuple):
+            c0 = np.asarray(init[0], dtype=np.float64)
+            if c0.shape != (d, k):
+                raise ValueError(f"initial C must be {d} x {k}")
+            out.append((c0.copy(), float(init[1])))
+        elif init == "random":
+            out.append((rng.random((d, k)), float(rng.random())))
+        elif init == "sketch":
+            sk = sketches[seed]
+            latent = sk.s ** 2 / max(n - 1, 1)
+            ss = float(latent[k:width].mean())
+            c = sk.v[:, :k] * np.sqrt(np.clip(latent[:k] - ss, 0.0, None))
+            rot, _, _ = np.linalg.svd(rng.random((k, k)))   # random orthogonal k x k
+            out.append((c @ rot, ss))
+        else:
+            raise ValueError("init must be 'sketch', 'random' or a (C, ss) pair")
+    return out
+
+
 def initial_state(prep: Prepared, k: int, oversample: int, init, seed: int,
                   rcond: float) -> tuple[np.ndarray, float]:
-    """M1 + M2 (sketch), M7 (random) or M7b (given)."""
-    d, n = prep.matrix.n_cols, prep.matrix.n_rows
-    rng = np.random.default_rng(seed + 1)
-    if isinstance(init, tuple):
-        c0, ss0 = init
-        c0 = np.asarray(c0, dtype=np.float64)
-        if c0.shape != (d, k):
-            raise ValueError(f"initial C must be {d} x {k}")
-        return c0.copy(), float(ss0)
-    if init == "random":
-        return rng.random((d, k)), float(rng.random())
-    if init != "sketch":
-        raise ValueError("init must be 'sketch', 'random' or a (C, ss) pair")
-    if prep.sketch is not None and prep.sketch[:2] == (k + oversample, seed):
-        sk = prep.sketch[2]                               # taken with the statistics pass
-    elif prep.summary:
-        sk = sketch_svd(prep.matrix, k + oversample, prep.mean, seed, rcond, method="summary", r_summary=prep.r)
-    else:
-        sk = sketch_svd(prep.matrix, k + oversample, prep.mean, seed, rcond)
-    latent = sk.s ** 2 / max(n - 1, 1)
-    ss = float(latent[k:k + oversample].mean())
-    c = sk.v[:, :k] * np.sqrt(np.clip(latent[:k] - ss, 0.0, None))
-    rot, _, _ = np.linalg.svd(rng.random((k, k)))       # random orthogonal k x k
-    return c @ rot, ss
+    """M1 + M2, M7 or M7b of one fit."""
+    return initial_states(prep, k, oversample, [init], [seed], rcond)[0]
 
 
-def fit_prepared(prep: Prepared, k: int, max_iter: int = DEFAULT_MAX_ITER,
-                 oversample: int = DEFAULT_OVERSAMPLE, init="sketch", error_metric: str = "spectral",
-                 seed: int = 0, tol: float = DEFAULT_TOL, target_error: float | None = None,
-                 rcond: float = DEFAULT_RCOND, sample_rate: float | None = None,
-                 dataset: str = "Untitled", exact_ss: bool | None = None, rotate: bool = False) -> PpcaModel:
-    """M4: the EM loop on prepared data; each round is one Spark job."""
+@dataclass
+class _Trial:
+    """State of one fit of a group that runs in step."""
+    c: np.ndarray
+    ss: float
+    stat: RunStat
+    history: list = field(default_factory=list)
+    prev_ss: float = float("inf")
+    rel_change: float = float("inf")
+    error: float = float("inf")
+
+    def going(self, max_iter: int, tol: float, target_error: float) -> bool:
+        return len(self.history) < max_iter and self.rel_change > tol and self.error > target_error
+
+    def take(self, c: np.ndarray, ss: float, secs: float) -> None:
+        self.c, self.ss = c, ss
+        if not np.isfinite(self.prev_ss):
+            self.rel_change = float("inf")
+        elif self.prev_ss == 0.0:
+            self.rel_change = 0.0 if ss == 0.0 else float("inf")     # exact fit (rank <= k)
+        else:
+            self.rel_change = abs(1.0 - ss / self.prev_ss)
+        self.prev_ss = ss
+        self.stat.iter_s.append(secs)
+
+
+def fit_trials(prep: Prepared, k: int, seeds: list[int], inits: list, max_iter: int = DEFAULT_MAX_ITER,
+               oversample: int = DEFAULT_OVERSAMPLE, error_metric: str = "spectral",
+               tol: float = DEFAULT_TOL, target_error: float | None = None,
+               rcond: float = DEFAULT_RCOND, sample_rate: float | None = None,
+               dataset: str = "Untitled", exact_ss: bool | None = None, rotate: bool = False) -> list[PpcaModel]:
+    """M4 / M9: the EM loops of several starts on prepared data, in step.  Each
+    round is one Spark job for all trials that still run; a trial stops by its
+    own rules.  A trial's seconds are its share of the joint passes."""
     m = prep.matrix
     d, n = m.n_cols, m.n_rows
     k, oversample = clamp_rank(k, d, oversample)
@@ -391,55 +461,63 @@ def fit_prepared(prep: Prepared, k: int, max_iter: int = DEFAULT_MAX_ITER,
         raise ValueError("error_metric must be 'spectral', 'l1_sampled' or 'none'")
     if target_error is None:
         target_error = DEFAULT_L1_TARGET_ERROR if error_metric == "l1_sampled" else DEFAULT_TARGET_ERROR
-    stat = RunStat(app="ppca_em", dataset=dataset, n_rows=n, n_cols=d, seed=seed,
-                   preprocess_s=prep.preprocess_s)
     sigma_next = None
     if error_metric == "spectral":
         sigma_next = prep.sigma_next if prep.sigma_next is not None else sigma_at(prep, k, rcond)
     rate = 1.0 if sample_rate is None else sample_rate      # all rows unless the caller asks for a sample
 
     t0 = time.time()
-    c, ss = initial_state(prep, k, oversample, init, seed, rcond)
-    stat.sketch_s = time.time() - t0
-
-    history = []
-    prev_ss = float("inf")
-    rel_change = float("inf")
-    prev_error = float("inf")
-    rnd = 0
-    while rnd < max_iter and rel_change > tol and prev_error > target_error:
+    states = initial_states(prep, k, oversample, inits, seeds, rcond)
+    sketch_s = (time.time() - t0) / max(1, len(seeds))
+    prep.power_blocks = {}
+    trials = [_Trial(c, ss, RunStat(app="ppca_em", dataset=dataset, n_rows=n, n_cols=d, seed=seed,
+                                    preprocess_s=prep.preprocess_s, sketch_s=sketch_s))
+              for seed, (c, ss) in zip(seeds, states)]
+    while going := {i: t for i, t in enumerate(trials) if t.going(max_iter, tol, target_error)}:
         t0 = time.time()
-        step = em_round(prep, c, ss, exact_ss)
-        c, ss = step["c"], step["ss"]
-        if not np.isfinite(prev_ss):
-            rel_change = float("inf")
-        elif prev_ss == 0.0:
-            rel_change = 0.0 if ss == 0.0 else float("inf")      # exact fit (rank <= k)
-        else:
-            rel_change = abs(1.0 - ss / prev_ss)
-        prev_ss = ss
-        secs = time.time() - t0
-        stat.iter_s.append(secs)
-        error = None
+        steps = em_rounds(prep, [(t.c, t.ss) for t in going.values()], exact_ss)
+        secs = (time.time() - t0) / len(going)
+        for t, step in zip(going.values(), steps):
+            t.take(step["c"], step["ss"], secs)
+        errors: dict = dict.fromkeys(going)
         if error_metric == "spectral":
-            error = spectral_error(prep, c, sigma_next)
+            errors = spectral_errors(prep, {i: t.c for i, t in going.items()}, sigma_next)
         elif error_metric == "l1_sampled":
-            error = l1_error(m, prep.mean, step["w"], c, rate)
-        if error is not None:
-            stat.errors.append(error)
-            prev_error = error
-        history.append({"round": rnd + 1, "ss": ss, "rel_change": rel_change, "error": error,
-                        "seconds": secs})
-        rnd += 1
-    stat.n_iter = rnd
-    stat.avg_iter_s = float(np.mean(stat.iter_s)) if stat.iter_s else 0.0
-    stat.total_s = stat.preprocess_s + stat.sketch_s + float(np.sum(stat.iter_s))
-    comps = canonical_signs(orthonormal_basis(c))
-    explained = None
-    if rotate:
-        comps, explained = rotate_to_data(prep, comps)
-    return PpcaModel(loadings=c, components=comps, mean=prep.mean, ss=ss, n_rows=n,
-                     history=history, stat=stat, explained_variance=explained)
+            errors = dict(zip(going, l1_errors(m, prep.mean, [(s["w"], s["c"]) for s in steps], rate)))
+        for i, t in going.items():
+            if errors[i] is not None:
+                t.stat.errors.append(errors[i])
+                t.error = errors[i]
+            t.history.append({"round": len(t.history) + 1, "ss": t.ss, "rel_change": t.rel_change,
+                              "error": errors[i], "seconds": secs})
+    models = []
+    for t in trials:
+        stat = t.stat
+        stat.n_iter = len(t.history)
+        stat.avg_iter_s = float(np.mean(stat.iter_s)) if stat.iter_s else 0.0
+        stat.total_s = stat.preprocess_s + stat.sketch_s + float(np.sum(stat.iter_s))
+        comps = canonical_signs(orthonormal_basis(t.c))
+        explained = None
+        if rotate:
+            comps, explained = rotate_to_data(prep, comps)
+        models.append(PpcaModel(loadings=t.c, components=comps, mean=prep.mean, ss=t.ss, n_rows=n,
+                                history=t.history, stat=stat, explained_variance=explained))
+    return models
+
+
+def trials_at_once(d: int, k: int, oversample: int) -> int:
+    """How many trials fit side by side into the driver bound."""
+    return max(1, MAX_DRIVER_DOUBLES // (d * (k + oversample) * 2))
+
+
+def fit_prepared(prep: Prepared, k: int, max_iter: int = DEFAULT_MAX_ITER,
+                 oversample: int = DEFAULT_OVERSAMPLE, init="sketch", error_metric: str = "spectral",
+                 seed: int = 0, tol: float = DEFAULT_TOL, target_error: float | None = None,
+                 rcond: float = DEFAULT_RCOND, sample_rate: float | None = None,
+                 dataset: str = "Untitled", exact_ss: bool | None = None, rotate: bool = False) -> PpcaModel:
+    """M4: the EM loop of one start on prepared data; each round is one Spark job."""
+    return fit_trials(prep, k, [seed], [init], max_iter, oversample, error_metric, tol, target_error, rcond,
+                      sample_rate, dataset, exact_ss, rotate)[0]
 
 
 def ppca_fit(m: TallMatrix, k: int, max_iter: int = DEFAULT_MAX_ITER,

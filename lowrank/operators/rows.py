@@ -1,4 +1,4 @@
-"""Row-wise operators (P1-P10): no shuffle, partitioning is kept.
+"""Row-wise operators (P1-P10): stored rows are never shuffled, partitioning is kept.
 
 Simple element-wise work (centring, sampling) is a Spark expression; matrix
 products run as Arrow-batched NumPy in ``mapInArrow`` with the small

@@ -4,7 +4,7 @@ Dense rows are exploded to ``(j, v)`` inside the scan stage and grouped on
 ``j``: Spark combines map-side, so each task ships at most ``n_cols`` rows.
 Spark's central-moment aggregate merges partial (count, mean, M2) triples,
 which keeps the centred norm exact even when column means are large.
-Sparse rows sum their non-zeros and add the absent zeros in closed form.
+Sparse rows take the moments of their non-zeros and merge the absent zeros in closed form.
 """
 
 from __future__ import annotations
@@ -30,11 +30,13 @@ def column_stats(m: TallMatrix) -> DataFrame:
                 .agg(F.sum("v").alias("total"), F.avg("v").alias("mean"),
                      (F.var_pop("v") * F.count("v")).alias("m2"), F.count("v").alias("n")))
     n = float(m.n_rows)
-    g = m.entries().groupBy("j").agg(F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("sq"))
+    g = m.entries().groupBy("j").agg(F.sum("v").alias("total"), F.avg("v").alias("own"), F.count("v").alias("stored"),
+                                     (F.var_pop("v") * F.count("v")).alias("spread"))
     columns = m.spark.range(m.n_cols).select(F.col("id").cast("int").alias("j"))
-    g = columns.join(g, "j", "full").na.fill(0.0, ["total", "sq"])
-    return g.select("j", "total", (F.col("total") / n).alias("mean"),
-                    (F.col("sq") - F.col("total") * F.col("total") / n).alias("m2"),
+    g = columns.join(g, "j", "full").na.fill(0, ["total", "own", "stored", "spread"])
+    # (count, mean, M2) of the entries merged with that of the implicit zeros: no difference of large sums.
+    between = F.col("own") * F.col("own") * F.col("stored") * ((F.lit(n) - F.col("stored")) / n)
+    return g.select("j", "total", (F.col("total") / n).alias("mean"), (F.col("spread") + between).alias("m2"),
                     F.lit(int(m.n_rows)).cast("long").alias("n"))
 
 
@@ -53,7 +55,7 @@ def column_means(m: TallMatrix) -> DataFrame:
 
 def frobenius_sq(m: TallMatrix) -> DataFrame:
     """A2: one row ``(norm2)``, squared Frobenius norm of the centred matrix.
-    For sparse input this is sum(v^2) - N * sum(mean^2), right for any N
+    For sparse input the implicit zeros are merged in closed form, right for any N
     at or above the number of stored rows."""
     return column_stats(m).agg(F.sum("m2").alias("norm2"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..matrix import TallMatrix
 from ..session import release
-from .ppca import RunStat, fit_prepared, prepare
+from .ppca import DEFAULT_OVERSAMPLE, RunStat, clamp_rank, fit_trials, prepare, trials_at_once
 
 RUN_LOG_SCHEMA = ("app string, dataset string, n_rows long, n_cols int, seed long, n_iter int, "
                   "total_s double, preprocess_s double, sketch_s double, avg_iter_s double, "
@@ -45,6 +45,8 @@ def run_trials(m: TallMatrix, k: int, trials: int = 1, seeds: list[int] | None =
                dataset: str = "Untitled", run_log: str | None = None, inits: list | None = None, **fit_options):
     """M9: fit ``trials`` times on the same pinned rows (preprocessing and
     sigma_{k+1} once), log every run, and return (models, runs, summary).
+    The trials run in step, so the passes over the rows do not grow with their
+    number (in groups, where their loadings together pass the driver bound).
     ``inits`` gives the start of each trial, in place of one ``init``."""
     spark = m.spark
     seeds = list(seeds) if seeds is not None else list(range(trials))
@@ -60,8 +62,9 @@ def run_trials(m: TallMatrix, k: int, trials: int = 1, seeds: list[int] | None =
                    partitions=partitions)
     models = []
     try:
-        for seed, init in zip(seeds, inits):
-            models.append(fit_prepared(prep, k, seed=seed, init=init, dataset=dataset, **fit_options))
+        step = trials_at_once(m.n_cols, *clamp_rank(k, m.n_cols, fit_options.get("oversample", DEFAULT_OVERSAMPLE)))
+        for at in range(0, trials, step):
+            models += fit_trials(prep, k, seeds[at:at + step], inits[at:at + step], dataset=dataset, **fit_options)
     finally:
         release(prep.matrix.df)
     runs = runs_frame(spark, [mdl.stat for mdl in models])

@@ -162,15 +162,15 @@ def matrix_from_entries(entries: DataFrame, n_rows: int | None = None, n_cols: i
 
 def with_absent_rows(m: TallMatrix) -> TallMatrix:
     """A sparse matrix with its absent all-zero rows as empty records, so that
-    there is one record for each of the ``n_rows`` row ids (a join on the id).
-    A dense matrix has all its rows already."""
+    there is one record for each of the ``n_rows`` row ids.  The gaps come from an
+    anti-join of ids alone; stored rows stay where they are.  A dense
+    matrix has all its rows already."""
     if not m.is_sparse:
         return m
     ids = m.spark.range(m.n_rows).withColumnRenamed("id", "row_id")
-    empty = lambda name, kind: F.coalesce(name, F.array().cast(kind)).alias(name)
-    # A full join: a row id past n_rows stays too.
-    rows = ids.join(m.df, "row_id", "full").select("row_id", empty("indices", "array<int>"), empty("values", "array<double>"))
-    return m.with_df(rows)
+    gaps = ids.join(m.df.select("row_id"), "row_id", "left_anti")
+    empty = gaps.select("row_id", F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values"))
+    return m.with_df(m.df.select("row_id", "indices", "values").unionByName(empty))
 
 
 def sparse_from_dense(m: TallMatrix) -> TallMatrix:

@@ -103,9 +103,9 @@ def test_text_keeps_the_row_order(spark, tmp_path):
 
 def test_unfinished_power_iteration_raises(spark):
     rng = np.random.default_rng(0)
-    df = spark.createDataFrame([(i, rng.standard_normal(30).tolist()) for i in range(60)], "id long, f array<double>")
+    df = spark.createDataFrame([(i, rng.standard_normal(300).tolist()) for i in range(400)], "id long, f array<double>")
     with pytest.raises(RuntimeError, match="not converged"):
-        linalg.top_singular_values_power(matrix_from_array(df, "f", "id"), 2, np.zeros(30), iters=2)
+        linalg.top_singular_values_power(matrix_from_array(df, "f", "id"), 2, np.zeros(300), iters=2)
 
 
 def test_planning_runs_no_job(spark):
