@@ -7,6 +7,9 @@ shape.  Two physical layouts:
 * sparse : ``row_id BIGINT, indices ARRAY<INT>, values ARRAY<DOUBLE>``
   (sorted column indices, non-zeros only, at most ``n_cols`` per row)
 
+A sparse row with very many entries is kept in segments of bounded size instead,
+in a table of its own (``wide``), so that no task ever holds the row.
+
 ``n_rows`` may exceed the number of records: absent rows of a sparse matrix
 are all-zero rows that still count (mean and norm divide by ``n_rows``).
 Nothing here is collected; only the shape is held on the driver.
@@ -30,6 +33,8 @@ class TallMatrix:
     n_rows: int | None = None     # None: dense, counted by the first pass that needs it
     kind: str = DENSE
     cells: DataFrame | None = None    # sparse: the entries (i, j, v) the rows were grouped from, where known
+    wide: DataFrame | None = None     # sparse: (row_id, segment, indices, values) of rows that ``df`` does not hold
+    wide_rows: int = 0                # how many rows those are
 
     def __post_init__(self):
         if self.kind not in (DENSE, SPARSE):
@@ -50,6 +55,24 @@ class TallMatrix:
     def with_df(self, df: DataFrame) -> "TallMatrix":
         return replace(self, df=df, cells=None)
 
+    def narrow(self) -> "TallMatrix":
+        """The rows that are held whole, as a matrix of their own."""
+        return replace(self, wide=None, wide_rows=0, cells=None)
+
+    def whole(self) -> "TallMatrix":
+        """The matrix with the segments of each row put together; for work that
+        builds dense rows anyway, so a task holds a row of ``n_cols`` values."""
+        if self.wide is None:
+            return self
+        e = F.sort_array(F.collect_list(F.struct("segment", "indices", "values")))
+        rows = self.wide.groupBy("row_id").agg(e.alias("e"))
+        rows = rows.select("row_id", F.flatten(F.col("e.indices")).alias("indices"), F.flatten(F.col("e.values")).alias("values"))
+        return replace(self.narrow(), df=self.df.select("row_id", "indices", "values").unionByName(rows))
+
+    def stored_rows(self) -> int:
+        """Rows that have a record (one count job)."""
+        return self.df.count() + self.wide_rows
+
     def with_rows(self, n_rows: int) -> "TallMatrix":
         return replace(self, n_rows=int(n_rows))
 
@@ -63,7 +86,10 @@ class TallMatrix:
         if self.cells is not None:
             return self.cells
         if self.is_sparse:
-            return (self.df
+            rows = self.df.select("row_id", "indices", "values")
+            if self.wide is not None:
+                rows = rows.unionByName(self.wide.select(*rows.columns))
+            return (rows
                     .select(F.col("row_id").alias("i"),
                             F.explode(F.arrays_zip(F.col("indices").alias("j"),
                                                    F.col("values").alias("v"))).alias("e"))

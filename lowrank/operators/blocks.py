@@ -302,6 +302,77 @@ def partial_sums_df(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarra
             .agg(*[F.sum(f"c{t}").alias(f"c{t}") for t in range(width)]))
 
 
+def wide_products(m: TallMatrix, v: np.ndarray) -> DataFrame:
+    """``(row_id, x0..)``: y V of the rows kept in segments; each segment adds its
+    part, and Spark sums the parts of a row with map-side combining."""
+    d, q = m.n_cols, v.shape[1]
+    names = [f"x{p}" for p in range(q)]
+    schema = T.StructType([T.StructField("row_id", T.LongType())] + [T.StructField(n, T.DoubleType()) for n in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = to_block(batch, "sparse", d).matmul(v)
+                yield pa.RecordBatch.from_arrays([batch.column("row_id").cast(pa.int64()), *(pa.array(x[:, p]) for p in range(q))],
+                                                 names=["row_id", *names])
+
+    parts = m.wide.select("row_id", "indices", "values").mapInArrow(run, schema)
+    return parts.groupBy("row_id").agg(*(F.sum(n).alias(n) for n in names))
+
+
+# Largest products of segmented rows (cells) that go to every task.
+MAX_SHARED_CELLS = 1 << 22
+
+
+def wide_cross(m: TallMatrix, v: np.ndarray, squares: bool = False) -> tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the rows kept in segments, with X = Y V: (X or None, sum X, X'X,
+    [Y'X | column sums | sums of squares] with ``squares``).
+
+    The products need the whole row and come first; few enough of them go to
+    every task, else they are joined to the segments (AQE splits
+    the one row that has many).  A second pass adds, per segment, the columns present."""
+    from ..session import release, store
+    q, d = v.shape[1], m.n_cols
+    x = store(wide_products(m, v))
+    names = [f"x{p}" for p in range(q)]
+    shared = None
+    if m.wide_rows * q <= MAX_SHARED_CELLS:
+        t = collect_arrow(x)
+        ids = t.column("row_id").to_numpy()
+        order = np.argsort(ids)
+        shared = ids[order], np.column_stack([t.column(n).to_numpy() for n in names])[order]
+        sx, sxx = shared[1].sum(axis=0), shared[1].T @ shared[1]
+        segments = m.wide.select("row_id", "indices", "values")
+    else:
+        arr = TallMatrix(x.select("row_id", F.array(*names).alias("features")), n_cols=q, n_rows=m.wide_rows)
+        sums = partial_sums(arr, lambda b: {"sx": b.dense.sum(axis=0), "sxx": b.dense.T @ b.dense}, {"sx": (q,), "sxx": (q, q)})
+        sx, sxx = sums["sx"], sums["sxx"]
+        segments = m.wide.select("row_id", "indices", "values").join(x, "row_id")
+    width = q + 2 * squares
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        acc = Partials()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            block = to_block(batch, "sparse", d)
+            if shared is None:
+                xs = np.column_stack([batch.column(n).to_numpy(zero_copy_only=False) for n in names])
+            else:
+                xs = shared[1][np.searchsorted(shared[0], batch.column("row_id").to_numpy())]
+            y = block.values[:, None]
+            acc.add({"by": block.by_column(np.hstack([y * xs[block.row_of]] + ([y, y * y] if squares else [])))})
+        if acc.sums:
+            yield acc.emit(min(BLOCK_WIDTH, width))
+
+    w = min(BLOCK_WIDTH, width)
+    parts = segments.mapInArrow(run, partial_schema(w)).groupBy("stat", "r", "cb").agg(*[F.sum(f"c{t}").alias(f"c{t}") for t in range(w)])
+    with arrow_batch_rows(m.spark, batch_rows(m)):
+        by = _placed(collect_arrow(parts), {"by": (d, width)}, w)["by"]
+    release(x)
+    return None if shared is None else shared[1], sx, sxx, by
+
+
 def batch_rows(m: TallMatrix, default: int = 10000) -> int:
     """Rows per Arrow batch so one batch of dense rows is about BATCH_CELLS;
     batches of sparse rows are bounded by their bytes alone."""
@@ -355,7 +426,15 @@ def partial_sums(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarray]]
     out = {name: np.zeros(as2d(shape)) for name, shape in shapes.items()}
     width = min(width, max(mat.shape[1] for mat in out.values()))
     with arrow_batch_rows(m.spark, batch_rows(m)):
-        tbl = collect_arrow(partial_sums_df(m, kernel, width))
+        tbl = collect_arrow(partial_sums_df(m.whole(), kernel, width))
+    out = _placed(tbl, {name: mat.shape for name, mat in out.items()}, width)
+    return {name: (float(out[name][0, 0]) if len(shape) == 0 else out[name].reshape(shape))
+            for name, shape in shapes.items()}
+
+
+def _placed(tbl: pa.Table, shapes: dict[str, tuple[int, int]], width: int) -> dict[str, np.ndarray]:
+    """Matrices from collected rows (stat, r, cb, c0..)."""
+    out = {name: np.zeros(shape) for name, shape in shapes.items()}
     stat = np.asarray(tbl.column("stat").to_pylist(), dtype=object)
     r_idx = tbl.column("r").to_numpy()
     cb = tbl.column("cb").to_numpy()
@@ -369,8 +448,7 @@ def partial_sums(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarray]]
             col = base + t
             ok = col < mat.shape[1]
             mat[rows_[ok], col[ok]] = vals[sel, t][ok]
-    return {name: (float(out[name][0, 0]) if len(shape) == 0 else out[name].reshape(shape))
-            for name, shape in shapes.items()}
+    return out
 
 
 def map_rows(m: TallMatrix, fn: Callable[[Block], np.ndarray], out_width: int,
@@ -457,7 +535,7 @@ def tsqr(m: TallMatrix, rows_fn: Callable[[Block], np.ndarray], width: int,
 
     fan_in = max(2, TSQR_GROUP_BYTES // max(1, width * width * 8))
     from ..session import num_partitions
-    source = kernel_input(m, width * width * 8)
+    source = kernel_input(m.whole(), width * width * 8)
     level = source.mapInArrow(run, schema)
     n = num_partitions(source)
     if n is None:
@@ -617,7 +695,7 @@ def centred_tsqr(m: TallMatrix) -> tuple[int, np.ndarray, np.ndarray]:
                              "vals": out.column(2).to_pylist()})
 
     fan_in = max(2, TSQR_GROUP_BYTES // max(1, (d * d + d + 1) * 8))
-    source = kernel_input(m, d * d * 8)
+    source = kernel_input(m.whole(), d * d * 8)
     level = source.mapInArrow(run, schema)
     n = num_partitions(source)
     if n is None:

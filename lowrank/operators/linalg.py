@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..matrix import TallMatrix
-from .blocks import BLOCK_WIDTH, Block, _merge_state, centred_tsqr, partial_sums, partial_sums_df, sums_and_r, tsqr
+from .blocks import (BLOCK_WIDTH, Block, _merge_state, centred_tsqr, partial_sums, partial_sums_df, sums_and_r, tsqr,
+                     wide_cross, wide_products)
 from .stats import mean_and_norm
 
 # Exact-spectrum route (d x d R factor or Gram) when d is at most this;
@@ -66,7 +67,10 @@ def cross_stats(m: TallMatrix, v: np.ndarray, mean: np.ndarray) -> CrossStats:
         x = block.matmul(v)
         return {"sx": x.sum(axis=0), "sxx": x.T @ x, "syx": block.t_matmul(x)}      # columns present only
 
-    r = partial_sums(m, kernel, {"sx": (q,), "sxx": (q, q), "syx": (d, q)})
+    r = partial_sums(m.narrow(), kernel, {"sx": (q,), "sxx": (q, q), "syx": (d, q)})
+    if m.wide is not None:
+        _, sx, sxx, syx = wide_cross(m, v)
+        r = {"sx": r["sx"] + sx, "sxx": r["sxx"] + sxx, "syx": r["syx"] + syx}
     n = m.n_rows if m.is_sparse else 0     # dense blocks are centred already
     off = _offset(m, mu)
     xm = off @ v
@@ -300,9 +304,13 @@ def r_factor(m: TallMatrix, mean: np.ndarray, v: np.ndarray | None = None) -> np
             return block.to_dense() - mu
         return block.matmul(v) - shift
 
-    r = tsqr(m, rows_fn, width, densifies=v is None)
+    r = tsqr(m if v is None else m.narrow(), rows_fn, width, densifies=v is None)
+    if v is not None and m.wide is not None:
+        x = wide_products(m, v).select("row_id", F.array(*(f"x{p}" for p in range(width))).alias("features"))
+        x = TallMatrix(x, n_cols=width, n_rows=m.wide_rows)
+        r = np.linalg.qr(np.vstack([r, tsqr(x, lambda b: b.dense - shift, width, densifies=False)]), mode="r")
     if m.is_sparse:
-        absent = m.n_rows - m.df.count()
+        absent = m.n_rows - m.stored_rows()
         if absent > 0:
             extra = -np.sqrt(float(absent)) * shift
             r = np.linalg.qr(np.vstack([r, extra[None, :]]), mode="r")
@@ -360,14 +368,20 @@ def _sketch_pass(m: TallMatrix, omega: np.ndarray, mean: np.ndarray):
     def rows_fn(block: Block):
         return (block.dense - mu) @ omega if dense else block.matmul(omega) - shift
 
-    out = sums_and_r(m, kernel, {"sx": (q,), "syx": (d, q)}, rows_fn, q)
+    out = sums_and_r(m.narrow(), kernel, {"sx": (q,), "syx": (d, q)}, rows_fn, q)
     if out is None:
         return None
     sums, r = out
+    if m.wide is not None:
+        x, sx, _, syx = wide_cross(m, omega)
+        if x is None:
+            return None
+        sums = {"sx": sums["sx"] + sx, "syx": sums["syx"] + syx}
+        r = np.linalg.qr(np.vstack([r, x - shift]), mode="r")
     off = mu if m.is_sparse else np.zeros_like(mu)
     ytx = sums["syx"] - np.outer(off, sums["sx"])      # A'(B - 1 bm'), as in cross_stats
     if m.is_sparse:
-        absent = m.n_rows - m.df.count()
+        absent = m.n_rows - m.stored_rows()
         if absent > 0:
             r = np.linalg.qr(np.vstack([r, -np.sqrt(float(absent)) * shift[None, :]]), mode="r")
     return r, ytx.T
@@ -498,10 +512,16 @@ def summary_and_sketch(m: TallMatrix, width: int, seed: int, rcond: float = 1e-5
         return np.hstack([np.ones((block.n, 1)), b])
 
     shapes = {"n": (1,), "sb": (width,)} | ({"sy": (d,), "syy": (d,), "sby": (width, d)} if dense else {"by": (d, width + 2)})
-    out = sums_and_r(m, kernel, shapes, rows_fn, width + 1)
+    out = sums_and_r(m.narrow(), kernel, shapes, rows_fn, width + 1)
     if out is None:
         return None
     sums, r1 = out
+    if m.wide is not None:
+        x, sx, _, by = wide_cross(m, omega, squares=True)
+        if x is None:
+            return None
+        sums = {"n": sums["n"] + len(x), "sb": sums["sb"] + sx, "by": sums["by"] + by}
+        r1 = np.linalg.qr(np.vstack([r1, np.hstack([np.ones((len(x), 1)), x])]), mode="r")
     if not dense:
         by = sums["by"]
         sums |= {"sby": by[:, :width].T, "sy": by[:, width], "syy": by[:, width + 1]}

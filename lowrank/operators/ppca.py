@@ -16,7 +16,7 @@ rows however many trials there are.
 from __future__ import annotations
 
 import time
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +29,7 @@ from .blocks import Block, partial_sums
 from .linalg import (MAX_GRAM_COLS, canonical_signs, centred_summary, cross_stats, cross_stats_from_r,
                      CANCELLED, CrossStats, MAX_DRIVER_DOUBLES, lanczos, lanczos_runs, orthonormal_basis, r_factor,
                      residual_spectral_norm_r, singular_values_from_r, sketch_matrix, sketch_svd, sketch_svds,
-                     summary_and_sketch, top_singular_values_power)
+                     summary_and_sketch)
 from .rows import project, row_sample
 from .stats import column_summary
 
@@ -52,9 +52,16 @@ class Prepared:
     r: np.ndarray | None = None       # R factor of the centred matrix (d <= MAX_GRAM_COLS)
     sigma_next: float | None = None   # sigma_{k+1} of the centred matrix
     summary: bool = False             # EM rounds from R (no pass per round)
+    ritz_block: np.ndarray | None = None    # leading right singular vectors, as far as known
     power_blocks: dict = field(default_factory=dict)   # trial -> warm start of the wide-matrix spectral norm
     sketch: tuple | None = None       # (width, seed, SketchResult) computed with the statistics
 
+    def close(self) -> None:
+        """Let go of the pinned rows."""
+        for df in (self.matrix.df, self.matrix.wide):
+            if df is not None:
+                release(df)
+
 
 @dataclass
 class RunStat:
@@ -182,6 +189,8 @@ def prepare(m: TallMatrix, need_spectrum: bool = True, k: int | None = None,
                         summary=True, r=r)
     else:
         m = m.with_df(materialize(m.df, cut_lineage, partitions))
+        if m.wide is not None:
+            m = replace(m, wide=materialize(m.wide, cut_lineage))
         fused = None
         if sketch is not None and not summary:
             # per-round route: statistics and the sketch share one pass
@@ -212,7 +221,9 @@ def sigma_at(prep: Prepared, k: int, rcond: float = DEFAULT_RCOND) -> float:
     if prep.r is not None:
         s = singular_values_from_r(prep.r, rcond)
     else:
-        s = top_singular_values_power(prep.matrix, k + 1, prep.mean)
+        got = lanczos_runs(prep.matrix, prep.mean, [lanczos(prep.matrix.n_cols, k + 1)])[0]
+        prep.ritz_block = got.block
+        s = np.sqrt(got.values)
         s = s[s > rcond * (s[0] if s.size else 0)]
     return float(s[k]) if s.size > k else 0.0
 
@@ -220,7 +231,7 @@ def sigma_at(prep: Prepared, k: int, rcond: float = DEFAULT_RCOND) -> float:
 def spectral_errors(prep: Prepared, cs: dict[int, np.ndarray], sigma_next: float) -> dict[int, float | None]:
     """M5 per trial: (||A - A P P'||_2 - sigma_{k+1}) / sigma_{k+1}, P = L6(C).
     Wide matrices: Lanczos runs of all trials in step, each warm-started from
-    its last round."""
+    its last round (the first from the vectors that gave sigma_{k+1})."""
     if sigma_next <= 0:
         return dict.fromkeys(cs)
     bases = {t: orthonormal_basis(c) for t, c in cs.items()}
@@ -228,7 +239,7 @@ def spectral_errors(prep: Prepared, cs: dict[int, np.ndarray], sigma_next: float
         norms = {t: residual_spectral_norm_r(prep.r, p) for t, p in bases.items()}
     else:
         d = prep.matrix.n_cols
-        got = lanczos_runs(prep.matrix, prep.mean, [lanczos(d, 1, p, start=prep.power_blocks.get(t)) for t, p in bases.items()])
+        got = lanczos_runs(prep.matrix, prep.mean, [lanczos(d, 1, p, start=prep.power_blocks.get(t, prep.ritz_block)) for t, p in bases.items()])
         prep.power_blocks.update(zip(bases, (g.block for g in got)))
         norms = {t: float(np.sqrt(g.values[0])) for t, g in zip(bases, got)}
     return {t: (norm - sigma_next) / sigma_next for t, norm in norms.items()}
@@ -260,7 +271,7 @@ def l1_errors(m: TallMatrix, mean: np.ndarray, fits: list[tuple[np.ndarray, np.n
     out = partial_sums(sample, kernel, {"s": (len(fits) + 1, d)})["s"]
     if m.is_sparse and m.n_rows > 0:
         # absent all-zero rows in the sample: a = -mean, residual = -(mean W) C' + mean
-        absent = _absent_rows(m) if rate >= 1.0 else _sampled_ids(m, rate, salt) - sample.df.count()
+        absent = _absent_rows(m) if rate >= 1.0 else _sampled_ids(m, rate, salt) - sample.stored_rows()
         out = out + absent * sums(-mu[None, :]) if absent else out
     base = out[0].max()
     return [None if base == 0 else float(r.max() / base) for r in out[1:]]
@@ -279,7 +290,7 @@ def _sampled_ids(m: TallMatrix, rate: float, salt: str) -> int:
 
 
 def _absent_rows(m: TallMatrix) -> int:
-    return max(0, m.n_rows - m.df.count())
+    return max(0, m.n_rows - m.stored_rows())
 
 
 def _inv(a: np.ndarray) -> np.ndarray:
@@ -547,7 +558,7 @@ def ppca_fit(m: TallMatrix, k: int, max_iter: int = DEFAULT_MAX_ITER,
         return fit_prepared(prep, k, max_iter, oversample, init, error_metric, seed, tol,
                             target_error, rcond, sample_rate, dataset, exact_ss, rotate_to_data)
     finally:
-        release(prep.matrix.df)
+        prep.close()
 
 
 def rotate_to_data(prep: Prepared, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

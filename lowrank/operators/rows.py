@@ -7,6 +7,8 @@ right-hand matrix captured in the closure (the broadcast side, d x k).
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import center, hash_uniform
 from ..matrix import DENSE, TallMatrix
 from ..sources.tables import dense_from_sparse, with_absent_rows
-from .blocks import Block, map_rows
+from .blocks import Block, map_rows, wide_products
 from .linalg import check_driver_size
 
 
@@ -29,7 +31,7 @@ def center_rows(m: TallMatrix, mean: np.ndarray) -> TallMatrix:
     rows included)."""
     mu = np.asarray(mean, dtype=np.float64)
     if m.n_cols > MAX_LITERAL_COLS:
-        out = map_rows(with_absent_rows(m), lambda b: b.to_dense() - mu, m.n_cols, "features")
+        out = map_rows(with_absent_rows(m.whole()), lambda b: b.to_dense() - mu, m.n_cols, "features")
         return TallMatrix(out, n_cols=m.n_cols, n_rows=m.n_rows, kind=DENSE)
     if m.is_sparse:
         m = dense_from_sparse(m)
@@ -42,7 +44,11 @@ def row_sample(m: TallMatrix, rate: float, salt: str = "") -> TallMatrix:
     so the sample is the same on every run and for any partitioning."""
     if rate >= 1.0:
         return m
-    return m.with_df(m.df.where(hash_uniform("row_id", salt) < F.lit(float(rate))))
+    taken = hash_uniform("row_id", salt) < F.lit(float(rate))
+    if m.wide is None:
+        return m.with_df(m.df.where(taken))
+    wide = m.wide.where(taken)
+    return replace(m.with_df(m.df.where(taken)), wide=wide, wide_rows=wide.agg(F.count_distinct("row_id")).first()[0])
 
 
 def default_sample_rate(n_rows: int) -> float:
@@ -64,7 +70,12 @@ def project(m: TallMatrix, w: np.ndarray, mean: np.ndarray | None = None,
         x = block.matmul(w)
         return x if shift is None else x - shift
 
-    return map_rows(with_absent_rows(m), fn, w.shape[1], out_col)
+    out = map_rows(with_absent_rows(m).narrow(), fn, w.shape[1], out_col)
+    if m.wide is None:
+        return out
+    off = np.zeros(w.shape[1]) if shift is None else shift
+    x = wide_products(m, w)
+    return out.unionByName(x.select("row_id", F.array(*(F.col(f"x{p}") - float(off[p]) for p in range(w.shape[1]))).alias(out_col)))
 
 
 def back_project(x: TallMatrix, c: np.ndarray, out_col: str = "values") -> DataFrame:
@@ -78,7 +89,7 @@ def reconstruct(m: TallMatrix, v: np.ndarray, mean: np.ndarray, out_col: str = "
     """Centred rows projected on span(V): (A V) V' (never d x d)."""
     v = np.asarray(v, dtype=np.float64)
     mu = np.asarray(mean, dtype=np.float64)
-    return map_rows(with_absent_rows(m), lambda b: ((b.to_dense() - mu) @ v) @ v.T, v.shape[0], out_col)
+    return map_rows(with_absent_rows(m.whole()), lambda b: ((b.to_dense() - mu) @ v) @ v.T, v.shape[0], out_col)
 
 
 def residual_rows(m: TallMatrix, w: np.ndarray, c: np.ndarray, mean: np.ndarray,
@@ -93,7 +104,7 @@ def residual_rows(m: TallMatrix, w: np.ndarray, c: np.ndarray, mean: np.ndarray,
         a = block.to_dense() - mu
         return a - (a @ w) @ c.T
 
-    return map_rows(with_absent_rows(m), fn, m.n_cols, out_col)
+    return map_rows(with_absent_rows(m.whole()), fn, m.n_cols, out_col)
 
 
 def explode_values(df: DataFrame, col: str = "values", index: str = "j", value: str = "value") -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..matrix import TallMatrix
-from ..session import release
 from .ppca import DEFAULT_OVERSAMPLE, RunStat, clamp_rank, fit_trials, prepare, trials_at_once
 
 RUN_LOG_SCHEMA = ("app string, dataset string, n_rows long, n_cols int, seed long, n_iter int, "
@@ -66,7 +67,7 @@ def run_trials(m: TallMatrix, k: int, trials: int = 1, seeds: list[int] | None =
         for at in range(0, trials, step):
             models += fit_trials(prep, k, seeds[at:at + step], inits[at:at + step], dataset=dataset, **fit_options)
     finally:
-        release(prep.matrix.df)
+        prep.close()
     runs = runs_frame(spark, [mdl.stat for mdl in models])
     if run_log:
         append_run_log(runs, run_log)
@@ -74,6 +75,15 @@ def run_trials(m: TallMatrix, k: int, trials: int = 1, seeds: list[int] | None =
     return models, runs, summary
 
 
-def append_run_log(runs: DataFrame, path: str) -> None:
-    """K5: append run records to a JSON-lines log (created when missing)."""
-    runs.coalesce(1).write.mode("append").json(path)
+def append_run_log(runs: DataFrame, path: str, run_id: str | None = None) -> str:
+    """K5: append run records to a JSON-lines log (created when missing).  The
+    records of one ``run_id`` (new unless given) are a folder of their own that a
+    second attempt replaces, so a rerun doubles nothing.  Returns the id."""
+    run_id = run_id or uuid.uuid4().hex
+    runs.coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}/run_id={run_id}")
+    return run_id
+
+
+def read_run_log(spark: SparkSession, path: str) -> DataFrame:
+    """The records of a run log with their ``run_id``."""
+    return spark.read.schema(RUN_LOG_SCHEMA + ", run_id string").json(path)

@@ -253,6 +253,46 @@ def _pca_top1_sql(steps: int = 3) -> str:
             f"{sg('sqrt((SELECT lam FROM lam))', 9)} AS sigma1 FROM {last}")
 
 
+def _power_cells_sql(steps: int = 100) -> str:
+    """Power steps on A'A = Y'Y - N mu mu' over the cells, for all of A and for its
+    rows without their part along p = (1, -1, 1, ...) / sqrt(d)."""
+    def chain(name: str, deflated: bool) -> str:
+        y = "x.z - x.p * sum(x.p * x.z) OVER ()" if deflated else "x.z"
+        return (f"{name} AS (SELECT 0 AS step, j, 1.0 / (j + 1.0) AS v, CAST(0.0 AS DOUBLE) AS lam FROM m UNION ALL "
+                f"SELECT step + 1, j, y / sqrt(sum(y * y) OVER ()), lam FROM (SELECT x.step, x.j, {y} AS y, "
+                "sum(x.v * x.z) OVER () / sum(x.v * x.v) OVER () AS lam FROM (SELECT b.step, m.j, b.v, m.p, "
+                f"coalesce(t.y, 0) - {N_CP} * m.mu * (SELECT sum(c.v * e.mu) FROM {name} c JOIN m e USING (j)) AS z "
+                f"FROM {name} b JOIN m USING (j) LEFT JOIN (SELECT z.j, sum(z.v * u.u) AS y FROM z JOIN "
+                f"(SELECT z.i, sum(z.v * a.v) AS u FROM {name} a JOIN z USING (j) GROUP BY z.i) u USING (i) GROUP BY z.j) t ON t.j = m.j "
+                f"WHERE b.step < {steps}) x))")
+
+    m = (f"m AS (SELECT CAST(r.range AS INTEGER) AS j, coalesce(s.t, 0) / {N_CP} AS mu, "
+         "(1.0 - 2.0 * (r.range % 2)) / sqrt(count(*) OVER ()) AS p FROM range((SELECT max(p_partkey) + 1 FROM part)) r "
+         "LEFT JOIN (SELECT j, sum(v) AS t FROM z GROUP BY j) s ON s.j = r.range)")
+    values = ", ".join(f"{sg(f'sqrt((SELECT max(lam) FROM {t} WHERE step = {steps}))', 8)} AS {n}" for t, n in (("a", "sigma1"), ("b", "residual")))
+    return "WITH RECURSIVE " + ",\n".join([CP, "z AS (SELECT i, j, v FROM cp WHERE v <> 0)", m, chain("a", False), chain("b", True)]) + f"\nSELECT {values}"
+
+
+def _em_converged_sql() -> str:
+    """EM rounds with k = 1 on the Gram matrix until the noise variance changes by at most 1e-5."""
+    ctes = [EMB, MEAN, CENTRED, "g AS (SELECT a.j AS r, b.j AS c, sum(a.a * b.a) AS g FROM a JOIN a b USING (i) GROUP BY 1, 2)",
+            "k AS (SELECT CAST((SELECT count(*) FROM embeddings) AS DOUBLE) AS n, CAST((SELECT count(*) FROM m) AS DOUBLE) AS d, "
+            "(SELECT sum(g) FROM g WHERE r = c) AS tr)",
+            "em AS (SELECT 0 AS round, j, 1.0 / (j + 1.0) AS c, CAST(1.0 AS DOUBLE) AS ss, CAST('inf' AS DOUBLE) AS rel FROM m UNION ALL "
+            "SELECT round + 1, j, c, ss, CASE WHEN round = 0 THEN CAST('inf' AS DOUBLE) ELSE abs(1 - ss / old) END FROM ("
+            "SELECT round, j, c, old, (k.tr + xtx * sum(c * c) OVER () - 2 * sum(c * y) OVER ()) / (k.n * k.d) AS ss FROM ("
+            "SELECT round, j, y / xtx AS c, y, xtx, old FROM (SELECT round, j, y, old, sum(w * y) OVER () + k.n * old * sx AS xtx FROM ("
+            "SELECT g.r AS j, any_value(round) AS round, any_value(ss) AS old, any_value(sx) AS sx, sum(g.g * e.c * sx) AS y, "
+            "max(CASE WHEN g.r = e.j THEN e.c * sx END) AS w FROM (SELECT *, 1.0 / (sum(c * c) OVER () + ss) AS sx FROM em "
+            "WHERE rel > 1e-5 AND round < 300) e JOIN g ON g.c = e.j GROUP BY g.r), k)), k))"]
+    return ("WITH RECURSIVE " + ",\n".join(ctes) + "\nSELECT CAST(round AS INTEGER) AS rounds, "
+            + r8("max(ss)", 10) + " AS ss, max(rel) <= 1e-5 AS converged FROM em WHERE round = (SELECT max(round) FROM em) GROUP BY round")
+
+
+EMB_ROWS = ("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS row_id, CAST(len(embedding) AS INTEGER) AS width, "
+            + r8("list_sum(CAST(embedding AS DOUBLE[]))") + " AS row_sum FROM embeddings")
+CP_CELLS = _with(CP) + f"SELECT i, j, {r8('v', 6)} AS v FROM cp WHERE v <> 0"
+
 ORACLE = {
     "col_mean_dense": _with(EMB) + f"SELECT j, {r8('avg(v)', 10)} AS mean FROM e GROUP BY j",
     "col_mean_sparse": _with(CP, "t AS (SELECT j, sum(v) AS t FROM cp WHERE v <> 0 GROUP BY j)")
@@ -325,6 +365,26 @@ ORACLE = {
     "spectral_error": _spectral_error_sql(),
     "sparse_ppca_fit": _sparse_em_sql(),
     "ppca_trials": _trials_sql(),
+    "segmented_rows": _with(CP, "s AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY i) > 32 THEN j // 32 ELSE -1 END AS segment "
+                                "FROM cp WHERE v <> 0)")
+    + "SELECT i, CAST(segment AS INTEGER) AS segment, CAST(count(*) AS INTEGER) AS nnz, min(j) AS min_j, max(j) AS max_j, "
+    f"{r8('sum(v)', 6)} AS row_sum FROM s GROUP BY i, segment",
+    "segmented_fit": _sparse_em_sql(),
+    "wide_spectrum": _power_cells_sql(),
+    "em_until_converged": _em_converged_sql(),
+    "dense_file_read": EMB_ROWS,
+    "dense_file_convert": EMB_ROWS,
+    "coo_file_read": CP_CELLS,
+    "coo_file_convert": CP_CELLS,
+    "rejected_lines": "".join(
+        f"{join}SELECT '{name}' AS format, CASE WHEN l_returnflag = 'R' THEN '{number}' ELSE '{width}' END AS reason, count(*) AS n_lines "
+        "FROM lineitem WHERE l_returnflag = 'R' OR l_linestatus = 'O' GROUP BY 1, 2"
+        for join, name, number, width in (("", "dense", "a value is not a number", "row of width 3, expected 4"),
+                                          (" UNION ALL ", "coo", "a field is not a number", "2 fields, expected 3"))),
+    "saved_projection": _project_sql(),
+    "run_log": f"SELECT user_id, count(*) AS n_iter, {r8('avg(value)', 6)} AS avg_iter_s FROM events GROUP BY user_id",
+    "mllib_rows": EMB_ROWS,
+    "spread_rows": f"SELECT count(*) AS n_rows, {r8('sum(list_sum(CAST(embedding AS DOUBLE[])))', 6)} AS total, 3 AS partitions FROM embeddings",
     "trial_summary": f"SELECT user_id, count(*) AS n_runs, {r8('avg(value)')} AS avg_s, "
     f"{r8('var_samp(value)', 4)} AS var_s FROM events GROUP BY user_id",
 }

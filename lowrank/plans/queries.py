@@ -8,6 +8,9 @@ engines that add in a different order.
 
 from __future__ import annotations
 
+import uuid
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +20,9 @@ from ..functions.rounding import round_sig
 from ..matrix import TallMatrix
 from ..operators import linalg, ppca, rows, stats
 from ..sources import datasets
-from ..sources.tables import keep_entries, load_table
-from ..sources.text import matrix_lines, parse_coo_lines
-from ..session import release
+from ..sources.tables import keep_entries, load_table, matrix_from_entries, matrix_from_mllib, matrix_from_parquet
+from ..sources.text import convert_to_parquet, matrix_lines, parse_coo_lines, read_coo_text, read_dense_text, write_matrix
+from ..session import ensure_checkpoint_dir, materialize, release
 from . import fixed
 
 SAMPLE_RATE = 0.3
@@ -34,8 +37,8 @@ def sig(col: str | Column, digits: int = 10) -> Column:
     return round_sig(col, digits) + F.lit(0.0)
 
 
-def _long(df: DataFrame, value: str, digits: int = 8, index: str = "j") -> DataFrame:
-    return (rows.explode_values(df, "values", index, "value")
+def _long(df: DataFrame, value: str, digits: int = 8, index: str = "j", col: str = "values") -> DataFrame:
+    return (rows.explode_values(df, col, index, "value")
             .select("row_id", index, rnd("value", digits).alias(value)))
 
 
@@ -336,6 +339,158 @@ def ppca_trials(spark: SparkSession, sf: str) -> DataFrame:
             .join(ss, "seed").select("dataset", "n_rows", "n_cols", "seed", "n_iter", rnd("ss", 10).alias("ss")))
 
 
+# -- wide and segmented sparse matrices ----------------------------------------
+
+SEGMENT = 32
+
+
+def _segmented(spark: SparkSession, sf: str) -> TallMatrix:
+    n, d = datasets.customer_part_shape(spark, sf)
+    return matrix_from_entries(datasets.customer_part_entries(spark, sf), n, d, "unique", segment_entries=SEGMENT)
+
+
+def segmented_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows of more than SEGMENT entries in segments by column range (segment -1: whole)."""
+    m = _segmented(spark, sf)
+    rows_ = m.df.select("row_id", F.lit(-1).alias("segment"), "indices", "values")
+    rows_ = rows_ if m.wide is None else rows_.unionByName(m.wide)
+    return rows_.select(F.col("row_id").alias("i"), F.col("segment").cast("int").alias("segment"), F.size("indices").alias("nnz"),
+                        F.col("indices")[0].alias("min_j"), F.element_at("indices", -1).alias("max_j"),
+                        rnd(F.aggregate("values", F.lit(0.0), lambda s, x: s + x), 6).alias("row_sum"))
+
+
+def segmented_fit(spark: SparkSession, sf: str) -> DataFrame:
+    """M3 on segmented rows: the fit of ``sparse_ppca_fit`` without a whole hot row."""
+    model = _fixed_fit(_segmented(spark, sf), 1, error_metric="none", strategy="passes")
+    return model.components_df(spark).select("j", rnd("w").alias("w"))
+
+
+def wide_spectrum(spark: SparkSession, sf: str) -> DataFrame:
+    """L3 / L5 by Lanczos, both in the same passes: sigma_1 and the norm of the
+    rows without their part along (1, -1, 1, ...)."""
+    m = datasets.customer_part_matrix(spark, sf)
+    mean = _mean(m)
+    m = m.with_df(materialize(m.df))
+    p = (1.0 - 2.0 * (np.arange(m.n_cols) % 2))[:, None] / np.sqrt(m.n_cols)
+    top, rest = linalg.lanczos_runs(m, mean, [linalg.lanczos(m.n_cols, 1, tol=1e-9), linalg.lanczos(m.n_cols, 1, p, tol=1e-9)])
+    release(m.df)
+    data = [(float(np.sqrt(top.values[0])), float(np.sqrt(rest.values[0])))]
+    return spark.createDataFrame(data, "sigma1 double, residual double").select(sig("sigma1", 8).alias("sigma1"), sig("residual", 8).alias("residual"))
+
+
+def em_until_converged(spark: SparkSession, sf: str) -> DataFrame:
+    """M4: rounds until the noise variance changes by at most 1e-5."""
+    m = datasets.embeddings_matrix(spark, sf)
+    model = ppca.ppca_fit(m, 1, max_iter=300, init=(fixed.first_column_init(m.n_cols), 1.0), error_metric="none")
+    last = model.history[-1]
+    return spark.createDataFrame([(last["round"], float(last["ss"]), float(last["rel_change"]) <= 1e-5)],
+                                 "rounds int, ss double, converged boolean").select("rounds", rnd("ss", 10).alias("ss"), "converged")
+
+
+# -- S1-S4, K1-K5: files -------------------------------------------------------
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/plans/{name}-{uuid.uuid4().hex}"
+
+
+def _row_sums(m: TallMatrix, digits: int = 8) -> DataFrame:
+    return m.df.select("row_id", F.size("features").alias("width"),
+                       rnd(F.aggregate("features", F.lit(0.0), lambda s, x: s + x), digits).alias("row_sum"))
+
+
+def dense_file_read(spark: SparkSession, sf: str) -> DataFrame:
+    """K3a then S1: embeddings written as DENSE text in row order and read back."""
+    path = _folder(spark, "dense")
+    write_matrix(datasets.embeddings_matrix(spark, sf), path)
+    return _row_sums(read_dense_text(spark, path, 64))
+
+
+def dense_file_convert(spark: SparkSession, sf: str) -> DataFrame:
+    """K1 then S3: DENSE text converted to Parquet rows and read as a matrix."""
+    path = _folder(spark, "dense")
+    write_matrix(datasets.embeddings_matrix(spark, sf), path)
+    convert_to_parquet(spark, path, path + "-rows")
+    return _row_sums(matrix_from_parquet(spark, path + "-rows"))
+
+
+def coo_file_read(spark: SparkSession, sf: str) -> DataFrame:
+    """K3c then S2: cells written one-based as COO text, read back as rows."""
+    path = _folder(spark, "coo")
+    e = datasets.customer_part_matrix(spark, sf).entries().select(F.col("i") + 1, F.col("j") + 1, "v").toDF("i", "j", "v")
+    e.select(coo_line("i", "j", "v")).write.text(path)
+    return read_coo_text(spark, path, base=1).entries().select("i", "j", rnd("v", 6).alias("v"))
+
+
+def coo_file_convert(spark: SparkSession, sf: str) -> DataFrame:
+    """K2 then S3: COO text converted to Parquet rows and read as a matrix."""
+    path = _folder(spark, "coo")
+    write_matrix(datasets.customer_part_matrix(spark, sf), path, "COO")
+    convert_to_parquet(spark, path, path + "-rows", "COO")
+    return matrix_from_parquet(spark, path + "-rows").entries().select("i", "j", rnd("v", 6).alias("v"))
+
+
+def rejected_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that are no rows or entries, kept with their reason.  Every
+    lineitem is a DENSE line of four values, returned ones with a flag
+    instead of the last, open ones without it; and a COO line likewise."""
+    li = load_table(spark, sf, "lineitem")
+    last = F.when(F.col("l_returnflag") == "R", "R").when(F.col("l_linestatus") != "O", F.col("l_tax").cast("string"))
+    out = []
+    for name, sep, cols in (("dense", " ", datasets.LINEITEM_COLS[:3]), ("coo", ",", ["l_orderkey", "l_linenumber"])):
+        path = _folder(spark, "rejects-" + name)
+        li.select(F.concat_ws(sep, *cols, last).alias("value")).write.text(path)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            if name == "dense":
+                read_dense_text(spark, path, 4, bad_rows="drop", rejects_to=path + "-bad")
+            else:
+                read_coo_text(spark, path, n_rows=1, n_cols=1, duplicates="sum", bad_lines="drop", rejects_to=path + "-bad")
+        out.append(spark.read.parquet(path + "-bad").groupBy("reason").agg(F.count("*").alias("n_lines"))
+                   .select(F.lit(name).alias("format"), "reason", "n_lines"))
+    return out[0].unionByName(out[1])
+
+
+def saved_projection(spark: SparkSession, sf: str) -> DataFrame:
+    """P10 then K4: the projection of ``ppca_project`` saved and read back."""
+    m = datasets.embeddings_matrix(spark, sf)
+    path = _folder(spark, "projection")
+    _fixed_fit(m, 2, error_metric="none").write_projection(m, path)
+    return _long(matrix_from_parquet(spark, path, 2).df, "value", index="p", col="features")
+
+
+def run_log(spark: SparkSession, sf: str) -> DataFrame:
+    """K5 then A11: one run a user, whose rounds took the values of its events; the
+    log is written twice under one id, as a retry does, and read back."""
+    from ..operators.trials import append_run_log, mean_iteration_seconds, read_run_log
+    ev = load_table(spark, sf, "events").groupBy("user_id").agg(F.collect_list("value").alias("iter_s"))
+    runs = ev.select(F.lit("ppca_em").alias("app"), F.lit("events").alias("dataset"), F.lit(1).cast("long").alias("n_rows"),
+                     F.lit(1).alias("n_cols"), F.col("user_id").alias("seed"), F.size("iter_s").alias("n_iter"), F.lit(0.0).alias("total_s"),
+                     F.lit(0.0).alias("preprocess_s"), F.lit(0.0).alias("sketch_s"), F.lit(0.0).alias("avg_iter_s"), "iter_s",
+                     F.array().cast("array<double>").alias("errors"))
+    path = _folder(spark, "run-log")
+    for _ in range(2):
+        append_run_log(runs, path, "one")
+    back = mean_iteration_seconds(read_run_log(spark, path))
+    return back.select(F.col("seed").alias("user_id"), F.col("n_iter").cast("long").alias("n_iter"), rnd("avg_iter_s", 6).alias("avg_iter_s"))
+
+
+def mllib_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows handed over as an ``IndexedRowMatrix``."""
+    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
+    df = load_table(spark, sf, "embeddings").select("vec_id", "embedding")
+    rdd = df.rdd.map(lambda r: IndexedRow(r["vec_id"], [float(x) for x in r["embedding"]]))
+    return _row_sums(matrix_from_mllib(spark, IndexedRowMatrix(rdd)))
+
+
+def spread_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows pinned after an explicit repartition; the partitions and what they hold."""
+    m = datasets.embeddings_matrix(spark, sf)
+    pinned = materialize(m.df, cut_lineage=True, partitions=3)
+    out = pinned.agg(F.count("*").alias("n_rows"), rnd(F.sum(F.aggregate("features", F.lit(0.0), lambda s, x: s + x)), 6).alias("total"),
+                     F.count_distinct(F.col("_metadata.file_path")).alias("partitions"))
+    return out
+
+
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Sketch-initialised probabilistic PCA (k = 3): the components table."""
     return ppca.ppca_fit(datasets.embeddings_matrix(spark, sf), 3, seed=7, dataset="embeddings").components_df(spark)
@@ -380,4 +535,17 @@ QUERIES = {
     "spectral_error": spectral_error,
     "sparse_ppca_fit": sparse_ppca_fit,
     "ppca_trials": ppca_trials,
+    "segmented_rows": segmented_rows,
+    "segmented_fit": segmented_fit,
+    "wide_spectrum": wide_spectrum,
+    "em_until_converged": em_until_converged,
+    "dense_file_read": dense_file_read,
+    "dense_file_convert": dense_file_convert,
+    "coo_file_read": coo_file_read,
+    "coo_file_convert": coo_file_convert,
+    "rejected_lines": rejected_lines,
+    "saved_projection": saved_projection,
+    "run_log": run_log,
+    "mllib_rows": mllib_rows,
+    "spread_rows": spread_rows,
 }

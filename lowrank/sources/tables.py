@@ -5,11 +5,14 @@ aggregate that learns the shape when it is not given."""
 from __future__ import annotations
 
 import warnings
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..matrix import DENSE, SPARSE, TallMatrix
+from ..session import store
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,6 +87,28 @@ def matrix_from_vectors(df: DataFrame, vector_col: str, id_col: str | Column | N
     return matrix_from_array(tmp, "__v", "row_id", n_cols=n_cols, n_rows=n_rows)
 
 
+def matrix_from_mllib(spark: SparkSession, rows, n_cols: int | None = None) -> TallMatrix:
+    """Dense matrix from the RDD types of ``pyspark.mllib``: a ``RowMatrix`` or an
+    RDD of vectors (row ids by position), an ``IndexedRowMatrix`` or an RDD of
+    its rows (row ids by index; a missing index is no row)."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.mllib.linalg import VectorUDT
+
+    rdd = getattr(rows, "rows", rows)
+    if callable(rdd):
+        rdd = rdd()
+    first = rdd.take(1)
+    if not first:
+        raise ValueError("empty matrix")
+    if hasattr(first[0], "index") and hasattr(first[0], "vector"):
+        pairs = rdd.map(lambda r: (int(r.index), r.vector))
+    else:
+        pairs = rdd.zipWithIndex().map(lambda x: (x[1], x[0]))
+    schema = T.StructType([T.StructField("row_id", T.LongType()), T.StructField("vector", VectorUDT())])
+    df = spark.createDataFrame(pairs, schema)
+    return matrix_from_array(df.select("row_id", vector_to_array("vector").alias("features")), "features", "row_id", n_cols=n_cols)
+
+
 def entries_frame(df: DataFrame, i: str = "i", j: str = "j", v: str = "v", base: int = 0) -> DataFrame:
     """Normalise coordinate entries to ``(i BIGINT, j INT, v DOUBLE)``, zero-based."""
     return df.select((F.col(i).cast("long") - base).alias("i"),
@@ -121,16 +146,50 @@ def _extent(largest: int | None) -> int:
     return 0 if largest is None else int(largest) + 1
 
 
+# Entries of a row past which it is kept in segments, and columns of a segment.
+SEGMENT_ENTRIES = 1 << 20
+
+
+def segmented(cells: DataFrame, n_rows: int, n_cols: int, segment_entries: int = SEGMENT_ENTRIES) -> TallMatrix:
+    """Sparse matrix from one entry per cell: rows of at most
+    ``segment_entries`` entries whole, longer ones in segments by column
+    range, each at most ``segment_entries`` columns wide.
+
+    Row lengths are counted with map-side sums; the few long rows are
+    told apart by a join on the row id (broadcast when Spark finds them few,
+    else split by AQE where skewed), and their entries are grouped by (row,
+    column range), so neither step brings a whole long row into one task.
+    The cells are stored once, since both groupings read them."""
+    cells = store(cells.where(F.col("v") != 0).select("i", "j", "v"))
+    long = store(cells.groupBy("i").count().where(F.col("count") > segment_entries).select("i"))
+    n_long = long.count()
+    short = cells.join(long, "i", "left_anti") if n_long else cells
+    m = TallMatrix(_grouped(short, ["i"]), n_cols=n_cols, n_rows=n_rows, kind=SPARSE, cells=cells)
+    if not n_long:
+        return m
+    ranged = cells.join(long, "i").withColumn("segment", F.floor(F.col("j") / segment_entries).cast("int"))
+    return replace(m, wide=_grouped(ranged, ["i", "segment"]), wide_rows=n_long)
+
+
+def _grouped(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """Entries collected by ``keys`` (row id first) as sorted indices and values."""
+    e = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("e"))
+    return e.select(F.col("i").alias("row_id"), *keys[1:], F.transform("e", lambda x: x["j"]).alias("indices"),
+                    F.transform("e", lambda x: x["v"]).alias("values"))
+
+
 def matrix_from_entries(entries: DataFrame, n_rows: int | None = None, n_cols: int | None = None,
-                        duplicates: str = "error", outside: str = "error") -> TallMatrix:
+                        duplicates: str = "error", outside: str = "error",
+                        segment_entries: int = SEGMENT_ENTRIES) -> TallMatrix:
     """Sparse row matrix from zero-based ``(i, j, v)`` entries.
 
     Duplicated ``(i, j)`` pairs are summed (``duplicates='sum'``) or make the
     job that reads the rows fail (``'error'``, the default); ``'unique'`` skips the cell
     grouping for entries that are already one per cell.  The first grouping shuffles on
     ``(i, j)``, so one hot row is spread over many tasks and its entries are
-    combined map-side; the second grouping collects at most ``n_cols``
-    entries per row, a bound set by the model width, not by the data.
+    combined map-side; the second grouping collects at most
+    ``segment_entries`` entries: a matrix that is wider keeps longer rows in
+    segments (``segmented``).
     """
     if duplicates not in ("error", "sum", "unique"):
         raise ValueError("duplicates must be 'error', 'sum' or 'unique'")
@@ -144,20 +203,17 @@ def matrix_from_entries(entries: DataFrame, n_rows: int | None = None, n_cols: i
                                F.to_json(F.struct("i", "j")))
             total = F.when(F.count(F.lit(1)) > 1, F.raise_error(message).cast("double")).otherwise(total)
         cells = keep_entries(entries, n_cols, n_rows, outside).groupBy("i", "j").agg(total.alias("v"))
-    rows = (cells.where(F.col("v") != 0)
-            .groupBy("i")
-            .agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("e")))
-    out = rows.select(F.col("i").alias("row_id"),
-                      F.transform("e", lambda x: x["j"]).alias("indices"),
-                      F.transform("e", lambda x: x["v"]).alias("values"))
     if n_rows is None or n_cols is None:
         shape = cells.where(F.col("v") != 0).agg(F.max("i").alias("max_i"), F.max("j").alias("max_j")).first()
         if n_rows is None:
             n_rows = _extent(shape["max_i"])
         if n_cols is None:
             n_cols = _extent(shape["max_j"])
+    cells = cells.where(F.col("v") != 0).select("i", "j", "v")
+    if n_cols > segment_entries:
+        return segmented(cells, n_rows, n_cols, segment_entries)
     # Entry queries read the cells as they are, without grouping them into rows.
-    return TallMatrix(out, n_cols=n_cols, n_rows=n_rows, kind=SPARSE, cells=cells.where(F.col("v") != 0).select("i", "j", "v"))
+    return TallMatrix(_grouped(cells, ["i"]), n_cols=n_cols, n_rows=n_rows, kind=SPARSE, cells=cells)
 
 
 def with_absent_rows(m: TallMatrix) -> TallMatrix:
@@ -168,7 +224,8 @@ def with_absent_rows(m: TallMatrix) -> TallMatrix:
     if not m.is_sparse:
         return m
     ids = m.spark.range(m.n_rows).withColumnRenamed("id", "row_id")
-    gaps = ids.join(m.df.select("row_id"), "row_id", "left_anti")
+    held = m.df.select("row_id") if m.wide is None else m.df.select("row_id").unionByName(m.wide.select("row_id").distinct())
+    gaps = ids.join(held, "row_id", "left_anti")
     empty = gaps.select("row_id", F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("values"))
     return m.with_df(m.df.select("row_id", "indices", "values").unionByName(empty))
 
@@ -186,7 +243,7 @@ def sparse_from_dense(m: TallMatrix) -> TallMatrix:
 def dense_from_sparse(m: TallMatrix) -> TallMatrix:
     """Fill the zeros of a sparse matrix back in, absent rows included."""
     from ..operators.blocks import map_rows
-    out = map_rows(with_absent_rows(m), lambda b: b.to_dense(), m.n_cols, "features")
+    out = map_rows(with_absent_rows(m.whole()), lambda b: b.to_dense(), m.n_cols, "features")
     return TallMatrix(out, n_cols=m.n_cols, n_rows=m.n_rows, kind=DENSE)
 
 
@@ -198,9 +255,14 @@ def matrix_from_parquet(spark: SparkSession, path: str, n_cols: int | None = Non
     if "features" in df.columns:
         return matrix_from_array(df, "features", "row_id", n_cols=n_cols, n_rows=n_rows)
     rows = df.select(F.col("row_id").cast("long"), F.col("indices").cast("array<int>"),
-                     F.col("values").cast("array<double>"))
+                     F.col("values").cast("array<double>"), *(["segment"] if "segment" in df.columns else []))
     if n_rows is None or n_cols is None:
         shape = rows.agg(F.max("row_id").alias("i"), F.max(F.array_max("indices")).alias("j")).first()
         n_rows = n_rows if n_rows is not None else _extent(shape["i"])
         n_cols = n_cols if n_cols is not None else _extent(shape["j"])
-    return TallMatrix(rows, n_cols=n_cols, n_rows=n_rows, kind=SPARSE)
+    if "segment" not in rows.columns:
+        return TallMatrix(rows, n_cols=n_cols, n_rows=n_rows, kind=SPARSE)
+    wide = rows.where("segment is not null")
+    n_wide = wide.agg(F.count_distinct("row_id")).first()[0]
+    return TallMatrix(rows.where("segment is null").drop("segment"), n_cols=n_cols, n_rows=n_rows, kind=SPARSE,
+                      wide=wide.select("row_id", "segment", "indices", "values") if n_wide else None, wide_rows=n_wide)

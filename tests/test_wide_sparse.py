@@ -8,7 +8,7 @@ from conftest import SF001, SF01
 from lowrank.matrix import TallMatrix
 from lowrank.operators import blocks, linalg, ppca, rows, stats, trials
 from lowrank.session import store
-from lowrank.sources import datasets, tables
+from lowrank.sources import datasets, tables, text
 from lowrank.sources.text import matrix_lines
 
 
@@ -208,3 +208,68 @@ def test_trials_share_lanczos_and_stop_alone(spark, monkeypatch):
     for seed, init, model in zip((5, 6, 7), starts, models):
         one = ppca.ppca_fit(m, 2, seed=seed, init=init, max_iter=3, target_error=0.12, strategy="passes")
         assert model.stat.n_iter == one.stat.n_iter and model.stat.errors == pytest.approx(one.stat.errors, abs=1e-5)
+
+
+@pytest.fixture(scope="module")
+def segmented_pair(spark):
+    """One matrix with rows in segments of 8 columns, and the same held whole."""
+    rng = np.random.default_rng(4)
+    a = np.where(rng.random((60, 50)) < 0.1, rng.integers(1, 9, (60, 50)), 0).astype(float)
+    a[7] = rng.integers(1, 9, 50)                      # hot rows
+    a[8, ::2] = 3.0
+    a[11] = 0.0
+    i, j = np.nonzero(a)
+    e = spark.createDataFrame([(int(x), int(y), float(a[x, y])) for x, y in zip(i, j)], "i long, j int, v double").repartition(4)
+    seg = tables.matrix_from_entries(e, n_rows=63, n_cols=50, segment_entries=8)
+    return seg, tables.matrix_from_entries(e, n_rows=63, n_cols=50), np.vstack([a, np.zeros((3, 50))])
+
+
+def test_no_record_holds_a_hot_row(segmented_pair):
+    seg, _, a = segmented_pair
+    long = set(np.flatnonzero((a != 0).sum(axis=1) > 8))
+    assert seg.wide_rows == len(long) >= 2
+    assert {r["row_id"] for r in seg.wide.collect()} == long
+    assert max(len(r["indices"]) for r in seg.wide.collect() + seg.df.collect()) <= 8
+    assert seg.stored_rows() == (a != 0).any(axis=1).sum()
+    assert dense_of(seg.with_df(seg.df)) == pytest.approx(a)
+    assert {r["row_id"]: list(r["indices"]) for r in seg.whole().df.collect()}[7] == list(range(50))
+
+
+@pytest.mark.parametrize("shared", [1 << 22, 0])
+def test_segmented_statistics_and_fits(segmented_pair, monkeypatch, shared):
+    seg, whole, a = segmented_pair
+    monkeypatch.setattr(blocks, "MAX_SHARED_CELLS", shared)
+    mean, norm2 = stats.mean_and_norm(seg)
+    c = a - a.mean(axis=0)
+    assert mean == pytest.approx(a.mean(axis=0)) and norm2 == pytest.approx((c * c).sum())
+    v = np.random.default_rng(0).standard_normal((50, 4))
+    st = linalg.cross_stats(seg, v, mean)
+    assert st.ytx == pytest.approx(c.T @ (c @ v)) and st.xtx == pytest.approx((c @ v).T @ (c @ v))
+    r = linalg.r_factor(seg, mean, v)
+    assert r.T @ r == pytest.approx((c @ v).T @ (c @ v))
+    got = {r["row_id"]: list(r["values"]) for r in rows.project(seg, v, mean).collect()}
+    assert sorted(got) == list(range(63)) and np.array([got[i] for i in range(63)]) == pytest.approx(c @ v)
+    opts = dict(max_iter=3, seed=2, strategy="passes", target_error=0.0)
+    one, two = ppca.ppca_fit(seg, 3, **opts), ppca.ppca_fit(whole, 3, **opts)
+    assert [h["ss"] for h in one.history] == pytest.approx([h["ss"] for h in two.history], rel=1e-9)
+    assert one.stat.errors == pytest.approx(two.stat.errors, abs=1e-9)
+    s = np.linalg.svd(c, compute_uv=False)
+    assert linalg.top_singular_values_power(seg, 3, mean) == pytest.approx(s[:3], rel=1e-6)
+
+
+def test_segmented_formats_and_dense_forms(spark, segmented_pair, tmp_path):
+    seg, whole, a = segmented_pair
+    for fmt in ("DENSE", "LIL", "COO"):
+        one, two = ({tuple(r) for r in matrix_lines(m, fmt).collect()} for m in (seg, whole))
+        assert one == two
+    text.write_matrix(seg, str(tmp_path / "rows"), "PARQUET")
+    back = tables.matrix_from_parquet(spark, str(tmp_path / "rows"), 50, 63)
+    assert back.wide_rows == seg.wide_rows and dense_of(back) == pytest.approx(a)
+    sample = rows.row_sample(seg, 0.5)
+    same = {r["row_id"] for r in rows.row_sample(whole, 0.5).df.collect()}
+    assert {r["row_id"] for r in sample.whole().df.collect()} == same and sample.stored_rows() == len(same)
+    mean = a.mean(axis=0)
+    w = np.random.default_rng(1).standard_normal((50, 2))
+    got = {r["row_id"]: np.array(r["values"]) for r in rows.residual_rows(seg, w, w, mean).collect()}
+    assert np.array([got[i] for i in range(63)]) == pytest.approx((a - mean) - (a - mean) @ w @ w.T)
+    assert ppca.l1_error(seg, mean, w, w) == pytest.approx(ppca.l1_error(whole, mean, w, w))
