@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lowrank.llm.common import by_value, drop_table, read_table, save_table, shuffle_partitions, text_blocks
+from lowrank.llm.common import Numbers, by_value, drop_table, read_table, save_table, shuffle_partitions, text_blocks
 
 by_value(__name__)
 
@@ -102,15 +102,9 @@ class _Chunk(NamedTuple):
     tokens: np.ndarray             # numbers of the words, all documents
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def _chunks(batches, limit: int) -> Iterator[_Chunk]:
     for rows, texts in text_blocks(batches, "text", limit):
-        docs, held, numbers = rows.column("doc_id").to_pylist(), rows.column("held_out").to_pylist(), _Numbers()
+        docs, held, numbers = rows.column("doc_id").to_pylist(), rows.column("held_out").to_pylist(), Numbers()
         digest, parts, sizes = hashlib.blake2b(digest_size=8), [], []
         for d, text in zip(docs, texts.to_pylist()):
             digest.update(f"{d}:{len(text)};".encode())
@@ -154,7 +148,7 @@ def _count_words(table: pa.Table) -> pa.Table:
     """Training counts of a bucket's words and their ranks among the bucket's
     words of one count: for every chunk, and the sizes of the counts' classes."""
     rows = table.to_pylist()
-    numbers, lists = _Numbers(), []
+    numbers, lists = Numbers(), []
     for r in rows:
         words = _expand(r["words"], r["bytes"]).split(b"\n")
         lists.append(np.fromiter(map(numbers.__getitem__, words), np.int64, r["n"]))

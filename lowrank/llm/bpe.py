@@ -7,8 +7,9 @@ positions).  The words are shuffled by a hash of the word; each distinct word
 of the corpus is merged once there and its ids go back to the chunks that hold
 it; a cogroup by chunk puts the ids in the order of the positions.  Words, ids
 and positions travel packed: a frequent word counts once per chunk, and texts
-are never shuffled.  The two sides read the table separately; a chunk carries a digest of
-its documents, and a chunk that is not the same on both sides is an error.
+are never shuffled.  The two sides read the table separately; a chunk is named by a digest of
+its whole documents, and one that is not the same on both sides is an error.
+The buckets grow with the corpus, so what a task remembers of one bucket does not.
 
 Decoding joins ids with the token-byte table (the vocabulary, of fixed
 size) on the map side and concatenates the bytes.
@@ -32,12 +33,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lowrank.llm.common import by_value, read_table, shuffle_partitions, text_blocks
-from lowrank.llm.segments import Memo, SegmentMemo, pieces
+from lowrank.llm.common import Numbers, by_value, read_table, shuffle_partitions, text_blocks
+from lowrank.llm.segments import Memo, pieces
 
 by_value(__name__)
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 2 << 20
+BUCKET_BYTES = 32 << 20            # text bytes per bucket of words
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -73,10 +75,17 @@ def _word_list(words, buckets: int) -> list[list[str]]:
 def _digest(rows, texts: list[str]) -> int:
     h = hashlib.blake2b(digest_size=8)
     for d, t in zip(rows.column("doc_id").to_pylist(), texts):
-        h.update(f"{d}:{len(t)};{t[:64]}".encode())
+        raw = t.encode("utf-8", "surrogatepass")
+        h.update(f"{d}:{len(raw)};".encode())
+        h.update(raw)
     return int.from_bytes(h.digest(), "little", signed=True)
 
 
+def _matches(find, lead: str, segment: str) -> list[str]:
+    """Pre-tokens of a segment; letters alone are one, with or without their space."""
+    return [lead + segment] if segment.isalpha() else find(lead + segment)
+
+
 def _chunk_words(texts: list[str], find) -> set[str]:
     plain, spaced = set(), set()
     for t in texts:
@@ -86,10 +95,29 @@ def _chunk_words(texts: list[str], find) -> set[str]:
     words = set()
     for lead, group in (("", plain), (" ", spaced)):
         for x in group:
-            words.update(find(lead + x))
+            words.update(_matches(find, lead, x))
     return words
 
 
+def _chunk_tokens(texts: list[str], find) -> tuple[Numbers, np.ndarray, list[int]]:
+    """(words in order of first use, number of the word of each token, tokens
+    of each text); segments are cut once per chunk."""
+    segments, parts = Numbers(), []
+    for t in texts:
+        head, tail = pieces(t)
+        parts.append(np.array([segments[h,] for h in head] + list(map(segments.__getitem__, tail)), np.int64))
+    flat, sizes = [], []
+    for x in segments:
+        found = _matches(find, "", x[0]) if isinstance(x, tuple) else _matches(find, " ", x)
+        flat += found
+        sizes.append(len(found))
+    words = Numbers()
+    values = np.fromiter(map(words.__getitem__, flat), np.int64, len(flat))
+    tokens, end = _gather(values, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]), np.concatenate(parts))
+    cut = end[np.concatenate([[0], np.cumsum([len(x) for x in parts])])]
+    return words, tokens, np.diff(cut).tolist()
+
+
 def _words(pattern: str, chunk_bytes: int, buckets: int):
     """One row per chunk and bucket: its sorted words, packed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,10 +146,8 @@ def _positions(pattern: str, chunk_bytes: int, buckets: int):
 
         find = regex.compile(pattern).findall
         for rows, texts in text_blocks(batches, "text", chunk_bytes):
-            texts, met = texts.to_pylist(), {}
-            memo = SegmentMemo(lambda x: np.array([met.setdefault(w, len(met)) for w in find(x)], "<u4").tobytes(), limit=1 << 60)
-            raw = [memo(t) for t in texts]
-            flat = np.frombuffer(b"".join(raw), "<u4")
+            texts = texts.to_pylist()
+            met, flat, sizes = _chunk_tokens(texts, find)
             number = np.empty(len(met), np.int64)
             number[[met[w] for x in _word_list(met, buckets) for w in x]] = np.arange(len(met))
             order = np.argsort(-np.bincount(flat, minlength=len(met)), kind="stable")
@@ -129,7 +155,7 @@ def _positions(pattern: str, chunk_bytes: int, buckets: int):
             code[order] = np.arange(len(met))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([_digest(rows, texts)]), pa.array([rows.column("doc_id").to_pylist()], pa.list_(pa.int64())),
-                 pa.array([[len(r) // 4 for r in raw]], pa.list_(pa.int32())), pa.array([_pack(number[order])], pa.binary()),
+                 pa.array([sizes], pa.list_(pa.int32())), pa.array([_pack(number[order])], pa.binary()),
                  pa.array([_pack(code[flat])], pa.binary()), pa.array([len(met)], pa.int32())],
                 names=["chunk", "docs", "sizes", "ranked", "packed", "n_words"])
     return run
@@ -170,7 +196,10 @@ def _gather(values: np.ndarray, offs: np.ndarray, pick: np.ndarray) -> tuple[np.
 def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
     """Ids of the documents of one chunk from its words' ids and positions.
     Chunks that are equal as a whole share their words."""
-    by_bucket = {r["bucket"]: r for r in right.to_pylist()}
+    by_bucket: dict[int, dict] = {}
+    for r in right.to_pylist():
+        if by_bucket.setdefault(r["bucket"], r) != r:
+            raise ValueError("a chunk arrived with two lists of words")
     parts = [by_bucket[i] for i in sorted(by_bucket)]
     n_words = sum(p["n"] for p in parts)
     if set(left.column("n_words").to_pylist()) != {n_words}:
@@ -193,12 +222,15 @@ def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
 def encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
            chunk_bytes: int = CHUNK_BYTES, buckets: int | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids): ids as little-endian unsigned 32-bit integers.
-    ``buckets`` is the number of groups of words, by default as many as
-    shuffle partitions; a task holds the distinct words of one bucket."""
+    ``buckets`` is the number of groups of words, by default one for every
+    BUCKET_BYTES of text, at least as many as shuffle partitions; a task holds
+    the distinct words of one bucket."""
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(load_ranks(ranks_path))
-    buckets = buckets or min(4096, shuffle_partitions(spark))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    if buckets is None:
+        size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+        buckets = max(shuffle_partitions(spark), -(-size // BUCKET_BYTES))
     words = rows.mapInArrow(_words(pattern, chunk_bytes, buckets), "chunk long, bucket int, n int, sizes binary, words binary")
     ids = (words.repartition("bucket").sortWithinPartitions("bucket")
            .mapInArrow(_merge_words(table), "chunk long, bucket int, n int, sizes binary, ids binary"))

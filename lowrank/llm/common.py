@@ -57,6 +57,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+class Numbers(dict):
+    """key -> its number in order of first use."""
+
+    def __missing__(self, key) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete a table of ``save_table`` that nothing reads any more."""
     release(df)

@@ -3,7 +3,7 @@
 ``public_tokenizers.PATTERN`` starts a match at every space that is followed
 by something other than white space, and no match runs across such a place.
 So a text may be cut before each of these spaces, and equal pieces share one
-tokenization.
+tokenization.  A piece of letters alone is one match.
 """
 
 from __future__ import annotations
