@@ -303,3 +303,93 @@ def test_short_blocks_and_copied_pages_keep_their_text(spark):
     assert all(got[i].split("\n")[:3] == [f"Title {i}", f"Yes {i}", f"item {i}"] and "menu" not in got[i] and "rights" not in got[i] for i in range(6))
     assert all(f"Title {max(i, 5)}\nYes {max(i, 5)}\nitem {max(i, 5)}" in got[10 + i] and "menu" not in got[10 + i] for i in range(8))
     assert all("Title 9\nYes 9\nitem 9" in got[20 + i] for i in range(4))
+
+
+def test_names_in_attributes_drop_no_article(spark):
+    parts = ['<div title="a hidden gem">kept {0}</div>', '<section class="related-work">kept {0}</section>', '<div class="login-tutorial">kept {0}</div>',
+             '<article><div class="search-engine-history">kept {0}</div></article>', '<div data-x="aria-hidden=true">kept {0}</div>']
+    gone = ['<div hidden>gone</div>', '<div class="comment-list">gone</div>', '<div class="site-footer">gone</div>', '<div aria-hidden="true">gone</div>',
+            '<div style="display: none">gone</div>', '<p><div id=comments><p>gone</div>']
+    rows = [(i, f"http://h{i}.example/", f"<body><p>text</p>{p.format(i)}</body>") for i, p in enumerate(parts)]
+    rows += [(100 + i, f"http://g{i}.example/", f"<body><p>text</p>{p}</body>") for i, p in enumerate(gone)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == f"text\nkept {i}" for i in range(len(parts)))
+    assert all(got[100 + i] == "text" for i in range(len(gone)))
+
+
+def test_region_drops_boilerplate_without_names(spark):
+    """Menu, advert and footer that vary from page to page and carry no telling tag or class."""
+    page = ("<html><body><div class=q1><ul><li><a href=x>{1}</a></li></ul></div><div class=q2>{2}</div>"
+            "<div class=q3><h1>Title {0}</h1><p>{3}</p><p>{4}</p></div><div class=q4>{5}</div></body></html>")
+    rows = [(i, f"http://a.example/{i}", page.format(i, *(prose(n, 1000 + 10 * i + n) for n in (2, 7, 40, 30, 6)))) for i in range(12)]
+    got = texts_of(spark, rows)
+    assert all(got[i] == f"Title {i}\n{prose(40, 1040 + 10 * i)}\n{prose(30, 1030 + 10 * i)}" for i in range(12))
+
+
+def test_classes_equal_plain_vectors(spark):
+    r = random.Random(4)
+    pages = {}
+    for i in range(30):
+        rows = "".join(f"<li>{r.choice('abcdef')}</li>" for _ in range(r.randint(0, 4)))
+        pages[i] = f"<html><body><h1>Site</h1><ul>{rows}</ul><div class=a>" + ("<p>Same</p><h2>Notes</h2>" if i % 3 else "") + f"{i}</div></body></html>"
+    rows = [(i, "http://a.example/", pages[i]) for i in pages] + [(99, "http://a.example/", pages[3])]
+    parsed = template.parsed_pages(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    different = set(pages.values())
+    vectors = {}
+    for page in different:
+        for name in template.parse(page).tokens:
+            vectors.setdefault(template.token_key(name), {}).setdefault(page, 0)
+            vectors[template.token_key(name)][page] += 1
+    groups = {}
+    for key, v in vectors.items():
+        if len(v) >= max(3, 0.5 * len(different)):
+            groups.setdefault(frozenset(v.items()), set()).add(key)
+    want = {frozenset(g) for g in groups.values() if len(g) >= 3}
+    one = parsed.where("page_id <> 99").dropDuplicates(["digest"])
+    row = template.classes(one).first()
+    got = {}
+    for t, v in zip(row["tokens"], row["vectors"]):
+        got.setdefault(v, set()).add(t)
+    assert {frozenset(g) for g in got.values()} == want and len(want) >= 2
+
+
+def test_classes_nest_or_straddle():
+    a, b, c = 1, 2, 3
+    order = lambda text: [({"a": a, "b": b, "c": c}[x], i) for i, x in enumerate(text)]
+    assert template.nesting(order("abbac")) == ({a: (0, 0), b: (a, 1), c: (0, 0)}, set())
+    assert template.nesting(order("aabba")) == ({a: (0, 0), b: (a, 2)}, set())
+    assert template.nesting(order("abab"))[1] == {b}
+    assert template.nesting(order("abcbca"))[1] == {c}
+
+
+def test_pages_in_odd_shapes(spark):
+    rows = [(1, "http://a.example/", None), (1, "http://a.example/", "<p>twice</p>"), (1, "http://a.example/", "<p>twice</p>"),
+            (None, None, "<p>" + "long " * 100_000 + "</p>")]
+    pages = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, host string, tokens string")
+    got = sorted((r["page_id"] or 0, len(r["text"])) for r in template.extract_text(pages).collect())
+    assert got == [(0, 499_999), (1, 0), (1, 5), (1, 5)]
+    assert template.extract_text(pages.limit(0)).count() == 0
+
+
+def test_chunks_are_named_by_whole_texts(spark):
+    import pyarrow as pa
+
+    head = "x" * 100
+    rows = pa.record_batch({"doc_id": pa.array([1], pa.int64())})
+    assert bpe._digest(rows, [head + "a"]) != bpe._digest(rows, [head + "b"])
+    docs = spark.createDataFrame([(None, head + f" word{i % 7} tail{i}") for i in range(40)] + [(3, "a b"), (3, "a b")], "doc_id long, text string").repartition(5)
+    path = P.path("byte_bpe_50k.tiktoken")
+    got = bpe.decode(bpe.encode(docs, path, P.PATTERN, chunk_bytes=1), path).collect()
+    assert sorted(bytes(r["decoded"]).decode() for r in got) == sorted([head + f" word{i % 7} tail{i}" for i in range(40)] + ["a b"] * 2)
+
+
+def test_two_word_lists_of_a_chunk_are_an_error():
+    import numpy as np
+    import pyarrow as pa
+
+    one = {"chunk": 5, "bucket": 0, "n": 1, "sizes": bpe._pack(np.array([1])), "ids": bpe._pack(np.array([7]))}
+    two = one | {"ids": bpe._pack(np.array([8]))}
+    left = pa.table({"chunk": [5], "docs": [[1]], "sizes": [[1]], "ranked": [bpe._pack(np.array([0]))], "packed": [bpe._pack(np.array([0]))], "n_words": [1]})
+    assert bpe._reassemble(left, pa.Table.from_pylist([one, one])).column("n_tokens").to_pylist() == [1]
+    with pytest.raises(ValueError, match="two lists"):
+        bpe._reassemble(left, pa.Table.from_pylist([one, two]))
