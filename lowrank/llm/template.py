@@ -398,7 +398,9 @@ def parsed_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text) of every row."""
     parsed = parsed_pages(pages, id_col, url_col, html_col)
-    return parsed.join(templates(parsed), "host", "left").mapInArrow(_extract, "page_id long, url string, text string")
+    # Stored first, so that Spark knows the templates' size when it picks the join.
+    found = save_table(templates(parsed), "templates")
+    return parsed.join(found, "host", "left").mapInArrow(_extract, "page_id long, url string, text string")
 
 
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
