@@ -3,9 +3,8 @@
 import math
 import random
 
-import pytest
-
 from lowrank.llm import rules
+from lowrank.llm.common import save_table
 
 
 def plain_cutoff(values, name, epsilon, level):
@@ -21,9 +20,8 @@ def plain_cutoff(values, name, epsilon, level):
     return best
 
 
-@pytest.mark.parametrize("epsilon", [0.01, 0.05])
-def test_cutoffs_equal_exact_binomial_bounds(spark, epsilon):
-    r = random.Random(8)
+def test_cutoffs_equal_exact_binomial_bounds(spark):
+    epsilon, r = rules.EPSILON, random.Random(8)
     names = list(rules.RULES)
     rows = []
     for band, n in ((0, 100), (1, 700), (2, 1500), (3, 5)):
@@ -34,7 +32,8 @@ def test_cutoffs_equal_exact_binomial_bounds(spark, epsilon):
                          *(4.6 + r.gauss(0, 0.3 * spread) if "words" in x else max(0.0, r.gauss(-0.2, spread)) for x in names)))
     rows += rows[:50]                                              # repeated rows count each
     df = spark.createDataFrame(rows, "band int, quality int, " + ", ".join(f"r_{x} double" for x in names))
-    got = {x["band"]: x for x in rules.select_cutoffs(df, epsilon).collect()}
+    cutoffs = save_table(rules.select_cutoffs(df, epsilon), "cutoffs")
+    got = {x["band"]: x for x in cutoffs.collect()}
     level = rules.DELTA / (len(names) * (len(rules.BANDS) + 1))
     certified = 0
     for band in range(4):
@@ -43,7 +42,7 @@ def test_cutoffs_equal_exact_binomial_bounds(spark, epsilon):
             assert got[band][f"c_{name}"] == want
             certified += want is not None
     assert certified >= 5
-    kept = rules.apply_rules(df.selectExpr("*", "false as base_failed"), rules.select_cutoffs(df, epsilon)).collect()
+    kept = rules.apply_rules(df.selectExpr("*", "false as base_failed"), cutoffs).collect()
     for x in kept:
         beyond = any(c is not None and (x[f"r_{n}"] > c if rules.RULES[n][2] == ">" else x[f"r_{n}"] < c)
                      for n in names for c in [got[x["band"]][f"c_{n}"]])
