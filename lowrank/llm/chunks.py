@@ -9,16 +9,22 @@ documents belongs to the one with the smallest id; elsewhere it is a repeat.
 Runs of consecutive repeats of ``MIN_WORDS`` words or more are removed; shorter
 ones (common phrases, a license line) stay.
 
-Digests are grouped with partial aggregation (smallest and largest id), joined
-back to their places, and the repeats of each document are collected (at most
-its own chunks).  A digest that very many documents share is one row after
+Digests are grouped with partial aggregation (smallest and largest document),
+joined back to their places, and the repeats of each document are collected (at
+most its own chunks).  A digest that very many documents share is one row after
 grouping and one AQE-split join key.
 
+A document is an id with its text.  Where an id has one text, the id itself names
+and orders the document; texts that share an id (null included) are named by a
+hash of id and text and come before all others.  Which ids these are is
+found from ids and hashes alone; few of them are broadcast, many are joined.
+
 Defined cases: null text is empty; a text shorter than a chunk is one chunk; a
 document whose whole text repeats becomes empty; rows repeated with one
-doc_id count as one document (none removes the other), and a removal
-applies only where place and digest both match; a null id is the smallest; an empty
-table gives an empty result; further columns are kept by ``remove_repeats``.
+doc_id and text are one document (none removes the other); different texts of one
+id are different documents; a null id that has one text is the smallest; an empty
+table gives an empty result; further columns are kept by ``remove_repeats``,
+whatever their names, but for one called as the spans it adds, which these replace.
 """
 
 from __future__ import annotations
@@ -29,8 +35,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lowrank.llm.common import Powers, by_value, mix64, read_table, save_table, span_hashes, text_blocks, text_bytes, word_spans
+from lowrank.llm.common import Powers, by_value, free_name, mix64, read_table, save_table, span_hashes, text_blocks, text_bytes, word_spans
 
 by_value(__name__)
 
@@ -39,6 +46,8 @@ _RARE = 16                              # of 65536: cuts at any code point
 _GEAR = (mix64(np.arange(1, 257, dtype=np.uint64)) & np.uint64(0xFFFF)).astype(np.uint16)
 _WINDOW = 16
 _LOWEST = -(1 << 63)
+BROADCAST_IDS = 200_000                 # ids of several texts up to this count may be broadcast (2 MB)
+SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -70,34 +79,55 @@ def chunk(arr: pa.LargeStringArray, powers: Powers, words_per_chunk: int = WORDS
     return doc, start - offs[doc], end - offs[doc], span_hashes(data, start, end, powers).view(np.int64)
 
 
+def _named(docs: DataFrame, shared: str, place: str) -> DataFrame:
+    """``docs`` with the name of each row's document: whether other texts
+    share its id, and the id, or then a hash of id and text."""
+    id_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))
+    own = F.xxhash64(id_, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    several = (docs.select(id_.alias("id"), own.alias("own")).groupBy("id").agg(F.min("own").alias("lo"), F.max("own").alias("hi"))
+               .where("lo < hi").select(F.col("id").alias(place)))
+    several = save_table(several, "several")
+    n = several.count()
+    rows = docs.withColumn(place, id_)
+    if not n:
+        return rows.withColumn(shared, F.lit(False))
+    # A checked count decides: few ids are broadcast, many are joined by shuffle.
+    several = several.withColumn(shared, F.lit(True))
+    rows = rows.join(F.broadcast(several) if n <= BROADCAST_IDS else several, place, "left")
+    return rows.withColumns({shared: F.coalesce(F.col(shared), F.lit(False)), place: F.when(F.col(shared), own).otherwise(F.col(place))})
+
+
 def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     powers = Powers()
     for rows, texts in text_blocks(batches, "text"):
         doc, start, _, digest = chunk(texts, powers)
-        ids = rows.column("place").take(pa.array(doc))
-        yield pa.RecordBatch.from_arrays([pa.array(digest), ids, pa.array(start.astype(np.int32))], names=["digest", "place", "start"])
+        doc = pa.array(doc)
+        yield pa.RecordBatch.from_arrays([pa.array(digest), rows.column("shared").take(doc), rows.column("place").take(doc), pa.array(start.astype(np.int32))],
+                                         names=["digest", "shared", "place", "start"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(place, chunks): per document the (start, digest) of chunks that a
-    document with a smaller id holds too."""
-    places = docs.mapInArrow(_places, "digest long, place long, start int")
-    shared = (places.groupBy("digest").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-              .where(F.col("first") < F.col("last")).select("digest", "first"))
+    """(shared, place, chunks): per document the (start, digest) of chunks that
+    an earlier document holds too, from rows (shared, place, text)."""
+    places = docs.mapInArrow(_places, "digest long, shared boolean, place long, start int")
+    # Documents of shared ids come first, then the others: two smallest and two largest places, all plain longs.
+    ends = places.groupBy("digest").agg(*[f(F.when(F.col("shared") == s, F.col("place"))).alias(f"{n}{int(s)}")
+                                          for s in (False, True) for f, n in ((F.min, "lo"), (F.max, "hi"))])
+    several = (F.col("lo1").isNotNull() & F.col("lo0").isNotNull()) | (F.col("lo0") < F.col("hi0")) | (F.col("lo1") < F.col("hi1"))
     # Stored, so both sides of the join are plain shuffles, which AQE splits at a digest that very many places share.
-    shared = save_table(shared, "shared")
-    again = places.join(shared, "digest").where(F.col("place") > F.col("first"))
-    return again.groupBy("place").agg(F.collect_list(F.struct("start", "digest")).alias("chunks"))
+    held = save_table(ends.where(several).select("digest", F.col("lo1").isNotNull().alias("first_shared"), F.coalesce("lo1", "lo0").alias("first")), "shared")
+    again = places.join(held, "digest").where((F.col("shared") != F.col("first_shared")) | (F.col("place") != F.col("first")))
+    return again.groupBy("shared", "place").agg(F.collect_list(F.struct("start", "digest")).alias("chunks"))
 
 
-def _apply(min_words: int, names: list[str]):
+def _apply(min_words: int, names: list[str], chunks: str, spans_as: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for rows, texts in text_blocks(batches, "text"):
             doc, start, end, digest = chunk(texts, powers)
             data, offs = text_bytes(texts)
             ws, _, _ = word_spans(data, offs)
-            lists = rows.column("chunks").to_pylist()
+            lists = rows.column(chunks).to_pylist()
             known = {(i, c["start"], c["digest"]) for i, x in enumerate(lists) if x for c in x}
             hit = np.array([k in known for k in zip(doc.tolist(), start.tolist(), digest.tolist())], bool) if known else np.zeros(len(doc), bool)
             # Runs of consecutive repeats within a text.
@@ -123,25 +153,27 @@ def _apply(min_words: int, names: list[str]):
             old = rows.column("text").to_pylist()
             cols = {n: rows.column(n) for n in names}
             cols["text"] = pa.array([o if i in cuts else t for i, (o, t) in enumerate(zip(out, old))], pa.string())
-            cols["removed"] = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+            if spans_as:
+                cols[spans_as] = pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
     return run
 
 
-def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """``docs`` with repeated passages taken out of ``text``, and ``removed``:
-    their (start, end) in code points of the old text.  Needs doc_id and text."""
-    names = docs.columns
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("place"), F.coalesce("text", F.lit("")).alias("text"))
-    found = save_table(repeats(keyed), "repeats")
-    key, chunks = "__place", "chunks"
-    left = docs.withColumn(key, F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)))
-    joined = left.join(found.withColumnRenamed("place", key).withColumnRenamed("chunks", "__chunks"), key, "left")
-    tidy = joined.select(*[F.col(f"`{n}`") for n in names], F.col("__chunks").alias(chunks) if chunks not in names else F.col("__chunks"))
-    if chunks in names or "removed" in names:
-        raise ValueError("columns named chunks or removed must be renamed first")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return tidy.mapInArrow(_apply(min_words, names), f"{fields}, removed array<struct<start:long,end:long>>")
+def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, spans_as: str | None = "removed") -> DataFrame:
+    """``docs`` with repeated passages taken out of ``text``, and their (start,
+    end) in code points of the old text as ``spans_as`` (None: left out).
+    Needs doc_id and text."""
+    if spans_as:
+        docs = docs.drop(spans_as)
+    shared, place, chunks = (free_name(docs, n) for n in ("shared", "place", "chunks"))
+    named = _named(docs, shared, place)
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    found = save_table(repeats(named.select(F.col(f"`{shared}`").alias("shared"), F.col(f"`{place}`").alias("place"), text)), "repeats")
+    found = found.select(F.col("shared").alias(shared), F.col("place").alias(place), F.col("chunks").alias(chunks))
+    joined = named.join(found, [shared, place], "left").select(*[F.col(f"`{n}`") for n in [*docs.columns, chunks]])
+    fields = [T.StructField("text", T.StringType()) if f.name == "text" else f for f in docs.schema.fields]
+    schema = T.StructType(fields + ([T.StructField(spans_as, SPANS)] if spans_as else []))
+    return joined.mapInArrow(_apply(min_words, docs.columns, chunks, spans_as), schema)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
