@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lowrank.llm.common import by_value, read_table, save_table, text_blocks, text_bytes
 
@@ -64,31 +65,42 @@ def _word_features(text: str) -> list[float]:
             sum(w[0].isupper() for w in words) / n]
 
 
+def _statistics(texts: pa.LargeStringArray, table: np.ndarray) -> list[pa.Array]:
+    """The columns ``FEATURES`` of a block of texts."""
+    data, offs = text_bytes(texts)
+    doc = np.repeat(np.arange(len(texts)), np.diff(offs))
+    k = len(CLASSES) + 1
+    counts = np.bincount(doc * k + table[data], minlength=len(texts) * k).reshape(len(texts), k)
+    size = np.maximum(np.diff(offs), 1)
+    cols = {n: np.zeros(len(texts)) for n in FEATURES}
+    for i, c in enumerate(CLASSES):
+        cols[f"share_{c}"] = counts[:, i] / size
+    cols["log_bytes"] = np.log1p(np.diff(offs))
+    names = ("log_words", "longest_word", "distinct_words", "top_word", "repeat_pairs", "capital_words")
+    texts = texts.to_pylist()
+    got = np.array([_word_features(t) for t in texts]).reshape(len(texts), len(names))
+    for i, n in enumerate(names):
+        cols[n] = got[:, i]
+    words = np.maximum(np.expm1(cols["log_words"]), 1)
+    cols["word_bytes"] = (size - counts[:, list(CLASSES).index("space")]) / words
+    cols["stops_per_word"] = counts[:, list(CLASSES).index("stop")] / words
+    cols["lines_per_word"] = (counts[:, list(CLASSES).index("line")]) / words
+    lines = [t.split("\n") for t in texts]
+    cols["distinct_lines"] = np.array([len(set(x)) / len(x) for x in lines])
+    return [pa.array(np.asarray(cols[n], np.float64)) for n in FEATURES]
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = _class_table()
     for rows, texts in text_blocks(batches, "text"):
-        data, offs = text_bytes(texts)
-        doc = np.repeat(np.arange(len(texts)), np.diff(offs))
-        k = len(CLASSES) + 1
-        counts = np.bincount(doc * k + table[data], minlength=len(texts) * k).reshape(len(texts), k)
-        size = np.maximum(np.diff(offs), 1)
-        cols = {n: np.zeros(len(texts)) for n in FEATURES}
-        for i, c in enumerate(CLASSES):
-            cols[f"share_{c}"] = counts[:, i] / size
-        cols["log_bytes"] = np.log1p(np.diff(offs))
-        names = ("log_words", "longest_word", "distinct_words", "top_word", "repeat_pairs", "capital_words")
-        texts = texts.to_pylist()
-        got = np.array([_word_features(t) for t in texts]).reshape(len(texts), len(names))
-        for i, n in enumerate(names):
-            cols[n] = got[:, i]
-        words = np.maximum(np.expm1(cols["log_words"]), 1)
-        cols["word_bytes"] = (size - counts[:, list(CLASSES).index("space")]) / words
-        cols["stops_per_word"] = counts[:, list(CLASSES).index("stop")] / words
-        cols["lines_per_word"] = (counts[:, list(CLASSES).index("line")]) / words
-        lines = [t.split("\n") for t in texts]
-        cols["distinct_lines"] = np.array([len(set(x)) / len(x) for x in lines])
-        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *(pa.array(np.asarray(cols[n], np.float64)) for n in FEATURES)],
-                                         names=["doc_id", *FEATURES])
+        yield pa.RecordBatch.from_arrays([rows.column("doc_id"), *_statistics(texts, table)], names=["doc_id", *FEATURES])
+
+
+def _rows_and_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = _class_table()
+    for rows, texts in text_blocks(batches, "text"):
+        whole = pa.StructArray.from_arrays(rows.columns, fields=list(rows.schema))
+        yield pa.RecordBatch.from_arrays([whole, *_statistics(texts, table)], names=["whole_row", *FEATURES])
 
 
 def text_features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,20 +161,25 @@ def score_column(intercept: float, rules: list[tuple[Rule, float]]) -> Column:
     return 1 / (1 + F.exp(-total))
 
 
+def _fit(stats: DataFrame, labels: DataFrame) -> tuple[float, list[tuple[Rule, float]]]:
+    """The model of the labelled rows of a stored table that are not held out."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
+    return fit_rules(save_table(stats.where(~held_out()).join(known, "doc_id"), "train"))
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score) of every row of ``docs``."""
     stats = save_table(text_features(docs), "features")
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where("quality in (0, 1)")
-    train = stats.where(~held_out()).join(known, "doc_id")
-    model = fit_rules(save_table(train, "train"))
-    return stats.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), score_column(*model).alias("score"))
+    return stats.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), score_column(*_fit(stats, labels)).alias("score"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, cutoff: float = CUTOFF) -> DataFrame:
-    """The rows of ``docs`` that score at least ``cutoff``.  Rows that share a
-    doc_id go by the best of their scores."""
-    bad = quality_scores(docs, labels).groupBy("doc_id").agg(F.max("score").alias("s")).where(F.col("s") < cutoff).select(F.col("doc_id").alias("__bad"))
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """The rows of ``docs`` whose own text scores at least ``cutoff``: ids play
+    no part in it, and no row moves (statistics are counted again beside it)."""
+    model = _fit(save_table(text_features(docs), "features"), labels)
+    schema = T.StructType([T.StructField("whole_row", docs.schema), *(T.StructField(n, T.DoubleType()) for n in FEATURES)])
+    rows = docs.mapInArrow(_rows_and_features, schema)
+    return rows.where(score_column(*model) >= cutoff).select("whole_row.*")
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
