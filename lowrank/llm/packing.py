@@ -8,34 +8,36 @@ feasible rest.  Bins depend on the lengths alone, so the program runs on the
 histogram of lengths (at most ``max_tokens`` rows, whatever the corpus) and
 one combination is repeated while its lengths last; the plan stays of that
 size.  Pieces take their places by their rank among the pieces of one length:
-ranks are counted within (length, salt) groups of bounded size plus the
-offset of the group, so a length that most pieces share is spread.
-
-Defined cases: null text is empty and is one piece, the end token; rows
-repeated with one doc_id are packed each; equal pieces may exchange places;
-an empty table gives an empty result; further columns are ignored.
+they are sorted into ranges of bounded size by length, id and their place in the
+stored table, and a rank is the place in its range plus the offset of the range,
+so neither a length that most pieces share nor a repeated row comes into one task.
+
+Defined cases: null text is empty and is one piece, the end token; the string
+of an added token in a text is that token, as in the library; rows repeated
+with one doc_id are packed each; equal pieces may exchange places; an empty
+table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lowrank.llm.common import by_value, read_table, save_table, text_blocks
+from lowrank.llm.common import by_value, numbered_rows, read_table, save_table, text_blocks
 from lowrank.llm.segments import SegmentMemo
 
 by_value(__name__)
 
 MAX_TOKENS = 1024
 END_ID = 2
-GROUP_ROWS = 20_000        # pieces that one ranking group holds on average, at most
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -48,40 +50,48 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 def piece_encoder(tokenizer_json: str):
-    """str -> ids as the ``tokenizers`` library gives them for that file.  A
-    plain byte-level BPE whose merges are in the order of their ids (checked)
-    is merged by ranks, which is several times faster; any other by the library."""
+    """str -> ids (little-endian unsigned 32-bit integers) as the
+    ``tokenizers`` library gives them for that file, without special tokens
+    added; the strings of added tokens in a text are these tokens.  A plain
+    byte-level BPE whose merges are in the order of their ids (checked) is
+    merged by ranks, piece by piece; any other is left to the library, text by text."""
     spec = json.loads(tokenizer_json)
     model, pre = spec["model"], spec.get("pre_tokenizer") or {}
-    vocab = model.get("vocab", {})
+    vocab, added = model.get("vocab", {}), spec.get("added_tokens") or []
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges", [])]
     plain = (model.get("type", "BPE") == "BPE" and not spec.get("normalizer") and pre.get("type") == "ByteLevel"
              and not pre.get("add_prefix_space") and pre.get("use_regex", True)
              and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+             and not any(t.get(k) for t in added for k in ("single_word", "lstrip", "rstrip"))
              and all(vocab.get(a + b) == 256 + i for i, (a, b) in enumerate(pairs)))
     if not plain:
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_str(tokenizer_json)
-        tok.encode_special_tokens = True       # their strings in a text are ordinary text
-        return lambda x: tok.encode(x, add_special_tokens=False).ids
+        return lambda x: np.array(tok.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
     import public_tokenizers
     import tiktoken
 
     alphabet = _byte_alphabet()
     ranks = {bytes(alphabet[c] for c in t): i for t, i in vocab.items() if i < 256 + len(pairs)}
-    return tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    encode = tiktoken.Encoding("pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    memo = SegmentMemo(lambda x: np.array(encode(x), "<u4").tobytes())
+    if not added:
+        return memo
+    own = {t["content"]: np.array([t["id"]], "<u4").tobytes() for t in added}
+    # At one place the longest of them counts.
+    find = re.compile("(" + "|".join(re.escape(t) for t in sorted(own, key=len, reverse=True)) + ")")
+    return lambda x: b"".join(own[part] if i % 2 else memo(part) for i, part in enumerate(find.split(x)) if part)
 
 
 def _pieces(tokenizer, max_tokens: int, end_id: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = piece_encoder(tokenizer.value)
-        memo = SegmentMemo(lambda x: np.array(encode(x), "<u4").tobytes())
         end = np.array([end_id], "<u4").tobytes()
         for rows, texts in text_blocks(batches, "text"):
             out = [[] for _ in range(6)]
             for doc, text in zip(rows.column("doc_id").to_pylist(), texts.to_pylist()):
-                raw = memo(text) + end
+                raw = encode(text) + end
                 n = len(raw) // 4
                 cuts = [0, *range(n % max_tokens or max_tokens, n + 1, max_tokens)]
                 for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
@@ -183,20 +193,13 @@ def _assign(places):
     return run
 
 
-def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS, group_rows: int = GROUP_ROWS) -> DataFrame:
+def pack(pieces: DataFrame, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Adds sequence_id and offset to the rows of a stored table of pieces."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     places = spark.sparkContext.broadcast(_places(plan_bins(counts, max_tokens)))
-    salts = -(-max(counts.values(), default=1) // group_rows)
-    rows = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
-    group = rows.groupBy("length", "salt").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    first = group.select("length", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
     order = [c for c in ("doc_id", "piece", "start", "ids_crc32") if c in pieces.columns]
-    within = F.row_number().over(Window.partitionBy("length", "salt").orderBy(*order)) - 1
-    ranked = (rows.withColumn("within", within).join(first, ["length", "salt"])
-              .select(*pieces.columns, (F.col("within") + F.col("first")).alias("rank")))
+    ranked = numbered_rows(pieces, ["length"], order, "ranked").withColumnRenamed("pos", "rank")
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(_assign(places), schema)
 
