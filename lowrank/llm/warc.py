@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lowrank.llm.common import new_path
+from lowrank.llm.common import new_path, save_table
 
 MIN_REVISIT_BYTES = 1000
 CRLF = "\r\n"
@@ -73,8 +73,7 @@ def write_archive(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
     head = F.concat(F.concat_ws(CRLF, *lines, F.when(~is_response, revisit),
                                 F.concat(F.lit("Content-Length: "), block.cast("string"))), F.lit(CRLF * 2))
     (typed.withColumn("http", http)
-     .select("record", "address", F.when(~is_response, F.col("owner")).alias("owner"),
-             F.encode(head, "UTF-8").alias("warc_header"), F.encode("http", "UTF-8").alias("http_header"))
+     .select("record", "address", F.encode(head, "UTF-8").alias("warc_header"), F.encode("http", "UTF-8").alias("http_header"))
      .write.option("compression", "zstd").parquet(f"{path}/headers"))
     # Only the owners' payloads move: the id side is joined first, by id.
     owners = groups.select(F.coalesce(F.col("owner"), F.lit(-1)).alias("o"), F.col("owner").isNull().alias("n"), "address")
@@ -99,20 +98,34 @@ def _field(name: str) -> Column:
 
 
 def _headers(spark: SparkSession, path: str) -> DataFrame:
-    return (spark.read.schema("record long, address string, owner long, warc_header binary, http_header binary")
+    return (spark.read.schema("record long, address string, warc_header binary, http_header binary")
             .parquet(f"{path}/headers")
             .withColumns({"record_type": _field("WARC-Type"), "uri": _field("WARC-Target-URI"),
+                          "record_urn": _field("WARC-Record-ID"), "refers_urn": _field("WARC-Refers-To"),
                           "header_sha1": F.regexp_replace(_field("WARC-Payload-Digest"), "^sha1:", "")}))
 
 
+def _linked(spark: SparkSession, path: str) -> DataFrame:
+    """The headers with ``refers_to``, the record that a revisit's
+    WARC-Refers-To names; reading fails when the archive lacks it."""
+    heads = _headers(spark, path)
+    responses, revisits = heads.where("record_type = 'response'"), heads.where("record_type = 'revisit'")
+    # Stored, so a response that very many revisits name is a plain shuffle key, which AQE splits.
+    targets = save_table(responses.select(F.col("record_urn").alias("refers_urn"), F.col("record").alias("refers_to"), F.lit(True).alias("found")).distinct(), "targets")
+    known = F.assert_true(F.coalesce(F.col("found"), F.lit(False)), "a revisit refers to a record that is not here")
+    revisits = revisits.join(targets, "refers_urn", "left").where(known.isNull())
+    cols = ["record", "address", "uri", "record_type", "header_sha1", "refers_to"]
+    return responses.withColumn("refers_to", F.lit(None).cast("long")).select(*cols).union(revisits.select(*cols))
+
+
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
     """One row per record: (record, uri, record_type, refers_to, payload_bytes,
     payload_digest), the last two computed from the verified stored bytes."""
     facts = _store(spark, path).select("address", F.sha1("payload").alias("payload_digest"),
                                        F.octet_length("payload").cast("long").alias("payload_bytes"))
     ok = F.assert_true(F.col("payload_digest") == F.col("header_sha1"), "header and payload digests differ")
-    return (_headers(spark, path).join(facts, "address").where(ok.isNull())
-            .select("record", "uri", "record_type", F.col("owner").alias("refers_to"), "payload_bytes", "payload_digest"))
+    return (_linked(spark, path).join(facts, "address").where(ok.isNull())
+            .select("record", "uri", "record_type", "refers_to", "payload_bytes", "payload_digest"))
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
