@@ -42,7 +42,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: passages that an earlier document holds are cut out."""
-    return _recount(remove_repeats(docs).drop("removed"))
+    return _recount(remove_repeats(docs, spans_as=None))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
