@@ -1,21 +1,27 @@
 """Secret scan: base patterns and a randomness test battery (operator 6).
 
 Base kinds are three patterns (``base_spans``).  The method adds spans of kind
-``random``: every run of 16 or more key characters gets an inferred encoding
-(the smallest alphabet that holds it), and a battery against randomness:
-chi-squared uniformity over that alphabet, a runs test about the middle of
-the alphabet, and lag-1 serial correlation.  A string that the battery
-rejects (Bonferroni over the three tests) is not random.
-
-Not being rejected is no evidence in a short string, so each survivor also
-gets the probability that ordinary text of its length would look as uniform:
-equal pairs of characters under the corpus's own character frequencies within
-the alphabet, exact mean and variance of the count, normal lower tail.  These
-probabilities are controlled by Benjamini-Hochberg at ``FDR`` within each
-stratum of encoding and length band.  They are rounded up to tenths of a
-decade, so the procedure runs on a histogram of fixed size (strata x levels).
-
-One pass counts characters, one scans; what the scan finds is a small table
+``random``.  Candidates are runs of 16 or more key characters, and, judged
+apart, the parts of 16 or more between the separators of such a run (segments
+of a path).  Each gets an inferred encoding, the smallest alphabet that holds
+it, and a battery against randomness within it: chi-squared uniformity, a runs
+test about the middle of the alphabet, and lag-1 serial correlation.
+
+A string that the battery rejects (Bonferroni over the three tests) is not
+random.  Not being rejected is no evidence in a short string, so the battery's
+p-value is combined with a test against ordinary text: the
+ratio of the string's probability as uniform characters to that as text in
+which each character depends on the one before.  Those transitions are counted in
+the corpus, in words too short to be candidates, so that keys do not teach it;
+``MIX`` of every transition is uniform, which bounds one step's ratio at any
+corpus size.  Ratio times p-value has a mean of at most 1 over ordinary text
+(an e-value), so Benjamini-Hochberg on e-values controls the share of false
+discoveries at ``FDR``, whatever the dependence, within each stratum of encoding and
+length band.  Values are rounded down to tenths of a decade, so the procedure
+runs on a histogram of fixed size (strata x levels).  Of a run that is accepted
+whole, its parts are not listed again.
+
+One pass counts transitions, one scans; what the scan finds is a small table
 written once.  Nothing but the two histograms reaches the driver.
 
 Defined cases: null text is empty; no span, empty lists; rows repeated with
@@ -54,7 +60,10 @@ ENCODINGS = {"digits": _D, "hex": _D + _L[:6], "HEX": _D + _U[:6], "lower": _L,
 BANDS = (24, 32, 48, 64)               # lengths 16-23, 24-31, 32-47, 48-63, more
 REJECT = 0.001                         # level of the battery against randomness
 FDR = 0.01
-LEVELS = 300                           # tenths of a decade of the tail probability
+MIX = 0.01                             # uniform share of the transitions of ordinary text
+LEVELS = 300                           # tenths of a decade of the e-value
+PART = re.compile(r"[A-Za-z0-9]{16,}")
+SHORTEST = 16                          # characters of a candidate
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -104,22 +113,52 @@ def battery(s: str, alphabet: str) -> float:
     return min(p_chi, p_runs, p_serial)
 
 
-def ordinary_tail(s: str, s2: float, s3: float) -> float:
-    """P(as few equal pairs of characters) in ordinary text of that length,
-    whose characters repeat with probability s2 (s3: three alike)."""
-    n = len(s)
-    pairs = sum(c * (c - 1) for c in Counter(s).values()) / 2
-    m = n * (n - 1) / 2
-    var = m * s2 * (1 - s2) + n * (n - 1) * (n - 2) * max(0.0, s3 - s2 * s2)
-    return 0.5 * math.erfc(-(pairs + 0.5 - m * s2) / math.sqrt(2 * var)) if var > 0 else 1.0
+def step_ratios(pairs: np.ndarray) -> list[tuple[str, list, list]]:
+    """(alphabet, first, step) of each encoding: log10 of how much likelier a first
+    character, and a character after another, is in uniform than in ordinary
+    text; ``pairs`` counts transitions by byte (128 x 128).  Alphabets of one case read
+    both cases alike: capitals spell the same words."""
+    lower = np.arange(128)
+    lower[65:91] += 32
+    folded = np.zeros((128, 128))
+    np.add.at(folded, (lower[:, None], lower[None, :]), pairs)
+    out = []
+    for alphabet in ENCODINGS.values():
+        codes = np.array([ord(c) for c in alphabet])
+        mixed = any(c.islower() for c in alphabet) and any(c.isupper() for c in alphabet)
+        counts = pairs[np.ix_(codes, codes)] if mixed else folded[np.ix_(lower[codes], lower[codes])]
+        a = len(alphabet)
+
+        def ratio(n):
+            total = n.sum(axis=-1, keepdims=True)
+            share = np.divide(n, total, out=np.full(n.shape, 1 / a), where=total > 0)
+            return -np.log10(a * ((1 - MIX) * share + MIX / a))
+
+        step = np.zeros((128, 128))
+        first = np.zeros(128)
+        step[np.ix_(codes, codes)] = ratio(counts)
+        first[codes] = ratio(counts.sum(axis=1))
+        out.append((alphabet, first.tolist(), step.tolist()))
+    return out
 
 
-def _scan(frequencies: np.ndarray):
-    moments = []
-    for alphabet in ENCODINGS.values():
-        q = frequencies[[ord(c) for c in alphabet]] + 1.0
-        q = q / q.sum()
-        moments.append((alphabet, float((q ** 2).sum()), float((q ** 3).sum())))
+def e_value(s: str, alphabet: str, first: list, step: list) -> float:
+    """log10 of the e-value of a string against ordinary text."""
+    x = s.encode()
+    ratio = first[x[0]] + sum(step[p][q] for p, q in zip(x, x[1:]))
+    if ratio <= 0:
+        return ratio                                        # the battery can only lower it
+    p = min(1.0, 3 * battery(s, alphabet))
+    return ratio + math.log10(p) if p >= REJECT else 0.0
+
+
+def _scan(pairs: np.ndarray):
+    ratios = step_ratios(pairs)
+
+    def judged(s: str) -> tuple[int, int]:
+        e = infer_encoding(s)
+        level = math.floor(10 * e_value(s, *ratios[e]) + 1e-9)
+        return e * (len(BANDS) + 1) + sum(len(s) >= x for x in BANDS), max(0, min(LEVELS, level))
 
     def candidates(text, spans):
         out = []
@@ -127,36 +166,59 @@ def _scan(frequencies: np.ndarray):
             a, b = m.span()
             if any(i <= a and b <= j for i, _, j in spans):
                 continue
-            s = m[0]
-            e = infer_encoding(s)
-            alphabet, s2, s3 = moments[e]
-            if battery(s, alphabet) * 3 < REJECT:
-                continue
-            p = max(ordinary_tail(s, s2, s3), 1e-300)
-            level = min(LEVELS, int(-10 * math.log10(p) + 1e-9)) if p < 1 else 0
-            out.append((a, b, e * (len(BANDS) + 1) + sum(b - a >= x for x in BANDS), level))
+            whole = judged(m[0])
+            out.append((a, b, *whole, None, None))
+            for part in PART.finditer(m[0]):
+                i, j = a + part.start(), a + part.end()
+                if (i, j) != (a, b) and not any(x <= i and j <= y for x, _, y in spans):
+                    out.append((i, j, *judged(part[0]), *whole))
         return out
 
+    names = ("start", "end", "stratum", "level", "outer_stratum", "outer_level")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())]))
-        cand = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("stratum", pa.int32()), ("level", pa.int32())]))
+        cand = pa.list_(pa.struct([(n, pa.int64() if n in ("start", "end") else pa.int32()) for n in names]))
         for rows, texts in text_blocks(batches, "text"):
             base, more = [], []
             for text in texts.to_pylist():
                 spans = base_spans(text)
                 base.append([dict(zip(("start", "kind", "end"), s)) for s in spans])
-                more.append([dict(zip(("start", "end", "stratum", "level"), c)) for c in candidates(text, spans)])
+                more.append([dict(zip(names, c)) for c in candidates(text, spans)])
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("digest"), pa.array(base, span), pa.array(more, cand)],
                                              names=["doc_id", "digest", "base", "more"])
     return run
 
 
-def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(128, np.int64)
+_ALNUM, _KEY = np.zeros(256, bool), np.zeros(256, bool)
+_ALNUM[[ord(c) for c in _D + _L + _U]] = True
+_KEY[[ord(c) for c in ENCODINGS["any"]]] = True
+
+
+def transitions(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Counts (128 x 128) of neighbouring key characters in one text, but those
+    inside of ``SHORTEST`` or more letters and digits on end."""
+    if len(data) < 2:
+        return np.zeros((128, 128), np.int64)
+    same = np.ones(len(data), bool)
+    same[offs[:-1][offs[:-1] < len(data)]] = False          # the first byte of a text has none before it
+    word = _ALNUM[data]
+    new = word.copy()
+    new[1:] = word[1:] & (~word[:-1] | ~same[1:])
+    run = np.cumsum(new) * word
+    length = np.bincount(run)
+    long = word & (length[run] >= SHORTEST)
+    key = _KEY[data]
+    use = key[1:] & key[:-1] & same[1:] & ~(long[1:] & long[:-1])
+    return np.bincount(data[:-1][use].astype(np.int64) * 128 + data[1:][use], minlength=1 << 14).reshape(128, 128)
+
+
+def _count_transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((128, 128), np.int64)
     for _, texts in text_blocks(batches, "text"):
-        data, _ = text_bytes(texts)
-        total += np.bincount(data, minlength=256)[:128]
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(128, dtype=np.int32)), pa.array(total)], names=["byte", "n"])
+        total += transitions(*text_bytes(texts))
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total.ravel()[used])], names=["pair", "n"])
 
 
 def control_levels(histogram: dict[tuple[int, int], int], fdr: float = FDR) -> dict[int, int]:
@@ -180,18 +242,18 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("digest"))
-    counts = rows.mapInArrow(_count_bytes, "byte int, n long").groupBy("byte").agg(F.sum("n").alias("n")).collect()
-    frequencies = np.zeros(128)
-    for r in counts:
-        frequencies[r["byte"]] = r["n"]
+    counts = rows.mapInArrow(_count_transitions, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()
+    pairs = np.zeros(1 << 14)                   # at most 66 x 66 rows came
+    pairs[counts.column("pair").to_numpy()] = counts.column("n").to_numpy()
     found = save_table(rows.mapInArrow(
-        _scan(frequencies), "doc_id long, digest long, base array<struct<start:long,kind:int,end:long>>, "
-        "more array<struct<start:long,end:long,stratum:int,level:int>>"), "secrets")
+        _scan(pairs.reshape(128, 128)), "doc_id long, digest long, base array<struct<start:long,kind:int,end:long>>, "
+        "more array<struct<start:long,end:long,stratum:int,level:int,outer_stratum:int,outer_level:int>>"), "secrets")
     histogram = found.select(F.explode("more").alias("c")).groupBy("c.stratum", "c.level").count().collect()
     least = control_levels({(r["stratum"], r["level"]): r["count"] for r in histogram}, fdr)
     strata = len(ENCODINGS) * (len(BANDS) + 1)
     table = F.array(*[F.lit(least.get(i, LEVELS + 1)) for i in range(strata)])
-    random = F.transform(F.filter("more", lambda c: c["level"] >= F.get(table, c["stratum"])),
+    accepted = lambda c, of="": c[f"{of}level"] >= F.get(table, c[f"{of}stratum"])
+    random = F.transform(F.filter("more", lambda c: accepted(c) & ~F.coalesce(accepted(c, "outer_"), F.lit(False))),
                          lambda c: F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["end"].alias("end")))
     return found.select("doc_id", "digest", F.sort_array(F.concat("base", random)).alias("spans"))
 
