@@ -1,34 +1,32 @@
 """Column aggregates of a matrix (A1, A2, A4, A9) as DataFrame jobs.
 
-Dense rows are exploded to ``(j, v)`` inside the scan stage and grouped on
-``j``: Spark combines map-side, so each task ships at most ``n_cols`` rows.
-Spark's central-moment aggregate merges partial (count, mean, M2) triples,
-which keeps the centred norm exact even when column means are large.
+Dense rows stay rows: each task folds its Arrow batches into one (count, mean,
+M2) per column and ships ``n_cols`` rows; the triples of a column are merged by
+deviations from their common mean, so the centred norm is right even when
+column means are large.
 Sparse rows take the moments of their non-zeros and merge the absent zeros in closed form.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.arrays import center
 from ..matrix import TallMatrix
-
-# Widest row centred with a literal mean array in the plan.
-MAX_LITERAL_COLS = 4096
+from .blocks import BLOCK_WIDTH, arrow_batch_rows, batch_rows, collect_arrow, kernel_input, partial_sums_df, to_block
 
 
 def column_stats(m: TallMatrix) -> DataFrame:
     """``(j INT, total DOUBLE, mean DOUBLE, m2 DOUBLE)`` of every column, those
     of a sparse matrix without entries included; ``m2`` is the centred sum of
     squares over all ``n_rows`` rows.  A null row or element, or a row of
-    another width, fails the job."""
+    another width, fails the job; so does a dense element that is not finite."""
     if not m.is_sparse:
-        return (m.with_df(complete_rows(m)).entries().groupBy("j")
-                .agg(F.sum("v").alias("total"), F.avg("v").alias("mean"),
-                     (F.var_pop("v") * F.count("v")).alias("m2"), F.count("v").alias("n")))
+        return _dense_stats(m)
     n = float(m.n_rows)
     g = m.entries().groupBy("j").agg(F.sum("v").alias("total"), F.avg("v").alias("own"), F.count("v").alias("stored"),
                                      (F.var_pop("v") * F.count("v")).alias("spread"))
@@ -40,12 +38,47 @@ def column_stats(m: TallMatrix) -> DataFrame:
                     F.lit(int(m.n_rows)).cast("long").alias("n"))
 
 
-def complete_rows(m: TallMatrix) -> DataFrame:
-    """The rows of a dense matrix; one that is null, has a null element or
-    another width than the matrix fails the job."""
-    bad = (F.col("features").isNull() | (F.size("features") != m.n_cols) | F.exists("features", lambda x: x.isNull()))
-    error = F.raise_error(F.lit(f"null row, null element or row of another width than {m.n_cols}")).cast("array<double>")
-    return m.df.select("row_id", F.when(bad, error).otherwise(F.col("features")).alias("features"))
+def merge_moments(a: tuple | None, b: tuple) -> tuple:
+    """(count, means, M2s) of two sets of rows together."""
+    if a is None:
+        return b
+    n = a[0] + b[0]
+    apart = b[1] - a[1]
+    return n, a[1] + apart * (b[0] / n), a[2] + b[2] + apart * apart * (a[0] * b[0] / n)
+
+
+def _dense_stats(m: TallMatrix) -> DataFrame:
+    d, step = m.n_cols, batch_rows(m)
+
+    def values(batch: pa.RecordBatch) -> np.ndarray:
+        try:
+            return to_block(batch, "dense", d).dense
+        except ValueError as e:
+            raise ValueError(f"{e} (no null row, null element or row of another width than {d} may be in a matrix)") from e
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, step):
+                y = values(batch.slice(at, step))
+                mean = y.mean(axis=0)
+                y = y - mean
+                # The mean is rounded; what the deviations sum to corrects it and their squares.
+                left = y.mean(axis=0)
+                state = merge_moments(state, (len(y), mean + left, (y * y).sum(axis=0) - len(y) * left * left))
+        if state is not None:
+            n, mean, m2 = state
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), pa.array(np.full(d, n, np.int64)), pa.array(mean), pa.array(m2)],
+                                             names=["j", "n", "own", "m2"])
+
+    parts = kernel_input(m, 32 * d).mapInArrow(run, "j int, n long, own double, m2 double")
+    of = Window.partitionBy("j")
+    # A mean of means, weighted and taken about one of them, then squares about it: no difference of large sums.
+    near = parts.withColumn("near", F.min("own").over(of))
+    mean = near.withColumn("mean", F.col("near") + F.sum(F.col("n") * (F.col("own") - F.col("near"))).over(of) / F.sum("n").over(of))
+    apart = F.col("own") - F.col("mean")
+    return (mean.groupBy("j").agg(F.first("mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * apart * apart).alias("m2"), F.sum("n").alias("n"))
+            .select("j", (F.col("mean") * F.col("n")).alias("total"), "mean", "m2", "n"))
 
 
 def column_means(m: TallMatrix) -> DataFrame:
@@ -63,8 +96,8 @@ def frobenius_sq(m: TallMatrix) -> DataFrame:
 def column_summary(m: TallMatrix) -> tuple[np.ndarray, float, int]:
     """Preprocessing pass: column mean (d values), centred norm and row
     count in one job; d rows reach the driver."""
-    from .blocks import collect_arrow
-    tbl = collect_arrow(column_stats(m).select("j", "mean", "m2", "n"))
+    with arrow_batch_rows(m.spark, batch_rows(m)):
+        tbl = collect_arrow(column_stats(m).select("j", "mean", "m2", "n"))
     j = tbl.column("j").to_numpy()
     if j.size and j.max() >= m.n_cols:
         raise ValueError(f"row wider than {m.n_cols} columns")
@@ -88,14 +121,12 @@ def column_abs_sums(m: TallMatrix, mean: np.ndarray | None = None) -> DataFrame:
     if mean is None:
         mean = np.zeros(m.n_cols)
     spark = m.spark
-    if not m.is_sparse and m.n_cols > MAX_LITERAL_COLS:
-        from .blocks import partial_sums
-        mu = np.asarray(mean, dtype=np.float64)
-        sums = partial_sums(m, lambda b: {"s": np.abs(b.dense - mu).sum(axis=0)}, {"s": (m.n_cols,)})["s"]
-        return spark.createDataFrame([(j, float(x)) for j, x in enumerate(sums)], "j int, abs_sum double")
     if not m.is_sparse:
-        centred = m.df.select(F.posexplode(center("features", mean)).alias("j", "v"))
-        return centred.groupBy("j").agg(F.sum(F.abs("v")).alias("abs_sum"))
+        mu = np.asarray(mean, dtype=np.float64)
+        width = min(BLOCK_WIDTH, m.n_cols)
+        sums = partial_sums_df(m, lambda b: {"s": np.abs(b.dense - mu).sum(axis=0)}, width)
+        cells = sums.select("cb", F.posexplode(F.array(*[f"c{t}" for t in range(width)])).alias("t", "abs_sum"))
+        return cells.select((F.col("cb") * width + F.col("t")).alias("j"), "abs_sum").where(F.col("j") < m.n_cols)
     from .rows import means_side
     means = spark.createDataFrame([(j, float(x)) for j, x in enumerate(mean)], "j int, m double")
     e = m.entries().join(means_side(spark, mean), "j")

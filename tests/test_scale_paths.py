@@ -7,6 +7,7 @@ from conftest import SF001
 from lowrank.operators import blocks, linalg, ppca, stats
 from lowrank.session import materialize
 from lowrank.sources import datasets
+from lowrank.sources.tables import matrix_from_array
 
 
 def test_tsqr_tree_levels_give_the_same_r(spark, monkeypatch):
@@ -159,10 +160,32 @@ def test_wide_rows_centre_through_the_kernel(spark, monkeypatch):
     m = datasets.embeddings_matrix(spark, SF001)
     mean, _ = stats.mean_and_norm(m)
     lit = rows_mod.center_rows(m, mean).df.orderBy("row_id").toPandas()
-    a = {r.j: r.abs_sum for r in stats.column_abs_sums(m, mean).collect()}
+    a = np.abs(np.stack(lit.features.to_numpy())).sum(axis=0)      # column sums have one form, the kernel
     monkeypatch.setattr(rows_mod, "MAX_LITERAL_COLS", 8)
-    monkeypatch.setattr(stats, "MAX_LITERAL_COLS", 8)
     ker = rows_mod.center_rows(m, mean).df.orderBy("row_id").toPandas()
     b = {r.j: r.abs_sum for r in stats.column_abs_sums(m, mean).collect()}
     assert np.allclose(np.stack(lit.features.to_numpy()), np.stack(ker.features.to_numpy()), atol=1e-15)
     assert np.allclose([a[j] for j in range(64)], [b[j] for j in range(64)], rtol=1e-12)
+
+
+def test_dense_moments_without_exploded_cells(spark):
+    """Counts, means and M2 of uneven splits with large offsets, empty splits
+    and one-row splits; no plan explodes the rows."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(501, 7)) * np.array([1, 1e-3, 1e3, 1, 1, 0, 1]) + np.array([1e8, -1e6, 0, 1e-9, 5, 3, -1e8])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "id long, f array<double>")
+    m = matrix_from_array(df.where("id < 500").repartition(13, "id").union(df.where("id = 500")).union(df.where("id > 900")), "f", "id", n_cols=7)
+    got = {r["j"]: r for r in stats.column_stats(m).collect()}
+    exact = x.astype(np.longdouble)
+    mean = exact.mean(axis=0)
+    m2 = ((exact - mean) ** 2).sum(axis=0)
+    assert sorted(got) == list(range(7)) and {r["n"] for r in got.values()} == {501}
+    for j in range(7):
+        assert got[j]["mean"] == pytest.approx(float(mean[j]), rel=1e-13, abs=1e-16 * np.abs(x[:, j]).max() + 1e-12)
+        assert got[j]["m2"] == pytest.approx(float(m2[j]), rel=1e-9, abs=1e-12)
+    mu = x.mean(axis=0)
+    sums = {r["j"]: r["abs_sum"] for r in stats.column_abs_sums(m, mu).collect()}
+    assert [sums[j] for j in range(7)] == pytest.approx(np.abs(x - mu).sum(axis=0).tolist(), rel=1e-12)
+    plans = [f._jdf.queryExecution().optimizedPlan().toString() for f in (stats.column_stats(m), stats.column_means(m))]
+    assert not any("Generate" in p for p in plans)
+    assert stats.column_stats(m.with_df(m.df.limit(0))).count() == 0
