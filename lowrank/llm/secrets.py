@@ -14,8 +14,8 @@ ratio of the string's probability as uniform characters to that as text in
 which each character depends on the one before.  Those transitions are counted in
 the corpus, in words too short to be candidates, so that keys do not teach it;
 ``MIX`` of every transition is uniform, which bounds one step's ratio at any
-corpus size.  Ratio times p-value has a mean of at most 1 over ordinary text
-(an e-value), so Benjamini-Hochberg on e-values controls the share of false
+corpus size.  Ratio times p-value has a mean of at most 1 over text that follows
+these transitions (an e-value), so Benjamini-Hochberg on e-values controls the share of false
 discoveries at ``FDR``, whatever the dependence, within each stratum of encoding and
 length band.  Values are rounded down to tenths of a decade, so the procedure
 runs on a histogram of fixed size (strata x levels).  Of a run that is accepted
