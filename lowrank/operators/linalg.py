@@ -56,18 +56,18 @@ def cross_stats(m: TallMatrix, v: np.ndarray, mean: np.ndarray) -> CrossStats:
     """A6 (and L1 + A8 with V = Omega): one pass over the rows."""
     d, q = v.shape
     check_driver_size(d, q, "A'X")
-    dense = not m.is_sparse
     mu = np.asarray(mean, dtype=np.float64)
 
-    def kernel(block: Block):
-        if dense:
-            a = block.dense - mu
-            x = a @ v
-            return {"sx": x.sum(axis=0), "sxx": x.T @ x, "syx": a.T @ x}
+    def centred(block: Block):
+        a = block.dense - mu
+        x = a @ v
+        return {"sx": x.sum(axis=0), "sxx": x.T @ x, "syx": a.T @ x}
+
+    def stored(block: Block):                          # its closure has V, not the mean
         x = block.matmul(v)
         return {"sx": x.sum(axis=0), "sxx": x.T @ x, "syx": block.t_matmul(x)}      # columns present only
 
-    r = partial_sums(m.narrow(), kernel, {"sx": (q,), "sxx": (q, q), "syx": (d, q)})
+    r = partial_sums(m.narrow(), stored if m.is_sparse else centred, {"sx": (q,), "sxx": (q, q), "syx": (d, q)})
     if m.wide is not None:
         _, sx, sxx, syx = wide_cross(m, v)
         r = {"sx": r["sx"] + sx, "sxx": r["sxx"] + sxx, "syx": r["syx"] + syx}
@@ -76,7 +76,9 @@ def cross_stats(m: TallMatrix, v: np.ndarray, mean: np.ndarray) -> CrossStats:
     xm = off @ v
     sx = r["sx"]
     xtx = r["sxx"] - np.outer(sx, xm) - np.outer(xm, sx) + n * np.outer(xm, xm)
-    ytx = r["syx"] - np.outer(off, sx)
+    ytx = r["syx"]
+    for column, total in zip(ytx.T, sx):               # in place: d x q may be large
+        column -= off * total
     return CrossStats(n=n, sum_x=sx, xtx=xtx, ytx=ytx)
 
 
@@ -173,13 +175,15 @@ def residual_spectral_norm_gram(g: np.ndarray, p: np.ndarray) -> float:
 # Columns of a Lanczos block, at least, and blocks held before a restart, at most.
 LANCZOS_BLOCK = 32
 LANCZOS_BLOCKS = 30
+# Doubles of a run's basis and its images on the driver.
+LANCZOS_DOUBLES = 16 * 1024 * 1024
 
 
 @dataclass
 class LanczosResult:
     values: np.ndarray     # q largest eigenvalues of E'E, falling
     bounds: np.ndarray     # |value - an eigenvalue| is at most this (residual norms)
-    block: np.ndarray      # Ritz vectors to start the next run with
+    block: np.ndarray      # Ritz vectors to start the next run with (without a basis: the run's start)
     passes: int
 
 
@@ -195,6 +199,42 @@ def _orthonormal(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
     return np.linalg.qr(u)[0]
 
 
+def _recurrence(d: int, deflate, tol: float, seed: int, start: np.ndarray | None, max_passes: int):
+    """Lanczos by its three-term recurrence, for the largest eigenvalue alone:
+    the driver holds the last two vectors, whatever the number of passes.
+    Without reorthogonalisation the tridiagonal matrix repeats eigenvalues it
+    has found, which leaves the largest and the residual norms as they are."""
+    def first() -> np.ndarray:
+        v = np.random.default_rng(seed).standard_normal((d, 1))
+        if start is not None and start.shape[0] == d:
+            v *= 1e-3 / np.linalg.norm(v)                          # the start may lack the vector looked for
+            v += start[:, :1]
+        v = deflate(v)
+        return v / np.linalg.norm(v)
+
+    v, before, diagonal, side = first(), None, [], []
+    for passes in range(1, max_passes + 1):
+        z = deflate((yield v)).copy()
+        diagonal.append(float(v[:, 0] @ z[:, 0]))
+        z -= diagonal[-1] * v
+        if side:
+            before *= side[-1]
+            z -= before
+        z -= float(v[:, 0] @ z[:, 0]) * v
+        beta = float(np.linalg.norm(z))
+        if passes <= 100 or passes % 10 == 0 or beta == 0.0:
+            w, y = np.linalg.eigh(np.diag(diagonal) + np.diag(side, 1) + np.diag(side, -1))
+            w, size = w[::-1], beta * np.abs(y[-1, ::-1])
+            value = max(w[0], 0.0)
+            squares = [float(size[:t] @ size[:t]) / (w[t - 1] - w[t]) for t in range(1, min(9, len(w))) if w[t - 1] > w[t]]
+            if len(w) >= d or min([size[0], *squares]) <= 2 * tol * value + np.finfo(float).eps * value:
+                return LanczosResult(np.array([value]), size[:1], first(), passes)
+        side.append(beta)
+        z /= beta
+        before, v = v, z
+    raise RuntimeError(f"singular values not converged to {tol} in {max_passes} passes; raise max_passes or tol")
+
+
 def lanczos(d: int, q: int, p: np.ndarray | None = None, tol: float = 1e-6, seed: int = 0,
             start: np.ndarray | None = None, max_passes: int = MAX_PASSES, block: int = LANCZOS_BLOCK):
     """L3 / L5 for wide matrices: the ``q`` largest eigenvalues of E'E, E =
@@ -204,17 +244,22 @@ def lanczos(d: int, q: int, p: np.ndarray | None = None, tol: float = 1e-6, seed
     A coroutine: it yields a d x b block V and is sent A'A V, so one
     distributed pass may serve several runs (``lanczos_runs``).  The whole
     Krylov basis and its images stay on the driver (2 d x LANCZOS_BLOCKS b
-    doubles, fewer blocks where the driver bound asks for it); when it is
-    full, the leading Ritz vectors and the current residual block carry
-    on.  It stops when each value's error bound, the residual norm or the
+    doubles, fewer and narrower blocks where LANCZOS_DOUBLES asks for it); when
+    it is full, the leading Ritz vectors and the current residual block carry
+    on.  For one value of a matrix so wide that under four blocks have room, it
+    keeps no basis (``_recurrence``).  It stops when each value's error bound, the residual norm or the
     square of the residual over the gap to the next Ritz value, is
     below 2 ``tol`` relatively (``tol`` for singular values), and fails after
-    ``max_passes``."""
+    ``max_passes`` blocks of full width, or as many columns in narrower ones."""
     free = d - (0 if p is None else p.shape[1])
-    b = min(free, max(block, q + 8))
-    room = MAX_DRIVER_DOUBLES // (2 * d)
+    b = full = min(free, max(block, q + 8))
+    room = LANCZOS_DOUBLES // (2 * d)
+    if q == 1 and room < 4 * b:
+        return (yield from _recurrence(d, lambda x: x if p is None else x - p @ (p.T @ x), tol, seed, start,
+                                       max_passes * b))
     while b > q + 2 and 3 * b > room:
         b -= 1
+    max_passes = max_passes * full // max(1, b)
     most = min(LANCZOS_BLOCKS * b, max(room, 3 * b))
     check_driver_size(d, 2 * min(most, d), "Krylov basis")
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import uuid
 import warnings
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -370,10 +371,12 @@ def wide_spectrum(spark: SparkSession, sf: str) -> DataFrame:
     rows without their part along (1, -1, 1, ...)."""
     m = datasets.customer_part_matrix(spark, sf)
     mean = _mean(m)
-    m = m.with_df(materialize(m.df))
+    m = replace(m.with_df(materialize(m.df)), wide=None if m.wide is None else materialize(m.wide))
     p = (1.0 - 2.0 * (np.arange(m.n_cols) % 2))[:, None] / np.sqrt(m.n_cols)
     top, rest = linalg.lanczos_runs(m, mean, [linalg.lanczos(m.n_cols, 1, tol=1e-9), linalg.lanczos(m.n_cols, 1, p, tol=1e-9)])
-    release(m.df)
+    for df in (m.df, m.wide):
+        if df is not None:
+            release(df)
     data = [(float(np.sqrt(top.values[0])), float(np.sqrt(rest.values[0])))]
     return spark.createDataFrame(data, "sigma1 double, residual double").select(sig("sigma1", 8).alias("sigma1"), sig("residual", 8).alias("residual"))
 

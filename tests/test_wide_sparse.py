@@ -1,6 +1,8 @@
 """Wide sparse matrices: Lanczos spectra, sums of present columns, gaps without a
 shuffle of values, merged moments, trials in step."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from conftest import SF001, SF01
@@ -273,3 +275,32 @@ def test_segmented_formats_and_dense_forms(spark, segmented_pair, tmp_path):
     got = {r["row_id"]: np.array(r["values"]) for r in rows.residual_rows(seg, w, w, mean).collect()}
     assert np.array([got[i] for i in range(63)]) == pytest.approx((a - mean) - (a - mean) @ w @ w.T)
     assert ppca.l1_error(seg, mean, w, w) == pytest.approx(ppca.l1_error(whole, mean, w, w))
+
+
+def test_lanczos_of_a_very_wide_matrix_holds_few_vectors():
+    d = 300_000
+    w = 1.0 / (1.0 + np.arange(d) % 1000) + (np.arange(d) == 7)       # the largest is 1.125, then many of 1
+    p = np.zeros((d, 1))
+    p[7] = 1.0
+    for side, want in ((None, 1.125), (p, 1.0)):
+        run = linalg.lanczos(d, 1, side, tol=1e-9)
+        tracemalloc.start()
+        block = next(run)
+        try:
+            while True:
+                block = run.send(block * w[:, None])
+        except StopIteration as done:
+            got = done.value
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got.values == pytest.approx([want], rel=1e-9) and got.bounds[0] < 1e-3
+        assert peak < 16 * 8 * d
+
+
+def test_lanczos_without_a_basis_agrees(monkeypatch, cp, exact):
+    mean = stats.mean_and_norm(cp)[0]
+    p = np.linalg.qr(np.random.default_rng(1).standard_normal((cp.n_cols, 3)))[0]
+    monkeypatch.setattr(linalg, "LANCZOS_DOUBLES", 1)
+    top, rest = linalg.lanczos_runs(cp, mean, [linalg.lanczos(cp.n_cols, 1, tol=1e-9), linalg.lanczos(cp.n_cols, 1, p, tol=1e-9)])
+    assert np.sqrt(top.values[0]) == pytest.approx(np.linalg.norm(exact, 2), rel=1e-8)
+    assert np.sqrt(rest.values[0]) == pytest.approx(np.linalg.norm(exact - exact @ p @ p.T, 2), rel=1e-8)
