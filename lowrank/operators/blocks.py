@@ -34,6 +34,8 @@ BATCH_CELLS = 1 << 22
 
 # Most bytes of one Arrow batch of sparse rows, whatever the width of the matrix.
 BATCH_BYTES = 32 << 20
+# Doubles of ``Keyed`` sums past which a task hands them to Spark and starts anew.
+HELD_CELLS = 1 << 21
 
 
 class Keyed(NamedTuple):
@@ -64,6 +66,10 @@ class KeyedSum:
         if self.held > 2 * self.merged + (1 << 16):
             self.total()
 
+    def cells(self) -> int:
+        """Doubles held, keys and the order of a merge included."""
+        return self.held * (self.parts[0].values.shape[1] + 2) if self.parts else 0
+
     def total(self) -> Keyed:
         out = self.parts[0] if len(self.parts) == 1 else _sum_by_key(
             np.concatenate([p.keys for p in self.parts]), np.concatenate([p.values for p in self.parts]))
@@ -253,12 +259,13 @@ def _emit(parts: dict[str, np.ndarray], width: int) -> pa.RecordBatch:
         padded[:, :ncol] = mat
         for b in range(nblk):
             chunk = padded[:, b * width:(b + 1) * width]
-            stats.extend([name] * rows)
+            stats.append(pa.repeat(pa.scalar(name, pa.string()), rows))
             rs.append(keys)
-            cbs.extend([b] * rows)
+            cbs.append(np.full(rows, b, np.int32))
             for t in range(width):
                 cols[t].append(chunk[:, t])
-    arrays = [pa.array(stats, pa.string()), pa.array(np.concatenate(rs) if rs else [], pa.int32()), pa.array(cbs, pa.int32())]
+    arrays = [pa.concat_arrays(stats) if stats else pa.array([], pa.string()), pa.array(np.concatenate(rs) if rs else [], pa.int32()),
+              pa.array(np.concatenate(cbs) if cbs else [], pa.int32())]
     arrays += [pa.array(np.concatenate(c) if c else np.zeros(0), pa.float64()) for c in cols]
     return pa.RecordBatch.from_arrays(arrays, schema=pa.schema(
         [("stat", pa.string(), False), ("r", pa.int32(), False), ("cb", pa.int32(), False)]
@@ -279,8 +286,15 @@ class Partials:
             val = np.asarray(val, dtype=np.float64)
             self.sums[name] = self.sums[name] + val if name in self.sums else val.copy()
 
+    def full(self) -> bool:
+        """Whether the ``Keyed`` sums hold more than HELD_CELLS; Spark's
+        map-side combining adds up what a task emits in parts."""
+        return sum(v.cells() for v in self.sums.values() if isinstance(v, KeyedSum)) > HELD_CELLS
+
     def emit(self, width: int) -> pa.RecordBatch:
-        return _emit({n: v.total() if isinstance(v, KeyedSum) else v for n, v in self.sums.items()}, width)
+        out = _emit({n: v.total() if isinstance(v, KeyedSum) else v for n, v in self.sums.items()}, width)
+        self.sums = {}
+        return out
 
 
 def partial_sums_df(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarray]],
@@ -294,6 +308,8 @@ def partial_sums_df(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarra
         for batch in batches:
             if batch.num_rows:
                 acc.add(kernel(to_block(batch, kind, d)))
+            if acc.full():
+                yield acc.emit(width)
         if acc.sums:
             yield acc.emit(width)
 
@@ -321,7 +337,7 @@ def wide_products(m: TallMatrix, v: np.ndarray) -> DataFrame:
 
 
 # Largest products of segmented rows (cells) that go to every task.
-MAX_SHARED_CELLS = 1 << 22
+MAX_SHARED_CELLS = 1 << 20
 
 
 def wide_cross(m: TallMatrix, v: np.ndarray, squares: bool = False) -> tuple[np.ndarray | None, np.ndarray, np.ndarray, np.ndarray]:
@@ -362,6 +378,8 @@ def wide_cross(m: TallMatrix, v: np.ndarray, squares: bool = False) -> tuple[np.
                 xs = shared[1][np.searchsorted(shared[0], batch.column("row_id").to_numpy())]
             y = block.values[:, None]
             acc.add({"by": block.by_column(np.hstack([y * xs[block.row_of]] + ([y, y * y] if squares else [])))})
+            if acc.full():
+                yield acc.emit(min(BLOCK_WIDTH, width))
         if acc.sums:
             yield acc.emit(min(BLOCK_WIDTH, width))
 
@@ -435,19 +453,13 @@ def partial_sums(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarray]]
 def _placed(tbl: pa.Table, shapes: dict[str, tuple[int, int]], width: int) -> dict[str, np.ndarray]:
     """Matrices from collected rows (stat, r, cb, c0..)."""
     out = {name: np.zeros(shape) for name, shape in shapes.items()}
-    stat = np.asarray(tbl.column("stat").to_pylist(), dtype=object)
-    r_idx = tbl.column("r").to_numpy()
-    cb = tbl.column("cb").to_numpy()
-    vals = np.column_stack([tbl.column(f"c{t}").to_numpy() for t in range(width)]) if len(stat) else None
-    for name, mat in out.items():
-        sel = stat == name
-        if not sel.any():
-            continue
-        rows_, base = r_idx[sel], cb[sel] * width
-        for t in range(width):
-            col = base + t
-            ok = col < mat.shape[1]
-            mat[rows_[ok], col[ok]] = vals[sel, t][ok]
+    for batch in tbl.to_batches():
+        for name, mat in out.items():
+            part = batch.filter(pc.equal(batch.column("stat"), name))
+            rows_, base = part.column("r").to_numpy(), part.column("cb").to_numpy() * width
+            for t in range(width):
+                ok = base + t < mat.shape[1]
+                mat[rows_[ok], base[ok] + t] = part.column(f"c{t}").to_numpy()[ok]
     return out
 
 
@@ -573,6 +585,11 @@ def sums_and_r(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarray]],
     cols = min(BLOCK_WIDTH, max([width] + [s[-1] if s else 1 for s in shapes.values()]))
     schema = T.StructType([T.StructField("pid", T.LongType(), False)] + partial_schema(cols).fields)
 
+    def keyed(rb: pa.RecordBatch, key: int) -> pa.RecordBatch:
+        keys = pa.array(np.full(rb.num_rows, key, dtype=np.int64))
+        return pa.RecordBatch.from_arrays([keys] + rb.columns,
+                                          schema=pa.schema([("pid", pa.int64(), False)] + list(rb.schema)))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc, r = Partials(), None
         for batch in batches:
@@ -582,14 +599,12 @@ def sums_and_r(m: TallMatrix, kernel: Callable[[Block], dict[str, np.ndarray]],
             acc.add(kernel(blk))
             b = np.asarray(rows_fn(blk), dtype=np.float64)
             r = _r_factor(b if r is None else np.vstack([r, b]))
-        if not acc.sums:
-            return
-        pid = TaskContext.get().partitionId()
-        out = [acc.emit(cols), _emit({"__r": r}, cols)]
-        for rb, key in zip(out, (-1, pid)):
-            keys = pa.array(np.full(rb.num_rows, key, dtype=np.int64))
-            yield pa.RecordBatch.from_arrays([keys] + rb.columns,
-                                             schema=pa.schema([("pid", pa.int64(), False)] + list(rb.schema)))
+            if acc.full():
+                yield keyed(acc.emit(cols), -1)
+        if acc.sums:
+            yield keyed(acc.emit(cols), -1)
+        if r is not None:
+            yield keyed(_emit({"__r": r}, cols), TaskContext.get().partitionId())
 
     merged = (source.mapInArrow(run, schema)
               .groupBy("pid", "stat", "r", "cb")

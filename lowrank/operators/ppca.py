@@ -19,6 +19,7 @@ import time
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,8 +107,9 @@ class PpcaModel:
     def components_df(self, spark: SparkSession) -> DataFrame:
         """M6 as a table ``(j INT, p INT, w DOUBLE)``."""
         d, k = self.components.shape
-        rows = [(j, p, float(self.components[j, p])) for j in range(d) for p in range(k)]
-        return spark.createDataFrame(rows, "j int, p int, w double")
+        table = pa.table({"j": pa.array(np.repeat(np.arange(d), k), pa.int32()), "p": pa.array(np.tile(np.arange(k), d), pa.int32()),
+                          "w": np.ascontiguousarray(self.components, dtype=np.float64).ravel()})
+        return spark.createDataFrame(table, "j int, p int, w double")
 
     def components_matrix(self, spark: SparkSession) -> TallMatrix:
         """M6 as a d x k dense matrix (row j = loadings of column j)."""
