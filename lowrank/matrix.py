@@ -35,6 +35,7 @@ class TallMatrix:
     cells: DataFrame | None = None    # sparse: the entries (i, j, v) the rows were grouped from, where known
     wide: DataFrame | None = None     # sparse: (row_id, segment, indices, values) of rows that ``df`` does not hold
     wide_rows: int = 0                # how many rows those are
+    packed: DataFrame | None = None   # sparse: the rows of ``df`` and ``wide`` in binary records (operators.packed), where built so
 
     def __post_init__(self):
         if self.kind not in (DENSE, SPARSE):
@@ -53,11 +54,11 @@ class TallMatrix:
         return self.df.sparkSession
 
     def with_df(self, df: DataFrame) -> "TallMatrix":
-        return replace(self, df=df, cells=None)
+        return replace(self, df=df, cells=None, packed=None)
 
     def narrow(self) -> "TallMatrix":
         """The rows that are held whole, as a matrix of their own."""
-        return replace(self, wide=None, wide_rows=0, cells=None)
+        return replace(self, wide=None, wide_rows=0, cells=None, packed=self.packed if self.wide is None else None)
 
     def whole(self) -> "TallMatrix":
         """The matrix with the segments of each row put together; for work that
@@ -67,7 +68,7 @@ class TallMatrix:
         e = F.sort_array(F.collect_list(F.struct("segment", "indices", "values")))
         rows = self.wide.groupBy("row_id").agg(e.alias("e"))
         rows = rows.select("row_id", F.flatten(F.col("e.indices")).alias("indices"), F.flatten(F.col("e.values")).alias("values"))
-        return replace(self.narrow(), df=self.df.select("row_id", "indices", "values").unionByName(rows))
+        return replace(self.narrow(), packed=None, df=self.df.select("row_id", "indices", "values").unionByName(rows))
 
     def stored_rows(self) -> int:
         """Rows that have a record (one count job)."""

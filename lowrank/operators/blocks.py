@@ -399,18 +399,23 @@ def batch_rows(m: TallMatrix, default: int = 10000) -> int:
 
 class arrow_batch_rows:
     """Temporarily cap the rows and bytes of Arrow batches for the actions a
-    library call runs itself (bounded memory)."""
+    library call runs itself (bounded memory).  ``measured`` False: of rows whose
+    size is fixed only the number is capped, since Spark would measure its batch
+    again at each row."""
 
     ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
     BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 
-    def __init__(self, spark, rows: int):
+    def __init__(self, spark, rows: int, measured: bool = True):
         self.spark, self.want, self.old = spark, {self.ROWS: rows, self.BYTES: BATCH_BYTES}, {}
+        self.measured = measured
 
     def __enter__(self):
         for key, want in self.want.items():
             self.old[key] = old = self.spark.conf.get(key, None)
-            if old is None or not old.isdigit() or not 0 < int(old) <= want:
+            if key == self.BYTES and not self.measured:
+                self.spark.conf.set(key, str((1 << 31) - 1))           # Spark's "no limit", which it does not measure
+            elif old is None or not old.isdigit() or not 0 < int(old) <= want:
                 self.spark.conf.set(key, str(want))
         return self
 

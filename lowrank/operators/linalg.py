@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..matrix import TallMatrix
 from .blocks import (BLOCK_WIDTH, Block, _merge_state, centred_tsqr, partial_sums, partial_sums_df, sums_and_r, tsqr,
                      wide_cross, wide_products)
+from .packed import SUM_CELLS, packed_cross
 from .stats import mean_and_norm
 
 # Exact-spectrum route (d x d R factor or Gram) when d is at most this;
@@ -67,7 +68,10 @@ def cross_stats(m: TallMatrix, v: np.ndarray, mean: np.ndarray) -> CrossStats:
         x = block.matmul(v)
         return {"sx": x.sum(axis=0), "sxx": x.T @ x, "syx": block.t_matmul(x)}      # columns present only
 
-    r = partial_sums(m.narrow(), stored if m.is_sparse else centred, {"sx": (q,), "sxx": (q, q), "syx": (d, q)})
+    if m.packed is not None and (q == 1 or d * q <= SUM_CELLS):
+        r = packed_cross(m.packed, v, d)
+    else:
+        r = partial_sums(m.narrow(), stored if m.is_sparse else centred, {"sx": (q,), "sxx": (q, q), "syx": (d, q)})
     if m.wide is not None:
         _, sx, sxx, syx = wide_cross(m, v)
         r = {"sx": r["sx"] + sx, "sxx": r["sxx"] + sxx, "syx": r["syx"] + syx}
@@ -134,8 +138,12 @@ def gram(m: TallMatrix, mean: np.ndarray) -> np.ndarray:
 def gram_apply(m: TallMatrix, v: np.ndarray, mean: np.ndarray) -> np.ndarray:
     """A'A V in one pass without forming A'A (for wide matrices).
     With X = A V, A'(X - xm) = A'X because the columns of A sum to zero."""
-    check_driver_size(*v.shape, "A'A V")
-    return cross_stats(m, v, mean).ytx
+    d, q = v.shape
+    check_driver_size(d, q, "A'A V")
+    step = max(1, SUM_CELLS // d)
+    if m.packed is None or q <= step:
+        return cross_stats(m, v, mean).ytx
+    return np.hstack([cross_stats(m, v[:, at:at + step], mean).ytx for at in range(0, q, step)])
 
 
 def singular_values_from_gram(g: np.ndarray, rcond: float = 1e-5) -> np.ndarray:
@@ -309,7 +317,7 @@ def lanczos_runs(m: TallMatrix, mean: np.ndarray, runs: list) -> list[LanczosRes
     while asked:
         at = list(asked)
         widths = np.cumsum([0] + [asked[i].shape[1] for i in at])
-        z = gram_apply(m, np.hstack([asked[i] for i in at]), mean)
+        z = gram_apply(m, np.vstack([asked[i].T for i in at]).T, mean)         # columns in one piece each
         for i, a, e in zip(at, widths[:-1], widths[1:]):
             try:
                 asked[i] = runs[i].send(z[:, a:e])

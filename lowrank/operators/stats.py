@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..matrix import TallMatrix
 from .blocks import BLOCK_WIDTH, arrow_batch_rows, batch_rows, collect_arrow, kernel_input, partial_sums_df, to_block
+from .packed import packed_moments
 
 
 def column_stats(m: TallMatrix) -> DataFrame:
@@ -28,10 +29,13 @@ def column_stats(m: TallMatrix) -> DataFrame:
     if not m.is_sparse:
         return _dense_stats(m)
     n = float(m.n_rows)
-    g = m.entries().groupBy("j").agg(F.sum("v").alias("total"), F.avg("v").alias("own"), F.count("v").alias("stored"),
-                                     (F.var_pop("v") * F.count("v")).alias("spread"))
-    columns = m.spark.range(m.n_cols).select(F.col("id").cast("int").alias("j"))
-    g = columns.join(g, "j", "full").na.fill(0, ["total", "own", "stored", "spread"])
+    if m.packed is not None:
+        g = packed_moments(m.packed, m.n_cols).withColumn("total", F.col("own") * F.col("stored"))
+    else:
+        g = m.entries().groupBy("j").agg(F.sum("v").alias("total"), F.avg("v").alias("own"), F.count("v").alias("stored"),
+                                         (F.var_pop("v") * F.count("v")).alias("spread"))
+        columns = m.spark.range(m.n_cols).select(F.col("id").cast("int").alias("j"))
+        g = columns.join(g, "j", "full").na.fill(0, ["total", "own", "stored", "spread"])
     # (count, mean, M2) of the entries merged with that of the implicit zeros: no difference of large sums.
     between = F.col("own") * F.col("own") * F.col("stored") * ((F.lit(n) - F.col("stored")) / n)
     return g.select("j", "total", (F.col("total") / n).alias("mean"), (F.col("spread") + between).alias("m2"),

@@ -371,10 +371,10 @@ def wide_spectrum(spark: SparkSession, sf: str) -> DataFrame:
     rows without their part along (1, -1, 1, ...)."""
     m = datasets.customer_part_matrix(spark, sf)
     mean = _mean(m)
-    m = replace(m.with_df(materialize(m.df)), wide=None if m.wide is None else materialize(m.wide))
+    m = replace(m, df=materialize(m.df), wide=None if m.wide is None else materialize(m.wide), cells=None)
     p = (1.0 - 2.0 * (np.arange(m.n_cols) % 2))[:, None] / np.sqrt(m.n_cols)
     top, rest = linalg.lanczos_runs(m, mean, [linalg.lanczos(m.n_cols, 1, tol=1e-9), linalg.lanczos(m.n_cols, 1, p, tol=1e-9)])
-    for df in (m.df, m.wide):
+    for df in (m.df, m.wide, m.packed):
         if df is not None:
             release(df)
     data = [(float(np.sqrt(top.values[0])), float(np.sqrt(rest.values[0])))]

@@ -24,17 +24,19 @@ def lineitem_matrix(spark: SparkSession, sf_dir: str, n_rows: int | None = None)
     return matrix_from_columns(load_table(spark, sf_dir, "lineitem"), LINEITEM_COLS, n_rows=n_rows)
 
 
-def customer_part_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Coordinate entries of the customer x part quantity matrix.
-
-    A shuffle join on the order key (AQE splits skewed keys), then a
-    grouping on the cell with map-side partial sums.
-    """
+def customer_part_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts ``(i, j, v)`` that the entries of the customer x part quantity
+    matrix sum up: a shuffle join on the order key (AQE splits skewed keys)."""
     li = load_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     od = load_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     return (li.join(od, li.l_orderkey == od.o_orderkey)
-            .groupBy(F.col("o_custkey").cast("long").alias("i"), F.col("l_partkey").cast("int").alias("j"))
-            .agg(F.sum("l_quantity").alias("v")))
+            .select(F.col("o_custkey").cast("long").alias("i"), F.col("l_partkey").cast("int").alias("j"), F.col("l_quantity").alias("v")))
+
+
+def customer_part_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coordinate entries of the customer x part quantity matrix: the lines
+    grouped on the cell with map-side partial sums."""
+    return customer_part_lines(spark, sf_dir).groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
 def customer_part_shape(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
@@ -46,6 +48,4 @@ def customer_part_shape(spark: SparkSession, sf_dir: str) -> tuple[int, int]:
 
 def customer_part_matrix(spark: SparkSession, sf_dir: str) -> TallMatrix:
     n, d = customer_part_shape(spark, sf_dir)
-    # entries come out of a grouping on (i, j): one per cell
-    return matrix_from_entries(customer_part_entries(spark, sf_dir), n_rows=n, n_cols=d,
-                               duplicates="unique")
+    return matrix_from_entries(customer_part_lines(spark, sf_dir), n_rows=n, n_cols=d, duplicates="total")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..matrix import DENSE, SPARSE, TallMatrix
-from ..session import store
+from ..session import hash_joins, release, store
 
 
 def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -116,17 +116,23 @@ def entries_frame(df: DataFrame, i: str = "i", j: str = "j", v: str = "v", base:
                      F.col(v).cast("double").alias("v"))
 
 
+BAD_ENTRY = "bad matrix entry (empty field, or index outside the matrix): "
+
+
 def keep_entries(entries: DataFrame, n_cols: int | None, n_rows: int | None = None,
-                 outside: str = "error") -> DataFrame:
+                 outside: str = "error", unsummed: bool = False) -> DataFrame:
     """Keep entries inside the width with a non-zero value.  An entry
     without an index or a value, or with a negative index (a wrong base) or
     one past the shape, fails the job instead of going missing; with
     ``outside='cut'`` entries past the width are left out, with a warning that
-    gives their number (one extra scan)."""
+    gives their number (one extra scan).  ``unsummed``: the values are parts of
+    cells, so those that are null or zero are left to the sum."""
     if outside not in CUT_MODES:
         raise ValueError(f"outside must be one of {CUT_MODES}")
-    cond = F.col("v") != 0
-    bad = F.col("i").isNull() | F.col("j").isNull() | F.col("v").isNull() | (F.col("i") < 0) | (F.col("j") < 0)
+    cond = F.lit(True) if unsummed else F.col("v") != 0
+    bad = F.col("i").isNull() | F.col("j").isNull() | (F.col("i") < 0) | (F.col("j") < 0)
+    if not unsummed:
+        bad = bad | F.col("v").isNull()
     if n_rows is not None:
         bad = bad | (F.col("i") >= n_rows)
     if n_cols is not None and outside == "error":
@@ -136,8 +142,7 @@ def keep_entries(entries: DataFrame, n_cols: int | None, n_rows: int | None = No
         if lost:
             warnings.warn(f"cut {lost} entries beyond column {n_cols - 1}")
         cond = cond & (F.col("j") < n_cols)
-    message = F.concat(F.lit("bad matrix entry (empty field, or index outside the matrix): "),
-                       F.to_json(F.struct("i", "j", "v"), {"ignoreNullFields": "false"}))
+    message = F.concat(F.lit(BAD_ENTRY), F.to_json(F.struct("i", "j", "v"), {"ignoreNullFields": "false"}))
     return entries.where(F.when(bad, F.raise_error(message).cast("boolean")).otherwise(cond))
 
 
@@ -150,25 +155,53 @@ def _extent(largest: int | None) -> int:
 SEGMENT_ENTRIES = 1 << 20
 
 
-def segmented(cells: DataFrame, n_rows: int, n_cols: int, segment_entries: int = SEGMENT_ENTRIES) -> TallMatrix:
-    """Sparse matrix from one entry per cell: rows of at most
+def segmented(entries: DataFrame, n_rows: int, n_cols: int, segment_entries: int = SEGMENT_ENTRIES) -> TallMatrix:
+    """Sparse matrix from entries whose values add up by cell: rows of at most
     ``segment_entries`` entries whole, longer ones in segments by column
     range, each at most ``segment_entries`` columns wide.
 
+    The entries are cut into buckets of rows once, in binary, and stored; a
+    task then puts a bucket together (``operators.packed``).  Buckets of more
+    than LIGHT_ENTRIES entries, as long rows make them, take ``_heavy_rows``, so
+    no task ever holds more than that or a whole long row."""
+    from ..operators import packed as p
+    from ..operators.blocks import arrow_batch_rows
+    spark = entries.sparkSession
+    with hash_joins(spark), arrow_batch_rows(spark, 10000, measured=False):
+        raw = store(p.pack_raw(entries, p.bucket_count(n_rows)), p.GROUP_BYTES)
+    with arrow_batch_rows(spark, 10000):
+        heavy = [r["bucket"] for r in raw.groupBy("bucket").agg(F.sum("n").alias("n")).where(F.col("n") > p.LIGHT_ENTRIES).collect()]
+        in_heavy = F.col("bucket").isin(heavy)
+        packed = p.pack_cells(raw.where(~in_heavy) if heavy else raw, segment_entries)
+        n_long = 0
+        if heavy:
+            parts, n_long = _heavy_rows(p.unpack_raw(raw.where(in_heavy)), segment_entries)
+            for kind, part in enumerate(parts):
+                packed = packed.unionByName(p.pack_rows(part, kind))
+        packed = store(packed, p.GROUP_BYTES)
+    release(raw)
+    n_long += packed.agg(F.sum("long")).first()[0] or 0
+    return TallMatrix(p.unpack_rows(packed, 0), n_cols=n_cols, n_rows=n_rows, kind=SPARSE, cells=p.unpack_cells(packed),
+                      wide=p.unpack_rows(packed, 1) if n_long else None, wide_rows=n_long, packed=packed)
+
+
+def _heavy_rows(entries: DataFrame, segment_entries: int) -> tuple[list[DataFrame], int]:
+    """([whole rows, segments of long ones], number of long ones) of entries that add up by cell.
+
     Row lengths are counted with map-side sums; the few long rows are
     told apart by a join on the row id (broadcast when Spark finds them few,
     else split by AQE where skewed), and their entries are grouped by (row,
     column range), so neither step brings a whole long row into one task.
     The cells are stored once, since both groupings read them."""
-    cells = store(cells.where(F.col("v") != 0).select("i", "j", "v"))
+    message = F.concat(F.lit(BAD_ENTRY), F.to_json(F.struct("i", "j", F.lit(None).cast("double").alias("v")), {"ignoreNullFields": "false"}))
+    total = F.when(F.count("v") == 0, F.raise_error(message).cast("double")).otherwise(F.sum("v"))
+    cells = store(entries.groupBy("i", "j").agg(total.alias("v")).where(F.col("v") != 0))
     long = store(cells.groupBy("i").count().where(F.col("count") > segment_entries).select("i"))
     n_long = long.count()
-    short = cells.join(long, "i", "left_anti") if n_long else cells
-    m = TallMatrix(_grouped(short, ["i"]), n_cols=n_cols, n_rows=n_rows, kind=SPARSE, cells=cells)
     if not n_long:
-        return m
+        return [_grouped(cells, ["i"])], 0
     ranged = cells.join(long, "i").withColumn("segment", F.floor(F.col("j") / segment_entries).cast("int"))
-    return replace(m, wide=_grouped(ranged, ["i", "segment"]), wide_rows=n_long)
+    return [_grouped(cells.join(long, "i", "left_anti"), ["i"]), _grouped(ranged, ["i", "segment"])], n_long
 
 
 def _grouped(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -185,14 +218,19 @@ def matrix_from_entries(entries: DataFrame, n_rows: int | None = None, n_cols: i
 
     Duplicated ``(i, j)`` pairs are summed (``duplicates='sum'``) or make the
     job that reads the rows fail (``'error'``, the default); ``'unique'`` skips the cell
-    grouping for entries that are already one per cell.  The first grouping shuffles on
+    grouping for entries that are already one per cell; ``'total'`` sums as SQL does,
+    leaving out null values (a cell with nothing else fails).  The first grouping shuffles on
     ``(i, j)``, so one hot row is spread over many tasks and its entries are
     combined map-side; the second grouping collects at most
     ``segment_entries`` entries: a matrix that is wider keeps longer rows in
-    segments (``segmented``).
+    segments (``segmented``), which adds up the parts of a cell itself.
     """
-    if duplicates not in ("error", "sum", "unique"):
-        raise ValueError("duplicates must be 'error', 'sum' or 'unique'")
+    if duplicates not in ("error", "sum", "unique", "total"):
+        raise ValueError("duplicates must be 'error', 'sum', 'unique' or 'total'")
+    if duplicates == "total" and n_rows is not None and n_cols is not None and n_cols > segment_entries:
+        return segmented(keep_entries(entries, n_cols, n_rows, outside, unsummed=True), n_rows, n_cols, segment_entries)
+    if duplicates == "total":
+        entries, duplicates = entries.groupBy("i", "j").agg(F.sum("v").alias("v")), "unique"
     if duplicates == "unique":
         # the caller guarantees one entry per cell (e.g. a grouping on (i, j))
         cells = keep_entries(entries, n_cols, n_rows, outside)
